@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import leaky_relu
@@ -44,18 +44,43 @@ def union_edges(*parts: DataFrame) -> DataFrame:
     return joined
 
 
+def hierarchy_edges(
+    stays: DataFrame, days: DataFrame, patient: str, stay: str, day: str, loops: dict[str, str],
+) -> DataFrame:
+    """Patient to stay, stay to day, and the day self-loops named in ``loops``.
+
+    ``stays`` has one row per stay and ``days`` one per stay and day, with a
+    boolean column for each kind of loop; all edges of a row come from one pass
+    and need no duplicate removal.
+    """
+
+    def edge(kind: str, src_type: str, src: str, dst_type: str, dst: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("edge_type"), F.lit(src_type).alias("src_type"),
+            F.col(src).cast("string").alias("src"), F.lit(dst_type).alias("dst_type"),
+            F.col(dst).cast("string").alias("dst"),
+        )
+
+    upper = stays.select(edge("patient_to_stay", "patient", patient, "stay", stay).alias("e"))
+    kinds = [edge("stay_to_day", "stay", stay, "day", day)]
+    kinds += [F.when(F.col(flag), edge(k, "day", day, "day", day)) for k, flag in loops.items()]
+    lower = days.select(F.explode(F.array(*kinds)).alias("e")).filter("e is not null")
+    return upper.unionByName(lower).select("e.*").filter("src is not null and dst is not null")
+
+
 def with_reverse(edges: DataFrame) -> DataFrame:
     """The edges and their reverse ones; the edges are computed once."""
-    forward = F.struct(*EDGE)
-    backward = F.struct(
+    turned = F.struct(
         F.concat(F.lit("rev_"), "edge_type").alias("edge_type"),
         F.col("dst_type").alias("src_type"),
         F.col("dst").alias("src"),
         F.col("src_type").alias("dst_type"),
         F.col("src").alias("dst"),
     )
-    both = F.when(F.col("src_type") != F.col("dst_type"), F.array(forward, backward))
-    return edges.select(F.inline(both.otherwise(F.array(forward))))
+    both = F.array(
+        F.struct(*EDGE), F.when(F.col("src_type") != F.col("dst_type"), turned)
+    )
+    return edges.select(F.explode(both).alias("e")).filter("e is not null").select("e.*")
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
@@ -74,7 +99,8 @@ def gather(nodes: DataFrame, edges: DataFrame, features: Sequence[str]) -> DataF
     sources = nodes.select(
         F.col("node_type").alias("src_type"), F.col("node").alias("src"), *features
     )
-    return edges.join(sources, ["src_type", "src"])
+    # explode makes edge lists look smaller to the planner than they are: never broadcast them
+    return edges.hint("merge").join(sources, ["src_type", "src"])
 
 
 def neighbor_sum(
@@ -124,6 +150,7 @@ def neighbor_attention(
     kept = [*features] if src_score in features else [*features, src_score]
     scored = (
         gather(nodes, edges, kept)
+        .hint("merge")
         .join(targets, ["dst_type", "dst"])
         .withColumn("_e", leaky_relu(F.col(src_score) + F.col("_to"), slope))
     )

@@ -251,28 +251,69 @@ def over_previous_rows(
     )
 
 
-def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, limit: int | None = ROWS_PER_TASK
-) -> DataFrame:
-    """Smallest value whose share of rows at or below it reaches ``q``, per group.
-
-    Equal values are merged first; the rest is a running sum, so no task holds
-    all values of a group.
+def exact_quantiles(
+    df: DataFrame,
+    columns: dict[str, Column],
+    q: float = 0.5,
+    limit: int | None = ROWS_PER_TASK,
+    accuracy: int = 10_000,
+) -> dict[str, float | None]:
+    """Per column, the smallest value whose share of rows at or below it reaches ``q``.
+
+    A sketch gives a narrow bracket around each quantile. The second pass counts
+    the rows below it and merges equal values inside it, so only about
+    ``4 / accuracy`` of the distinct values are shuffled. One number per column
+    comes to the driver.
     """
-    keys = list(keys)
-    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    chunks = find_chunks(known, keys, [value], limit)
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_upto"))
-    totals = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    upto = running_sums(counts, keys, [value], ["_upto"], chunks=chunks)
-    with_total = (
-        upto.join(totals, keys) if keys else upto.withColumn("_all", totals.scalar())
-    )
-    return (
-        with_total.filter(F.col("_upto") >= F.col("_all") * q)
-        .groupBy(*keys)
-        .agg(F.min(value).alias(value))
+    values = df.select(*[c.cast("double").alias(name) for name, c in columns.items()])
+    off = 2 / accuracy
+    bracket = values.agg(
+        *[
+            F.percentile_approx(n, [max(0.0, q - off), min(1.0, q + off)], accuracy).alias(n)
+            for n in columns
+        ]
+    ).first()
+    known = [n for n in columns if bracket[n] is not None]
+    if not known:
+        return dict.fromkeys(columns)
+    low = {n: bracket[n][0] for n in known}
+    high = {n: bracket[n][1] for n in known}
+    counts = values.agg(
+        *[
+            F.struct(F.count(n).alias("all"), F.count_if(F.col(n) < low[n]).alias("below")).alias(n)
+            for n in known
+        ]
+    ).first()
+    inside = values.select(
+        F.explode(
+            F.array(
+                *[
+                    F.when(
+                        F.col(n).between(low[n], high[n]),
+                        F.struct(F.lit(n).alias("column"), F.col(n).alias("x")),
+                    )
+                    for n in known
+                ]
+            )
+        ).alias("r")
+    ).filter("r is not null").select("r.*")
+    merged = inside.groupBy("column", "x").agg(F.count(F.lit(1)).alias("upto"))
+    # twice the bracket's share bounds the distinct values inside it
+    most = max(counts[n]["all"] for n in known) * 8 / accuracy
+    look = limit if limit is not None and most > limit else None
+    chunks = find_chunks(inside, ["column"], ["x"], look)
+    upto = running_sums(merged, ["column"], ["x"], ["upto"], chunks=chunks)
+    wanted = F.create_map(
+        *[F.lit(v) for n in known for v in (n, counts[n]["all"] * q - counts[n]["below"])]
     )
+    found = {
+        r["column"]: r["x"]
+        for r in upto.filter(F.col("upto") >= wanted[F.col("column")])
+        .groupBy("column")
+        .agg(F.min("x").alias("x"))
+        .collect()
+    }
+    return {n: found.get(n) for n in columns}
 
 
 def _all(conditions: Sequence[Column]) -> Column:

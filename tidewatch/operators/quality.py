@@ -44,6 +44,11 @@ def shape_ok(array: Column, shape: Sequence[int]) -> Column:
     return F.coalesce(fits, F.lit(False))
 
 
+def route(violations: Column) -> Column:
+    """Where a row goes: ``good`` or ``dead_letter``."""
+    return F.when(F.size(violations) == 0, "good").otherwise("dead_letter")
+
+
 def split_good_bad(df: DataFrame, violations: str) -> tuple[DataFrame, DataFrame]:
     """Rows that pass every rule, and the others."""
     return df.filter(F.size(violations) == 0), df.filter(F.size(violations) > 0)

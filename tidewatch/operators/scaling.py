@@ -7,26 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import ROWS_PER_TASK, exact_quantile
+from tidewatch.operators.ordered import ROWS_PER_TASK, exact_quantiles
 
 EPS = 1e-8
 METHODS = ("min_max", "z_score", "robust")
 
 
-def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, x)`` rows of the given columns."""
-    return df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
-                    for c in columns
-                ]
-            )
-        ).alias("r")
-    ).select("r.*")
-
-
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: min, max, mean and sample deviation of every column, in one pass."""
     return df.agg(
@@ -43,41 +29,38 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def medians(
-    df: DataFrame, columns: Sequence[str], limit: int = ROWS_PER_TASK
+    df: DataFrame, columns: Sequence[str], limit: int | None = ROWS_PER_TASK
 ) -> DataFrame:
-    """``(column, median, mad)`` with the lower median, found by running counts."""
-    values = long_form(df, columns)
-    middle = exact_quantile(values, ["column"], "x", 0.5, limit).withColumnRenamed("x", "median")
-    # one row per column name: a few hundred rows at most
-    off = values.join(F.broadcast(middle), "column").select(
-        "column", F.abs(F.col("x") - F.col("median")).alias("x")
+    """``(column, median, mad)`` with the lower median and its lower median distance."""
+    middle = exact_quantiles(df, {c: F.col(c) for c in columns}, 0.5, limit)
+    spread = exact_quantiles(
+        df, {c: F.abs(F.col(c) - F.lit(m)) for c, m in middle.items() if m is not None}, 0.5, limit
     )
-    spread = exact_quantile(off, ["column"], "x", 0.5, limit).withColumnRenamed("x", "mad")
-    return middle.join(spread, "column")
+    rows = [(c, middle[c], spread.get(c)) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "column string, median double, mad double")
 
 
 def stats_table(
-    df: DataFrame, columns: Sequence[str], robust: bool = True, limit: int = ROWS_PER_TASK
+    df: DataFrame,
+    columns: Sequence[str],
+    robust: bool = True,
+    limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """``(column, min, max, mean, std)``, to store and apply later.
 
-    ``robust`` adds ``median`` and ``mad``, which take two more passes.
+    ``robust`` adds ``median`` and ``mad``, which take more passes.
     """
-    one = moments(df, columns)
-    rows = one.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        *[F.col(c)[m].alias(m) for m in ("min", "max", "mean", "std")],
-                    )
-                    for c in columns
-                ]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                *[F.col(c)[m].alias(m) for m in ("min", "max", "mean", "std")],
             )
-        ).alias("r")
-    ).select("r.*")
-    return rows.join(medians(df, columns, limit), "column", "left") if robust else rows
+            for c in columns
+        ]
+    )
+    plain = moments(df, columns).select(F.explode(rows).alias("r")).select("r.*")
+    return plain.join(medians(df, columns, limit), "column", "left") if robust else plain
 
 
 def scaled(x: Column, stats: Column, method: str, eps: float = EPS) -> Column:

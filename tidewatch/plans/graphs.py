@@ -10,37 +10,45 @@ from tidewatch.plans.registry import query
 
 
 def _days(spark, d):
+    """One row per order and shipping day."""
     lines = i.table(spark, d, "lineitem")
-    day = F.concat_ws("@", F.col("l_orderkey").cast("string"),
-                      F.date_format("l_shipdate", "yyyy-MM-dd"))
-    return lines.select("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", day.alias("day"))
+    days = lines.groupBy("l_orderkey", "l_shipdate").agg(
+        F.sum("l_quantity").alias("quantity"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.bool_or(F.col("l_returnflag") == "R").alias("lab"),
+        F.bool_or(F.col("l_linestatus") == "O").alias("vital"),
+    )
+    name = F.concat_ws(
+        "@", F.col("l_orderkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    )
+    return days.withColumn("day", name)
 
 
 def edges(spark, d):
-    orders, days = i.table(spark, d, "orders"), _days(spark, d)
-    return graph.union_edges(
-        graph.edges_of(orders, "patient_to_stay", "patient", "o_custkey", "stay", "o_orderkey"),
-        graph.edges_of(days, "stay_to_day", "stay", "l_orderkey", "day", "day"),
-        graph.self_loops(days.filter("l_returnflag = 'R'"), "has_lab", "day", "day"),
-        graph.self_loops(days.filter("l_linestatus = 'O'"), "has_vital", "day", "day"),
+    stays = i.table(spark, d, "orders").select(
+        "o_custkey", F.col("o_orderkey").alias("l_orderkey")
+    )
+    return graph.hierarchy_edges(
+        stays, _days(spark, d), "o_custkey", "l_orderkey", "day",
+        {"has_lab": "lab", "has_vital": "vital"},
     )
 
 
 def nodes(spark, d):
-    """Nodes with two features and an attention score."""
-    customer, orders = i.table(spark, d, "customer"), i.table(spark, d, "orders")
-    patients = customer.select(
-        F.lit("patient").alias("node_type"), F.col("c_custkey").cast("string").alias("node"),
-        (F.col("c_acctbal") / 10000).alias("x0"), F.lit(1.0).alias("x1"),
+    """Nodes with two features; the first also serves as attention score."""
+    def of(kind, node, x0, x1):
+        return (F.lit(kind).alias("node_type"), node.cast("string").alias("node"),
+                x0.alias("x0"), x1.cast("double").alias("x1"))
+
+    patients = i.table(spark, d, "customer").select(
+        *of("patient", F.col("c_custkey"), F.col("c_acctbal") / 10000, F.lit(1))
+    )
+    stays = i.table(spark, d, "orders").select(
+        *of("stay", F.col("o_orderkey"), F.col("o_totalprice") / 500000, F.lit(1))
     )
-    stays = orders.select(
-        F.lit("stay").alias("node_type"), F.col("o_orderkey").cast("string").alias("node"),
-        (F.col("o_totalprice") / 500000).alias("x0"), F.lit(1.0).alias("x1"),
+    days = _days(spark, d).select(
+        *of("day", F.col("day"), F.col("quantity") / 50, F.col("n_lines"))
     )
-    days = _days(spark, d).groupBy("day").agg(
-        F.sum("l_quantity").alias("q"), F.count(F.lit(1)).cast("double").alias("x1")
-    ).select(F.lit("day").alias("node_type"), F.col("day").alias("node"),
-             (F.col("q") / 50).alias("x0"), "x1")
     return patients.unionByName(stays).unionByName(days)
 
 
@@ -139,15 +147,15 @@ def neighbor_attention(spark, d):
     "neighbor_attention_global",
     f"{ATTENTION_SQL}, w AS (SELECT *, exp(score - max(score) OVER ()) AS w FROM e), "
     "t AS (SELECT sum(w) AS total FROM w) SELECT dst_type AS node_type, dst AS node, "
-    "count(*) AS n_in, round(sum(w * x0) / max(total) * 1e6, 9) + 0.0 AS x0, "
-    "round(sum(w * x1) / max(total) * 1e6, 9) AS x1 FROM w CROSS JOIN t GROUP BY 1, 2",
+    "count(*) AS n_in, round(sum(w * x0) / max(total) * 1e6, 7) + 0.0 AS x0, "
+    "round(sum(w * x1) / max(total) * 1e6, 7) AS x1 FROM w CROSS JOIN t GROUP BY 1, 2",
 )
 def neighbor_attention_global(spark, d):
     rows = graph.neighbor_attention(
         nodes(spark, d), _whole(spark, d), ["x0", "x1"], "x0", "x0", scope="all"
     )
     return i.finished(
-        rows.withColumn("x0", F.col("x0") * 1e6).withColumn("x1", F.col("x1") * 1e6), 6
+        rows.withColumn("x0", F.col("x0") * 1e6).withColumn("x1", F.col("x1") * 1e6), 7
     )
 
 

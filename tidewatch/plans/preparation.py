@@ -304,11 +304,11 @@ def dead_letter_split(spark, d):
         "event_type": F.coalesce(F.col("r.event_type") != "signup", F.lit(False)),
     }
     violations = F.when(~known, F.array(F.lit("parsed"))).otherwise(quality.broken_rules(rules))
-    good, bad = quality.split_good_bad(parsed.withColumn("violations", violations), "violations")
-    routed = good.withColumn("route", F.lit("good")).unionByName(
-        bad.withColumn("route", F.lit("dead_letter"))
+    return parsed.withColumn("violations", violations).select(
+        "event_id",
+        quality.route(F.col("violations")).alias("route"),
+        F.array_join("violations", ",").alias("broken"),
     )
-    return routed.select("event_id", "route", F.array_join("violations", ",").alias("broken"))
 
 
 REQUEST = (
@@ -531,4 +531,4 @@ def map_batches(spark, d):
         )
 
     rows = i.events(spark, d).select("event_id", "value", "event_type")
-    return scoring.map_batches(rows, describe, "event_id long, above boolean, letters long")
+    return scoring.map_batches(rows, describe, "event_id long, above boolean, letters long", 4096)
