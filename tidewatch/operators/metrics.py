@@ -216,16 +216,22 @@ def calibration_error(bins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def score_histogram(df: DataFrame, y: str, p: str, n_bins: int = 50) -> DataFrame:
-    """Density per class over equal bins between the class's own smallest and largest score."""
+    """Density per class over equal bins between the class's own smallest and largest score.
+
+    A class with a single score gets a range of 1 around it.
+    """
+    half = F.when(F.min(p) == F.max(p), 0.5).otherwise(0.0)
     spans = df.groupBy(F.col(y).alias("class")).agg(
-        F.min(p).alias("low"), F.max(p).alias("high"), F.count(F.lit(1)).alias("n_class")
+        (F.min(p) - half).alias("low"),
+        (F.max(p) + half).alias("high"),
+        F.count(F.lit(1)).alias("n_class"),
     )  # one row per class
     placed = df.select(F.col(y).alias("class"), F.col(p).alias("_p")).join(
         F.broadcast(spans), "class"
     )
     width = (F.col("high") - F.col("low")) / n_bins
-    at = F.floor(F.try_divide(F.col("_p") - F.col("low"), width)).cast("int")
-    binned = placed.withColumn("bin", F.coalesce(F.least(at, F.lit(n_bins - 1)), F.lit(0)))
+    at = F.floor((F.col("_p") - F.col("low")) / width).cast("int")
+    binned = placed.withColumn("bin", F.least(at, F.lit(n_bins - 1)))
     return (
         binned.groupBy("class", "bin")
         .agg(
@@ -235,7 +241,7 @@ def score_histogram(df: DataFrame, y: str, p: str, n_bins: int = 50) -> DataFram
         )
         .select(
             "class", "bin", "n",
-            F.try_divide(F.col("n"), F.col("_n") * F.col("_w")).alias("density"),
+            (F.col("n") / (F.col("_n") * F.col("_w"))).alias("density"),
         )
     )
 
