@@ -35,7 +35,7 @@ def test_latest(spark, split_events):
         "user_id", ["ts", "event_id"],
     )
     done = st.finish(st.batches_to(latest, out, st.write_epoch(out, "t"), "update"))
-    assert st.last_version(done) >= 3
+    assert st.last_batch(done) >= 3
     got = st.last_epoch(spark, f"{out}/t", ["user_id"])
     want = monitor.latest_per_entity(rows, "user_id", ["ts", "event_id"])
     assert rows_of(got, "user_id", "event_id") == rows_of(want, "user_id", "event_id")
@@ -59,7 +59,7 @@ def test_state_table_over_batches(spark, split_events):
     slim = ["user_id", "event_id", "ts", "value"]
     sink = st.latest_state_sink(out, "user_id", ["ts", "event_id"])
     done = st.finish(st.batches_to(stream(spark, folder).select(*slim), out, sink))
-    got = spark.read.parquet(f"{out}/state/v{st.last_version(done)}")
+    got = spark.read.parquet(st.state_path(out, st.last_batch(done)))
     want = monitor.latest_per_entity(rows.select(*slim), "user_id", ["ts", "event_id"])
     assert rows_of(got, *slim) == rows_of(want, *slim)
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.expressions import double_array, let, sigmoid
+from tidewatch.functions.expressions import double_array, let, sigmoid, unit_hash
 from tidewatch.operators.scoring import linear_logit
 
 BASELINES = ("zeros", "mean", "gaussian_noise")
@@ -319,8 +319,17 @@ def permutation_importance(
     )
 
 
-def noise_perturb(df: DataFrame, columns: Sequence[str], sigma: float = 0.01, seed: int = 42):
-    """Gaussian noise on each column."""
-    return df.withColumns(
-        {c: F.col(c) + F.randn(seed + i) * sigma for i, c in enumerate(columns)}
-    )
+def noise_perturb(
+    df: DataFrame, instance: str, columns: Sequence[str], sigma: float = 0.01, seed: int = 42
+) -> DataFrame:
+    """Gaussian noise on each column, drawn from a hash of seed, column and instance.
+
+    A repeated task draws the same noise, whatever the order of its rows.
+    """
+
+    def noise(position: int) -> Column:
+        u = 1 - unit_hash(seed, F.lit(2 * position), F.lit("-"), F.col(instance))
+        v = unit_hash(seed, F.lit(2 * position + 1), F.lit("-"), F.col(instance))
+        return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
+
+    return df.withColumns({c: F.col(c) + noise(i) * sigma for i, c in enumerate(columns)})

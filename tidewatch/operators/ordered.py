@@ -20,10 +20,12 @@ ROWS_PER_TASK = 5_000_000
 MAX_HOT_KEYS = 1_000
 MAX_CHUNKS = 4_096
 SAMPLES_PER_CHUNK = 50
+STRIDE = 64
 
 _KEY = "_group"
 _CHUNK = "_chunk"
 _POINTS = "_points"
+_STARTS = "_starts"
 
 
 @dataclass
@@ -45,12 +47,19 @@ class Chunks:
         """
         if self.points is None:
             return df
-        before = F.filter(_POINTS, lambda p: p <= F.struct(*self.order))
+        at = F.struct(*self.order)
+
+        def at_or_before(points: Column) -> Column:
+            return F.size(F.filter(points, lambda p: p <= at))
+
+        # first among every STRIDE-th point, then among the STRIDE points after it
+        block = F.greatest(at_or_before(F.col(_STARTS)) - 1, F.lit(0)) * STRIDE
+        inside = at_or_before(F.slice(_POINTS, block + 1, F.lit(STRIDE)))
         return (
             df.withColumn(_KEY, _group_hash(self.keys))
             .join(F.broadcast(self.points), _KEY, "left")  # at most MAX_HOT_KEYS rows
-            .withColumn(_CHUNK, F.when(F.col(_POINTS).isNull(), -1).otherwise(F.size(before)))
-            .drop(_KEY, _POINTS)
+            .withColumn(_CHUNK, F.when(F.col(_POINTS).isNull(), -1).otherwise(block + inside))
+            .drop(_KEY, _POINTS, _STARTS)
         )
 
 
@@ -104,6 +113,9 @@ def find_chunks(
             " i -> at[least(n - 1, cast(i * n / parts as int))])"
         ).alias(_POINTS),
     )
+    picked = picked.withColumn(
+        _STARTS, F.filter(_POINTS, lambda _, index: index % STRIDE == 0)
+    )
     rows = picked.collect()
     return Chunks(keys, order, spark.createDataFrame(rows, picked.schema))
 

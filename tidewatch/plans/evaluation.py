@@ -10,6 +10,8 @@ from tidewatch.operators import drift, metrics
 from tidewatch.operators.buckets import day_bucket
 from tidewatch.plans import inputs as i
 from tidewatch.plans.registry import query
+from tidewatch.session import work_folder
+from tidewatch.sources import tables
 
 COUNTS_SQL = (
     "count(*) FILTER (WHERE y = 1 AND p > {t}) AS tp, "
@@ -228,6 +230,19 @@ def metrics_by_split(spark, d):
     return i.finished(metrics.metrics_by(i.scores(spark, d), "y", "p", ["part"]), 8)
 
 
+@query(
+    "evaluation_results",
+    f"WITH {i.SCORES_SQL}, c AS (SELECT part, {COUNTS_SQL.format(t=0.5)} FROM scores GROUP BY part) "
+    f"SELECT part, tp, fp, tn, fn, {RATES_SQL} FROM c",
+)
+def evaluation_results(spark, d):
+    folder = work_folder(spark, "evaluation")
+    counts = metrics.confusion(i.scores(spark, d), "y", "p", 0.5, ["part"])
+    results = i.finished(metrics.with_rates(counts), 8)
+    tables.write_json(results, folder)
+    return spark.read.schema(results.schema).json(folder)
+
+
 @query(
     "latency_profile",
     "SELECT count(value) AS n, round(avg(value), 8) AS latency_mean, "

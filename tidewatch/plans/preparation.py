@@ -92,7 +92,7 @@ def normalization_stats(spark, d):
     )
 
 
-HASH_SQL = "(('0x' || substr(md5('42' || {id}::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
+HASH_SQL = "(('0x' || substr(md5('42' || ({id})::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
 SPLIT_SQL = (
     "CASE WHEN {u} < 0.7 THEN 'train' WHEN {u} < {b!r} THEN 'val' ELSE 'test' END"
 )
@@ -495,10 +495,20 @@ def assemble_pooled(spark, d):
     return i.finished(rows, 8)
 
 
-@query("noise_perturb")
+def _noise_sql(position: int) -> str:
+    u = HASH_SQL.format(id=f"'{2 * position}-' || event_id")
+    v = HASH_SQL.format(id=f"'{2 * position + 1}-' || event_id")
+    return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
+
+
+@query(
+    "noise_perturb",
+    f"SELECT event_id, round(value + 0.1 * {_noise_sql(0)}, 8) AS value, "
+    f"round(least(value / 100, 1.0) + 0.1 * {_noise_sql(1)}, 8) AS p FROM events",
+)
 def noise_perturb(spark, d):
-    rows = i.events(spark, d).select("event_id", "value")
-    return attribution.noise_perturb(rows, ["value"], 0.01)
+    rows = i.predictions(spark, d).select("event_id", "value", "p")
+    return i.finished(attribution.noise_perturb(rows, "event_id", ["value", "p"], 0.1), 8)
 
 
 @query(

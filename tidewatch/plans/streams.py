@@ -111,7 +111,7 @@ def stream_summary(spark, d):
         st.latest_state_sink(folder, "user_id", ["ts", "event_id"]), write_alerts
     )
     done = st.finish(st.batches_to(risks, folder, sink))
-    state = spark.read.parquet(f"{folder}/state/v{st.last_version(done)}")
+    state = spark.read.parquet(st.state_path(folder, st.last_batch(done)))
     alerts = spark.read.parquet(f"{folder}/alerts")
     rows = monitor.risk_summary(state, "p", alerts, "ts", state.agg(F.max("ts")).scalar())
     return i.finished(rows, 8)

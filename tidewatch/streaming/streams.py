@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 from tidewatch.functions.catalog import HISTORY_POINTS
 from tidewatch.operators.monitor import latest_per_entity
 
+STATE_VERSIONS = 3
+MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def file_stream(
     spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet",
@@ -134,12 +137,11 @@ def history_stream(
             yield frame.sort_values("at").groupby("entity", sort=False).tail(n)
 
     def keep(key, frames, state):
-        kept = pd.DataFrame(
-            list(zip(*state.get)) if state.exists else [], columns=["at", "value"]
-        )
+        at, values = state.get if state.exists else ([], [])
+        points = list(zip(at, values))
         for frame in frames:
-            kept = pd.concat([kept, frame[["at", "value"]]]).sort_values("at").tail(n)
-        at, values = kept["at"].astype("int64").tolist(), kept["value"].astype(float).tolist()
+            points = sorted(points + list(zip(frame["at"].tolist(), frame["value"].tolist())))[-n:]
+        at, values = [p[0] for p in points], [p[1] for p in points]
         state.update((at, values))
         yield pd.DataFrame({"entity": [key[0]], "at": [at], "values": [values]})
 
@@ -180,7 +182,11 @@ def session_totals(
     stream: DataFrame, entity: str, time: str, value: str, gap: str = "30 minutes",
     late: str = "10 minutes",
 ) -> DataFrame:
-    """Count and mean per session; a session appears once the watermark has passed it."""
+    """Count and mean per session; a session appears once the watermark has passed it.
+
+    Rows of a session are merged where they lie before they are shuffled.
+    """
+    stream.sparkSession.conf.set(MERGE_SESSIONS, "true")
     return (
         stream.withWatermark(time, late)
         .groupBy(entity, F.session_window(time, gap).alias("w"))
@@ -195,22 +201,28 @@ def latest_state_sink(
 ) -> Callable[[DataFrame, int], None]:
     """Merge each batch into a table of latest records: version N from N-1 and the batch.
 
-    Versions are whole tables of one row per entity. A repeated batch rebuilds
-    its own version from the same predecessor.
+    Versions are whole tables of one row per entity, and the last
+    ``STATE_VERSIONS`` of them are kept. A repeated batch rebuilds its own
+    version from the same predecessor.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         rows = latest_per_entity(batch, entity, order)
         if epoch > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{folder}/state/v{epoch - 1}")
+            before = batch.sparkSession.read.schema(batch.schema).parquet(
+                state_path(folder, epoch - 1)
+            )
             rows = latest_per_entity(before.unionByName(rows), entity, order)
-        rows.write.mode("overwrite").parquet(f"{folder}/state/v{epoch}")
+        rows.write.mode("overwrite").parquet(state_path(folder, epoch))
 
     return write
 
 
-def last_version(query: StreamingQuery) -> int:
+def state_path(folder: str, epoch: int) -> str:
+    return f"{folder}/state/v{epoch % STATE_VERSIONS}"
+
+
+def last_batch(query: StreamingQuery) -> int:
     """Number of the last batch a finished query ran."""
     return query.lastProgress["batchId"]
 
