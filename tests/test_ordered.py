@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import metrics, ordered, sequences, splits
+from tidewatch.operators import graph, metrics, ordered, sequences, splits
 
 LIMIT = 40
 
@@ -150,3 +150,46 @@ def test_areas_do_not_depend_on_chunks(spark):
             for x in (plain, cut)
         ]
         assert values[0] == values[1]
+
+
+def test_group_values_reach_every_row_of_a_large_group(rows):
+    tops = rows.groupBy("entity").agg(F.max("at").alias("top"))
+    got = ordered.join_group_values(rows, tops, ["entity"], LIMIT)
+    want = rows.join(tops, "entity")
+    key = F.coalesce("value", F.lit(-1.0))
+    assert collected(got, "id", "top", key) == collected(want, "id", "top", key)
+
+
+def test_softmax_pooling_of_a_large_group(rows):
+    known = rows.fillna(0.0)
+    got, want = (
+        sequences.pool_softmax(known, ["entity"], "value", ["at"], limit)
+        .select("entity", F.round("at", 9).alias("at"))
+        for limit in (LIMIT, None)
+    )
+    assert collected(got, "entity", "at") == collected(want, "entity", "at")
+
+
+def test_attention_at_a_node_with_many_in_edges(spark):
+    edges = spark.range(600).select(
+        F.lit("e").alias("edge_type"), F.lit("s").alias("src_type"),
+        F.col("id").cast("string").alias("src"), F.lit("d").alias("dst_type"),
+        F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).cast("string").alias("dst"),
+    )
+    sources = spark.range(600).select(
+        F.lit("s").alias("node_type"), F.col("id").cast("string").alias("node"),
+        F.sin("id").alias("x"),
+    )
+    targets = spark.range(50).select(
+        F.lit("d").alias("node_type"), F.col("id").cast("string").alias("node"),
+        F.cos("id").alias("x"),
+    )
+    nodes = sources.unionByName(targets)
+    for scope in ("destination", "all"):
+        got, want = (
+            graph.neighbor_attention(nodes, edges, ["x"], "x", "x", scope=scope, limit=limit)
+            .select("node", "n_in", F.round("x", 12).alias("x"))
+            for limit in (LIMIT, None)
+        )
+        assert collected(got, "node", "n_in", "x") == collected(want, "node", "n_in", "x")
+        assert got.agg(F.max("n_in")).first()[0] > 400

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import leaky_relu
+from tidewatch.operators.ordered import ROWS_PER_TASK, join_group_values
 
 EDGE = ["edge_type", "src_type", "src", "dst_type", "dst"]
 
@@ -137,47 +138,39 @@ def neighbor_attention(
     dst_score: str,
     slope: float = 0.2,
     scope: str = "destination",
+    limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Weighted message sum per destination node.
 
     The weight is the softmax of the leaky-ReLU of both score columns, over the
     in-edges of each destination, or over all edges with ``scope="all"``.
     """
+    if scope not in ("destination", "all"):
+        raise ValueError(f"unknown scope: {scope}")
+    key = ["dst_type", "dst"]
+    kept = [*features] if src_score in features else [*features, src_score]
+    messages = gather(nodes, edges, kept)
+    # the rule rises with the source score, so the best source gives the largest score
+    best = messages.groupBy(*key).agg(F.max(src_score).alias("_best"))
     targets = nodes.select(
         F.col("node_type").alias("dst_type"), F.col("node").alias("dst"),
         F.col(dst_score).alias("_to"),
+    ).join(best, key).withColumn("_top", leaky_relu(F.col("_best") + F.col("_to"), slope))
+    top = F.col("_top") if scope == "destination" else targets.agg(F.max("_top")).scalar()
+    score = leaky_relu(F.col(src_score) + F.col("_to"), slope)
+    weighed = join_group_values(
+        messages.hint("merge"), targets, key, limit, look_at=edges
+    ).withColumn("_w", F.exp(score - top))
+    summed = weighed.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_in"),
+        F.sum("_w").alias("_mass"),
+        *[F.sum(F.col("_w") * F.col(f)).alias(f) for f in features],
     )
-    kept = [*features] if src_score in features else [*features, src_score]
-    scored = (
-        gather(nodes, edges, kept)
-        .hint("merge")
-        .join(targets, ["dst_type", "dst"])
-        .withColumn("_e", leaky_relu(F.col(src_score) + F.col("_to"), slope))
+    mass = F.col("_mass") if scope == "destination" else summed.agg(F.sum("_mass")).scalar()
+    return summed.select(
+        F.col("dst_type").alias("node_type"), F.col("dst").alias("node"), "n_in",
+        *[(F.col(f) / mass).alias(f) for f in features],
     )
-    key = ["dst_type", "dst"]
-    if scope == "destination":
-        top = scored.groupBy(*key).agg(F.max("_e").alias("_top"))
-        weighed = scored.join(top, key).withColumn("_w", F.exp(F.col("_e") - F.col("_top")))
-        norm = F.sum("_w")
-        summed = weighed.groupBy(*key).agg(
-            F.count(F.lit(1)).alias("n_in"),
-            *[(F.sum(F.col("_w") * F.col(f)) / norm).alias(f) for f in features],
-        )
-    elif scope == "all":
-        top = scored.agg(F.max("_e")).scalar()
-        weighed = scored.withColumn("_w", F.exp(F.col("_e") - top))
-        total = weighed.agg(F.sum("_w")).scalar()
-        summed = (
-            weighed.groupBy(*key)
-            .agg(
-                F.count(F.lit(1)).alias("n_in"),
-                *[F.sum(F.col("_w") * F.col(f)).alias(f) for f in features],
-            )
-            .withColumns({f: F.col(f) / total for f in features})
-        )
-    else:
-        raise ValueError(f"unknown scope: {scope}")
-    return summed.withColumnsRenamed({"dst_type": "node_type", "dst": "node"})
 
 
 def graph_mean_pool(

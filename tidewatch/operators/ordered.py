@@ -67,23 +67,16 @@ def _group_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys) if keys else F.lit(0).cast("long")
 
 
-def find_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = ROWS_PER_TASK
-) -> Chunks:
-    """Look for groups of more than ``limit`` rows and choose split points for them.
-
-    One pass over the key columns with a fixed-size sketch and no shuffle; only
-    if that finds a large group, a second pass samples its order columns. What
-    reaches the driver is at most ``MAX_HOT_KEYS`` counts and about
-    ``SAMPLES_PER_CHUNK * MAX_CHUNKS`` order values. The sample only balances
-    the chunks: any split points give the same results.
+def large_groups(df: DataFrame, keys: Sequence[str], limit: int | None) -> tuple[dict, int]:
+    """Key hashes of the groups with more than ``limit`` rows, their sizes, and the limit used.
 
-    ``limit=None`` skips the look, for input whose groups are small by
-    construction, such as one row per entity and hour.
+    One pass over the key columns with a sketch of fixed size and no shuffle; at
+    most ``MAX_HOT_KEYS`` counts come to the driver. ``limit=None`` skips the
+    look, for input whose groups are small by construction, such as one row per
+    entity and hour.
     """
-    keys, order = list(keys), list(order)
     if limit is None:
-        return Chunks(keys, order, None)
+        return {}, 0
     seen = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.call_function(
@@ -91,7 +84,21 @@ def find_chunks(
         ).alias("top"),
     ).first()
     limit = max(limit, seen["n"] // MAX_CHUNKS)
-    hot = {item["item"]: item["count"] for item in seen["top"] or [] if item["count"] > limit}
+    top = seen["top"] or []
+    return {t["item"]: t["count"] for t in top if t["count"] > limit}, limit
+
+
+def find_chunks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = ROWS_PER_TASK
+) -> Chunks:
+    """Choose split points for the groups of more than ``limit`` rows.
+
+    Only if there are any, a second pass samples their order columns: about
+    ``SAMPLES_PER_CHUNK * MAX_CHUNKS`` values. The sample only balances the
+    chunks: any split points give the same results.
+    """
+    keys, order = list(keys), list(order)
+    hot, limit = large_groups(df, keys, limit)
     if not hot:
         return Chunks(keys, order, None)
     wanted = sum(ceil(count / limit) for count in hot.values()) * SAMPLES_PER_CHUNK
@@ -120,6 +127,34 @@ def find_chunks(
     return Chunks(keys, order, spark.createDataFrame(rows, picked.schema))
 
 
+def join_group_values(
+    df: DataFrame,
+    values: DataFrame,
+    keys: Sequence[str],
+    limit: int | None = ROWS_PER_TASK,
+    look_at: DataFrame | None = None,
+) -> DataFrame:
+    """Inner join of rows with one row of values per group.
+
+    Rows of a large group are spread over several tasks by a hash of the row,
+    and its values are repeated for each; other groups are joined plainly.
+    ``look_at`` names a cheaper frame with the same groups to look for them in.
+    """
+    keys = list(keys)
+    hot, limit = large_groups(df if look_at is None else look_at, keys, limit)
+    if not hot:
+        return df.join(values, keys)
+    parts = ceil(max(hot.values()) / limit)
+    is_hot = _group_hash(keys).isin(list(hot))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return (
+        df.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
+        .join(values.withColumn("_salt", F.explode(every)), [*keys, "_salt"])
+        .drop("_salt")
+    )
+
+
 def row_numbers(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,6 +11,7 @@ from tidewatch.functions.expressions import default_for
 from tidewatch.operators.ordered import (
     ROWS_PER_TASK,
     fill_forward,
+    join_group_values,
     over_previous_rows,
     row_numbers,
     running_sums,
@@ -102,15 +103,21 @@ def pool(
 
 
 def pool_softmax(
-    df: DataFrame, keys: Sequence[str], score: str, values: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    score: str,
+    values: Sequence[str],
+    limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Mean of each column weighted by the softmax of the score within the group.
 
-    Two aggregations and a join on the group; both combine before the shuffle.
+    Two aggregations and a join on the group, which is spread if it is large.
     """
     keys = list(keys)
     top = df.groupBy(*keys).agg(F.max(score).alias("_top"))
-    weighed = df.join(top, keys).withColumn("_w", F.exp(F.col(score) - F.col("_top")))
+    weighed = join_group_values(df, top, keys, limit).withColumn(
+        "_w", F.exp(F.col(score) - F.col("_top"))
+    )
     return weighed.groupBy(*keys).agg(
         *[(F.sum(F.col("_w") * F.col(v)) / F.sum("_w")).alias(v) for v in values]
     )
