@@ -22,6 +22,8 @@ from tidewatch.operators import (
     sequences,
     splits,
 )
+from tidewatch.session import work_folder
+from tidewatch.sources import tables
 
 
 def one(df):
@@ -564,3 +566,61 @@ def test_fallback_for_missing_and_nan(spark):
     assert value(spark, monitor.fallback_score(F.lit(None).cast("double"))) == 0.1
     assert value(spark, monitor.fallback_score(F.lit(float("nan")))) == 0.1
     assert value(spark, monitor.fallback_score(F.lit(0.0))) == 0.0
+
+
+# models
+
+
+@pytest.mark.parametrize(("kind", "params"), [("logistic", {}), ("trees", {"maxIter": 3})])
+def test_fitted_models_rank_well(spark, kind, params):
+    frame = spark.range(300).select(
+        F.array(F.sin("id"), F.cos("id")).alias("v"), (F.sin("id") > 0.3).cast("int").alias("y")
+    )
+    weights = splits.class_weights(frame, "y", (0, 1))
+    model = scoring.fit_risk_model(
+        scoring.labelled_vectors(frame, "v", "y", weights), kind, **params
+    )
+    scored = scoring.model_scores(model, scoring.labelled_vectors(frame, "v", "y"))
+    assert one(metrics.areas(scored, "label", "p"))["auroc"] > 0.95
+
+
+def test_unknown_model(spark):
+    with pytest.raises(ValueError):
+        scoring.fit_risk_model(spark.range(1), "forest")
+
+
+# sources
+
+
+def test_schema_is_declared_not_inferred(spark):
+    folder = work_folder(spark, "csv")
+    spark.sql("SELECT 1 AS subject_id, 2.5D AS valuenum").write.option("header", True).csv(folder)
+    rows = tables.read_table(spark, folder, "subject_id string, valuenum double", "csv")
+    assert rows.dtypes == [("subject_id", "string"), ("valuenum", "double")]
+    assert one(rows) == {"subject_id": "1", "valuenum": 2.5}
+    with pytest.raises(ValueError):
+        tables.read_table(spark, folder, "a int", "xml")
+
+
+def test_hash_buckets_keep_the_number_of_folders_down(spark):
+    rows = tables.hash_bucket(spark.range(1000), "id", 8)
+    folder = work_folder(spark, "buckets")
+    tables.write_table(rows, folder, partition_by=["bucket"])
+    back = spark.read.parquet(folder)
+    assert back.count() == 1000
+    assert back.select("bucket").distinct().count() == 8
+
+
+def test_manifest_in_one_file(spark):
+    folder = work_folder(spark, "manifest")
+    tables.write_manifest(spark.range(50).repartition(4), folder, ["id"], single_file=True)
+    assert spark.read.csv(folder, header=True).select(F.input_file_name()).distinct().count() == 1
+
+
+def test_work_folder_is_in_the_shared_root(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", "/tmp/shared-root/")
+    try:
+        assert work_folder(spark, "x").startswith("/tmp/shared-root/x-")
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before or "/tmp/tidewatch-tests")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import graph, metrics, ordered, sequences, splits
+from tidewatch.operators import graph, labels, metrics, ordered, sequences, splits
 
 LIMIT = 40
 
@@ -160,6 +160,16 @@ def test_group_values_reach_every_row_of_a_large_group(rows):
     assert collected(got, "id", "top", key) == collected(want, "id", "top", key)
 
 
+def test_onsets_of_a_large_group(rows):
+    flagged = rows.withColumn("onset", F.when(F.col("value") > 45, F.col("at")))
+    for find in (
+        lambda limit: labels.onset_time(flagged, ["entity"], "onset", "o", limit),
+        lambda limit: labels.running_onset(flagged, ["entity"], "at", "onset", "o", limit),
+    ):
+        got, want = (find(k).select("id", F.coalesce("o", F.lit(-1)).alias("o")) for k in (LIMIT, None))
+        assert collected(got, "id", "o") == collected(want, "id", "o")
+
+
 def test_softmax_pooling_of_a_large_group(rows):
     known = rows.fillna(0.0)
     got, want = (

@@ -282,13 +282,13 @@ ONSETS_SQL = (
     "AS onset_so_far FROM onsets",
 )
 def first_event_running(spark, d):
-    rows = labels.running_onset(_onsets(spark, d), ["user_id"], "day", "onset")
+    rows = labels.running_onset(_onsets(spark, d), ["user_id"], "day", "onset", limit=None)
     return i.finished(rows.select("user_id", "day", "onset_so_far"))
 
 
 @query("first_event_time", f"{ONSETS_SQL} SELECT user_id, day, onset_time FROM firsts")
 def first_event_time(spark, d):
-    rows = labels.onset_time(_onsets(spark, d), ["user_id"], "onset")
+    rows = labels.onset_time(_onsets(spark, d), ["user_id"], "onset", limit=None)
     return i.finished(rows.select("user_id", "day", "onset_time"))
 
 
@@ -298,7 +298,7 @@ def first_event_time(spark, d):
     "AS hours_to_event FROM firsts",
 )
 def hours_to_event(spark, d):
-    rows = labels.onset_time(_onsets(spark, d), ["user_id"], "onset")
+    rows = labels.onset_time(_onsets(spark, d), ["user_id"], "onset", limit=None)
     return i.finished(
         rows.select(
             "user_id", "day",
@@ -318,7 +318,8 @@ LABEL_SQL = (
 
 def labelled(spark, d):
     return labels.labelled(
-        i.daily(spark, d), ["user_id"], "day", step_score(i.RULES), i.ONSET, i.HORIZON
+        i.daily(spark, d), ["user_id"], "day", step_score(i.RULES), i.ONSET, i.HORIZON,
+        limit=None,  # one row per entity and day
     )
 
 
@@ -516,11 +517,11 @@ def fill_forward(spark, d):
     "WINDOW b AS (PARTITION BY user_id ORDER BY hour), "
     "a AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
     "SELECT user_id, hour, round(coalesce(error, bv + (nv - bv) * (epoch(hour) - epoch(bt)) "
-    "/ (epoch(nt) - epoch(bt))), 8) AS error_linear FROM known",
+    "/ (epoch(nt) - epoch(bt))), 10) AS error_linear FROM known",
 )
 def fill_linear(spark, d):
     rows = sequences.fill_linear(i.hourly(spark, d), ["user_id"], "hour", ["error"], limit=None)
-    return i.finished(rows.select("user_id", "hour", "error_linear"), 8)
+    return i.finished(rows.select("user_id", "hour", "error_linear"), 10)
 
 
 @query(
