@@ -617,10 +617,19 @@ def test_manifest_in_one_file(spark):
     assert spark.read.csv(folder, header=True).select(F.input_file_name()).distinct().count() == 1
 
 
-def test_work_folder_is_in_the_shared_root(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/tmp/shared-root/")
-    try:
-        assert work_folder(spark, "x").startswith("/tmp/shared-root/x-")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before or "/tmp/tidewatch-tests")
+class FakeSession:
+    def __init__(self, master, root=None):
+        self.conf = {"spark.checkpoint.dir": root} if root else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_work_folder_is_in_the_shared_root():
+    folder = work_folder(FakeSession("spark://host:7077", "hdfs:///shared/"), "x")
+    assert folder.startswith("hdfs:///shared/x-")
+    assert folder != work_folder(FakeSession("spark://host:7077", "hdfs:///shared/"), "x")
+
+
+def test_a_cluster_without_a_shared_root_is_refused():
+    with pytest.raises(ValueError):
+        work_folder(FakeSession("yarn"), "x")
+    assert "tidewatch-" in work_folder(FakeSession("local[2]"), "x")
