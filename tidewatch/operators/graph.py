@@ -55,33 +55,27 @@ def hierarchy_edges(
     and need no duplicate removal.
     """
 
-    def edge(kind: str, src_type: str, src: str, dst_type: str, dst: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("edge_type"), F.lit(src_type).alias("src_type"),
-            F.col(src).cast("string").alias("src"), F.lit(dst_type).alias("dst_type"),
-            F.col(dst).cast("string").alias("dst"),
-        )
-
-    upper = stays.select(edge("patient_to_stay", "patient", patient, "stay", stay).alias("e"))
-    kinds = [edge("stay_to_day", "stay", stay, "day", day)]
-    kinds += [F.when(F.col(flag), edge(k, "day", day, "day", day)) for k, flag in loops.items()]
-    lower = days.select(F.explode(F.array(*kinds)).alias("e")).filter("e is not null")
-    return upper.unionByName(lower).select("e.*").filter("src is not null and dst is not null")
+    upper = stays.select(
+        F.lit("patient_to_stay").alias("edge_type"),
+        F.lit("patient").alias("src_type"), F.col(patient).cast("string").alias("src"),
+        F.lit("stay").alias("dst_type"), F.col(stay).cast("string").alias("dst"),
+    )
+    of, at = F.col(stay).cast("string"), F.col(day).cast("string")
+    rows = [F.lit("stay_to_day"), F.lit("stay"), of, F.lit("day"), at, F.lit(True)]
+    for kind, flag in loops.items():
+        rows += [F.lit(kind), F.lit("day"), at, F.lit("day"), at, F.col(flag)]
+    lower = days.select(F.stack(F.lit(1 + len(loops)), *rows).alias(*EDGE, "kept"))
+    edges = upper.unionByName(lower.filter("kept").drop("kept"))
+    return edges.filter("src is not null and dst is not null")
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
     """The edges and their reverse ones; the edges are computed once."""
-    turned = F.struct(
-        F.concat(F.lit("rev_"), "edge_type").alias("edge_type"),
-        F.col("dst_type").alias("src_type"),
-        F.col("dst").alias("src"),
-        F.col("src_type").alias("dst_type"),
-        F.col("src").alias("dst"),
-    )
-    both = F.array(
-        F.struct(*EDGE), F.when(F.col("src_type") != F.col("dst_type"), turned)
+    turned = [F.concat(F.lit("rev_"), "edge_type"), "dst_type", "dst", "src_type", "src"]
+    both = F.stack(
+        F.lit(2), *EDGE, F.lit(True), *turned, F.col("src_type") != F.col("dst_type")
     )
-    return edges.select(F.explode(both).alias("e")).filter("e is not null").select("e.*")
+    return edges.select(both.alias(*EDGE, "kept")).filter("kept").drop("kept")
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
@@ -101,7 +95,7 @@ def gather(nodes: DataFrame, edges: DataFrame, features: Sequence[str]) -> DataF
         F.col("node_type").alias("src_type"), F.col("node").alias("src"), *features
     )
     # explode makes edge lists look smaller to the planner than they are: never broadcast them
-    return edges.hint("merge").join(sources, ["src_type", "src"])
+    return edges.hint("merge").join(sources, ["src", "src_type"])
 
 
 def neighbor_sum(
@@ -118,7 +112,7 @@ def neighbor_sum(
             .groupBy(F.col("dst_type").alias("node_type"), F.col("dst").alias("node"))
             .agg(*[F.sum(f).alias(f"_{f}") for f in features])
         )
-        nodes = nodes.join(summed, ["node_type", "node"], "left").select(
+        nodes = nodes.join(summed, ["node", "node_type"], "left").select(
             "node_type",
             "node",
             *[F.coalesce(F.col(f"_{f}"), F.col(f)).alias(f) for f in features],
@@ -147,7 +141,7 @@ def neighbor_attention(
     """
     if scope not in ("destination", "all"):
         raise ValueError(f"unknown scope: {scope}")
-    key = ["dst_type", "dst"]
+    key = ["dst", "dst_type"]  # the id first: it tells rows apart when they are sorted
     kept = [*features] if src_score in features else [*features, src_score]
     messages = gather(nodes, edges, kept)
     # the rule rises with the source score, so the best source gives the largest score

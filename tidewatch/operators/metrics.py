@@ -293,12 +293,14 @@ def metrics_by(
     return counts.join(areas(df, y, p, by, limit).drop("n_pos", "n_neg"), list(by))
 
 
-def latency_profile(df: DataFrame, millis: str) -> DataFrame:
+def latency_profile(df: DataFrame, millis: str, samples: str | None = None) -> DataFrame:
+    """Latency per log row, and samples per second; a row is one sample unless it says more."""
+    count = F.sum(samples) if samples else F.count(millis)
     return df.agg(
         F.count(millis).alias("n"),
         F.avg(millis).alias("latency_mean"),
         F.stddev_pop(millis).alias("latency_std"),
-        ratio(F.count(millis), F.sum(millis) / 1000).alias("per_second"),
+        ratio(count, F.sum(millis) / 1000).alias("per_second"),
     )
 
 

@@ -121,5 +121,8 @@ def mask_identifiers(
     )
 
 
-def within_retention(time: Column, as_of: Column, days: int = c.RETENTION_DAYS) -> Column:
-    return time >= as_of - F.expr(f"interval {days} days")
+def within_retention(
+    time: Column, as_of: Column, days: int = c.RETENTION_DAYS, years: int = 0
+) -> Column:
+    """Whether a row is young enough to keep: 90 days for predictions, 7 years for records."""
+    return time >= as_of - F.expr(f"interval {years} years") - F.expr(f"interval {days} days")

@@ -4,7 +4,8 @@ A plain window puts all rows of an entity into one task. Here one bounded look
 at the keys finds the entities too large for that. Without any, the plain
 window is used as it is. With some, their rows are cut into ranges of the order
 columns, each range is worked on by itself, and what earlier ranges carry over
-is added. Results are the same rows and values either way.
+is added. Results are the same rows and values either way. The order columns
+must tell the rows of a group apart.
 """
 
 from __future__ import annotations

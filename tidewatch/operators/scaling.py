@@ -36,8 +36,17 @@ def medians(
     spread = exact_quantiles(
         df, {c: F.abs(F.col(c) - F.lit(m)) for c, m in middle.items() if m is not None}, 0.5, limit
     )
-    rows = [(c, middle[c], spread.get(c)) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "column string, median double, mad double")
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(middle[c]).cast("double").alias("median"),
+                F.lit(spread.get(c)).cast("double").alias("mad"),
+            )
+            for c in columns
+        ]
+    )
+    return df.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def stats_table(
@@ -66,7 +75,7 @@ def stats_table(
 def scaled(x: Column, stats: Column, method: str, eps: float = EPS) -> Column:
     """The value scaled by a struct of stored statistics."""
     if method == "min_max":
-        return F.try_divide(x - stats["min"], stats["max"] - stats["min"])
+        return (x - stats["min"]) / (stats["max"] - stats["min"] + eps)
     if method == "z_score":
         return (x - stats["mean"]) / (stats["std"] + eps)
     if method == "robust":
@@ -90,8 +99,7 @@ def apply_scaling(
     """Add ``<c>_norm`` from stored statistics.
 
     The statistics come in as a one-row scalar subquery, so the rows are not
-    joined or moved. A column that is constant or empty gets null under
-    ``min_max``.
+    joined or moved. ``eps`` keeps constant columns at 0.
     """
     if method not in METHODS:
         raise ValueError(f"unknown scaling method: {method}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import hours_between, step_score
-from tidewatch.operators import buckets, cohort, labels, sequences
+from tidewatch.operators import buckets, cohort, labels, scaling, sequences, splits
 from tidewatch.plans import inputs as i
 from tidewatch.plans.registry import query
 from tidewatch.session import work_folder
@@ -633,3 +633,56 @@ def session_sequences(spark, d):
         ),
         8,
     )
+
+
+FEATURES = ("error", "view", "purchase_mean")
+
+
+@query(
+    "training_data",
+    f"{LABELLED_SQL}, waves AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, "
+    "avg(value) AS purchase_mean FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), "
+    "j AS (SELECT l.user_id, (day(l.day) - 1) // 10 AS stay_id, l.day, error, view, purchase_mean, "
+    f"{LABEL_SQL} AS label FROM labelled l JOIN daily d ON l.user_id = d.user_id "
+    "AND l.day = d.day JOIN waves w ON l.user_id = w.user_id AND l.day = w.day), "
+    "m AS (SELECT min(error) AS e0, max(error) AS e1, min(view) AS v0, max(view) AS v1, "
+    "min(purchase_mean) AS p0, max(purchase_mean) AS p1 FROM j WHERE ('0x' || substr(md5('42' || "
+    "user_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.7), n AS (SELECT user_id, stay_id, day, "
+    "label, (error - e0) / (e1 - e0 + 1e-8) AS error, (view - v0) / (v1 - v0 + 1e-8) AS view, "
+    "(purchase_mean - p0) / (p1 - p0 + 1e-8) AS purchase_mean, row_number() OVER "
+    "(PARTITION BY user_id, stay_id ORDER BY day) AS rn FROM j CROSS JOIN m) "
+    "SELECT a.user_id, a.stay_id, a.day, a.label, (b.rn - a.rn + 1)::INT AS pos, "
+    "round(b.error, 8) AS error, round(b.view, 8) AS view, "
+    "round(b.purchase_mean, 8) AS purchase_mean FROM n a JOIN n b ON a.user_id = b.user_id "
+    "AND a.stay_id = b.stay_id AND b.rn BETWEEN a.rn - 1 AND a.rn WHERE a.rn >= 2",
+)
+def training_data(spark, d):
+    """Labelled days with waveform features, scaled by the train split, as sequences in a table."""
+    keys = ["user_id", "stay_id", "day"]
+
+    def stay(c):
+        return F.floor((F.dayofmonth(c) - 1) / 10)
+
+    rows = labelled(spark, d).select(
+        "user_id", stay("day").alias("stay_id"), "day", "error", "view", "label"
+    )
+    waves = buckets.pivot_profile(
+        i.events(spark, d).withColumn("day", buckets.day_bucket(F.col("ts"))),
+        ["user_id", "day"], "event_type", "value", ["purchase"],
+    ).select("user_id", stay("day").alias("stay_id"), "day", "purchase_mean")
+    joined = rows.join(waves, keys)
+    train = joined.filter(splits.split_of(F.col("user_id")) == "train")
+    stats = scaling.stats_table(train, FEATURES, robust=False)
+    scaled = scaling.apply_scaling(joined, stats, FEATURES, "min_max").drop(*FEATURES)
+    windows = sequences.sliding_sequences(
+        scaled, ["user_id", "stay_id"], ["day"], [f"{f}_norm" for f in FEATURES], 2, limit=None
+    )
+    folder = work_folder(spark, "training")
+    kept = tables.hash_bucket(windows.select(*keys, "label", "sequence"), "user_id", 8)
+    tables.write_table(kept, folder, partition_by=["bucket"])
+    steps = spark.read.schema(kept.schema).parquet(folder).select(
+        *keys, "label", F.posexplode("sequence").alias("pos", "s")
+    )
+    return i.finished(
+        steps.select(*keys, "label", "pos", *[F.col(f"s.{f}_norm").alias(f) for f in FEATURES]), 8
+    )

@@ -19,7 +19,7 @@ def _days(spark, d):
         F.bool_or(F.col("l_linestatus") == "O").alias("vital"),
     )
     name = F.concat_ws(
-        "@", F.col("l_orderkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")
+        "@", F.col("l_orderkey").cast("string"), F.to_date("l_shipdate").cast("string")
     )
     return days.withColumn("day", name)
 

@@ -177,3 +177,15 @@ def retention_filter(spark, d):
     rows = i.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     as_of = rows.agg(F.max("o_orderdate")).scalar()
     return rows.filter(monitor.within_retention(F.col("o_orderdate"), as_of))
+
+
+@query(
+    "retention_years",
+    "SELECT o_orderkey, o_orderdate FROM orders "
+    "WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 YEAR",
+)
+def retention_years(spark, d):
+    rows = i.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    as_of = rows.agg(F.max("o_orderdate")).scalar()
+    kept = monitor.within_retention(F.col("o_orderdate"), as_of, 0, c.RETENTION_YEARS)
+    return rows.filter(kept)

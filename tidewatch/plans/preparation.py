@@ -106,7 +106,7 @@ def _split_sql(id_: str) -> str:
     "apply_normalization",
     "WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events "
     f"WHERE {_split_sql('user_id')} = 'train') SELECT event_id, "
-    "round((value - lo) / (hi - lo), 8) AS value_norm FROM events CROSS JOIN s "
+    "round((value - lo) / (hi - lo + 1e-8), 8) AS value_norm FROM events CROSS JOIN s "
     f"WHERE {_split_sql('user_id')} <> 'train'",
 )
 def apply_normalization(spark, d):
@@ -464,6 +464,47 @@ def assemble_vector(spark, d):
     return i.finished(rows, 8)
 
 
+RISK_WEIGHTS = [((37 * j) % 11 - 5) / 5000 for j in range(c.VECTOR_WIDTH)]
+
+
+@query(
+    "score_requests",
+    f"WITH {_last_sql(STEP_DEFAULTS)}, n AS (SELECT user_id, len(steps) AS n_steps FROM s), "
+    "f AS (SELECT user_id, list_dot_product(list_concat([c_nationkey::DOUBLE, "
+    "CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END, c_acctbal / 100, 170.0], "
+    f"flatten(steps)[109:360]), {RISK_WEIGHTS}::DOUBLE[]) AS z "
+    "FROM padded JOIN customer ON user_id = c_custkey), "
+    "scored AS (SELECT user_id, n_steps, CASE WHEN n_steps BETWEEN 24 AND 72 THEN 1 / (1 + exp(-z)) "
+    "ELSE 0.1 END AS p FROM f JOIN n USING (user_id)) "
+    "SELECT printf('PATIENT_%06d', user_id) AS entity_id, n_steps::INT AS n_steps, "
+    f"round(p, 8) AS p, {i.TIER_SQL} AS tier, round(least(2 * greatest(p, 1 - p), 1.0), 8) "
+    "AS confidence FROM scored",
+)
+def score_requests(spark, d):
+    """From an entity's last steps to a checked, assembled, scored and tiered record."""
+    steps = F.col("sequence")
+    static = F.array(
+        F.col("c_nationkey").cast("double"),
+        F.when(F.col("c_mktsegment") == "BUILDING", 1.0).otherwise(0.0),
+        x.default_for(F.col("c_acctbal") / 100, c.PERSON_DEFAULTS["weight"]),
+        F.lit(c.PERSON_DEFAULTS["height"]),
+    )
+    vector = sequences.assemble_vector(
+        static, sequences.impute_steps(steps, STEP_DEFAULTS), c.SEQUENCE_STEPS,
+        len(STEP_DEFAULTS), c.SERIES_CUT, c.VECTOR_WIDTH,
+    )
+    rows = _entity_sequences(spark, d).select(
+        x.padded_id("PATIENT", F.col("user_id")).alias("entity_id"),
+        F.size(steps).alias("n_steps"),
+        F.when(quality.length_ok(steps), scoring.linear_score(vector, RISK_WEIGHTS))
+        .otherwise(c.FALLBACK_SCORE).alias("p"),
+    )
+    p = F.col("p")
+    return i.finished(
+        rows.select("*", x.risk_tier(p).alias("tier"), x.confidence(p).alias("confidence")), 8
+    )
+
+
 def _means_sql(defaults: dict[str, float], name: str) -> str:
     return (
         f"{_last_sql(defaults)} SELECT user_id, pos, avg(x) AS x FROM (SELECT user_id, "
