@@ -147,15 +147,15 @@ def neighbor_attention(spark, d):
     "neighbor_attention_global",
     f"{ATTENTION_SQL}, w AS (SELECT *, exp(score - max(score) OVER ()) AS w FROM e), "
     "t AS (SELECT sum(w) AS total FROM w) SELECT dst_type AS node_type, dst AS node, "
-    "count(*) AS n_in, round(sum(w * x0) / max(total) * 1e6, 7) + 0.0 AS x0, "
-    "round(sum(w * x1) / max(total) * 1e6, 7) AS x1 FROM w CROSS JOIN t GROUP BY 1, 2",
+    "count(*) AS n_in, round(sum(w * x0) / max(total) * 1e6, 4) + 0.0 AS x0, "
+    "round(sum(w * x1) / max(total) * 1e6, 4) AS x1 FROM w CROSS JOIN t GROUP BY 1, 2",
 )
 def neighbor_attention_global(spark, d):
     rows = graph.neighbor_attention(
         nodes(spark, d), _whole(spark, d), ["x0", "x1"], "x0", "x0", scope="all"
     )
     return i.finished(
-        rows.withColumn("x0", F.col("x0") * 1e6).withColumn("x1", F.col("x1") * 1e6), 7
+        rows.withColumn("x0", F.col("x0") * 1e6).withColumn("x1", F.col("x1") * 1e6), 4
     )
 
 
