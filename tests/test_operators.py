@@ -633,3 +633,28 @@ def test_a_cluster_without_a_shared_root_is_refused():
     with pytest.raises(ValueError):
         work_folder(FakeSession("yarn"), "x")
     assert "tidewatch-" in work_folder(FakeSession("local[2]"), "x")
+
+
+# the catalogue
+
+
+def test_limits_apply_to_their_fields(spark):
+    names = list(c.LAB_RANGES)
+    row = [low - 1.0 if n in ("ph", "lactate") else float(low) for n, (low, _) in c.LAB_RANGES.items()]
+    frame = spark.createDataFrame([row], ", ".join(f"{n} double" for n in names))
+    broken = quality.broken_rules(quality.range_rules(c.LAB_RANGES))
+    assert sorted(frame.select(broken).first()[0]) == ["lactate", "ph"]
+
+
+def test_wide_pivot_over_the_item_lists(spark):
+    items = [*c.LAB_ITEMS, *c.VITAL_ITEMS]
+    assert len(set(items)) == len(items) == 58
+    rows = spark.createDataFrame(
+        [(1, 220181, 60.0), (1, 220181, 70.0), (1, 50912, 2.5), (1, 7, 1.0)],
+        "who int, itemid int, valuenum double",
+    )
+    wide = buckets.pivot_mean(rows, ["who"], "itemid", "valuenum", items)
+    pressure = buckets.coalesced_items(wide, {"map": [str(k) for k in c.MAP_ITEMS]})
+    got = one(pressure)
+    assert (got["map"], got["220052"], got["50912"]) == (65.0, None, 2.5)
+    assert one(wide.select(x.step_score(c.ORGAN_RULES).alias("s")))["s"] == 2

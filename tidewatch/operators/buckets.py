@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import catalog as c
 
-def bucket(ts: Column, minutes: int = 30) -> Column:
+
+def bucket(ts: Column, minutes: int = c.BUCKET_MINUTES) -> Column:
     """Start of the bucket that holds the time."""
     return F.window(ts, f"{minutes} minutes")["start"]
 
@@ -58,7 +60,7 @@ def pivot_mean(
 
 
 def with_min_points(
-    df: DataFrame, keys: Sequence[str], value: str, min_points: int = 5
+    df: DataFrame, keys: Sequence[str], value: str, min_points: int = c.MIN_POINTS
 ) -> DataFrame:
     """Buckets with enough points, with their count and mean."""
     return (
@@ -69,12 +71,12 @@ def with_min_points(
 
 
 def missing_ratio(columns: Sequence[str]) -> Column:
-    missing = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    missing = sum((F.col(name).isNull().cast("int") for name in columns), F.lit(0))
     return missing / F.lit(float(len(columns)))
 
 
 def with_few_missing(
-    df: DataFrame, columns: Sequence[str], max_missing: float = 0.3
+    df: DataFrame, columns: Sequence[str], max_missing: float = c.MAX_MISSING
 ) -> DataFrame:
     return df.withColumn("missing_ratio", missing_ratio(columns)).filter(
         F.col("missing_ratio") <= max_missing

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import catalog as c
+
 
 def in_range(value: Column, low: float, high: float, required: bool = False) -> Column:
     """Whether the value lies in [low, high]; a missing optional value passes."""
@@ -31,7 +33,9 @@ def range_rules(
     }
 
 
-def length_ok(array: Column, low: int = 24, high: int = 72) -> Column:
+def length_ok(
+    array: Column, low: int = c.MIN_REQUEST_STEPS, high: int = c.MAX_REQUEST_STEPS
+) -> Column:
     return F.coalesce(F.size(array).between(low, high), F.lit(False))
 
 

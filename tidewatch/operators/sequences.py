@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.catalog import SEQUENCE_STEPS
 from tidewatch.functions.expressions import default_for
 from tidewatch.operators.ordered import (
     ROWS_PER_TASK,
@@ -39,7 +40,7 @@ def sliding_sequences(
     keys: Sequence[str],
     order: Sequence[str],
     features: Sequence[str],
-    n: int = 72,
+    n: int = SEQUENCE_STEPS,
     limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """The last n feature rows as an array of structs, for rows that have n of them.
