@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, packing, simhash, token_store
-from tidewatch.llm.base import documents
+from tidewatch.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    line_templates,
+    lm_score,
+    packing,
+    queries_sql,
+    secret_scan,
+    simhash,
+    token_store,
+)
+from tidewatch.llm.base import documents, in_fold
 from tidewatch.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +38,72 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = lm_score.fit(lm_score.training_part(docs))
+    found = lm_score.score(docs, model)
+    held = in_fold(F.col("doc_id"), lm_score.FOLDS, lm_score.HELD_OUT_FOLD)
+    return found.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
+@query("op2_language_id")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = language_id.learn_profiles(language_id.training_part(docs))
+    held = in_fold(F.col("doc_id"), language_id.FOLDS, language_id.HELD_OUT_FOLD)
+    found = language_id.predict(docs, profiles)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_line_templates", queries_sql.LINES)
+def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.line_report(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op4_decontamination", queries_sql.CONTAMINATION)
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op5_secret_scan")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+
+    def of(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def listed(spans):
+        return F.array_join(
+            F.transform(
+                spans,
+                lambda s: F.concat_ws(
+                    ":", s["kind"], s["start"].cast("string"), s["end"].cast("string")
+                ),
+            ),
+            ",",
+        )
+
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        of(secret_scan.LEARNED).alias("n_learned"),
+    )
+
+
 @query("op6_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
@@ -43,15 +121,23 @@ def token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "op9_exact_dedup",
-    """
-    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-           doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-    FROM documents
-    WINDOW same AS (PARTITION BY coalesce(text, ''))
-    """,
-)
+@query("op8_chat_formatting", queries_sql.CHAT)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
+        "conv_id long, turn long, role string, text string",
+    )
+    found = chat.read_back(chat.windows(rows.union(added)))
+    return found.select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+@query("op9_exact_dedup", queries_sql.EXACT)
 def exact_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
