@@ -24,6 +24,8 @@ UNKNOWN = "und"
 FOLDS, HELD_OUT_FOLD = 4, 2
 CHARS_AT_ONCE = 1_000_000
 HELD_GRAMS = 2_000_000
+# stands for a blank; no letter has this code
+BLANK = 1
 # documents below this score are rejected beside those without a letter
 LEAST_SCORE = 0.0
 
@@ -37,27 +39,27 @@ def _letters() -> np.ndarray:
 
 
 def letter_codes(text: str) -> np.ndarray:
-    """Lower-case letters as code points, every run of others as one 0, 0 at both ends."""
+    """Lower-case letters as code points, every run of others as one blank, and at both ends."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = np.where(_letters()[codes], codes, 0).astype(np.int64)
-    codes = np.concatenate(([0], codes, [0]))
+    codes = np.where(_letters()[codes], codes, BLANK).astype(np.int64)
+    codes = np.concatenate(([BLANK], codes, [BLANK]))
     keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
+    keep[1:] = (codes[1:] != BLANK) | (codes[:-1] != BLANK)
     return codes[keep]
 
 
 def grams(codes: np.ndarray, orders: int = ORDERS) -> np.ndarray:
     """Every n-gram up to this order as one number, 21 bits a character; none spans a blank."""
-    out = [codes[codes != 0]]
+    out = [codes[codes != BLANK]]
     packed = codes
     for n in range(2, orders + 1):
         packed = (packed[:-1] << 21) | codes[n - 1 :]
         # a blank may only stand first or last, and something must stand beside it
         inner = np.ones(len(packed), bool)
         for k in range(1, n - 1):
-            inner &= codes[k : k + len(packed)] != 0
+            inner &= codes[k : k + len(packed)] != BLANK
         if n == 2:
-            inner &= (codes[:-1] != 0) | (codes[1:] != 0)
+            inner &= (codes[:-1] != BLANK) | (codes[1:] != BLANK)
         out.append(packed[inner])
     return np.concatenate(out)
 
