@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 from tidewatch.llm.base import lower_ascii
 
 WINDOW = 10
-# a separator is a run of ASCII other than digits and letters
+# in lower-cased text a separator is a run of ASCII other than digits and a-z
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_RUNS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# the same words and separators in text as it was written
+WRITTEN_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WRITTEN_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BITMAP_BITS = 1 << 20
 # with more windows than this the benchmark is joined by its hash instead of broadcast
 BROADCAST_WINDOWS = 1_000_000
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, SEPARATORS), "")
+def words_of(text: Column, separators: str = SEPARATORS) -> Column:
+    return F.array_remove(F.split(text, separators), "")
 
 
 def benchmark_windows(
@@ -170,7 +173,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """``doc_id, n_words, n_hit, n_items, items, contaminated`` for every row.
 
     A word is hit if it lies in an occurrence of a window. Null and wordless texts have
-    no words and are never contaminated. Items with equal text are all named.
+    no words and are never contaminated. Items with equal text are all named; an item
+    without an id is matched but not named.
     """
     found = hits(docs, benchmark, **options)
     return found.select(
@@ -203,9 +207,9 @@ def merged(spans: Column) -> Column:
 
 def without_spans(text: Column, spans: Column) -> Column:
     """The text without the words of the spans and what separates them from the next word."""
-    words, gaps = words_of(text), F.split(text, WORD_RUNS)
+    words, gaps = words_of(text, WRITTEN_SEPARATORS), F.split(text, WRITTEN_WORDS)
     # every word with the separator behind it; the first separator stands before all
-    units = F.zip_with(words, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), F.concat)
+    units = F.zip_with(words, F.slice(gaps, 2, F.size(words)), lambda w, gap: F.concat(w, gap))
     cuts = merged(spans)
     starts = F.concat(F.array(F.lit(1)), F.transform(cuts, lambda c: c["until"]))
     ends = F.concat(F.transform(cuts, lambda c: c["at"]), F.array(F.size(words) + 1))
