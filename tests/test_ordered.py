@@ -28,20 +28,98 @@ def rows(spark):
 ORDER = ["at", "id"]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_ranges(spark):
+    """Adaptive execution would join ranges as small as these."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
 def collected(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_large_group_is_found_and_cut(rows):
-    chunks = ordered.find_chunks(rows, ["entity"], ORDER, LIMIT)
-    assert chunks.points is not None
-    sizes = chunks.assign(rows).groupBy(*chunks.group).count()
-    largest = sizes.agg(F.max("count")).first()[0]
-    assert largest <= 3 * LIMIT  # one time alone holds 400 rows
+def test_ranges_cut_a_large_group(rows):
+    parts = ordered.in_ranges(rows, ["entity"], ORDER)
+    sizes = parts.groupBy("_chunk").count().collect()
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) < 500
+    spans = parts.groupBy("entity").agg(F.count_distinct("_chunk").alias("n")).filter("entity = 1")
+    assert spans.first()["n"] > 3
+
+
+def with_null_keys(spark):
+    """Many entities, none small against the ranges, one of them null; values are often null."""
+    rng = random.Random(9)
+    data = [
+        (n, rng.choice([None, *range(30)]), rng.choice([None, 1, 2]), rng.randrange(10_000),
+         None if rng.random() < 0.7 else rng.randrange(50))
+        for n in range(3000)
+    ]
+    schema = "id int, entity int, part int, at int, value long"
+    return spark.createDataFrame(data, schema).repartition(5)
+
+
+def test_null_keys_and_null_values(spark):
+    frame = with_null_keys(spark)
+    keys = ["entity", "part"]
+    spec = Window.partitionBy(*keys).orderBy(*ORDER)
+    upto = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nulls = [F.coalesce("a", F.lit(-1)), F.coalesce("b", F.lit(-1))]
+
+    got = ordered.running_sums(frame.withColumn("a", F.col("value")), keys, ORDER, ["a"])
+    got = ordered.fill_forward(got, keys, ORDER, {"b": "value"})
+    want = frame.withColumn("a", F.sum("value").over(upto)).withColumn(
+        "b", F.last("value", ignorenulls=True).over(spec)
+    )
+    assert collected(got, "id", *nulls) == collected(want, "id", *nulls)
+    assert got.filter("a is null").count() > 0 and got.count() == 3000
+
+    lags = sequences.lag_matrix(frame, keys, ORDER, "id", 3, limit=10)
+    plain = sequences.lag_matrix(frame, keys, ORDER, "id", 3, limit=None)
+    names = ["id", *[F.coalesce(f"window_{i}", F.lit(-1)) for i in range(3)]]
+    assert collected(lags, *names) == collected(plain, *names)
+
+
+def test_nulls_that_start_a_range(spark):
+    frame = spark.range(400).select(
+        "id", F.lit(None).cast("int").alias("k"),
+        F.when(F.col("id") == 0, F.lit(5)).cast("long").alias("v"),
+    )
+    got = ordered.running_sums(frame, ["k"], ["id"], ["v"])
+    assert {r["v"] for r in got.collect()} == {5}
+
+
+def test_group_values_with_null_keys(spark):
+    frame = with_null_keys(spark)
+    tops = frame.groupBy("entity", "part").agg(F.max("at").alias("top"))
+    got = ordered.join_group_values(frame, tops, ["entity", "part"])
+    want = frame.withColumn("top", F.max("at").over(Window.partitionBy("entity", "part")))
+    assert got.columns == [*frame.columns, "top"]
+    assert collected(got, "id", "top") == collected(want, "id", "top") and got.count() == 3000
 
 
-def test_no_large_group_means_a_plain_window(rows):
-    assert ordered.find_chunks(rows, ["entity"], ORDER).points is None
+def test_onsets_with_null_keys(spark):
+    flagged = with_null_keys(spark).withColumn("onset", F.when(F.col("value") > 40, F.col("at")))
+    got = labels.onset_time(flagged, ["entity", "part"], "onset", "o")
+    want = flagged.withColumn("o", F.min("onset").over(Window.partitionBy("entity", "part")))
+    key = F.coalesce("o", F.lit(-1))
+    assert collected(got, "id", key) == collected(want, "id", key) and got.count() == 3000
+
+
+def test_null_groups_in_pooling_and_metrics(spark):
+    frame = spark.createDataFrame(
+        [(g, y, p) for g in (None, "a") for y, p in ((1, 0.9), (0, 0.2), (0, 0.7), (1, 0.4))]
+        + [(None, 1, 0.1), (None, None, 0.3), (None, None, 0.4)],
+        "g string, y int, p double",
+    )
+    assert {r["g"] for r in sequences.pool_softmax(frame, ["g"], "p", ["p"]).collect()} == {None, "a"}
+    assert {r["g"] for r in metrics.metrics_by(frame, "y", "p", ["g"]).collect()} == {None, "a"}
+    gaps = metrics.fairness_gaps(frame, "y", "p", "g").first()
+    assert gaps["n_groups"] == 2 and gaps["demographic_parity_gap"] > 0
+    assert None in {r["class"] for r in metrics.score_histogram(frame, "y", "p", 5).collect()}
 
 
 def test_row_numbers(rows):
@@ -154,32 +232,12 @@ def test_areas_do_not_depend_on_chunks(spark):
 
 def test_group_values_reach_every_row_of_a_large_group(rows):
     tops = rows.groupBy("entity").agg(F.max("at").alias("top"))
-    got = ordered.join_group_values(rows, tops, ["entity"], LIMIT)
+    got = ordered.join_group_values(rows, tops, ["entity"])
     want = rows.join(tops, "entity")
     key = F.coalesce("value", F.lit(-1.0))
     assert collected(got, "id", "top", key) == collected(want, "id", "top", key)
 
 
-def test_onsets_of_a_large_group(rows):
-    flagged = rows.withColumn("onset", F.when(F.col("value") > 45, F.col("at")))
-    for find in (
-        lambda limit: labels.onset_time(flagged, ["entity"], "onset", "o", limit),
-        lambda limit: labels.running_onset(flagged, ["entity"], "at", "onset", "o", limit),
-    ):
-        got, want = (find(k).select("id", F.coalesce("o", F.lit(-1)).alias("o")) for k in (LIMIT, None))
-        assert collected(got, "id", "o") == collected(want, "id", "o")
-
-
-def test_softmax_pooling_of_a_large_group(rows):
-    known = rows.fillna(0.0)
-    got, want = (
-        sequences.pool_softmax(known, ["entity"], "value", ["at"], limit)
-        .select("entity", F.round("at", 9).alias("at"))
-        for limit in (LIMIT, None)
-    )
-    assert collected(got, "entity", "at") == collected(want, "entity", "at")
-
-
 def test_attention_at_a_node_with_many_in_edges(spark):
     edges = spark.range(600).select(
         F.lit("e").alias("edge_type"), F.lit("s").alias("src_type"),
@@ -196,10 +254,16 @@ def test_attention_at_a_node_with_many_in_edges(spark):
     )
     nodes = sources.unionByName(targets)
     for scope in ("destination", "all"):
-        got, want = (
-            graph.neighbor_attention(nodes, edges, ["x"], "x", "x", scope=scope, limit=limit)
-            .select("node", "n_in", F.round("x", 12).alias("x"))
-            for limit in (LIMIT, None)
+        got = graph.neighbor_attention(nodes, edges, ["x"], "x", "x", scope=scope)
+        rule = F.expr("(s.x + d.x) * if(s.x + d.x > 0, 1, 0.2)")
+        one = edges.join(sources.alias("s"), F.col("src") == F.col("s.node")).join(
+            targets.alias("d"), F.col("dst") == F.col("d.node")
+        ).select("dst", F.col("s.x").alias("x"), F.exp(rule).alias("w"))
+        total = one.agg(F.sum("w")).first()[0]
+        mass = F.sum("w") if scope == "destination" else F.lit(total)
+        want = one.groupBy(F.col("dst").alias("node")).agg(
+            F.count("*").alias("n_in"), (F.sum(F.col("w") * F.col("x")) / mass).alias("x")
         )
-        assert collected(got, "node", "n_in", "x") == collected(want, "node", "n_in", "x")
+        x = F.round("x", 9)
+        assert collected(got, "node", "n_in", x) == collected(want, "node", "n_in", x)
         assert got.agg(F.max("n_in")).first()[0] > 400

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import written_once
+
 
 def join_entities(
     stays: DataFrame,
@@ -44,17 +46,19 @@ def within_stay(
 
     Both sides meet on entity and day, so that a large entity spreads over its
     days and no row is paired with a stay of another time. A stay becomes one
-    row per day it lasts.
+    row per day it lasts; one that ends before it begins, or lacks a time, is one row
+    and stays empty. The matches are written once, so the measurements are read once,
+    and the stays without any follow from them.
     """
-    days = stays.withColumn(
-        "_day",
-        F.explode(F.sequence(F.to_date(begin), F.to_date(end), F.expr("interval 1 day"))),
-    )
+    first, last = F.to_date(begin), F.to_date(end)
+    lasting = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 day")))
+    days = stays.withColumn("_day", F.explode(lasting))
     dated = rows.withColumn("_day", F.to_date(time))
-    matched = (
+    matched = written_once(
         days.join(dated, [entity, "_day"])
         .filter(F.col(time).between(F.date_trunc("hour", begin), F.col(end)))
-        .drop("_day")
+        .drop("_day"),
+        "within-stay",
     )
     empty = stays.join(matched.select(stay).distinct(), stay, "left_anti")
     return matched.unionByName(empty, allowMissingColumns=True)

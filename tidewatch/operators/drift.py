@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.catalog import DRIFT_LIMIT
 from tidewatch.functions.expressions import ratio
-from tidewatch.operators.ordered import ROWS_PER_TASK, find_chunks, running_sums
+from tidewatch.operators.ordered import ROWS_PER_TASK, running_sums
 
 # Fixed value: upper 5% point of the standard normal distribution.
 NORMAL_95 = 1.6448536269514722
@@ -22,10 +22,10 @@ def ks_statistic(
 ) -> DataFrame:
     """Largest gap of the two empirical distributions, with its asymptotic critical value.
 
-    ``current`` is true for rows of the current sample.
+    ``current`` is true for rows of the current sample. If one sample is empty the
+    statistic and its critical value are null and there is no drift.
     """
     rows = df.select(F.col(value).alias("_x"), F.col(current).alias("_c"))
-    chunks = find_chunks(rows, [], ["_x"], limit)
     counts = rows.groupBy("_x").agg(
         F.sum(F.when(~F.col("_c"), 1).otherwise(0)).alias("_ref"),
         F.sum(F.when(F.col("_c"), 1).otherwise(0)).alias("_cur"),
@@ -36,7 +36,7 @@ def ks_statistic(
             F.sum(F.when(F.col("_c"), 1).otherwise(0)).alias("cur"),
         )
     ).scalar()
-    upto = running_sums(counts, [], ["_x"], ["_ref", "_cur"], chunks=chunks)
+    upto = running_sums(counts, [], ["_x"], ["_ref", "_cur"], limit)
     gaps = upto.withColumn("_t", totals).select(
         F.col("_t.ref").alias("n_reference"),
         F.col("_t.cur").alias("n_current"),
@@ -46,11 +46,17 @@ def ks_statistic(
     )
     factor = sqrt(-log(alpha / 2) / 2)
     n, m = F.col("n_reference").cast("double"), F.col("n_current").cast("double")
+    both = (n > 0) & (m > 0)
     return (
         gaps.groupBy("n_reference", "n_current")
-        .agg(F.max("_gap").alias("ks"))
-        .withColumn("critical", factor * F.sqrt((n + m) / (n * m)))
-        .withColumn("drift", F.col("ks") > F.col("critical"))
+        .agg(F.max("_gap").alias("_ks"))
+        .select(
+            "n_reference",
+            "n_current",
+            F.when(both, F.col("_ks")).alias("ks"),
+            (factor * F.sqrt(F.try_divide(n + m, n * m))).alias("critical"),
+        )
+        .withColumn("drift", F.coalesce(F.col("ks") > F.col("critical"), F.lit(False)))
     )
 
 
@@ -87,23 +93,26 @@ def _with_shares(counts: DataFrame) -> DataFrame:
 def chi2_statistic(counts: DataFrame) -> DataFrame:
     """Two-sample chi-square over the bins that hold any row, flagged at 5%.
 
-    The flag uses the cube-root normal approximation of the distribution.
+    The flag uses the cube-root normal approximation of the distribution. If one sample
+    is empty, or all rows lie in one bin, nothing can be compared: the statistic is null
+    for an empty sample and there is no drift.
     """
     n, m = F.col("n_reference"), F.col("n_current")
     both = n + m
     total = F.col("_t.ref") + F.col("_t.cur")
     expected_ref, expected_cur = both * F.col("_t.ref") / total, both * F.col("_t.cur") / total
-    part = F.pow(n - expected_ref, F.lit(2)) / expected_ref + F.pow(
-        m - expected_cur, F.lit(2)
-    ) / expected_cur
+    part = F.try_divide(F.pow(n - expected_ref, F.lit(2)), expected_ref) + F.try_divide(
+        F.pow(m - expected_cur, F.lit(2)), expected_cur
+    )
     one = (
         _with_shares(counts)
         .filter(both > 0)
         .agg(F.sum(part).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
     )
-    k = 2 / (9 * F.col("dof").cast("double"))
-    z = (F.pow(F.col("chi2") / F.col("dof"), F.lit(1 / 3)) - (1 - k)) / F.sqrt(k)
-    return one.withColumn("drift", z > NORMAL_95)
+    dof = F.when(F.col("dof") > 0, F.col("dof").cast("double"))
+    k = 2 / (9 * dof)
+    z = (F.pow(F.col("chi2") / dof, F.lit(1 / 3)) - (1 - k)) / F.sqrt(k)
+    return one.withColumn("drift", F.coalesce(z > NORMAL_95, F.lit(False)))
 
 
 def psi_statistic(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import leaky_relu
-from tidewatch.operators.ordered import ROWS_PER_TASK, join_group_values
+from tidewatch.operators.ordered import join_group_values
 
 EDGE = ["edge_type", "src_type", "src", "dst_type", "dst"]
 
@@ -132,7 +132,6 @@ def neighbor_attention(
     dst_score: str,
     slope: float = 0.2,
     scope: str = "destination",
-    limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Weighted message sum per destination node.
 
@@ -152,9 +151,9 @@ def neighbor_attention(
     ).join(best, key).withColumn("_top", leaky_relu(F.col("_best") + F.col("_to"), slope))
     top = F.col("_top") if scope == "destination" else targets.agg(F.max("_top")).scalar()
     score = leaky_relu(F.col(src_score) + F.col("_to"), slope)
-    weighed = join_group_values(
-        messages.hint("merge"), targets, key, limit, look_at=edges
-    ).withColumn("_w", F.exp(score - top))
+    weighed = join_group_values(messages.hint("merge"), targets, key).withColumn(
+        "_w", F.exp(score - top)
+    )
     summed = weighed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_in"),
         F.sum("_w").alias("_mass"),

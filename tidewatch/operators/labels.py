@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import catalog as c
 from tidewatch.functions.expressions import StepRule, hours_between, step_score
-from tidewatch.operators.ordered import ROWS_PER_TASK, join_group_values, large_groups
+from tidewatch.operators.ordered import join_group_values
 
 
 def full_severity(
@@ -86,18 +86,13 @@ def onset_time(
     keys: Sequence[str],
     onset: str,
     name: str = "onset_time",
-    limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
-    """First onset of the whole group, on each of its rows.
+    """First onset of the whole group, on each of its rows; null keys are one group.
 
-    A window, unless a group is too large for one task: then the minimum is
-    combined before the shuffle and joined back over several tasks.
+    The minimum is combined before the shuffle and joined back.
     """
-    hot, _ = large_groups(df, keys, limit)
-    if not hot:
-        return df.withColumn(name, F.min(onset).over(Window.partitionBy(*keys)))
     first = df.groupBy(*keys).agg(F.min(onset).alias(name))
-    return join_group_values(df, first, keys, limit).select(*df.columns, name)
+    return join_group_values(df, first, keys).select(*df.columns, name)
 
 
 def running_onset(
@@ -106,14 +101,13 @@ def running_onset(
     time: str,
     onset: str,
     name: str = "onset_so_far",
-    limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """First onset up to each row: null before it. Rows with the same time are peers.
 
     Onsets are times of their own rows, so the first of them is the group's
     earliest, shown from that time on.
     """
-    first = onset_time(df, keys, onset, "_first", limit)
+    first = onset_time(df, keys, onset, "_first")
     return first.withColumn(
         name, F.when(F.col(time) >= F.col("_first"), F.col("_first"))
     ).drop("_first")
@@ -131,14 +125,13 @@ def labelled(
     score: Column,
     threshold: float = c.ONSET_SCORE,
     horizon: float = c.HORIZON_HOURS,
-    limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Score, onset, hours to onset and horizon label for every row."""
     scored = df.withColumn("score", score).withColumn(
         "_onset", onset_flag(F.col("score"), F.col(time), threshold)
     )
     return (
-        onset_time(scored, keys, "_onset", limit=limit)
+        onset_time(scored, keys, "_onset")
         .withColumn("hours_to_event", hours_between(F.col("onset_time"), F.col(time)))
         .withColumn("label", horizon_label(F.col("hours_to_event"), horizon))
         .drop("_onset")

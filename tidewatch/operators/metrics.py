@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.catalog import THRESHOLDS
 from tidewatch.functions.expressions import focal_loss, ratio
-from tidewatch.operators.ordered import ROWS_PER_TASK, find_chunks, running_sums
+from tidewatch.operators.ordered import ROWS_PER_TASK, join_group_values, running_sums
 
 COUNTS = ("tp", "fp", "tn", "fn")
 
@@ -112,14 +112,13 @@ def score_counts(
     """Per distinct score: its counts, and the counts at or above it (``tp``, ``fp``)."""
     by = list(by)
     falling = df.select(*by, F.col(y).alias("_y"), F.col(p).alias("_p"), (-F.col(p)).alias("_down"))
-    chunks = find_chunks(falling, by, ["_down"], limit)
     counts = falling.groupBy(*by, "_down").agg(
         F.max("_p").alias("score"),
         _count(F.col("_y") == 1).alias("pos"),
         _count(F.col("_y") == 0).alias("neg"),
     )
     doubled = counts.select("*", F.col("pos").alias("tp"), F.col("neg").alias("fp"))
-    return running_sums(doubled, by, ["_down"], ["tp", "fp"], chunks=chunks).drop("_down")
+    return running_sums(doubled, by, ["_down"], ["tp", "fp"], limit).drop("_down")
 
 
 def areas(
@@ -225,10 +224,9 @@ def score_histogram(df: DataFrame, y: str, p: str, n_bins: int = 50) -> DataFram
         (F.min(p) - half).alias("low"),
         (F.max(p) + half).alias("high"),
         F.count(F.lit(1)).alias("n_class"),
-    )  # one row per class
-    placed = df.select(F.col(y).alias("class"), F.col(p).alias("_p")).join(
-        F.broadcast(spans), "class"
     )
+    scored = df.select(F.col(y).alias("class"), F.col(p).alias("_p"))
+    placed = join_group_values(scored, spans, ["class"])
     width = (F.col("high") - F.col("low")) / n_bins
     at = F.floor((F.col("_p") - F.col("low")) / width).cast("int")
     binned = placed.withColumn("bin", F.least(at, F.lit(n_bins - 1)))
@@ -288,9 +286,9 @@ def metrics_by(
     df: DataFrame, y: str, p: str, by: Sequence[str], threshold: float = 0.5,
     limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Counts, rates and areas per group."""
+    """Counts, rates and areas per group; null keys are one group."""
     counts = with_rates(confusion(df, y, p, threshold, by))
-    return counts.join(areas(df, y, p, by, limit).drop("n_pos", "n_neg"), list(by))
+    return join_group_values(counts, areas(df, y, p, by, limit).drop("n_pos", "n_neg"), by)
 
 
 def latency_profile(df: DataFrame, millis: str, samples: str | None = None) -> DataFrame:
@@ -323,15 +321,22 @@ def composite_loss(
 
 
 def fairness_gaps(df: DataFrame, y: str, p: str, group: str, threshold: float = 0.5) -> DataFrame:
-    """Largest difference between groups in selection, true/false positive rate and ECE."""
+    """Largest difference between groups in selection, true/false positive rate and ECE.
+
+    Rows without a group are a group of their own.
+    """
     counts = confusion(df, y, p, threshold, [group])
     tp, fp, tn, fn = (F.col(c) for c in COUNTS)
-    per_group = counts.select(
-        group,
-        ratio(tp + fp, tp + fp + tn + fn).alias("selected"),
-        ratio(tp, tp + fn).alias("tpr"),
-        ratio(fp, fp + tn).alias("fpr"),
-    ).join(calibration_error(calibration_bins(df, y, p, by=[group]), [group]), group)
+    per_group = join_group_values(
+        counts.select(
+            group,
+            ratio(tp + fp, tp + fp + tn + fn).alias("selected"),
+            ratio(tp, tp + fn).alias("tpr"),
+            ratio(fp, fp + tn).alias("fpr"),
+        ),
+        calibration_error(calibration_bins(df, y, p, by=[group]), [group]),
+        [group],
+    )
 
     def gap(name: str) -> Column:
         return F.max(name) - F.min(name)

@@ -1,159 +1,84 @@
 """Row numbers, running values, lags and row frames per entity.
 
-A plain window puts all rows of an entity into one task. Here one bounded look
-at the keys finds the entities too large for that. Without any, the plain
-window is used as it is. With some, their rows are cut into ranges of the order
-columns, each range is worked on by itself, and what earlier ranges carry over
-is added. Results are the same rows and values either way. The order columns
-must tell the rows of a group apart.
+A plain window puts all rows of an entity into one task. Here rows are dealt to
+tasks by ranges of entity and order, so an entity of any size spans as many ranges as
+it fills. Each range is worked on by itself, and what earlier ranges carry over,
+one row per range at most, is added. There is one path for every size. The ranges
+are written once to the shared folder, because Spark may choose others when it
+computes them again.
+
+``limit=None`` asks for plain windows instead, for input whose groups are small by
+construction, such as one row per entity and hour. Keys and values may be null; null
+keys are one group. The order columns must tell the rows of a group apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import written_once
+
 ROWS_PER_TASK = 5_000_000
-MAX_HOT_KEYS = 1_000
-MAX_CHUNKS = 4_096
-SAMPLES_PER_CHUNK = 50
-STRIDE = 64
 
-_KEY = "_group"
 _CHUNK = "_chunk"
-_POINTS = "_points"
-_STARTS = "_starts"
-
-
-@dataclass
-class Chunks:
-    """Split points of the large groups; ``points`` is None when there are none."""
-
-    keys: list[str]
-    order: list[str]
-    points: DataFrame | None
-
-    @property
-    def group(self) -> list[str]:
-        return [*self.keys, _CHUNK] if self.points is not None else list(self.keys)
-
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Add the chunk number: how many split points lie at or before the row.
-
-        Rows of groups that stay whole get chunk -1.
-        """
-        if self.points is None:
-            return df
-        at = F.struct(*self.order)
-
-        def at_or_before(points: Column) -> Column:
-            return F.size(F.filter(points, lambda p: p <= at))
-
-        # first among every STRIDE-th point, then among the STRIDE points after it
-        block = F.greatest(at_or_before(F.col(_STARTS)) - 1, F.lit(0)) * STRIDE
-        inside = at_or_before(F.slice(_POINTS, block + 1, F.lit(STRIDE)))
-        return (
-            df.withColumn(_KEY, _group_hash(self.keys))
-            .join(F.broadcast(self.points), _KEY, "left")  # at most MAX_HOT_KEYS rows
-            .withColumn(_CHUNK, F.when(F.col(_POINTS).isNull(), -1).otherwise(block + inside))
-            .drop(_KEY, _POINTS, _STARTS)
-        )
 
 
-def _group_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with the number of their range in ``_chunk``; numbers rise with keys and order."""
+    dealt = df.repartitionByRange(*keys, *order) if keys or order else df
+    return written_once(dealt.withColumn(_CHUNK, F.spark_partition_id()), "ranges")
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], limit: int | None) -> tuple[dict, int]:
-    """Key hashes of the groups with more than ``limit`` rows, their sizes, and the limit used.
-
-    One pass over the key columns with a sketch of fixed size and no shuffle; at
-    most ``MAX_HOT_KEYS`` counts come to the driver. ``limit=None`` skips the
-    look, for input whose groups are small by construction, such as one row per
-    entity and hour.
-    """
-    if limit is None:
-        return {}, 0
-    seen = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.call_function(
-            "approx_top_k", _group_hash(keys), F.lit(MAX_HOT_KEYS), F.lit(10 * MAX_HOT_KEYS)
-        ).alias("top"),
-    ).first()
-    limit = max(limit, seen["n"] // MAX_CHUNKS)
-    top = seen["top"] or []
-    return {t["item"]: t["count"] for t in top if t["count"] > limit}, limit
+def _upto(keys: Sequence[str], order: Sequence[str]) -> Window:
+    return (
+        Window.partitionBy(*keys)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
 
 
-def find_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = ROWS_PER_TASK
-) -> Chunks:
-    """Choose split points for the groups of more than ``limit`` rows.
+def _carried(parts: DataFrame, keys: Sequence[str], totals: dict[str, Column], fold) -> DataFrame:
+    """What the earlier ranges of a group amount to, for ranges that continue one.
 
-    Only if there are any, a second pass samples their order columns: about
-    ``SAMPLES_PER_CHUNK * MAX_CHUNKS`` values. The sample only balances the
-    chunks: any split points give the same results.
+    Only the first group of a range can, so there is one row per range at most.
     """
-    keys, order = list(keys), list(order)
-    hot, limit = large_groups(df, keys, limit)
-    if not hot:
-        return Chunks(keys, order, None)
-    wanted = sum(ceil(count / limit) for count in hot.values()) * SAMPLES_PER_CHUNK
-    fraction = min(1.0, wanted / sum(hot.values()))
-    spark = df.sparkSession
-    hashed = df.select(_group_hash(keys).alias(_KEY), F.struct(*order).alias("at"))
-    sampled = (
-        hashed.filter(F.col(_KEY).isin(list(hot)))
-        .sample(fraction, seed=1)
-        .groupBy(_KEY)
-        .agg(F.sort_array(F.collect_set("at")).alias("at"))
-        .withColumn("n", F.size("at"))
-    )
-    parts = F.create_map(*[F.lit(v) for k, c in hot.items() for v in (k, ceil(c / limit))])
-    picked = sampled.withColumn("parts", F.least(F.col("n"), parts[F.col(_KEY)])).select(
-        _KEY,
-        F.expr(
-            "transform(sequence(1, greatest(1, parts - 1)),"
-            " i -> at[least(n - 1, cast(i * n / parts as int))])"
-        ).alias(_POINTS),
+    earlier = (
+        Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
-    picked = picked.withColumn(
-        _STARTS, F.filter(_POINTS, lambda _, index: index % STRIDE == 0)
+    return (
+        parts.groupBy(_CHUNK, *keys)
+        .agg(*[c.alias(f"_{name}") for name, c in totals.items()])
+        .select(
+            F.col(_CHUNK).alias("_at"),
+            *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+            F.count(F.lit(1)).over(earlier).alias("_before"),
+            *[fold(F.col(f"_{name}"), earlier).alias(f"_{name}") for name in totals],
+        )
+        .filter("_before > 0")
     )
-    rows = picked.collect()
-    return Chunks(keys, order, spark.createDataFrame(rows, picked.schema))
 
 
-def join_group_values(
-    df: DataFrame,
-    values: DataFrame,
-    keys: Sequence[str],
-    limit: int | None = ROWS_PER_TASK,
-    look_at: DataFrame | None = None,
-) -> DataFrame:
-    """Inner join of rows with one row of values per group.
+def _continued(local: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    same = F.col(_CHUNK) == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & local[k].eqNullSafe(F.col(f"_key_{i}"))
+    return local.join(carried, same, "left")
 
-    Rows of a large group are spread over several tasks by a hash of the row,
-    and its values are repeated for each; other groups are joined plainly.
-    ``look_at`` names a cheaper frame with the same groups to look for them in.
+
+def join_group_values(df: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of rows with one row of values per group; null keys meet null keys.
+
+    The rows of a large group are a skewed side of a sort-merge join, which adaptive
+    execution spreads over several tasks.
     """
-    keys = list(keys)
-    hot, limit = large_groups(df if look_at is None else look_at, keys, limit)
-    if not hot:
-        return df.join(values, keys)
-    parts = ceil(max(hot.values()) / limit)
-    is_hot = _group_hash(keys).isin(list(hot))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    return (
-        df.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
-        .join(values.withColumn("_salt", F.explode(every)), [*keys, "_salt"])
-        .drop("_salt")
-    )
+    right = values.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(F.col(f"_key_{i}"))
+    return df.join(right, same).drop(*[f"_key_{i}" for i in range(len(keys))])
 
 
 def row_numbers(
@@ -173,46 +98,33 @@ def running_sums(
     keys: Sequence[str],
     order: Sequence[str],
     columns: Sequence[str],
-    chunks: Chunks | None = None,
     limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Replace each column by its running sum, the row itself included."""
-    chunks = chunks or find_chunks(df, keys, order, limit)
-    parts = chunks.assign(df)
-    upto = (
-        Window.partitionBy(*chunks.group)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    """Replace each column by its running sum, the row itself included.
+
+    Null values add nothing; the sum is null until the first known one.
+    """
+    if limit is None:
+        spec = _upto(keys, order)
+        return df.select(
+            *[F.sum(c).over(spec).alias(c) if c in columns else F.col(c) for c in df.columns]
+        )
+    parts = in_ranges(df, keys, order)
+    spec = _upto([_CHUNK, *keys], order)
     local = parts.select(
-        *[c for c in parts.columns if c not in columns],
-        *[F.sum(c).over(upto).alias(c) for c in columns],
+        _CHUNK, *[F.sum(c).over(spec).alias(c) if c in columns else F.col(c) for c in df.columns]
     )
-    if chunks.points is None:
-        return local.select(*df.columns)
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = (
-        parts.filter(F.col(_CHUNK) >= 0)
-        .groupBy(*chunks.group)
-        .agg(*[F.sum(c).alias(c) for c in columns])
-        .select(
-            *chunks.group,
-            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in columns],
-        )
-    )  # large groups only: at most MAX_CHUNKS + MAX_HOT_KEYS rows
-    same = [local[k].eqNullSafe(carried[k]) for k in chunks.group]
-    both = local.join(F.broadcast(carried), _all(same), "left")
-    return both.select(
-        *[
-            (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
-            if c in columns
-            else local[c]
-            for c in df.columns
-        ]
+    carried = _carried(
+        parts, keys, {c: F.sum(c) for c in columns}, lambda total, w: F.sum(total).over(w)
     )
 
+    def added(c: str) -> Column:
+        both = F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))
+        return F.when(F.col(c).isNotNull() | F.col(f"_{c}").isNotNull(), both).alias(c)
+
+    joined = _continued(local, carried, keys)
+    return joined.select(*[added(c) if c in columns else local[c] for c in df.columns])
+
 
 def fill_forward(
     df: DataFrame,
@@ -222,44 +134,26 @@ def fill_forward(
     limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``{new: old}``: the last known value of ``old`` at or before the row."""
-    chunks = find_chunks(df, keys, order, limit)
-    parts = chunks.assign(df)
-    upto = (
-        Window.partitionBy(*chunks.group)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    if limit is None:
+        spec = _upto(keys, order)
+        return df.select(
+            "*",
+            *[F.last(old, ignorenulls=True).over(spec).alias(new) for new, old in columns.items()],
+        )
+    parts = in_ranges(df, keys, order)
+    spec = _upto([_CHUNK, *keys], order)
     local = parts.select(
-        "*", *[F.last(old, ignorenulls=True).over(upto).alias(new) for new, old in columns.items()]
-    )
-    if chunks.points is None:
-        return local
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(
-        Window.unboundedPreceding, -1
+        "*", *[F.last(old, ignorenulls=True).over(spec).alias(new) for new, old in columns.items()]
     )
     at = F.struct(*order)
-    carried = (
-        parts.filter(F.col(_CHUNK) >= 0)
-        .groupBy(*chunks.group)
-        .agg(
-            *[
-                F.max_by(old, F.when(F.col(old).isNotNull(), at)).alias(f"_{new}")
-                for new, old in columns.items()
-            ]
-        )
-        .select(
-            *chunks.group,
-            *[
-                F.last(f"_{new}", ignorenulls=True).over(earlier).alias(f"_{new}")
-                for new in columns
-            ],
-        )
+    carried = _carried(
+        parts, keys,
+        {new: F.max_by(old, F.when(F.col(old).isNotNull(), at)) for new, old in columns.items()},
+        lambda last, w: F.last(last, ignorenulls=True).over(w),
     )
-    same = [local[k].eqNullSafe(carried[k]) for k in chunks.group]
-    both = local.join(F.broadcast(carried), _all(same), "left")
-    return both.select(
+    return _continued(local, carried, keys).select(
         *[local[c] for c in df.columns],
-        *[F.coalesce(F.col(new), F.col(f"_{new}")).alias(new) for new in columns],
+        *[F.coalesce(local[new], F.col(f"_{new}")).alias(new) for new in columns],
     )
 
 
@@ -273,22 +167,19 @@ def over_previous_rows(
 ) -> DataFrame:
     """Add window columns that look back at most ``reach`` rows.
 
-    Large groups are cut into blocks of exactly ``limit`` rows by row number,
-    and the last ``reach`` rows of each block are repeated before the next one.
+    Groups are cut into blocks of exactly ``limit`` rows by row number, and the last
+    ``reach`` rows of each block are repeated before the next one.
     """
-    if limit is not None and limit <= reach:
-        raise ValueError("a block must be longer than the look-back")
-    chunks = find_chunks(df, keys, order, limit)
-    if chunks.points is None:
+    if limit is None:
         spec = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[c.alias(n) for n, c in build(spec).items()])
-    spare = running_sums(
-        df.withColumn("_n", F.lit(1).cast("long")), keys, order, ["_n"], chunks=chunks
-    )
+    if limit <= reach:
+        raise ValueError("a block must be longer than the look-back")
+    numbered = row_numbers(df, keys, order, "_n", limit)
     block = F.floor((F.col("_n") - 1) / limit)
     in_tail = (F.col("_n") - 1) % limit >= limit - reach
     copies = F.when(in_tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    spread = spare.withColumn("_copy", F.explode(copies)).withColumn(
+    spread = numbered.withColumn("_copy", F.explode(copies)).withColumn(
         "_block", block + F.col("_copy")
     )
     spec = Window.partitionBy(*keys, "_block").orderBy(*order)
@@ -308,64 +199,55 @@ def exact_quantiles(
 ) -> dict[str, float | None]:
     """Per column, the smallest value whose share of rows at or below it reaches ``q``.
 
-    A sketch gives a narrow bracket around each quantile. The second pass counts
-    the rows below it and merges equal values inside it, so only about
-    ``4 / accuracy`` of the distinct values are shuffled. One number per column
+    Two passes. A sketch gives a narrow bracket around each quantile. The second pass
+    counts the rows below it in one group and merges equal values inside it, so only
+    about ``4 / accuracy`` of the distinct values are shuffled. One number per column
     comes to the driver.
     """
     values = df.select(*[c.cast("double").alias(name) for name, c in columns.items()])
     off = 2 / accuracy
     bracket = values.agg(
         *[
-            F.percentile_approx(n, [max(0.0, q - off), min(1.0, q + off)], accuracy).alias(n)
+            F.struct(
+                F.percentile_approx(
+                    n, [max(0.0, q - off), min(1.0, q + off)], accuracy
+                ).alias("ends"),
+                F.count(n).alias("all"),
+            ).alias(n)
             for n in columns
         ]
     ).first()
-    known = [n for n in columns if bracket[n] is not None]
+    known = [n for n in columns if bracket[n]["ends"] is not None]
     if not known:
         return dict.fromkeys(columns)
-    low = {n: bracket[n][0] for n in known}
-    high = {n: bracket[n][1] for n in known}
-    counts = values.agg(
-        *[
-            F.struct(F.count(n).alias("all"), F.count_if(F.col(n) < low[n]).alias("below")).alias(n)
-            for n in known
-        ]
-    ).first()
-    inside = values.select(
-        F.explode(
-            F.array(
-                *[
-                    F.when(
-                        F.col(n).between(low[n], high[n]),
-                        F.struct(F.lit(n).alias("column"), F.col(n).alias("x")),
-                    )
-                    for n in known
-                ]
-            )
-        ).alias("r")
-    ).filter("r is not null").select("r.*")
-    merged = inside.groupBy("column", "x").agg(F.count(F.lit(1)).alias("upto"))
-    # twice the bracket's share bounds the distinct values inside it
-    most = max(counts[n]["all"] for n in known) * 8 / accuracy
-    look = limit if limit is not None and most > limit else None
-    chunks = find_chunks(inside, ["column"], ["x"], look)
-    upto = running_sums(merged, ["column"], ["x"], ["upto"], chunks=chunks)
-    wanted = F.create_map(
-        *[F.lit(v) for n in known for v in (n, counts[n]["all"] * q - counts[n]["below"])]
-    )
+    low = {n: bracket[n]["ends"][0] for n in known}
+    high = {n: bracket[n]["ends"][1] for n in known}
+    # rows below the bracket are one group, with a value under all others
+    cells = [
+        F.when(
+            F.col(n) <= high[n],
+            F.struct(
+                F.lit(n).alias("column"),
+                (F.col(n) >= low[n]).alias("inside"),
+                F.when(F.col(n) >= low[n], F.col(n)).alias("x"),
+            ),
+        )
+        for n in known
+    ]
+    merged = (
+        values.select(F.explode(F.array(*cells)).alias("r"))
+        .filter("r is not null")
+        .select("r.*")
+        .groupBy("column", "inside", "x")
+        .agg(F.count(F.lit(1)).alias("upto"))
+    )
+    upto = running_sums(merged, ["column"], ["inside", "x"], ["upto"], limit)
+    wanted = F.create_map(*[F.lit(v) for n in known for v in (n, bracket[n]["all"] * q)])
     found = {
         r["column"]: r["x"]
-        for r in upto.filter(F.col("upto") >= wanted[F.col("column")])
+        for r in upto.filter(F.col("inside") & (F.col("upto") >= wanted[F.col("column")]))
         .groupBy("column")
         .agg(F.min("x").alias("x"))
         .collect()
     }
     return {n: found.get(n) for n in columns}
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    joined = conditions[0]
-    for c in conditions[1:]:
-        joined = joined & c
-    return joined

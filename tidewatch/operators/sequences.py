@@ -108,15 +108,14 @@ def pool_softmax(
     keys: Sequence[str],
     score: str,
     values: Sequence[str],
-    limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Mean of each column weighted by the softmax of the score within the group.
 
-    Two aggregations and a join on the group, which is spread if it is large.
+    Two aggregations and a join on the group; null keys are one group.
     """
     keys = list(keys)
     top = df.groupBy(*keys).agg(F.max(score).alias("_top"))
-    weighed = join_group_values(df, top, keys, limit).withColumn(
+    weighed = join_group_values(df, top, keys).withColumn(
         "_w", F.exp(F.col(score) - F.col("_top"))
     )
     return weighed.groupBy(*keys).agg(

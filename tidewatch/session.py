@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -41,3 +41,14 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows from a table in the shared folder.
+
+    What is not the same when it is computed twice, such as the number of the task a row
+    landed in, is settled by this and outlives any executor.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
