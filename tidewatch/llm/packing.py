@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.base import id_and_text
-from tidewatch.llm.tokens import WordEncoder, in_chunks
+from tidewatch.llm.tokens import in_chunks, shared_encoder
 
 LENGTH = 2048
 OPEN_BINS = 512
@@ -60,10 +60,9 @@ def token_pieces(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, lowered)
+        encoder = shared_encoder(tokenizer, lowered)
         for batch in batches:
-            all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for ids, texts in in_chunks(all_ids, all_texts):
+            for ids, texts in in_chunks(batch):
                 rows = []
                 for key, packed in zip(ids, encoder.encode(texts)):
                     packed += closing

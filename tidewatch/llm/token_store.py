@@ -20,9 +20,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidewatch.llm.base import id_and_text
-from tidewatch.llm.tokens import WordEncoder, in_chunks
+from tidewatch.llm.tokens import in_chunks, shared_encoder
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
@@ -34,6 +35,7 @@ SAMPLE_BYTES = 8 << 20
 LEAST_SAMPLE = 64
 SHARD_BYTES = 4 << 20
 SHARD_DOCUMENTS = 8_192
+READ_BYTES = 4 << 20
 
 SHARDS = (
     "task long, shard long, first_doc long, last_doc long, width int, dictionary_sha256 string, "
@@ -83,11 +85,10 @@ def train_dictionary(
     closing = end.to_bytes(4, "little")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, lowered=False)
+        encoder = shared_encoder(tokenizer, lowered=False)
         samples, held = [], 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for _, part in in_chunks(texts, texts):
+            for _, part in in_chunks(batch):
                 for packed in encoder.encode(part):
                     if held < SAMPLE_BYTES:
                         samples.append(_narrow(packed + closing, width))
@@ -102,7 +103,7 @@ def train_dictionary(
 
     ids = id_and_text(docs).select("doc_id", F.xxhash64("doc_id").alias("order"))
     chosen = ids.orderBy("order", "doc_id").limit(sample_documents).select("doc_id").distinct()
-    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("text")
+    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
     found = texts.coalesce(1).mapInArrow(fit, "dictionary binary").collect()
     return bytes(found[0]["dictionary"]) if found else b""
 
@@ -122,8 +123,6 @@ def write_store(
     null text is an empty one and holds the end id alone.
     """
     rows = id_and_text(docs, doc_id, text)
-    from tokenizers import Tokenizer
-
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     dictionary = train_dictionary(rows, tokenizer, end, width=width)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -134,7 +133,7 @@ def write_store(
     closing = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, lowered=False)
+        encoder = shared_encoder(tokenizer, lowered=False)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if shared:
             shared.precompute_compress(level=level)
@@ -158,8 +157,7 @@ def write_store(
             )
 
         for batch in batches:
-            all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for keys, texts in in_chunks(all_ids, all_texts):
+            for keys, texts in in_chunks(batch):
                 for key, packed in zip(keys, encoder.encode(texts)):
                     packed += closing
                     frame = frames.compress(_narrow(packed, width))
@@ -209,23 +207,30 @@ def read_store(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         frames = zstandard.ZstdDecompressor(dict_data=shared)
+        out, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*out), _IDS)]
+            out.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays(columns, schema=_IDS)
+
         for batch in batches:
-            for row in batch.to_pylist():
+            for at_row in range(batch.num_rows):
+                row = batch.slice(at_row, 1).to_pylist()[0]
                 if row["dictionary_sha256"] != digest:
                     raise ValueError("a shard was written with another dictionary")
                 at, data = row["offsets"], memoryview(row["data"])
-                out = []
                 for k, key in enumerate(row["doc_ids"]):
                     if wanted is None or key in wanted:
-                        raw = frames.decompress(data[at[k] : at[k + 1]])
-                        out.append(
-                            (row["task"], key, row["starts"][k], row["n_tokens"][k],
-                             _wide(raw, row["width"]))
-                        )
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*out), _IDS)], schema=_IDS
-                    )
+                        raw = _wide(frames.decompress(data[at[k] : at[k + 1]]), row["width"])
+                        out.append((row["task"], key, row["starts"][k], row["n_tokens"][k], raw))
+                        held += len(raw)
+                    if held >= READ_BYTES:
+                        yield flush()
+        if out:
+            yield flush()
 
     # one row per writing task
     totals = shards.groupBy("task").agg(

@@ -1,26 +1,52 @@
-"""Token ids of whole texts, with the words of a partition encoded once each.
+"""Token ids of whole texts, with each distinct word encoded once.
 
 BPE never crosses the borders of a tokenizer's own word split. So the split is
 made here for texts in printable ASCII and Latin letters, where it is the same,
-each distinct word goes through the tokenizers library once and is looked up
-after that. Any text with another character goes through the library whole.
+each distinct word goes through the BPE model of the tokenizers library once and
+is looked up after that. Any text with another character goes through the library
+whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
+from functools import cache
 
-import regex
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-# Letters that neither normalisation nor lower-casing turns into several characters.
-OTHER_CHARACTER = re.compile("[^\n -~¡-įĲ-ňŊ-ž]")
-BYTE_WORDS = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Printable ASCII, line break, and the Latin characters that neither normalisation nor
+# lower-casing turns into several.
+_LATIN = [chr(c) for c in range(0xA1, 0x17F) if c not in (0xAD, 0x130, 0x149)]
+_ASCII = [chr(c) for c in range(0x20, 0x7F)]
+
+
+def _those(kind: str) -> str:
+    return "".join(re.escape(c) for c in _ASCII + _LATIN if unicodedata.category(c)[0] == kind)
+
+
+_L, _N = _those("L"), _those("N")
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+OTHER_CHARACTER = re.compile(f"[^\n{''.join(map(re.escape, _ASCII + _LATIN))}]")
+BYTE_WORDS = re.compile(
+    rf" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+"
 )
-LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-CACHED_WORDS = 300_000
+LOWER_WORDS = re.compile(rf"[{_L}]+|{_SHORT}|[{_N}]|[^ \n{_L}{_N}]+")
+# words kept for reuse, half of them the most recent ones
+CACHED_WORDS = 400_000
+
+
+@cache
+def _byte_signs() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones stand for
+    themselves, the others follow from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordEncoder:
@@ -33,21 +59,27 @@ class WordEncoder:
     def __init__(self, path: str, lowered: bool, cached: int = CACHED_WORDS) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
         self._lowered = lowered
         self._pattern = LOWER_WORDS if lowered else BYTE_WORDS
-        self._limit = cached
-        self._ids: dict[str, bytes] = {}
+        self._half = cached // 2
+        self._recent: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
-    def _packed(self, ids: Sequence[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def _packed(self, ids: Iterable[int]) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in ids])
 
-    def _learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self._ids]
-        if len(self._ids) + len(new) > self._limit:
-            self._ids.clear()
-            new = list(words)
-        for word, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self._ids[word] = self._packed(found.ids)
+    def _learn(self, words: set[str]) -> None:
+        """Afterwards all these words are among the recent ones."""
+        if len(self._recent) + len(words) > self._half:
+            self._older, self._recent = self._recent, {}
+        signs = _byte_signs()
+        for word in words - self._recent.keys():
+            ids = self._older.get(word)
+            if ids is None:
+                spelled = word.encode().decode("latin-1").translate(signs)
+                ids = self._packed([t.id for t in self._model.tokenize(spelled)])
+            self._recent[word] = ids
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text, in order. Keep the batches moderate; their words are held."""
@@ -57,22 +89,28 @@ class WordEncoder:
                 words.append(None)
             else:
                 words.append(self._pattern.findall(text.lower() if self._lowered else text))
-        self._learn({w for found in words if found for w in found})
-        known = self._ids
+        self._learn(set().union(*(found for found in words if found)))
+        known = self._recent.__getitem__
         for text, found in zip(texts, words):
             if found is None:
                 yield self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
             else:
-                yield b"".join([known[w] for w in found])
-
-
-def in_chunks(ids: Sequence, texts: Sequence[str], chars: int = 1_000_000) -> Iterator[tuple]:
-    """Runs of rows that hold about so many characters together."""
-    start = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= chars:
-            yield ids[start : k + 1], texts[start : k + 1]
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield ids[start:], texts[start:]
+                yield b"".join(map(known, found))
+
+
+@cache
+def shared_encoder(path: str, lowered: bool) -> WordEncoder:
+    """One encoder per Python worker, so its words serve all tasks that run there."""
+    return WordEncoder(path, lowered)
+
+
+def in_chunks(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch in runs of about so many bytes, turned into Python one by one."""
+    ids, texts = batch.columns[:2]
+    total = np.cumsum(np.asarray(pc.binary_length(texts)))
+    start = 0
+    while start < len(texts):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
+        yield ids[start:end].to_pylist(), texts[start:end].to_pylist()
+        start = end
