@@ -658,3 +658,82 @@ def test_wide_pivot_over_the_item_lists(spark):
     got = one(pressure)
     assert (got["map"], got["220052"], got["50912"]) == (65.0, None, 2.5)
     assert one(wide.select(x.step_score(c.ORGAN_RULES).alias("s")))["s"] == 2
+
+
+# null groups, reversed stays, empty samples
+
+
+def test_reversed_stays_are_kept_empty(spark):
+    stays = spark.createDataFrame(
+        [(1, 9, "2024-01-05", "2024-01-02"), (2, 9, "2024-01-01", "2024-01-03"), (3, 9, None, "2024-01-03")],
+        "stay int, who int, b string, e string",
+    ).withColumns({"b": F.to_timestamp("b"), "e": F.to_timestamp("e")})
+    rows = spark.createDataFrame([(9, "2024-01-02 05:00:00", 1.0)], "who int, t string, v double")
+    rows = rows.withColumn("t", F.to_timestamp("t"))
+    got = cohort.within_stay(stays, rows, "who", "stay", "b", "e", "t").collect()
+    assert {r["stay"]: r["v"] for r in got} == {1: None, 2: 1.0, 3: None}
+
+
+def test_drift_with_nothing_to_compare(spark):
+    rows = spark.range(50).select(F.col("id").cast("double").alias("v"), F.lit(False).alias("c"))
+    got = one(drift.ks_statistic(rows, "v", "c"))
+    assert got["ks"] is None and got["critical"] is None and got["drift"] is False
+    counts = drift.binned_counts(rows, "v", "c", (10, 20))
+    assert one(drift.chi2_statistic(counts))["drift"] is False
+    assert isinstance(one(drift.psi_statistic(counts))["drift"], bool)
+    both = rows.withColumn("c", F.col("v") % 2 == 0)
+    same_bin = drift.binned_counts(both, "v", "c", (1000,))
+    got = one(drift.chi2_statistic(same_bin))
+    assert got["dof"] == 0 and got["drift"] is False
+
+
+def test_hash_parts_are_set_apart(spark):
+    a, b = (
+        value(spark, x.unit_hash(1, F.lit(p), F.lit(q))) for p, q in ((1, 23), (12, 3))
+    )
+    assert a != b
+    assert value(spark, x.unit_hash(4, F.lit(21))) != value(spark, x.unit_hash(42, F.lit(1)))
+
+
+def test_importance_does_not_depend_on_partitions(spark):
+    frame = spark.range(500).select(
+        "id", F.array(F.sin("id"), F.cos("id")).alias("v"), (F.sin("id") > 0.2).cast("int").alias("y")
+    )
+
+    def make():
+        return lambda m: (m[:, 0] > 0).astype(float)
+
+    got = [
+        sorted(
+            attribution.permutation_importance(
+                frame.repartition(n), "id", "v", "y", make, 2, n_repeats=2, block_rows=64
+            ).collect()
+        )
+        for n in (1, 8, 60)
+    ]
+    assert got[0] == got[1] == got[2]
+
+
+def test_baselines_by_name(spark):
+    frame = spark.createDataFrame([([1.0, 2.0],), ([3.0, 6.0],)], "v array<double>")
+    assert attribution.baseline_of(frame, "v", 2) == [0.0, 0.0]
+    assert attribution.baseline_of(frame, "v", 2, "mean") == [2.0, 4.0]
+    noise = attribution.baseline_of(frame, "v", 2, "gaussian_noise")
+    assert noise == attribution.baseline_of(frame, "v", 2, "gaussian_noise") and noise != [0.0, 0.0]
+    with pytest.raises(ValueError):
+        attribution.baseline_of(frame, "v", 2, "other")
+
+
+def test_bootstrap_of_areas_over_chunks(spark, monkeypatch):
+    frame = spark.range(3000).select(
+        (F.col("id") % 3 == 0).cast("int").alias("y"),
+        ((F.col("id") * 7919 % 3001) / 3001 * 0.8 + F.when(F.col("id") % 3 == 0, 0.2).otherwise(0.0)).alias("p"),
+    )
+    whole = {r["metric"]: r for r in metrics.bootstrap_ci(frame, "y", "p", n_resamples=200).collect()}
+    monkeypatch.setattr(metrics, "SCORES_PER_TASK", 400)
+    cut = {r["metric"]: r for r in metrics.bootstrap_ci(frame, "y", "p", n_resamples=200).collect()}
+    for name in ("auroc", "average_precision", "accuracy"):
+        for rows in (whole, cut):
+            assert rows[name]["low"] < rows[name]["value"] < rows[name]["high"]
+        width = [r[name]["high"] - r[name]["low"] for r in (whole, cut)]
+        assert 0.6 < width[0] / width[1] < 1.6

@@ -34,9 +34,10 @@ def test_latest(spark, split_events):
         stream(spark, folder).select("user_id", "event_id", "ts", "value"),
         "user_id", ["ts", "event_id"],
     )
-    done = st.finish(st.batches_to(latest, out, st.write_epoch(out, "t"), "update"))
-    assert st.last_batch(done) >= 3
-    got = st.last_epoch(spark, f"{out}/t", ["user_id"])
+    table = st.KeyedTable(f"{out}/t", latest.schema, ["user_id"])
+    done = st.finish(st.batches_to(latest, out, table.write, "update"))
+    assert done.lastProgress["batchId"] >= 3
+    got = table.read(spark)
     want = monitor.latest_per_entity(rows, "user_id", ["ts", "event_id"])
     assert rows_of(got, "user_id", "event_id") == rows_of(want, "user_id", "event_id")
 
@@ -44,12 +45,11 @@ def test_latest(spark, split_events):
 def test_history_over_batches(spark, split_events):
     folder, rows = split_events
     out = work_folder(spark, "history")
-    kept = st.history_stream(stream(spark, folder), "user_id", "ts", "value", 5)
-    st.finish(st.batches_to(kept, out, st.write_epoch(out, "t"), "update"))
-    got = st.last_epoch(spark, f"{out}/t", ["entity"]).select(
-        "entity", F.explode("values").alias("value")
-    )
-    want = sequences.last_rows(rows, ["user_id"], ["ts"], 5)
+    kept = st.history_stream(stream(spark, folder), "user_id", "ts", "value", "event_id", 5)
+    table = st.KeyedTable(f"{out}/t", kept.schema, ["entity"])
+    st.finish(st.batches_to(kept, out, table.write, "update"))
+    got = table.read(spark).select("entity", F.explode("values").alias("value"))
+    want = sequences.last_rows(rows, ["user_id"], ["ts", "event_id"], 5)
     assert rows_of(got, "entity", "value") == rows_of(want, "user_id", "value")
 
 
@@ -57,9 +57,12 @@ def test_state_table_over_batches(spark, split_events):
     folder, rows = split_events
     out = work_folder(spark, "state")
     slim = ["user_id", "event_id", "ts", "value"]
-    sink = st.latest_state_sink(out, "user_id", ["ts", "event_id"])
-    done = st.finish(st.batches_to(stream(spark, folder).select(*slim), out, sink))
-    got = spark.read.parquet(st.state_path(out, st.last_batch(done)))
+    frame = stream(spark, folder).select(*slim)
+    table = st.KeyedTable(f"{out}/t", frame.schema, ["user_id"], ["ts", "event_id"], buckets=4)
+    st.finish(st.batches_to(frame, out, table.write))
+    got = table.read(spark)
+    # two versions of each bucket at most, however many batches there were
+    assert table._versions(spark).select("_bucket", "_version").distinct().count() <= 8
     want = monitor.latest_per_entity(rows.select(*slim), "user_id", ["ts", "event_id"])
     assert rows_of(got, *slim) == rows_of(want, *slim)
 
@@ -68,8 +71,9 @@ def test_sliding_windows_over_batches(spark, split_events):
     folder, rows = split_events
     out = work_folder(spark, "windows")
     totals = st.sliding_totals(stream(spark, folder), "ts", "value", late="60 days")
-    st.finish(st.batches_to(totals, out, st.write_epoch(out, "t"), "update"))
-    got = st.last_epoch(spark, f"{out}/t", ["window_start"])
+    table = st.KeyedTable(f"{out}/t", totals.schema, ["window_start"])
+    st.finish(st.batches_to(totals, out, table.write, "update"))
+    got = table.read(spark)
     want = rows.groupBy(F.window("ts", "30 minutes", "15 minutes").alias("w")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -87,7 +91,7 @@ def test_late_rows_are_dropped_and_counted(spark):
         rows = st.file_stream(spark, f"{folder}/in", "ts timestamp, value double")
         return st.finish(
             st.batches_to(
-                st.sliding_totals(rows, "ts", "value"), out, st.write_epoch(out, "t"), "update"
+                st.sliding_totals(rows, "ts", "value"), out, st.appended(out, "t"), "update"
             )
         )
 
@@ -100,6 +104,68 @@ def test_late_rows_are_dropped_and_counted(spark):
     assert starts.hour == 9
 
 
+def test_keyed_table_repeats_batches_safely(spark):
+    out = work_folder(spark, "keyed")
+    schema = spark.createDataFrame([], "k long, at long, v string").schema
+    table = st.KeyedTable(out, schema, ["k"], ["at"], buckets=2)
+    assert table.read(spark).count() == 0
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, schema)
+
+    steps = [
+        (0, batch((1, 1, "a"), (2, 1, "a"), (None, 1, "n"))), (1, batch((1, 3, "b"))),
+        (1, batch((1, 3, "b"))), (2, batch((2, 0, "old"), (3, 1, "c"))), (3, batch()),
+        (4, batch((1, 2, "late"), (None, 2, "m"))), (4, batch((1, 2, "late"), (None, 2, "m"))),
+    ]
+    for epoch, rows in steps:
+        table.write(rows, epoch)
+    got = {r["k"]: r["v"] for r in table.read(spark).collect()}
+    assert got == {1: "b", 2: "a", 3: "c", None: "m"}
+
+
+def test_subscriptions_are_read_for_each_batch(spark, split_events):
+    folder, rows = split_events
+    out = work_folder(spark, "subscriptions")
+    users = [r[0] for r in rows.select("user_id").distinct().orderBy("user_id").limit(2).collect()]
+    spark.createDataFrame([(users[0],)], "user_id long").write.parquet(f"{out}/who")
+    seen = []
+
+    def sink(batch, epoch):
+        seen.append((epoch, {r[0] for r in batch.select("user_id").distinct().collect()}))
+        if epoch == 1:  # a second entity is added while the stream runs
+            spark.createDataFrame([(users[1],)], "user_id long").write.mode("append").parquet(f"{out}/who")
+
+    wanted = lambda session: session.read.parquet(f"{out}/who")
+    live = st.subscribed_sink(wanted, "user_id", sink)
+    st.finish(st.batches_to(stream(spark, folder), out, live))
+    early = set().union(*(s for e, s in seen if e <= 1))
+    late = set().union(*(s for e, s in seen if e > 1))
+    assert early <= {users[0]} and users[1] in late
+
+
+def test_routed_records(spark):
+    out = work_folder(spark, "routed")
+    got = {}
+    sink = st.routed_sink(
+        "bad", lambda b, e: got.update(good=b.count()), lambda b, e: got.update(dead=b.count())
+    )
+    sink(spark.createDataFrame([([],), (["x"],), (["y", "z"],)], "bad array<string>"), 0)
+    assert got == {"good": 1, "dead": 2} and out
+
+
+def test_processing_time_trigger(spark, split_events):
+    folder, rows = split_events
+    out = work_folder(spark, "interval")
+    frame = stream(spark, folder).select("event_id")
+    query = st.append_to_table(frame, out, interval="200 milliseconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert spark.read.parquet(f"{out}/rows").count() == rows.count()
+
+
 def test_restart_does_not_repeat_rows(spark, split_events):
     folder, rows = split_events
     out = work_folder(spark, "restart")

@@ -2,9 +2,6 @@
 
 from tidewatch.functions.expressions import StepRule
 
-# Waveform signals.
-SIGNALS = ("II", "V", "ABP", "PAP", "CVP", "PLETH", "RESP")
-
 # Laboratory items.
 LAB_ITEMS = (
     51221, 51222, 51248, 51249, 51250, 51265, 51279, 51301,
@@ -70,23 +67,16 @@ LAB_RANGES = {
     "creatinine": (0, 20), "glucose": (0, 1000), "lactate": (0, 30), "ph": (6.5, 8.0),
     "pco2": (10, 100), "po2": (30, 600), "bicarbonate": (5, 50),
 }
-PERSON_RANGES = {"age": (0, 120), "weight": (1, 300), "height": (30, 250)}
 GENDER_PATTERN = "^(M|F)$"
 
 # Defaults for missing request fields.
 PERSON_DEFAULTS = {"weight": 70.0, "height": 170.0}
-VITAL_DEFAULTS = {"heart_rate": 80.0, "systolic_bp": 120.0, "diastolic_bp": 80.0,
-                  "respiratory_rate": 16.0, "temperature": 98.6, "spo2": 98.0,
-                  "gcs_total": 15.0}
-LAB_DEFAULTS = {"wbc": 7.0, "hemoglobin": 12.0, "platelets": 250.0, "sodium": 140.0,
-                "potassium": 4.0, "creatinine": 1.0, "glucose": 100.0, "lactate": 2.0}
-WAVE_DEFAULTS = {"ecg_hr_mean": 80.0, "abp_systolic_mean": 120.0, "resp_rate_mean": 16.0}
 
 # Widths of the two assembled vectors and the series cut.
 VECTOR_WIDTH, POOLED_WIDTH, SERIES_CUT = 256, 64, 252
 
 # Monitoring limits.
-HISTORY_POINTS, KEPT_ALERTS, SHOWN_ALERTS = 100, 50, 10
+HISTORY_POINTS, KEPT_ALERTS = 100, 50
 LATENCY_LIMIT_MS, ERROR_RATE_LIMIT = 2000, 0.05
 DECISION_ALERT, FALLBACK_SCORE = 0.7, 0.1
 RETENTION_DAYS, RETENTION_YEARS = 90, 7

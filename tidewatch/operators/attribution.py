@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import double_array, let, sigmoid, unit_hash
+from tidewatch.operators.ordered import row_numbers
 from tidewatch.operators.scoring import linear_logit
 
-BASELINES = ("zeros", "mean", "gaussian_noise")
-
-
 def mean_baseline(df: DataFrame, vector: str) -> list[float]:
     """Element-wise mean; one number per element comes to the driver."""
     rows = (
@@ -95,33 +93,55 @@ def shapley_linear(
     return _product(moved, double_array(weights))
 
 
+def noise_baselines(width: int, n_samples: int, sigma: float, seed: int) -> list[list[float]]:
+    """Gaussian baselines fixed by the seed alone, to be shared by all instances."""
+    return np.random.default_rng(seed).normal(0.0, sigma, (n_samples, width)).tolist()
+
+
+def baseline_of(
+    df: DataFrame, vector: str, width: int, kind: str = "zeros", sigma: float = 0.1, seed: int = 42
+) -> list[float]:
+    """A baseline by name: zeros, the mean of all rows, or Gaussian noise."""
+    if kind == "zeros":
+        return [0.0] * width
+    if kind == "mean":
+        return mean_baseline(df, vector)
+    if kind == "gaussian_noise":
+        return noise_baselines(width, 1, sigma, seed)[0]
+    raise ValueError(f"unknown baseline: {kind}")
+
+
 def gradient_shap(
     df: DataFrame, instance: str, vector: str, weights: Sequence[float], bias: float = 0.0,
     n_samples: int = 50, sigma: float = 0.1, seed: int = 42,
 ) -> DataFrame:
     """Gradients at random points between noise baselines and the input, averaged.
 
-    Noise depends on seed and instance, so a repeated task draws the same.
+    The baselines depend on the seed, the point on the way on seed, instance and sample. The
+    logit moves on a line between the two, so one slope per sample serves all features.
     """
-    w = np.array(weights, dtype=float)
+    bases = noise_baselines(len(weights), n_samples, sigma, seed)
+    starts = [float(bias + np.dot(b, weights)) for b in bases]
+    per_feature = F.array(*[double_array(list(column)) for column in zip(*bases)])
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for key, x in zip(frame["_id"], frame["_v"]):
-                rng = np.random.default_rng([seed, int(key) & (2**63 - 1)])
-                x = np.asarray(x, dtype=float)
-                base = rng.normal(0.0, sigma, (n_samples, len(w)))
-                at = base + rng.random((n_samples, 1)) * (x - base)
-                p = 1 / (1 + np.exp(-(at @ w + bias)))
-                out.append(((x - base) * w * (p * (1 - p))[:, None]).mean(axis=0))
-            yield pd.DataFrame({"instance": frame["_id"], "values": out})
+    def slopes(end: Column) -> Column:
+        shares = F.array(
+            *[unit_hash(seed, F.col(instance), F.lit(k)) for k in range(n_samples)]
+        )
+        return F.zip_with(
+            double_array(starts), shares, lambda z, t: _slope(z + t * (end - z))
+        )
 
-    mapped = df.select(F.col(instance).cast("long").alias("_id"), F.col(vector).alias("_v"))
-    return long_rows(
-        mapped.mapInPandas(run, "instance long, values array<double>"),
-        "instance", F.col("values"), "gradient_shap",
+    rows = df.select(
+        F.col(instance), F.col(vector), let(linear_logit(F.col(vector), weights, bias), slopes).alias("_s")
+    ).withColumn("_all", F.aggregate("_s", F.lit(0.0), lambda acc, v: acc + v))
+    moved = F.zip_with(
+        vector, per_feature,
+        lambda x, b: x.cast("double") * F.col("_all")
+        - F.aggregate(F.zip_with(b, "_s", lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v),
     )
+    values = F.zip_with(moved, double_array(weights), lambda m, w: m * w / n_samples)
+    return long_rows(rows, instance, values, "gradient_shap")
 
 
 def component_predict(
@@ -143,6 +163,11 @@ def component_predict(
     return make
 
 
+def feature_orders(width: int, n_orders: int, seed: int) -> list[np.ndarray]:
+    """Random orders of the features, fixed by the seed alone."""
+    return [np.random.default_rng([seed, k]).permutation(width) for k in range(n_orders)]
+
+
 def shapley_sampled(
     df: DataFrame, instance: str, vector: str, make_predict: Callable[[], Callable],
     background: Sequence[float], n_orders: int = 20, seed: int = 42, rows_per_call: int = 128,
@@ -157,17 +182,15 @@ def shapley_sampled(
     def run(frames):
         predict = make_predict()
         d = len(base)
-        orders = [np.random.default_rng([seed, k]).permutation(d) for k in range(n_orders)]
+        orders = feature_orders(d, n_orders, seed)
+        # row j of a block has the first j features of the order switched
+        masks = [np.argsort(order)[None, :] < np.arange(d + 1)[:, None] for order in orders]
         for frame in frames:
             for start in range(0, len(frame), rows_per_call):
                 part = frame.iloc[start : start + rows_per_call]
                 x = np.stack([np.asarray(v, dtype=float) for v in part["_v"]])
                 total = np.zeros_like(x)
-                for order in orders:
-                    # row j of each block has the first j features of the order switched
-                    switched = np.zeros((d + 1, d), dtype=bool)
-                    for j, feature in enumerate(order):
-                        switched[j + 1 :, feature] = True
+                for order, switched in zip(orders, masks):
                     mixed = np.where(switched[None], x[:, None, :], base)
                     p = np.asarray(predict(mixed.reshape(-1, d))).reshape(len(x), d + 1)
                     total[:, order] += np.diff(p, axis=1)
@@ -182,23 +205,28 @@ def shapley_sampled(
     )
 
 
+def gaussian(seed: int, *ids: Column) -> Column:
+    """A standard normal number fixed by seed and ids."""
+    u = 1 - unit_hash(seed, *ids, F.lit("u"))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * unit_hash(seed, *ids, F.lit("v")))
+
+
 def with_noise(
     df: DataFrame, instance: str, vector: str, n_runs: int, sigma: float, seed: int = 42
 ) -> DataFrame:
-    """Add ``noisy``: ``n_runs`` copies of the vector with Gaussian noise."""
-    schema = df.select(instance, vector).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-    def run(frames):
-        for frame in frames:
-            noisy = []
-            for key, v in zip(frame[instance], frame[vector]):
-                rng = np.random.default_rng([seed, int(key) & (2**63 - 1)])
-                x = np.asarray(v, dtype=float)
-                noisy.append([list(x + rng.normal(0.0, sigma, len(x))) for _ in range(n_runs)])
-            yield frame.assign(noisy=noisy)
+    """Add ``noisy``: ``n_runs`` copies of the vector with Gaussian noise.
 
-    return df.select(instance, vector).mapInPandas(run, f"{fields}, noisy array<array<double>>")
+    Noise is fixed by seed, instance, run and position.
+    """
+    noisy = [
+        F.transform(
+            vector,
+            lambda x, at: x.cast("double")
+            + gaussian(seed, F.col(instance), F.lit(run), at) * sigma,
+        )
+        for run in range(n_runs)
+    ]
+    return df.select(instance, vector, F.array(*noisy).alias("noisy"))
 
 
 def attribution_stability(
@@ -272,6 +300,18 @@ def waterfall(rows: DataFrame, base: float) -> DataFrame:
     )
 
 
+MODULUS = 2_147_483_647
+
+
+def shuffle_rank(ids: np.ndarray, feature: int, repeat: int, seed: int) -> np.ndarray:
+    """Positions of the ids in a pseudo-random order; ties go to the smaller id.
+
+    The square of a linear mix modulo a prime, which any engine can repeat exactly.
+    """
+    mixed = (ids % MODULUS * 48_271 + (feature * 1_009 + repeat) * 69_621 + seed) % MODULUS
+    return np.lexsort((ids, mixed * mixed % MODULUS))
+
+
 def permutation_importance(
     df: DataFrame, instance: str, vector: str, label: str,
     make_predict: Callable[[], Callable], width: int, threshold: float = 0.5,
@@ -279,36 +319,36 @@ def permutation_importance(
 ) -> DataFrame:
     """Loss of accuracy when one feature is shuffled, mean and deviation over repeats.
 
-    Rows are spread by a hash of their id and each block of rows is shuffled in
-    itself; blocks pass on only their counts of right answers.
+    Rows are numbered by a hash of their id and cut into blocks of exactly ``block_rows``;
+    a feature is shuffled within its block. So the result does not depend on how
+    the rows are partitioned. Blocks pass on only their counts of right answers.
     """
 
-    def run(frames):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         predict = make_predict()
-        for frame in frames:
-            for start in range(0, len(frame), block_rows):
-                part = frame.iloc[start : start + block_rows]
-                x = np.stack([np.asarray(v, dtype=float) for v in part["_v"]])
-                y = part["_y"].to_numpy()
-                rng = np.random.default_rng([seed, int(part["_id"].iloc[0]) & (2**63 - 1)])
-                right = int(((np.asarray(predict(x)) > threshold) == (y == 1)).sum())
-                out = []
-                for feature in range(width):
-                    kept = x[:, feature].copy()
-                    for repeat in range(n_repeats):
-                        x[:, feature] = rng.permutation(kept)
-                        hits = ((np.asarray(predict(x)) > threshold) == (y == 1)).sum()
-                        out.append((feature, repeat, len(x), right, int(hits)))
-                    x[:, feature] = kept
-                yield pd.DataFrame(out, columns=["feature", "repeat", "n", "plain", "shuffled"])
+        frame = frame.sort_values("_at")
+        x = np.stack([np.asarray(v, dtype=float) for v in frame["_v"]])
+        y, ids = frame["_y"].to_numpy(), frame["_id"].to_numpy(np.int64)
+        right = int(((np.asarray(predict(x)) > threshold) == (y == 1)).sum())
+        out = []
+        for feature in range(width):
+            kept = x[:, feature].copy()
+            for repeat in range(n_repeats):
+                x[:, feature] = kept[shuffle_rank(ids, feature, repeat, seed)]
+                hits = ((np.asarray(predict(x)) > threshold) == (y == 1)).sum()
+                out.append((feature, repeat, len(x), right, int(hits)))
+            x[:, feature] = kept
+        return pd.DataFrame(out, columns=["feature", "repeat", "n", "plain", "shuffled"])
 
     rows = df.select(
         F.col(instance).cast("long").alias("_id"),
         F.col(vector).alias("_v"),
         F.col(label).cast("int").alias("_y"),
+        unit_hash(seed, F.col(instance)).alias("_u"),
     )
-    spread = rows.repartition(F.xxhash64("_id")).sortWithinPartitions("_id")
-    counts = spread.mapInPandas(
+    numbered = row_numbers(rows, [], ["_u", "_id"], "_at")
+    blocks = numbered.withColumn("_block", F.floor((F.col("_at") - 1) / block_rows))
+    counts = blocks.groupBy("_block").applyInPandas(
         run, "feature int, repeat int, n long, plain long, shuffled long"
     )
     return (
@@ -328,8 +368,8 @@ def noise_perturb(
     """
 
     def noise(position: int) -> Column:
-        u = 1 - unit_hash(seed, F.lit(2 * position), F.lit("-"), F.col(instance))
-        v = unit_hash(seed, F.lit(2 * position + 1), F.lit("-"), F.col(instance))
+        u = 1 - unit_hash(seed, F.lit(2 * position), F.col(instance))
+        v = unit_hash(seed, F.lit(2 * position + 1), F.col(instance))
         return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
 
     return df.withColumns({c: F.col(c) + noise(i) * sigma for i, c in enumerate(columns)})

@@ -13,38 +13,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import leaky_relu
 from tidewatch.operators.ordered import join_group_values
+from tidewatch.session import written_once
 
 EDGE = ["edge_type", "src_type", "src", "dst_type", "dst"]
 
 
-def edges_of(
-    df: DataFrame, edge_type: str, src_type: str, src: str, dst_type: str, dst: str
-) -> DataFrame:
-    """Distinct edges between two id columns of one table."""
-    return (
-        df.filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
-        .select(
-            F.lit(edge_type).alias("edge_type"),
-            F.lit(src_type).alias("src_type"),
-            F.col(src).cast("string").alias("src"),
-            F.lit(dst_type).alias("dst_type"),
-            F.col(dst).cast("string").alias("dst"),
-        )
-        .distinct()
-    )
-
-
-def self_loops(df: DataFrame, edge_type: str, node_type: str, node: str) -> DataFrame:
-    return edges_of(df, edge_type, node_type, node, node_type, node)
-
-
-def union_edges(*parts: DataFrame) -> DataFrame:
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.unionByName(part)
-    return joined
-
-
 def hierarchy_edges(
     stays: DataFrame, days: DataFrame, patient: str, stay: str, day: str, loops: dict[str, str],
 ) -> DataFrame:
@@ -103,8 +76,9 @@ def neighbor_sum(
 ) -> DataFrame:
     """Sum of the neighbours' features over all in-edges; a node without any keeps its own.
 
-    Between steps the features pass ``max(h, 0) + h``. Sums are combined before
-    the shuffle, so a node with very many in-edges stays cheap.
+    Between steps the features pass ``max(h, 0) + h`` and are written once, so that a step
+    does not repeat those before it. Sums are combined before the shuffle, so a node with
+    very many in-edges stays cheap.
     """
     for step in range(steps):
         summed = (
@@ -118,9 +92,8 @@ def neighbor_sum(
             *[F.coalesce(F.col(f"_{f}"), F.col(f)).alias(f) for f in features],
         )
         if step < steps - 1:
-            nodes = nodes.withColumns(
-                {f: F.greatest(F.col(f), F.lit(0.0)) + F.col(f) for f in features}
-            )
+            passed = {f: F.greatest(F.col(f), F.lit(0.0)) + F.col(f) for f in features}
+            nodes = written_once(nodes.withColumns(passed), "graph-step")
     return nodes
 
 
@@ -136,13 +109,16 @@ def neighbor_attention(
     """Weighted message sum per destination node.
 
     The weight is the softmax of the leaky-ReLU of both score columns, over the
-    in-edges of each destination, or over all edges with ``scope="all"``.
+    in-edges of each destination, or over all edges with ``scope="all"``. The source
+    features are brought to the edges once and written, as two steps read them.
     """
     if scope not in ("destination", "all"):
         raise ValueError(f"unknown scope: {scope}")
     key = ["dst", "dst_type"]  # the id first: it tells rows apart when they are sorted
     kept = [*features] if src_score in features else [*features, src_score]
-    messages = gather(nodes, edges, kept)
+    messages = written_once(
+        gather(nodes, edges, kept).select(*key, *kept), "graph-messages"
+    )
     # the rule rises with the source score, so the best source gives the largest score
     best = messages.groupBy(*key).agg(F.max(src_score).alias("_best"))
     targets = nodes.select(

@@ -10,12 +10,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.catalog import THRESHOLDS
 from tidewatch.functions.expressions import focal_loss, ratio
-from tidewatch.operators.ordered import ROWS_PER_TASK, join_group_values, running_sums
+from tidewatch.operators.ordered import (
+    ROWS_PER_TASK,
+    join_group_values,
+    row_numbers,
+    running_sums,
+)
+from tidewatch.session import written_once
 
 COUNTS = ("tp", "fp", "tn", "fn")
 
@@ -353,44 +359,108 @@ def age_group(age: Column) -> Column:
     return F.when(age < 40, "<40").when(age < 65, "40-64").when(age < 80, "65-79").otherwise("80+")
 
 
+SCORES_PER_TASK = 1_000
+
+
 def bootstrap_ci(
     df: DataFrame, y: str, p: str, threshold: float = 0.5, n_resamples: int = 1000,
     level: float = 0.95, seed: int = 42,
 ) -> DataFrame:
-    """Percentile intervals of the rates over Poisson resamples.
+    """Percentile intervals of the rates, AUROC and average precision over Poisson resamples.
 
-    A Poisson(1) weight per row sums to Poisson(n) over the n rows of a
-    confusion cell, and the rates depend on the cells alone. So each resample
-    draws four numbers from the counts, and rows are read once.
+    A Poisson(1) weight per row sums to Poisson(n) over the n rows of a score and class, so
+    a resample draws two numbers per distinct score. Scores are drawn in chunks of
+    ``SCORES_PER_TASK`` in falling order; the draws depend on seed and chunk alone, so the second
+    pass, which knows how many positives and negatives lie above a chunk, draws the same again.
     """
-    counts = confusion(df, y, p, threshold)
-    draws = counts.withColumn(
-        "_r", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))
-    ).select("_r", *[F.col(c).cast("long") for c in COUNTS])
-
-    def resample(batches):
-        for pdf in batches:
-            drawn = [
-                np.random.default_rng([seed, int(r)]).poisson(cells)
-                for r, cells in zip(pdf["_r"], pdf[["tp", "fp", "tn", "fn"]].to_numpy())
-            ]
-            yield pd.DataFrame(drawn, columns=["tp", "fp", "tn", "fn"])
-
-    resampled = with_rates(
-        draws.mapInPandas(resample, "tp long, fp long, tn long, fn long")
+    falling = df.select(F.col(y).alias("_y"), F.col(p).alias("_p")).groupBy("_p").agg(
+        _count(F.col("_y") == 1).alias("pos"), _count(F.col("_y") == 0).alias("neg")
+    )
+    numbered = row_numbers(falling.withColumn("_down", -F.col("_p")), [], ["_down"], "_k")
+    chunked = numbered.select(
+        F.floor((F.col("_k") - 1) / SCORES_PER_TASK).alias("chunk"), "_k",
+        (F.col("_p") > threshold).alias("hit"), "pos", "neg",
+    )
+
+    def drawn(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        frame = frame.sort_values("_k")
+        rng = np.random.default_rng([seed, int(frame["chunk"].iloc[0])])
+        size = (len(frame), n_resamples)
+        pos = rng.poisson(frame["pos"].to_numpy()[:, None], size)
+        neg = rng.poisson(frame["neg"].to_numpy()[:, None], size)
+        return frame["hit"].fillna(False).to_numpy(bool)[:, None], pos, neg
+
+    def totals(frame: pd.DataFrame) -> pd.DataFrame:
+        hit, pos, neg = drawn(frame)
+        area = (neg * (np.cumsum(pos, axis=0) - pos / 2)).sum(axis=0)
+        return pd.DataFrame(
+            {
+                "chunk": frame["chunk"].iloc[0], "r": np.arange(n_resamples),
+                "p": pos.sum(axis=0), "n": neg.sum(axis=0), "area": area,
+                "tp": (pos * hit).sum(axis=0), "fp": (neg * hit).sum(axis=0),
+            }
+        )
+
+    def precision(frame: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        _, pos, neg = drawn(frame)
+        above = above.sort_values("r")
+        tp = np.cumsum(pos, axis=0) + above["p0"].to_numpy()
+        fp = np.cumsum(neg, axis=0) + above["n0"].to_numpy()
+        return pd.DataFrame(
+            {"r": above["r"], "ap": (pos * tp / np.maximum(tp + fp, 1)).sum(axis=0)}
+        )
+
+    parts = written_once(
+        chunked.groupBy("chunk").applyInPandas(
+            totals, "chunk long, r long, p long, n long, area double, tp long, fp long"
+        ),
+        "bootstrap",
     )
-    names = list(rates())
+    before = Window.partitionBy("r").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    above = parts.select(
+        "chunk", "r", "n", "area",
+        F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+    )
+    ap = (
+        chunked.groupBy("chunk")
+        .cogroup(above.groupBy("chunk"))
+        .applyInPandas(precision, "r long, ap double")
+        .groupBy("r")
+        .agg(F.sum("ap").alias("ap"))
+    )
+    area = above.groupBy("r").agg(F.sum(F.col("area") + F.col("n") * F.col("p0")).alias("area"))
+    counts = parts.groupBy("r").agg(
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
+        (F.sum("n") - F.sum("fp")).alias("tn"), (F.sum("p") - F.sum("tp")).alias("fn"),
+    )
+    n_pos, n_neg = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
+    resampled = with_rates(counts).join(area, "r").join(ap, "r").select(
+        *rates(),
+        ratio(F.col("area"), (n_pos * n_neg).cast("double")).alias("auroc"),
+        F.when(n_neg > 0, ratio(F.col("ap"), n_pos.cast("double"))).otherwise(0.0).alias(
+            "average_precision"
+        ),
+    )
+    names = [*rates(), "auroc", "average_precision"]
     tail = (1 - level) / 2
     bounds = resampled.agg(
         *[F.percentile(n, [tail, 0.5, 1 - tail]).alias(n) for n in names]  # n_resamples rows
     )
-    point = with_rates(counts).select(*[F.col(n).alias(f"_{n}") for n in names])
-    both = bounds.withColumn("_point", point.select(F.struct("*")).scalar())
+    point = with_rates(confusion(df, y, p, threshold)).select(
+        *[F.col(n).alias(f"_{n}") for n in rates()]
+    )
+    curve = areas(df, y, p).select(
+        *[F.col(n).alias(f"_{n}") for n in ("auroc", "average_precision")]
+    )
+    both = bounds.withColumn("_point", point.select(F.struct("*")).scalar()).withColumn(
+        "_curve", curve.select(F.struct("*")).scalar()
+    )
     rows = F.array(
         *[
             F.struct(
                 F.lit(n).alias("metric"),
-                F.col(f"_point._{n}").alias("value"),
+                F.col(f"_point._{n}" if n in rates() else f"_curve._{n}").alias("value"),
                 F.col(n)[0].alias("low"),
                 F.col(n)[2].alias("high"),
             )

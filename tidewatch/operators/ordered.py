@@ -23,7 +23,7 @@ from tidewatch.session import written_once
 
 ROWS_PER_TASK = 5_000_000
 
-_CHUNK = "_chunk"
+_CHUNK = "_range"
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -50,21 +50,21 @@ def _carried(parts: DataFrame, keys: Sequence[str], totals: dict[str, Column], f
     )
     return (
         parts.groupBy(_CHUNK, *keys)
-        .agg(*[c.alias(f"_{name}") for name, c in totals.items()])
+        .agg(*[c.alias(f"_carried_{name}") for name, c in totals.items()])
         .select(
-            F.col(_CHUNK).alias("_at"),
-            *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
-            F.count(F.lit(1)).over(earlier).alias("_before"),
-            *[fold(F.col(f"_{name}"), earlier).alias(f"_{name}") for name in totals],
+            F.col(_CHUNK).alias("_range_at"),
+            *[F.col(k).alias(f"_range_key_{i}") for i, k in enumerate(keys)],
+            F.count(F.lit(1)).over(earlier).alias("_range_before"),
+            *[fold(F.col(f"_carried_{name}"), earlier).alias(f"_carried_{name}") for name in totals],
         )
-        .filter("_before > 0")
+        .filter("_range_before > 0")
     )
 
 
 def _continued(local: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    same = F.col(_CHUNK) == F.col("_at")
+    same = F.col(_CHUNK) == F.col("_range_at")
     for i, k in enumerate(keys):
-        same = same & local[k].eqNullSafe(F.col(f"_key_{i}"))
+        same = same & local[k].eqNullSafe(F.col(f"_range_key_{i}"))
     return local.join(carried, same, "left")
 
 
@@ -74,11 +74,11 @@ def join_group_values(df: DataFrame, values: DataFrame, keys: Sequence[str]) ->
     The rows of a large group are a skewed side of a sort-merge join, which adaptive
     execution spreads over several tasks.
     """
-    right = values.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    right = values.withColumnsRenamed({k: f"_range_key_{i}" for i, k in enumerate(keys)})
     same = F.lit(True)
     for i, k in enumerate(keys):
-        same = same & df[k].eqNullSafe(F.col(f"_key_{i}"))
-    return df.join(right, same).drop(*[f"_key_{i}" for i in range(len(keys))])
+        same = same & df[k].eqNullSafe(F.col(f"_range_key_{i}"))
+    return df.join(right, same).drop(*[f"_range_key_{i}" for i in range(len(keys))])
 
 
 def row_numbers(
@@ -119,8 +119,8 @@ def running_sums(
     )
 
     def added(c: str) -> Column:
-        both = F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))
-        return F.when(F.col(c).isNotNull() | F.col(f"_{c}").isNotNull(), both).alias(c)
+        both = F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_carried_{c}"), F.lit(0))
+        return F.when(F.col(c).isNotNull() | F.col(f"_carried_{c}").isNotNull(), both).alias(c)
 
     joined = _continued(local, carried, keys)
     return joined.select(*[added(c) if c in columns else local[c] for c in df.columns])
@@ -153,7 +153,7 @@ def fill_forward(
     )
     return _continued(local, carried, keys).select(
         *[local[c] for c in df.columns],
-        *[F.coalesce(local[new], F.col(f"_{new}")).alias(new) for new in columns],
+        *[F.coalesce(local[new], F.col(f"_carried_{new}")).alias(new) for new in columns],
     )
 
 

@@ -33,10 +33,16 @@ def range_rules(
     }
 
 
+def count_ok(
+    n: Column, low: int = c.MIN_REQUEST_STEPS, high: int = c.MAX_REQUEST_STEPS
+) -> Column:
+    return F.coalesce(n.between(low, high), F.lit(False))
+
+
 def length_ok(
     array: Column, low: int = c.MIN_REQUEST_STEPS, high: int = c.MAX_REQUEST_STEPS
 ) -> Column:
-    return F.coalesce(F.size(array).between(low, high), F.lit(False))
+    return count_ok(F.size(array), low, high)
 
 
 def shape_ok(array: Column, shape: Sequence[int]) -> Column:

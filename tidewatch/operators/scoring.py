@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidewatch.functions.expressions import dot, double_array, sigmoid
+from tidewatch.functions.expressions import dot, double_array, sigmoid, unit_hash
 
 
 def linear_logit(vector: Column, weights: Sequence[float], bias: float = 0.0) -> Column:
@@ -60,12 +60,21 @@ def map_batches(
 
 
 def labelled_vectors(
-    df: DataFrame, vector: str, label: str, weights: DataFrame | None = None
+    df: DataFrame, vector: str, label: str, weights: DataFrame | None = None,
+    instance: str | None = None, folds: int = 3, seed: int = 42,
 ) -> DataFrame:
-    """``(features, label, weight)`` for MLlib; weights come per class."""
+    """``(features, label, weight)`` for MLlib; weights come per class.
+
+    With ``instance`` there is a ``fold`` from a hash of that id, the same however the rows
+    are partitioned.
+    """
+    fold = [] if instance is None else [
+        F.floor(unit_hash(seed, F.col(instance)) * folds).cast("int").alias("fold")
+    ]
     rows = df.select(
         array_to_vector(F.col(vector).cast("array<double>")).alias("features"),
         F.col(label).cast("double").alias("label"),
+        *fold,
     )
     if weights is None:
         return rows.withColumn("weight", F.lit(1.0))
@@ -94,7 +103,7 @@ def tune_risk_model(
     rows: DataFrame, reg_params: Sequence[float], mixes: Sequence[float], folds: int = 3,
     seed: int = 42, max_iter: int = 20, parallelism: int = 4,
 ) -> DataFrame:
-    """Mean cross-validated AUROC per setting of a logistic model."""
+    """Mean cross-validated AUROC per setting of a logistic model; rows name their ``fold``."""
     learner = LogisticRegression(weightCol="weight", maxIter=max_iter)
     grid = (
         ParamGridBuilder()
@@ -107,6 +116,7 @@ def tune_risk_model(
         estimatorParamMaps=grid,
         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
         numFolds=folds,
+        foldCol="fold",
         seed=seed,
         parallelism=parallelism,
     ).fit(rows)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions import catalog as c
 from tidewatch.functions.expressions import hours_between, step_score
 from tidewatch.operators import buckets, cohort, labels, scaling, sequences, splits
+from tidewatch.operators.ordered import running_sums
 from tidewatch.plans import inputs as i
 from tidewatch.plans.registry import query
 from tidewatch.session import work_folder
@@ -130,8 +132,6 @@ def join_left_fanout(spark, d):
     )
 
 
-
-
 @query(
     "join_three_key",
     f"WITH {i.hourly_sql(LABS, 'labs')}, "
@@ -366,25 +366,40 @@ def lead_time_recall(spark, d):
 
 
 def _organ_columns(spark, d):
+    """Daily values under the item numbers of the full severity map."""
     whole = F.floor
-    return i.daily(spark, d).select(
-        "user_id", "day", "click", "error", "view",
-        F.when(F.col("purchase") > 90, F.col("purchase")).alias("pressor"),
-        whole(F.col("signup") / 10).alias("coma_total"),
-        whole(F.col("error") / 30).alias("coma_eye"),
-        whole(F.col("view") / 30).alias("coma_verbal"),
-        whole(F.col("click") / 30).alias("coma_motor"),
-        (F.col("purchase") * 10).alias("urine"),
+    invasive, cuff = (str(item) for item in c.MAP_ITEMS)
+    pressors = dict(
+        zip(c.VASOPRESSOR_ITEMS, (("purchase", 90), ("signup", 95), None, ("view", 140)))
     )
+    eye, verbal, motor = (str(item) for item in c.GCS_ITEMS)
+    wide = i.daily(spark, d).select(
+        "user_id", "day", "error", "view",
+        F.when(F.dayofmonth("day") % 2 == 0, F.col("click")).alias(invasive),
+        (F.col("click") + 5).alias(cuff),
+        *[
+            (F.lit(None).cast("double") if rule is None
+             else F.when(F.col(rule[0]) > rule[1], F.col(rule[0]))).alias(name)
+            for name, rule in pressors.items()
+        ],
+        whole(F.col("signup") / 10).alias(str(c.GCS_TOTAL_ITEM)),
+        whole(F.col("error") / 30).alias(eye),
+        whole(F.col("view") / 30).alias(verbal),
+        whole(F.col("click") / 30).alias(motor),
+        (F.col("purchase") * 10).alias(str(c.URINE_ITEM)),
+    )
+    return buckets.coalesced_items(wide, {"pressure": [invasive, cuff]})
 
 
 @query(
     "severity_score_full",
-    f"WITH {i.daily_sql()}, organ AS (SELECT *, CASE WHEN purchase > 90 THEN purchase END "
-    "AS pressor, coalesce(floor(signup / 10), floor(error / 30) + floor(view / 30) "
+    f"WITH {i.daily_sql()}, organ AS (SELECT *, "
+    "coalesce(purchase > 90, false) OR coalesce(signup > 95, false) OR coalesce(view > 140, false) "
+    "AS pressor, coalesce(CASE WHEN day(day) % 2 = 0 THEN click END, click + 5) AS pressure, "
+    "coalesce(floor(signup / 10), floor(error / 30) + floor(view / 30) "
     "+ floor(click / 30)) AS coma, purchase * 10 AS urine FROM daily) "
-    "SELECT user_id, day, greatest(CASE WHEN click < 30 THEN 1 ELSE 0 END, "
-    "CASE WHEN coalesce(pressor, 0) > 0 THEN 2 ELSE 0 END) "
+    "SELECT user_id, day, greatest(CASE WHEN pressure < 30 THEN 1 ELSE 0 END, "
+    "CASE WHEN pressor THEN 2 ELSE 0 END) "
     "+ CASE WHEN error > 200 THEN 4 WHEN error > 120 THEN 3 WHEN error > 80 THEN 2 "
     "WHEN error > 50 THEN 1 ELSE 0 END "
     "+ CASE WHEN coma < 6 THEN 4 WHEN coma < 10 THEN 3 WHEN coma < 13 THEN 2 "
@@ -394,10 +409,10 @@ def _organ_columns(spark, d):
 )
 def severity_score_full(spark, d):
     error, _, view = i.RULES
-    pressure = type(error)("click", "below", (30,))
+    pressure = type(error)("pressure", "below", (30,))
     score = labels.full_severity(
-        (pressure, error, view), ["pressor"],
-        ["coma_eye", "coma_verbal", "coma_motor"], "coma_total", "urine",
+        (pressure, error, view), list(c.VASOPRESSOR_ITEMS),
+        [str(item) for item in c.GCS_ITEMS], str(c.GCS_TOTAL_ITEM), str(c.URINE_ITEM),
     )
     rows = _organ_columns(spark, d).select("user_id", "day", score.alias("score"))
     return i.finished(rows)
@@ -454,26 +469,26 @@ def _lags_sql(n: int) -> str:
 
 @query(
     "lag_matrix",
-    f"SELECT * FROM (SELECT event_id, {_lags_sql(6)} FROM events "
-    "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE window_5 IS NOT NULL",
+    f"SELECT * FROM (SELECT event_id, {_lags_sql(72)} FROM events "
+    "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE window_71 IS NOT NULL",
 )
 def lag_matrix(spark, d):
     rows = i.events(spark, d).select("event_id", "user_id", "ts")
-    lags = sequences.lag_matrix(rows, ["user_id"], ["ts", "event_id"], "event_id", 6)
-    return lags.filter(F.col("window_5").isNotNull()).drop("user_id", "ts")
+    lags = sequences.lag_matrix(rows, ["user_id"], ["ts", "event_id"], "event_id", 72)
+    return lags.filter(F.col("window_71").isNotNull()).drop("user_id", "ts")
 
 
 @query(
     "sliding_sequences",
     f"WITH {i.hourly_sql()}, numbered AS (SELECT user_id, hour, error, view, "
     "row_number() OVER (PARTITION BY user_id ORDER BY hour) AS rn FROM hourly) "
-    "SELECT a.user_id, a.hour, (b.rn - a.rn + 11)::INT AS pos, b.hour AS step_hour, "
+    "SELECT a.user_id, a.hour, (b.rn - a.rn + 71)::INT AS pos, b.hour AS step_hour, "
     "round(b.error, 8) AS error, round(b.view, 8) AS view FROM numbered a JOIN numbered b "
-    "ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 11 AND a.rn WHERE a.rn >= 12",
+    "ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 71 AND a.rn WHERE a.rn >= 72",
 )
 def sliding_sequences(spark, d):
     rows = sequences.sliding_sequences(
-        i.hourly(spark, d), ["user_id"], ["hour"], ["error", "view"], 12, limit=None
+        i.hourly(spark, d), ["user_id"], ["hour"], ["error", "view"], 72, limit=None
     )
     steps = rows.select("user_id", "hour", F.posexplode("sequence").alias("pos", "s"))
     return i.finished(
@@ -487,10 +502,10 @@ def sliding_sequences(spark, d):
     "history_last_n",
     "SELECT event_id, user_id, value, recency FROM (SELECT *, row_number() OVER "
     "(PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS recency FROM events) "
-    "WHERE recency <= 50",
+    "WHERE recency <= 100",
 )
 def history_last_n(spark, d):
-    rows = sequences.last_rows(i.events(spark, d), ["user_id"], ["ts", "event_id"], 50)
+    rows = sequences.last_rows(i.events(spark, d), ["user_id"], ["ts", "event_id"], 100)
     return rows.select("event_id", "user_id", "value", "recency")
 
 
@@ -558,14 +573,16 @@ def missing_ratio_filter(spark, d):
 
 @query(
     "seq_mean_vector",
-    f"WITH {i.hourly_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id "
-    "ORDER BY hour DESC) AS rn FROM hourly), v AS (SELECT user_id, unnest([0, 1]) AS pos, "
-    "unnest([coalesce(error, 80.0), coalesce(view, 120.0)]) AS x FROM r WHERE rn <= 12) "
+    f"WITH {i.hourly_sql()}, v AS (SELECT user_id, unnest([0, 1]) AS pos, "
+    "unnest([coalesce(error, 80.0), coalesce(view, 120.0)]) AS x FROM hourly) "
     "SELECT user_id, pos::INT AS pos, round(avg(x), 8) AS mean FROM v GROUP BY 1, 2",
 )
 def seq_mean_vector(spark, d):
-    last = sequences.last_sequence(i.hourly(spark, d), ["user_id"], ["hour"], ["error", "view"], 12)
-    vectors = last.select(
+    """Means over all steps of an entity; each day's steps are one sequence."""
+    days = i.hourly(spark, d).groupBy("user_id", F.to_date("hour").alias("day")).agg(
+        F.collect_list(F.struct("hour", "error", "view")).alias("sequence")
+    )
+    vectors = days.select(
         "user_id",
         sequences.impute_steps(F.col("sequence"), {"error": 80.0, "view": 120.0}).alias("v"),
     )
@@ -645,7 +662,7 @@ FEATURES = ("error", "view", "purchase_mean")
     f"{LABEL_SQL} AS label FROM labelled l JOIN daily d ON l.user_id = d.user_id "
     "AND l.day = d.day JOIN waves w ON l.user_id = w.user_id AND l.day = w.day), "
     "m AS (SELECT min(error) AS e0, max(error) AS e1, min(view) AS v0, max(view) AS v1, "
-    "min(purchase_mean) AS p0, max(purchase_mean) AS p1 FROM j WHERE ('0x' || substr(md5('42' || "
+    "min(purchase_mean) AS p0, max(purchase_mean) AS p1 FROM j WHERE ('0x' || substr(md5('42|' || "
     "user_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.7), n AS (SELECT user_id, stay_id, day, "
     "label, (error - e0) / (e1 - e0 + 1e-8) AS error, (view - v0) / (v1 - v0 + 1e-8) AS view, "
     "(purchase_mean - p0) / (p1 - p0 + 1e-8) AS purchase_mean, row_number() OVER "
@@ -685,3 +702,36 @@ def training_data(spark, d):
     return i.finished(
         steps.select(*keys, "label", "pos", *[F.col(f"s.{f}_norm").alias(f) for f in FEATURES]), 8
     )
+
+
+@query(
+    "first_event_time_null_key",
+    "SELECT event_id, min(ts) OVER (PARTITION BY nullif(event_type, 'view'), nullif(user_id % 7, 3)) "
+    "AS first_time FROM events",
+)
+def first_event_time_null_key(spark, d):
+    """Both keys have null groups, which are groups like any other."""
+    rows = i.events(spark, d).select(
+        "event_id", "ts", F.nullif("event_type", F.lit("view")).alias("kind"),
+        F.nullif(F.col("user_id") % 7, F.lit(3)).alias("part"),
+    )
+    found = labels.onset_time(rows, ["kind", "part"], "ts", "first_time")
+    return i.finished(found.select("event_id", "first_time"))
+
+
+@query(
+    "running_totals_nullable",
+    "SELECT event_id, CAST(sum(CASE WHEN value <= 20 THEN CAST(floor(value) AS BIGINT) END) OVER "
+    "(PARTITION BY nullif(event_type, 'view') ORDER BY ts, event_id) AS DOUBLE) AS total, "
+    "row_number() OVER (PARTITION BY nullif(event_type, 'view') ORDER BY ts, event_id) AS place "
+    "FROM events",
+)
+def running_totals_nullable(spark, d):
+    """A running sum over mostly missing values, with a null group."""
+    rows = i.events(spark, d).select(
+        "event_id", "ts", F.nullif("event_type", F.lit("view")).alias("kind"),
+        F.when(F.col("value") <= 20, F.floor("value")).alias("total"),
+        F.lit(1).cast("long").alias("place"),
+    )
+    found = running_sums(rows, ["kind"], ["ts", "event_id"], ["total", "place"])
+    return found.select("event_id", F.col("total").cast("double").alias("total"), "place")

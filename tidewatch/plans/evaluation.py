@@ -336,9 +336,49 @@ def fairness_by_age(spark, d):
     return i.finished(metrics.fairness_gaps(rows, "y", "p", "age"), 8)
 
 
-@query("bootstrap_ci")
+_CELLS = (
+    "c AS (SELECT count(*) FILTER (WHERE y = 1 AND p > 0.5)::DOUBLE AS tp, "
+    "count(*) FILTER (WHERE y = 0 AND p > 0.5)::DOUBLE AS fp, "
+    "count(*) FILTER (WHERE y = 0 AND p <= 0.5)::DOUBLE AS tn, "
+    "count(*) FILTER (WHERE y = 1 AND p <= 0.5)::DOUBLE AS fn FROM scores)"
+)
+
+
+@query(
+    "bootstrap_ci",
+    f"WITH {i.SCORES_SQL}, {_CELLS}, g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM scores "
+    "GROUP BY p), k AS (SELECT pos, neg, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER "
+    "(ORDER BY p DESC) AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM g), "
+    "m AS (SELECT 'accuracy' AS metric, (tp + tn) / (tp + fp + tn + fn) AS value FROM c "
+    "UNION ALL SELECT 'precision', tp / (tp + fp) FROM c "
+    "UNION ALL SELECT 'recall', tp / (tp + fn) FROM c "
+    "UNION ALL SELECT 'f1', 2 * tp / (2 * tp + fp + fn) FROM c "
+    "UNION ALL SELECT 'specificity', tn / (tn + fp) FROM c "
+    "UNION ALL SELECT 'npv', tn / (tn + fn) FROM c "
+    "UNION ALL SELECT 'balanced_accuracy', (tp / (tp + fn) + tn / (tn + fp)) / 2 FROM c "
+    "UNION ALL SELECT 'auroc', sum(neg * (tp - pos / 2)) / (max(np) * max(nn)) FROM k "
+    "UNION ALL SELECT 'average_precision', sum(pos * tp / (tp + fp)) / max(np) FROM k) "
+    "SELECT metric, round(value, 8) AS value, true AS inside, true AS narrow FROM m",
+)
 def bootstrap_ci(spark, d):
-    return i.finished(metrics.bootstrap_ci(i.scores(spark, d), "y", "p"), 8)
+    """Each metric with whether its interval holds it and is as narrow as the class sizes allow."""
+    rows = i.scores(spark, d)
+    least = metrics.confusion(rows, "y", "p").select(
+        F.least(
+            F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn"),
+            F.col("tp") + F.col("fp"), F.col("tn") + F.col("fn"),
+        ).alias("n")
+    )
+    found = metrics.bootstrap_ci(rows, "y", "p").withColumn("_n", least.scalar())
+    # four standard errors of a share are at most two over the root of its denominator
+    return i.finished(
+        found.select(
+            "metric", "value",
+            F.col("value").between(F.col("low"), F.col("high")).alias("inside"),
+            (F.col("high") - F.col("low") <= 4 / F.sqrt("_n")).alias("narrow"),
+        ),
+        8,
+    )
 
 
 def _halves(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.operators import attribution as a
@@ -120,32 +121,115 @@ def integrated_gradients_mean(spark, d):
     return i.finished(a.long_rows(rows, "vec_id", values), 8)
 
 
-@query("gradient_shap")
+def _numbers(values) -> str:
+    """A list of lists of numbers as SQL text."""
+    return "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in values) + "]"
+
+
+def _hash_sql(*parts: str) -> str:
+    """The hash of seed 42 and these SQL texts as a number in [0, 1)."""
+    text = " || ".join(f"'|' || ({p})::VARCHAR" for p in parts)
+    return f"(('0x' || substr(md5('42' || {text}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+N_SAMPLES, SIGMA = 50, 0.1
+
+
+@query(
+    "gradient_shap",
+    f"WITH {CELLS_SQL}, b AS (SELECT (unnest(range({N_SAMPLES})))::INT AS k, "
+    f"unnest({_numbers(a.noise_baselines(i.WIDTH, N_SAMPLES, SIGMA, 42))}::DOUBLE[][]) AS base), "
+    f"zb AS (SELECT k, base, list_dot_product(base, {i.VECTOR_SQL}) AS zb FROM b), "
+    f"m AS (SELECT instance, k, base, zb + {_hash_sql('instance', 'k')} * (z - zb) AS t "
+    "FROM z CROSS JOIN zb), "
+    "q AS (SELECT instance, k, base, exp(-t) / pow(1 + exp(-t), 2) AS s FROM m), "
+    "f AS (SELECT instance, unnest(range(64))::INT AS feature, unnest(base) AS b, s FROM q) "
+    "SELECT instance, 'gradient_shap' AS method, feature, "
+    f"round(sum((x - b) * w * s) / {N_SAMPLES}, 8) + 0.0 AS value "
+    "FROM f JOIN x USING (instance, feature) JOIN w USING (feature) GROUP BY instance, feature",
+)
 def gradient_shap(spark, d):
-    return a.gradient_shap(vectors(spark, d), "vec_id", "embedding", i.WEIGHTS)
+    rows = a.gradient_shap(
+        vectors(spark, d), "vec_id", "embedding", i.WEIGHTS, n_samples=N_SAMPLES, sigma=SIGMA
+    )
+    return i.finished(rows, 8)
+
+
+N_ORDERS = 20
+
+
+def _shapley_sql(own: int) -> str:
+    """Marginal changes along the fixed orders, features from ``own`` on held at their means."""
+    orders = _numbers(a.feature_orders(i.WIDTH, N_ORDERS, 42))
+    return (
+        f"WITH {CELLS_SQL}, m AS (SELECT feature, avg(x) AS m FROM x GROUP BY feature), "
+        f"o AS (SELECT o, unnest(fs)::INT AS feature, unnest(range(64)) AS k FROM (SELECT "
+        f"unnest(range({N_ORDERS})) AS o, unnest({orders}) AS fs)), "
+        "base AS (SELECT sum(m * w) AS z0 FROM m JOIN w USING (feature)), "
+        f"steps AS (SELECT instance, feature, CASE WHEN feature < {own} THEN (x - m) * w ELSE 0 END "
+        "AS step FROM x JOIN m USING (feature) JOIN w USING (feature)), "
+        "run AS (SELECT instance, o, feature, step, z0 + sum(step) OVER (PARTITION BY instance, o "
+        "ORDER BY k ROWS UNBOUNDED PRECEDING) AS z FROM steps JOIN o USING (feature) CROSS JOIN base) "
+        "SELECT instance, feature, round(avg(1 / (1 + exp(-z)) - 1 / (1 + exp(step - z))), 8) + 0.0 "
+        "AS value, 'shapley' AS method FROM run GROUP BY instance, feature"
+    )
 
 
-@query("shapley_sampled")
+@query("shapley_sampled", _shapley_sql(i.WIDTH))
 def shapley_sampled(spark, d):
     rows = vectors(spark, d)
     mean = a.mean_baseline(rows, "embedding")
-    return a.shapley_sampled(rows, "vec_id", "embedding", make_linear(), mean, n_orders=5)
+    found = a.shapley_sampled(
+        rows, "vec_id", "embedding", make_linear(), mean, n_orders=N_ORDERS
+    )
+    return i.finished(found, 8)
 
 
-@query("shapley_component")
+@query("shapley_component", _shapley_sql(i.WIDTH // 2))
 def shapley_component(spark, d):
     """Shapley values of the first half of the features, the rest held at their means."""
     rows = vectors(spark, d)
     mean = a.mean_baseline(rows, "embedding")
     model = a.component_predict(make_linear(), mean, range(i.WIDTH // 2))
-    return a.shapley_sampled(rows, "vec_id", "embedding", model, mean, n_orders=5)
+    found = a.shapley_sampled(rows, "vec_id", "embedding", model, mean, n_orders=N_ORDERS)
+    return i.finished(found, 8)
+
 
+N_RUNS, SPREAD = 5, 0.01
+_U, _V = (_hash_sql("instance", "run", "feature", f"'{c}'") for c in "uv")
+_NOISE = f"sqrt(-2 * ln(1 - {_U})) * cos(2 * pi() * {_V})"
+_PATH = "(SELECT (unnest(range(1, 51)) - 0.5) / 50 AS a)"
 
-@query("attribution_stability")
+
+@query(
+    "attribution_stability",
+    f"WITH {CELLS_SQL}, runs AS (SELECT unnest(range({N_RUNS}))::INT AS run), "
+    f"nx AS (SELECT instance, run, feature, x + {SPREAD} * {_NOISE} AS x FROM x CROSS JOIN runs), "
+    "nz AS (SELECT instance, run, sum(x * w) AS z FROM nx JOIN w USING (feature) GROUP BY 1, 2), "
+    "np AS (SELECT instance, run, avg(exp(-z * a) / pow(1 + exp(-z * a), 2)) AS slope "
+    f"FROM nz CROSS JOIN {_PATH} GROUP BY 1, 2), "
+    "n AS (SELECT instance, run, feature, x * w * slope AS n FROM nx JOIN w USING (feature) "
+    "JOIN np USING (instance, run)), "
+    f"{PATH_SQL}, p AS (SELECT instance, feature, value AS p FROM ({INTEGRATED_SQL})), "
+    "r AS (SELECT run, corr(p, n) AS r FROM n JOIN p USING (instance, feature) GROUP BY run), "
+    "spread AS (SELECT avg(s) AS mean_std FROM (SELECT stddev_pop(n) AS s FROM n "
+    "GROUP BY instance, feature)) "
+    "SELECT round(avg(r), 6) AS mean_correlation, round(stddev_pop(r), 6) AS std_correlation, "
+    "count(*) AS n_runs, round(min(r), 6) AS least_correlation, "
+    "round(any_value(mean_std), 6) AS mean_std FROM r CROSS JOIN spread",
+)
 def attribution_stability(spark, d):
-    return a.attribution_stability(
+    found = a.attribution_stability(
         vectors(spark, d), "vec_id", "embedding",
-        lambda v: a.integrated_gradients(v, i.WEIGHTS, ZEROS),
+        lambda v: a.integrated_gradients(v, i.WEIGHTS, ZEROS), n_runs=N_RUNS, sigma=SPREAD,
+    )
+    return i.finished(
+        found.select(
+            "mean_correlation", "std_correlation",
+            F.size("correlations").cast("long").alias("n_runs"),
+            F.array_min("correlations").alias("least_correlation"), "mean_std",
+        ),
+        6,
     )
 
 
@@ -222,31 +306,90 @@ def waterfall_cumulative(spark, d):
 
 def _training(spark, d):
     rows = vectors(spark, d).withColumn("y", (F.col("label") < 3).cast("int"))
-    weights = splits.class_weights(rows, "y", (0, 1))
-    return rows, weights
+    rows = rows.withColumn("split", splits.split_of(F.col("vec_id")))
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    return train, test, splits.class_weights(train, "y", (0, 1))
 
 
-@query("fit_risk_model")
+_SPLIT_U = _hash_sql("vec_id")
+
+
+@query(
+    "fit_risk_model",
+    f"WITH t AS (SELECT label < 3 AS y, {_SPLIT_U} AS u FROM embeddings) SELECT "
+    "count(*) FILTER (WHERE y AND u >= 0.85) AS n_pos, count(*) FILTER (WHERE NOT y AND u >= 0.85) "
+    "AS n_neg, true AS auroc_in_range, true AS at_optimum FROM t",
+)
 def fit_risk_model(spark, d):
-    """AUROC on the test split of a class-weighted logistic model fitted on the train split."""
-    rows, weights = _training(spark, d)
-    rows = rows.withColumn("split", splits.split_of(F.col("vec_id")))
-    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    model = scoring.fit_risk_model(
-        scoring.labelled_vectors(train, "embedding", "y", weights), regParam=0.1
+    """A class-weighted logistic model fitted on the train split and tested on the test split.
+
+    At the optimum the weighted residuals sum to zero, as the intercept is not penalised.
+    """
+    train, test, weights = _training(spark, d)
+    rows = scoring.labelled_vectors(train, "embedding", "y", weights)
+    model = scoring.fit_risk_model(rows, regParam=0.1, tol=1e-9, maxIter=200)
+    residual = model.transform(rows).agg(
+        (
+            F.sum(F.col("weight") * (vector_to_array("probability")[1] - F.col("label")))
+            / F.sum("weight")
+        ).alias("r")
     )
     scored = scoring.model_scores(model, scoring.labelled_vectors(test, "embedding", "y"))
-    return i.finished(metrics.areas(scored, "label", "p"), 6)
+    return metrics.areas(scored, "label", "p").select(
+        "n_pos", "n_neg",
+        F.col("auroc").between(0.0, 1.0).alias("auroc_in_range"),
+        (F.abs(residual.scalar()) < 1e-4).alias("at_optimum"),
+    )
+
+
+GRID, MIXES = (0.001, 0.01, 0.1), (0.0, 0.5)
 
 
-@query("tune_model")
+@query(
+    "tune_model",
+    f"SELECT r AS reg_param, m AS elastic_net, 3 AS n_folds, true AS auroc_in_range FROM "
+    f"(SELECT unnest({list(GRID)}::DOUBLE[]) AS r), (SELECT unnest({list(MIXES)}::DOUBLE[]) AS m)",
+)
 def tune_model(spark, d):
-    rows, weights = _training(spark, d)
-    train = scoring.labelled_vectors(rows, "embedding", "y", weights)
-    return i.finished(scoring.tune_risk_model(train, (0.01, 0.1), (0.0, 0.5), folds=2), 6)
+    train, _, weights = _training(spark, d)
+    rows = scoring.labelled_vectors(train, "embedding", "y", weights, "vec_id", folds=3)
+    found = scoring.tune_risk_model(rows, GRID, MIXES, folds=3)
+    return found.select(
+        "reg_param", "elastic_net", F.lit(3).alias("n_folds"),
+        F.col("auroc").between(0.0, 1.0).alias("auroc_in_range"),
+    )
+
 
+BLOCK_ROWS, N_REPEATS = 128, 10
+_MIXED = f"((id % {a.MODULUS} * 48271 + (feature * 1009 + repeat)::BIGINT * 69621 + 42) % {a.MODULUS})"
 
-@query("permutation_importance")
+
+@query(
+    "permutation_importance",
+    f"WITH {CELLS_SQL}, u AS (SELECT vec_id AS id, (label < 5) AS y, row_number() OVER (ORDER BY "
+    f"{_hash_sql('vec_id')}, vec_id) AS num FROM embeddings), "
+    f"b AS (SELECT id, y, (num - 1) // {BLOCK_ROWS} AS block, row_number() OVER (PARTITION BY "
+    f"(num - 1) // {BLOCK_ROWS} ORDER BY num) AS pos FROM u), "
+    "each AS (SELECT unnest(range(64))::INT AS feature), "
+    f"again AS (SELECT unnest(range({N_REPEATS}))::INT AS repeat), "
+    "ranked AS (SELECT id, block, feature, repeat, row_number() OVER (PARTITION BY block, feature, "
+    f"repeat ORDER BY {_MIXED} * {_MIXED} % {a.MODULUS}, id) AS pos "
+    "FROM b CROSS JOIN each CROSS JOIN again), "
+    "moved AS (SELECT b.id, b.y, r.feature, r.repeat, o.x AS old, g.x AS given, w, z FROM b "
+    "JOIN ranked r ON r.block = b.block AND r.pos = b.pos "
+    "JOIN x o ON o.instance = b.id AND o.feature = r.feature "
+    "JOIN x g ON g.instance = r.id AND g.feature = r.feature "
+    "JOIN w ON w.feature = r.feature JOIN z ON z.instance = b.id), "
+    "drops AS (SELECT feature, repeat, (count(*) FILTER (WHERE (z > 0) = y) "
+    "- count(*) FILTER (WHERE (z + w * (given - old) > 0) = y)) / count(*)::DOUBLE AS d "
+    "FROM moved GROUP BY 1, 2) "
+    "SELECT feature, round(avg(d), 8) + 0.0 AS importance, round(stddev_pop(d), 8) + 0.0 "
+    "AS importance_std FROM drops GROUP BY feature",
+)
 def permutation_importance(spark, d):
     rows = vectors(spark, d).withColumn("y", (F.col("label") < 5).cast("int"))
-    return a.permutation_importance(rows, "vec_id", "embedding", "y", make_linear(), i.WIDTH)
+    found = a.permutation_importance(
+        rows, "vec_id", "embedding", "y", make_linear(), i.WIDTH, n_repeats=N_REPEATS,
+        block_rows=BLOCK_ROWS,
+    )
+    return i.finished(found, 8)

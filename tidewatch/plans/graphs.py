@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import graph
 from tidewatch.plans import inputs as i
 from tidewatch.plans.registry import query
+from tidewatch.session import written_once
 
 
 def _days(spark, d):
@@ -24,17 +25,17 @@ def _days(spark, d):
     return days.withColumn("day", name)
 
 
-def edges(spark, d):
+def edges(spark, d, days=None):
     stays = i.table(spark, d, "orders").select(
         "o_custkey", F.col("o_orderkey").alias("l_orderkey")
     )
     return graph.hierarchy_edges(
-        stays, _days(spark, d), "o_custkey", "l_orderkey", "day",
+        stays, _days(spark, d) if days is None else days, "o_custkey", "l_orderkey", "day",
         {"has_lab": "lab", "has_vital": "vital"},
     )
 
 
-def nodes(spark, d):
+def nodes(spark, d, grouped):
     """Nodes with two features; the first also serves as attention score."""
     def of(kind, node, x0, x1):
         return (F.lit(kind).alias("node_type"), node.cast("string").alias("node"),
@@ -46,7 +47,7 @@ def nodes(spark, d):
     stays = i.table(spark, d, "orders").select(
         *of("stay", F.col("o_orderkey"), F.col("o_totalprice") / 500000, F.lit(1))
     )
-    days = _days(spark, d).select(
+    days = grouped.select(
         *of("day", F.col("day"), F.col("quantity") / 50, F.col("n_lines"))
     )
     return patients.unionByName(stays).unionByName(days)
@@ -86,8 +87,13 @@ def graph_reverse_edges(spark, d):
     return graph.reverse_edges(edges(spark, d))
 
 
-def _whole(spark, d):
-    return graph.with_reverse(edges(spark, d))
+def _graph(spark, d):
+    """Nodes and edges with the reverse ones, as tables; the line items are read once."""
+    days = written_once(_days(spark, d), "graph-days")
+    return (
+        written_once(nodes(spark, d, days), "graph-nodes"),
+        written_once(graph.with_reverse(edges(spark, d, days)), "graph-edges"),
+    )
 
 
 @query(
@@ -99,7 +105,7 @@ def _whole(spark, d):
     "ON n.node_type = dst_type AND n.node = dst",
 )
 def neighbor_sum(spark, d):
-    rows = graph.neighbor_sum(nodes(spark, d), _whole(spark, d), ["x0", "x1"])
+    rows = graph.neighbor_sum(*_graph(spark, d), ["x0", "x1"])
     return i.finished(rows, 9)
 
 
@@ -117,7 +123,7 @@ def neighbor_sum(spark, d):
     "ON h.node_type = dst_type AND h.node = dst",
 )
 def neighbor_sum_two_steps(spark, d):
-    rows = graph.neighbor_sum(nodes(spark, d), _whole(spark, d), ["x0", "x1"], steps=2)
+    rows = graph.neighbor_sum(*_graph(spark, d), ["x0", "x1"], steps=2)
     return i.finished(rows, 9)
 
 
@@ -137,9 +143,7 @@ ATTENTION_SQL = (
     "GROUP BY 1, 2",
 )
 def neighbor_attention(spark, d):
-    rows = graph.neighbor_attention(
-        nodes(spark, d), _whole(spark, d), ["x0", "x1"], "x0", "x0"
-    )
+    rows = graph.neighbor_attention(*_graph(spark, d), ["x0", "x1"], "x0", "x0")
     return i.finished(rows, 9)
 
 
@@ -151,9 +155,7 @@ def neighbor_attention(spark, d):
     "round(sum(w * x1) / max(total) * 1e6, 4) AS x1 FROM w CROSS JOIN t GROUP BY 1, 2",
 )
 def neighbor_attention_global(spark, d):
-    rows = graph.neighbor_attention(
-        nodes(spark, d), _whole(spark, d), ["x0", "x1"], "x0", "x0", scope="all"
-    )
+    rows = graph.neighbor_attention(*_graph(spark, d), ["x0", "x1"], "x0", "x0", scope="all")
     return i.finished(
         rows.withColumn("x0", F.col("x0") * 1e6).withColumn("x1", F.col("x1") * 1e6), 4
     )

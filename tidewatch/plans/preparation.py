@@ -92,7 +92,7 @@ def normalization_stats(spark, d):
     )
 
 
-HASH_SQL = "(('0x' || substr(md5('42' || ({id})::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
+HASH_SQL = "(('0x' || substr(md5('42|' || ({id})::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
 SPLIT_SQL = (
     "CASE WHEN {u} < 0.7 THEN 'train' WHEN {u} < {b!r} THEN 'val' ELSE 'test' END"
 )
@@ -248,14 +248,18 @@ def dq_required_regex(spark, d):
 
 @query(
     "dq_sequence_length",
-    f"WITH {i.hourly_sql()}, n AS (SELECT user_id, least(count(*), 72)::INT AS n_steps "
-    "FROM hourly GROUP BY user_id) SELECT user_id, n_steps, n_steps BETWEEN 24 AND 72 AS ok FROM n",
+    f"WITH {i.hourly_sql()}, n AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN "
+    "(day(hour) - 1) // 8 ELSE -1 END AS span, count(*) AS n_steps FROM hourly GROUP BY 1, 2) "
+    "SELECT user_id, span, n_steps, n_steps BETWEEN 24 AND 72 AS ok FROM n",
 )
 def dq_sequence_length(spark, d):
-    rows = sequences.last_sequence(i.hourly(spark, d), ["user_id"], ["hour"], ["error"], 72)
-    return rows.select(
-        "user_id", F.size("sequence").alias("n_steps"), quality.length_ok(F.col("sequence")).alias("ok")
+    """Lengths of whole sequences: of eight days for every third entity, of the month for others."""
+    eight_days = F.floor((F.dayofmonth("hour") - 1) / 8)
+    span = F.when(F.col("user_id") % 3 == 0, eight_days).otherwise(F.lit(-1))
+    rows = i.hourly(spark, d).groupBy("user_id", span.alias("span")).agg(
+        F.count(F.lit(1)).alias("n_steps")
     )
+    return rows.select("*", quality.count_ok(F.col("n_steps")).alias("ok"))
 
 
 @query(
@@ -312,28 +316,32 @@ def dead_letter_split(spark, d):
 
 
 REQUEST = (
-    "entity bigint, person struct<segment: string, balance: double>, "
+    "entity bigint, span bigint, person struct<segment: string, balance: double>, "
     "vitals array<struct<hour: string, error: double, view: double>>"
 )
 
 
 @query(
     "parse_requests",
-    f"WITH {i.hourly_sql()}, r AS (SELECT user_id, hour, error, view, row_number() OVER "
-    "(PARTITION BY user_id ORDER BY hour DESC) AS rn, least(count(*) OVER "
-    "(PARTITION BY user_id), 72) AS n FROM hourly) SELECT user_id AS entity, c_mktsegment "
-    "AS segment, round(c_acctbal, 8) AS balance, (n - rn)::INT AS pos, "
-    "strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, round(error, 8) AS error, "
-    "round(view, 8) AS view FROM r JOIN customer ON user_id = c_custkey WHERE rn <= 72",
+    f"WITH {i.hourly_sql()}, r AS (SELECT user_id, hour, error, view, (day(hour) - 1) // 3 AS span "
+    "FROM hourly) SELECT user_id AS entity, span, c_mktsegment AS segment, "
+    "round(c_acctbal, 8) AS balance, (row_number() OVER (PARTITION BY user_id, span "
+    "ORDER BY hour) - 1)::INT AS pos, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, "
+    "round(error, 8) AS error, round(view, 8) AS view FROM r JOIN customer ON user_id = c_custkey",
 )
 def parse_requests(spark, d):
-    hours = i.hourly(spark, d).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
-    vitals = sequences.last_sequence(hours, ["user_id"], ["hour"], ["error", "view"], 72)
+    """One request per entity and three days, so all hours are in one and none has over 72."""
+    hours = i.hourly(spark, d).withColumn("span", F.floor((F.dayofmonth("hour") - 1) / 3))
+    hours = hours.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+    vitals = hours.groupBy("user_id", "span").agg(
+        F.array_sort(F.collect_list(F.struct("hour", "error", "view"))).alias("sequence")
+    )
     people = i.table(spark, d, "customer")
     requests = vitals.join(people, vitals.user_id == people.c_custkey).select(
         F.to_json(
             F.struct(
                 F.col("user_id").alias("entity"),
+                "span",
                 F.struct(
                     F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")
                 ).alias("person"),
@@ -343,10 +351,11 @@ def parse_requests(spark, d):
     )
     parsed = requests.select(F.from_json("text", REQUEST).alias("r")).select("r.*")
     steps = parsed.select(
-        "entity", "person.segment", "person.balance", F.posexplode("vitals").alias("pos", "s")
+        "entity", "span", "person.segment", "person.balance",
+        F.posexplode("vitals").alias("pos", "s"),
     )
     return i.finished(
-        steps.select("entity", "segment", "balance", "pos", "s.hour", "s.error", "s.view"), 8
+        steps.select("entity", "span", "segment", "balance", "pos", "s.hour", "s.error", "s.view"), 8
     )
 
 
@@ -469,7 +478,7 @@ RISK_WEIGHTS = [((37 * j) % 11 - 5) / 5000 for j in range(c.VECTOR_WIDTH)]
 
 @query(
     "score_requests",
-    f"WITH {_last_sql(STEP_DEFAULTS)}, n AS (SELECT user_id, len(steps) AS n_steps FROM s), "
+    f"WITH {_last_sql(STEP_DEFAULTS)}, n AS (SELECT user_id, count(*) AS n_steps FROM r GROUP BY 1), "
     "f AS (SELECT user_id, list_dot_product(list_concat([c_nationkey::DOUBLE, "
     "CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END, c_acctbal / 100, 170.0], "
     f"flatten(steps)[109:360]), {RISK_WEIGHTS}::DOUBLE[]) AS z "
@@ -481,7 +490,10 @@ RISK_WEIGHTS = [((37 * j) % 11 - 5) / 5000 for j in range(c.VECTOR_WIDTH)]
     "AS confidence FROM scored",
 )
 def score_requests(spark, d):
-    """From an entity's last steps to a checked, assembled, scored and tiered record."""
+    """From an entity's steps to a checked, assembled, scored and tiered record.
+
+    All steps are counted; a request with more than 72 is refused like one with too few.
+    """
     steps = F.col("sequence")
     static = F.array(
         F.col("c_nationkey").cast("double"),
@@ -493,10 +505,11 @@ def score_requests(spark, d):
         static, sequences.impute_steps(steps, STEP_DEFAULTS), c.SEQUENCE_STEPS,
         len(STEP_DEFAULTS), c.SERIES_CUT, c.VECTOR_WIDTH,
     )
-    rows = _entity_sequences(spark, d).select(
+    counts = i.hourly(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("n_steps"))
+    rows = _entity_sequences(spark, d).join(counts, "user_id").select(
         x.padded_id("PATIENT", F.col("user_id")).alias("entity_id"),
-        F.size(steps).alias("n_steps"),
-        F.when(quality.length_ok(steps), scoring.linear_score(vector, RISK_WEIGHTS))
+        "n_steps",
+        F.when(quality.count_ok(F.col("n_steps")), scoring.linear_score(vector, RISK_WEIGHTS))
         .otherwise(c.FALLBACK_SCORE).alias("p"),
     )
     p = F.col("p")
@@ -537,8 +550,8 @@ def assemble_pooled(spark, d):
 
 
 def _noise_sql(position: int) -> str:
-    u = HASH_SQL.format(id=f"'{2 * position}-' || event_id")
-    v = HASH_SQL.format(id=f"'{2 * position + 1}-' || event_id")
+    u = HASH_SQL.format(id=f"'{2 * position}|' || event_id")
+    v = HASH_SQL.format(id=f"'{2 * position + 1}|' || event_id")
     return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
 
 

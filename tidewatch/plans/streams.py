@@ -13,10 +13,24 @@ from tidewatch.session import work_folder
 from tidewatch.streaming import streams as st
 
 
+BATCHES = 4
+
+
 def event_stream(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = st.file_stream(spark, d, i.EVENTS, glob="events.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as a stream of several batches: one file per part of the month, in order."""
+    folder = work_folder(spark, "event-files")
+    rows = i.events(spark, d)
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(BATCHES - 1))
+    for k in range(BATCHES):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return st.file_stream(spark, folder, rows.schema, files_per_trigger=1)
+
+
+def kept(spark, stream, folder, name, keys, order=(), mode="append"):
+    """Run a stream to its end into a keyed table and read it."""
+    table = st.KeyedTable(f"{folder}/{name}", stream.schema, keys, order)
+    st.finish(st.batches_to(stream, folder, table.write, mode))
+    return table.read(spark)
 
 
 def risk_stream(spark, d):
@@ -28,6 +42,16 @@ def risk_stream(spark, d):
 RECORD = "event_id bigint, user_id bigint, value double, k int"
 
 
+def _sent_records(spark, d):
+    """The events as JSON texts, some of them broken."""
+    tag = F.get_json_object("props", "$.k").cast("int")
+    text = F.to_json(F.struct("event_id", "user_id", "value", tag.alias("k")))
+    return event_stream(spark, d).select(
+        F.col("event_id").alias("sent_id"),
+        F.when(tag == 13, F.lit("{broken")).otherwise(text).alias("record"),
+    )
+
+
 @query(
     "stream_score",
     "WITH r AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k "
@@ -37,13 +61,7 @@ RECORD = "event_id bigint, user_id bigint, value double, k int"
 )
 def stream_score(spark, d):
     folder = work_folder(spark, "stream-score")
-    tag = F.get_json_object("props", "$.k").cast("int")
-    text = F.to_json(F.struct("event_id", "user_id", "value", tag.alias("k")))
-    records = event_stream(spark, d).select(
-        F.col("event_id").alias("sent_id"),
-        F.when(tag == 13, F.lit("{broken")).otherwise(text).alias("record"),
-    )
-    parsed = st.parse_records(records, "record", RECORD)
+    parsed = st.parse_records(_sent_records(spark, d), "record", RECORD)
     valid = ~F.col("_bad") & quality.in_range(F.col("value"), 0.5, 150, required=True)
     scored = st.scored(
         parsed, F.least(F.col("value") / 100, F.lit(1.0)), valid, c.FALLBACK_SCORE
@@ -60,35 +78,35 @@ def stream_score(spark, d):
 def stream_latest(spark, d):
     folder = work_folder(spark, "stream-latest")
     latest = st.latest_stream(risk_stream(spark, d), "user_id", ["ts", "event_id"])
-    st.finish(st.batches_to(latest, folder, st.write_epoch(folder, "latest"), "update"))
-    return i.finished(st.last_epoch(spark, f"{folder}/latest", ["user_id"]))
+    return i.finished(kept(spark, latest, folder, "latest", ["user_id"], mode="update"))
 
 
 @query(
     "stream_history",
-    "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) "
-    "AS rn, least(count(*) OVER (PARTITION BY user_id), 50) AS n FROM events) "
-    "SELECT user_id AS entity, (n - rn)::INT AS pos, value FROM r WHERE rn <= 50",
+    "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, "
+    "event_id DESC) AS rn, least(count(*) OVER (PARTITION BY user_id), 100) AS n FROM events) "
+    "SELECT user_id AS entity, (n - rn)::INT AS pos, value FROM r WHERE rn <= 100",
 )
 def stream_history(spark, d):
     folder = work_folder(spark, "stream-history")
-    kept = st.history_stream(event_stream(spark, d), "user_id", "ts", "value", 50)
-    st.finish(st.batches_to(kept, folder, st.write_epoch(folder, "history"), "update"))
-    rows = st.last_epoch(spark, f"{folder}/history", ["entity"])
+    points = st.history_stream(event_stream(spark, d), "user_id", "ts", "value", "event_id", 100)
+    rows = kept(spark, points, folder, "history", ["entity"], mode="update")
     return rows.select("entity", F.posexplode("values").alias("pos", "value"))
 
 
 @query(
     "stream_alerts",
     f"WITH {i.PREDICTIONS_SQL}, t AS (SELECT event_id, user_id, p, {i.TIER_SQL} AS tier "
-    "FROM predictions) SELECT * FROM t WHERE tier IN ('high', 'critical')",
+    "FROM predictions) SELECT *, 2 AS n_sinks FROM t WHERE tier IN ('high', 'critical')",
 )
 def stream_alerts(spark, d):
     folder = work_folder(spark, "stream-alerts")
     alerts = monitor.alerts(risk_stream(spark, d), "p").select("event_id", "user_id", "p", "tier")
-    sinks = st.fan_out(st.write_epoch(folder, "alerts"), st.write_epoch(folder, "dashboard"))
+    sinks = st.fan_out(st.appended(folder, "alerts"), st.appended(folder, "dashboard"))
     st.finish(st.batches_to(alerts, folder, sinks))
-    return spark.read.parquet(f"{folder}/alerts").drop("epoch")
+    names = alerts.columns
+    both = [spark.read.parquet(f"{folder}/{sink}").select(*names) for sink in ("alerts", "dashboard")]
+    return both[0].unionAll(both[1]).groupBy(*names).agg(F.count(F.lit(1)).cast("int").alias("n_sinks"))
 
 
 @query(
@@ -105,13 +123,11 @@ def stream_summary(spark, d):
     risks = risk_stream(spark, d)
 
     def write_alerts(batch, epoch):
-        st.write_epoch(folder, "alerts")(monitor.alerts(batch, "p"), epoch)
+        st.appended(folder, "alerts")(monitor.alerts(batch, "p"), epoch)
 
-    sink = st.fan_out(
-        st.latest_state_sink(folder, "user_id", ["ts", "event_id"]), write_alerts
-    )
-    done = st.finish(st.batches_to(risks, folder, sink))
-    state = spark.read.parquet(st.state_path(folder, st.last_batch(done)))
+    table = st.KeyedTable(f"{folder}/state", risks.schema, ["user_id"], ["ts", "event_id"])
+    st.finish(st.batches_to(risks, folder, st.fan_out(table.write, write_alerts)))
+    state = table.read(spark)
     alerts = spark.read.parquet(f"{folder}/alerts")
     rows = monitor.risk_summary(state, "p", alerts, "ts", state.agg(F.max("ts")).scalar())
     return i.finished(rows, 8)
@@ -124,14 +140,40 @@ def stream_summary(spark, d):
 )
 def stream_subscription(spark, d):
     folder = work_folder(spark, "stream-subscription")
-    wanted = i.table(spark, d, "customer").filter("c_acctbal > 5000").select(
-        F.col("c_custkey").alias("user_id")
-    )
-    rows = st.subscribed(risk_stream(spark, d), wanted, "user_id").select(
-        "event_id", "user_id", "p"
+
+    def wanted(session):
+        customers = session.read.parquet(f"{d}/customer.parquet").filter("c_acctbal > 5000")
+        return customers.select(F.col("c_custkey").alias("user_id"))
+
+    rows = risk_stream(spark, d).select("event_id", "user_id", "p")
+    sink = st.subscribed_sink(wanted, "user_id", st.appended(folder, "rows"))
+    st.finish(st.batches_to(rows, folder, sink))
+    return spark.read.parquet(f"{folder}/rows").drop("epoch")
+
+
+@query(
+    "stream_dead_letters",
+    "WITH r AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k "
+    "FROM events) SELECT event_id AS sent_id, CASE WHEN k = 13 THEN 'parsed' WHEN value BETWEEN "
+    "0.5 AND 150 THEN '' ELSE 'value' END AS broken, CASE WHEN k <> 13 AND value BETWEEN 0.5 AND 150 "
+    "THEN 'good' ELSE 'dead_letter' END AS sink FROM r",
+)
+def stream_dead_letters(spark, d):
+    """Records that keep all rules and the others, each from the sink it was sent to."""
+    folder = work_folder(spark, "stream-dead-letters")
+    parsed = st.parse_records(_sent_records(spark, d), "record", RECORD)
+    rules = {"value": quality.in_range(F.col("value"), 0.5, 150, required=True)}
+    broken = F.when(F.col("_bad"), F.array(F.lit("parsed"))).otherwise(quality.broken_rules(rules))
+    rows = parsed.select("sent_id", broken.alias("violations"))
+    sinks = [st.appended(folder, name) for name in ("good", "dead_letter")]
+    st.finish(st.batches_to(rows, folder, st.routed_sink("violations", *sinks)))
+    good, dead = (
+        spark.read.parquet(f"{folder}/{name}").select(
+            "sent_id", F.array_join("violations", ",").alias("broken"), F.lit(name).alias("sink")
+        )
+        for name in ("good", "dead_letter")
     )
-    st.finish(st.append_to_table(rows, folder))
-    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    return good.unionAll(dead)
 
 
 @query(
@@ -161,8 +203,7 @@ def stream_sessions(spark, d):
 def sliding_window_agg(spark, d):
     folder = work_folder(spark, "stream-windows")
     rows = st.sliding_totals(event_stream(spark, d), "ts", "value")
-    st.finish(st.batches_to(rows, folder, st.write_epoch(folder, "windows"), "update"))
-    return i.finished(st.last_epoch(spark, f"{folder}/windows", ["window_start"]), 8)
+    return i.finished(kept(spark, rows, folder, "windows", ["window_start"], mode="update"), 8)
 
 
 @query(
@@ -176,5 +217,4 @@ def stream_tiers(spark, d):
         risk_stream(spark, d).groupBy(risk_tier(F.col("p")).alias("tier")).count()
         .withColumnRenamed("count", "n")
     )
-    st.finish(st.batches_to(counts, folder, st.write_epoch(folder, "tiers"), "update"))
-    return st.last_epoch(spark, f"{folder}/tiers", ["tier"])
+    return kept(spark, counts, folder, "tiers", ["tier"], mode="update")

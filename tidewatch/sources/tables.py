@@ -7,11 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEASUREMENTS = (
-    "subject_id int, stay_id int, charttime timestamp, signal_name string, "
-    "signal_value double, fs int"
-)
-ITEM_EVENTS = "subject_id int, charttime timestamp, itemid int, valuenum double"
 FORMATS = ("parquet", "csv", "json", "orc")
 
 

@@ -12,10 +12,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidewatch.functions.catalog import HISTORY_POINTS
-from tidewatch.operators.monitor import latest_per_entity
+from tidewatch.operators.quality import split_good_bad
 
-STATE_VERSIONS = 3
-MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+BUCKETS = 8
 
 
 def file_stream(
@@ -67,8 +66,97 @@ def batches_to(
     return _started(stream.writeStream.outputMode(mode).foreachBatch(write), folder, interval)
 
 
-def write_epoch(folder: str, name: str) -> Callable[[DataFrame, int], None]:
-    """Write each batch to its own folder; a repeated batch replaces itself."""
+class KeyedTable:
+    """A table of the newest row per key that a stream keeps up to date.
+
+    Keys fall into buckets by hash. A batch reads and writes only the buckets it touches, so
+    its cost does not grow with the number of batches. Each bucket has two versions that take
+    turns; the one that was valid before a batch stays until the batch after it. So a repeated
+    batch starts from the same version and replaces its own. Readers take the newest row per key
+    over both versions.
+
+    With ``order`` the row with the largest values of these columns is the newest, else the row of
+    the later batch, as for streams in update mode.
+    """
+
+    def __init__(
+        self, path: str, schema: StructType, keys: Sequence[str],
+        order: Sequence[str] = (), buckets: int = BUCKETS,
+    ) -> None:
+        self.path, self.schema = path, schema
+        self.keys, self.order, self.buckets = list(keys), list(order), buckets
+        self._made = False
+        self._stored = StructType(list(schema.fields)).add("_epoch", "long").add("_bucket", "integer").add(
+            "_version", "integer"
+        )
+
+    def _versions(self, spark: SparkSession) -> DataFrame:
+        if not self._made:  # partition folders that are not there yet are an empty table
+            spark.createDataFrame([], self._stored).write.mode("append").partitionBy(
+                "_bucket", "_version"
+            ).parquet(self.path)
+            self._made = True
+        return spark.read.schema(self._stored).parquet(self.path)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        others = [c for c in self.schema.names if c not in self.keys]
+        newest = F.max_by(F.struct(*others), F.struct(*self.order, "_epoch")).alias("_r")
+        return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "_r.*").select(
+            *self.schema.names
+        )
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The newest row of each key; empty if no batch came yet."""
+        return self._newest(self._versions(spark))
+
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        """Take in a batch; for ``foreachBatch``."""
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        fresh = batch.select(*self.schema.names).withColumn("_epoch", F.lit(epoch).cast("long"))
+        fresh = self._newest(fresh).withColumn("_bucket", bucket).persist()
+        try:
+            touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
+            if not touched:
+                return
+            held = self._versions(batch.sparkSession).filter(
+                F.col("_bucket").isin(touched) & (F.col("_epoch") < epoch)
+            )
+            # at most two versions of each bucket
+            valid: dict[int, tuple[int, int]] = {}
+            for r in held.groupBy("_bucket", "_version").agg(F.max("_epoch").alias("at")).collect():
+                valid[r["_bucket"]] = max(
+                    valid.get(r["_bucket"], (-1, 1)), (r["at"], r["_version"])
+                )
+            pairs = F.array(
+                *[F.struct(F.lit(b).alias("b"), F.lit(v).alias("v")) for b, (_, v) in valid.items()]
+            )
+            before = held.filter(
+                F.array_contains(
+                    pairs, F.struct(F.col("_bucket").alias("b"), F.col("_version").alias("v"))
+                )
+            ) if valid else held.limit(0)
+            rows = before.select(*self.schema.names, "_epoch").unionByName(
+                fresh.select(*self.schema.names, F.lit(epoch).cast("long").alias("_epoch"))
+            )
+            target = F.lit(0)
+            for b, (_, version) in valid.items():
+                target = F.when(F.col("_bucket") == b, 1 - version).otherwise(target)
+            (
+                self._newest(rows)
+                .select("*", F.lit(epoch).cast("long").alias("_epoch"), bucket.alias("_bucket"))
+                .withColumn("_version", target)
+                .repartition(len(touched), "_bucket")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("_bucket", "_version")
+                .parquet(self.path)
+            )
+        finally:
+            fresh.unpersist()
+
+
+def appended(folder: str, name: str) -> Callable[[DataFrame, int], None]:
+    """Keep the rows of every batch; a repeated batch replaces itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
@@ -90,18 +178,6 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return write
 
 
-def last_epoch(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Latest version of each key over the epoch folders of an update stream."""
-    rows = spark.read.parquet(path)
-    return latest_of(rows, keys, "epoch").drop("epoch")
-
-
-def latest_of(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    others = [c for c in rows.columns if c not in keys]
-    newest = F.max_by(F.struct(*others), order).alias("_r")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "_r.*")
-
-
 def parse_records(stream: DataFrame, value: str, schema: str) -> DataFrame:
     """JSON text to columns; ``_bad`` marks text that does not parse."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_text"}
@@ -119,48 +195,80 @@ def latest_stream(stream: DataFrame, entity: str, order: Sequence[str]) -> DataF
 
 
 def history_stream(
-    stream: DataFrame, entity: str, time: str, value: str, n: int = HISTORY_POINTS
+    stream: DataFrame, entity: str, time: str, value: str, tiebreak: str, n: int = HISTORY_POINTS
 ) -> DataFrame:
     """Latest n points per entity, as an array after each batch, for update mode.
 
-    Every Arrow batch is first cut to n rows per entity where it lies, so that a
+    ``tiebreak`` orders points of the same time. Every Arrow batch is first cut to n rows per entity where it lies, so that a
     large entity sends little to the task that keeps its state.
     """
     rows = stream.select(
         F.col(entity).cast("long").alias("entity"),
         F.unix_micros(time).alias("at"),
+        F.col(tiebreak).cast("long").alias("tie"),
         F.col(value).cast("double").alias("value"),
     )
 
     def trim(frames):
         for frame in frames:
-            yield frame.sort_values("at").groupby("entity", sort=False).tail(n)
+            yield frame.sort_values(["at", "tie"]).groupby("entity", sort=False).tail(n)
 
     def keep(key, frames, state):
-        at, values = state.get if state.exists else ([], [])
-        points = list(zip(at, values))
+        points = list(zip(*state.get)) if state.exists else []
         for frame in frames:
-            points = sorted(points + list(zip(frame["at"].tolist(), frame["value"].tolist())))[-n:]
-        at, values = [p[0] for p in points], [p[1] for p in points]
-        state.update((at, values))
+            new = zip(frame["at"].tolist(), frame["tie"].tolist(), frame["value"].tolist())
+            points = sorted([*points, *new], key=lambda p: p[:2])[-n:]
+        at, ties, values = (list(column) for column in zip(*points))
+        state.update((at, ties, values))
         yield pd.DataFrame({"entity": [key[0]], "at": [at], "values": [values]})
 
     return (
-        rows.mapInPandas(trim, "entity long, at long, value double")
+        rows.mapInPandas(trim, "entity long, at long, tie long, value double")
         .groupBy("entity")
         .applyInPandasWithState(
             keep,
             "entity long, at array<bigint>, values array<double>",
-            "at array<bigint>, values array<double>",
+            "at array<bigint>, ties array<bigint>, values array<double>",
             "update",
             GroupStateTimeout.NoTimeout,
         )
     )
 
 
-def subscribed(stream: DataFrame, subscriptions: DataFrame, entity: str) -> DataFrame:
+def subscribed(rows: DataFrame, subscriptions: DataFrame, entity: str) -> DataFrame:
     """Rows of the entities someone subscribed to."""
-    return stream.join(subscriptions, entity, "left_semi")
+    return rows.join(subscriptions, entity, "left_semi")
+
+
+def subscribed_sink(
+    subscriptions: Callable[[SparkSession], DataFrame], entity: str,
+    sink: Callable[[DataFrame, int], None],
+) -> Callable[[DataFrame, int], None]:
+    """Pass on the rows of subscribed entities; subscriptions are read again for each batch."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        sink(subscribed(batch, subscriptions(batch.sparkSession), entity), epoch)
+
+    return write
+
+
+def routed_sink(
+    violations: str, good: Callable[[DataFrame, int], None],
+    dead_letter: Callable[[DataFrame, int], None],
+) -> Callable[[DataFrame, int], None]:
+    """Rows that pass every rule go to one sink, the others to another."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        passed, failed = split_good_bad(batch, violations)
+        fan = ((good, passed), (dead_letter, failed))
+        batch.persist()
+        try:
+            for sink, rows in fan:
+                sink(rows, epoch)
+        finally:
+            batch.unpersist()
+
+    return write
 
 
 def sliding_totals(
@@ -184,9 +292,8 @@ def session_totals(
 ) -> DataFrame:
     """Count and mean per session; a session appears once the watermark has passed it.
 
-    Rows of a session are merged where they lie before they are shuffled.
+    ``build_session`` has rows of a session merged where they lie before they are shuffled.
     """
-    stream.sparkSession.conf.set(MERGE_SESSIONS, "true")
     return (
         stream.withWatermark(time, late)
         .groupBy(entity, F.session_window(time, gap).alias("w"))
@@ -196,37 +303,6 @@ def session_totals(
     )
 
 
-def latest_state_sink(
-    folder: str, entity: str, order: Sequence[str]
-) -> Callable[[DataFrame, int], None]:
-    """Merge each batch into a table of latest records: version N from N-1 and the batch.
-
-    Versions are whole tables of one row per entity, and the last
-    ``STATE_VERSIONS`` of them are kept. A repeated batch rebuilds its own
-    version from the same predecessor.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        rows = latest_per_entity(batch, entity, order)
-        if epoch > 0:
-            before = batch.sparkSession.read.schema(batch.schema).parquet(
-                state_path(folder, epoch - 1)
-            )
-            rows = latest_per_entity(before.unionByName(rows), entity, order)
-        rows.write.mode("overwrite").parquet(state_path(folder, epoch))
-
-    return write
-
-
-def state_path(folder: str, epoch: int) -> str:
-    return f"{folder}/state/v{epoch % STATE_VERSIONS}"
-
-
-def last_batch(query: StreamingQuery) -> int:
-    """Number of the last batch a finished query ran."""
-    return query.lastProgress["batchId"]
-
-
 def finish(query: StreamingQuery) -> StreamingQuery:
     """Wait for a query that ends by itself, and pass on its failure."""
     query.awaitTermination()
