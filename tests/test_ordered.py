@@ -44,9 +44,9 @@ def collected(df, *columns):
 
 def test_ranges_cut_a_large_group(rows):
     parts = ordered.in_ranges(rows, ["entity"], ORDER)
-    sizes = parts.groupBy("_chunk").count().collect()
+    sizes = parts.groupBy("_range").count().collect()
     assert len(sizes) > 4 and max(r["count"] for r in sizes) < 500
-    spans = parts.groupBy("entity").agg(F.count_distinct("_chunk").alias("n")).filter("entity = 1")
+    spans = parts.groupBy("entity").agg(F.count_distinct("_range").alias("n")).filter("entity = 1")
     assert spans.first()["n"] > 3
 
 

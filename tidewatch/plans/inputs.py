@@ -29,12 +29,10 @@ WEIGHTS = [((37 * j) % 11 - 5) / 10 for j in range(WIDTH)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = read_table(spark, f"{sf_dir}/events.parquet", EVENTS)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
