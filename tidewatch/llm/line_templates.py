@@ -8,8 +8,9 @@ fifth of them. What is left is the line's template. A template found in more tha
 one document recurs; its lines are dropped from every document but the first.
 
 Everything is counted by (leaf, line) before it is shuffled, so a line that holds a
-third of all rows is one row per task. Only short keys travel; words are
-spelled out again for leaves with several lines.
+third of all rows is one row per task. Only short keys travel; lines are cut into words
+only in leaves with several lines. Nulls: a null text is one empty line and has no template, a
+null id is smaller than all others. Rows equal in id and text are one document.
 """
 
 from __future__ import annotations
@@ -30,27 +31,38 @@ VARYING = 0.2
 # leaves up to this number are broadcast as a set of longs; more are joined
 BROADCAST_LEAVES = 500_000
 VARIABLE = r"[^\s0-9]*+[0-9]\S*+"
+# anything but single blanks between words
+UNEVEN = r"[\t\x0B\f\r]|  |^ | $"
 
 
 def parsed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, line_no, words, n, leaf, line`` of every line long enough to count."""
+    """``doc_id, text_key, line_no, masked, leaf, line`` of every line long enough to count.
+
+    ``masked`` has its words apart by one blank, so that words are counted and the first ones
+    taken without cutting the line into all of them.
+    """
     value = F.coalesce(F.col(text), F.lit(""))
     masked = F.when(value.rlike("[0-9]"), F.regexp_replace(value, VARIABLE, WILD)).otherwise(value)
+    # inside the generator, where a filter on the lines cannot have it computed again
+    even = F.transform(
+        F.split(masked, "\n", -1),
+        lambda line: F.when(
+            line.rlike(UNEVEN), F.trim(F.regexp_replace(line, r"\s+", " "))
+        ).otherwise(line),
+    )
     lines = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.xxhash64(value).alias("text_key"),
-        F.posexplode(F.split(masked, "\n", -1)).alias("line_no", "masked"),
-    )
-    words = lines.select(
-        "doc_id", "text_key", "line_no",
-        F.array_remove(F.split("masked", r"\s+"), "").alias("words"),
+        F.posexplode(even).alias("line_no", "masked"),
     )
-    n = F.size("words")
-    enough = (n >= LEAST_WORDS) & (F.size(F.array_remove("words", WILD)) >= CONSTANT * n)
-    return words.where(enough).select(
-        "*", n.alias("n"),
-        F.xxhash64(n, F.slice("words", 1, DEPTH)).alias("leaf"),
-        F.xxhash64("words").alias("line"),
+    blanks = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
+    counted = lines.select("*", (blanks + 1).alias("n")).where(F.col("n") >= LEAST_WORDS)
+    constant = F.size(F.array_remove(F.split("masked", " "), WILD))
+    enough = ~F.contains("masked", F.lit(WILD)) | (constant >= CONSTANT * F.col("n"))
+    return counted.where(enough).select(
+        "doc_id", "text_key", "line_no", "masked",
+        F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"),
+        F.xxhash64("masked").alias("line"),
     )
 
 
@@ -61,14 +73,16 @@ def _templates(docs: DataFrame, lines: DataFrame, **columns: str) -> DataFrame:
     few = shared.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     spelled = (
         parsed_lines(docs, **columns)
-        .select("leaf", "line", "words")
+        .select("leaf", "line", "masked")
         .join(F.broadcast(shared) if few else shared, "leaf", "left_semi")
         .groupBy("leaf", "line")
-        .agg(F.first("words").alias("words"))
+        .agg(F.first("masked").alias("masked"))
         .join(lines.select("leaf", "line", "n"), ["leaf", "line"])
     )
     tokens = materialise(
-        spelled.select("leaf", "line", "n", F.posexplode("words").alias("at", "word")),
+        spelled.select(
+            "leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("at", "word")
+        ),
         "line-words",
     )
     # the first words are the leaf's own and stay as they are
@@ -171,13 +185,10 @@ def without_recurring_lines(
     a recurring line, are returned unchanged.
     """
     joined, value = _joined(docs, doc_id, text)
-    left = without_lines(value, F.col("__dropped"))
-    out = joined.where(F.col("__dropped").isNull() | left.rlike(r"\S")).select(
-        *(
-            F.when(F.col("__dropped").isNull(), docs[c]).otherwise(left).alias(c)
-            if c == text
-            else docs[c]
-            for c in docs.columns
-        )
-    )
-    return out
+    whole = F.col("__dropped").isNull()
+    left = F.when(whole, docs[text]).otherwise(without_lines(value, F.col("__dropped")))
+    # one text or none, computed once
+    texts = F.filter(F.array(left), lambda t: whole | t.rlike(r"\S"))
+    return joined.select(
+        *(F.explode(texts).alias(c) if c == text else docs[c] for c in docs.columns)
+    )
