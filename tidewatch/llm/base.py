@@ -38,6 +38,18 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+def smallest_hashes(rows: DataFrame, hashed: str, wanted: int, total: int) -> DataFrame:
+    """At most ``wanted`` of ``total`` rows, those with the smallest 64-bit hash.
+
+    Rows far above the share that is wanted are left out first, so that tasks do not each pass on
+    as many rows as are wanted altogether.
+    """
+    share = 1.5 * wanted / max(1, total)
+    if share < 1:
+        rows = rows.where(F.col(hashed) < F.lit(int(share * 2**64) - 2**63))
+    return rows.orderBy(hashed).limit(wanted)
+
+
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls in this fold; a null id counts as ''."""
     key = F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")
