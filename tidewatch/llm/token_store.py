@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewatch.llm.base import id_and_text
+from tidewatch.llm.base import id_and_text, smallest_hashes
 from tidewatch.llm.tokens import in_chunks, shared_encoder
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,7 +102,7 @@ def train_dictionary(
         yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], names=["dictionary"])
 
     ids = id_and_text(docs).select("doc_id", F.xxhash64("doc_id").alias("order"))
-    chosen = ids.orderBy("order", "doc_id").limit(sample_documents).select("doc_id").distinct()
+    chosen = smallest_hashes(ids, "order", sample_documents, docs.count()).select("doc_id").distinct()
     texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
     found = texts.coalesce(1).mapInArrow(fit, "dictionary binary").collect()
     return bytes(found[0]["dictionary"]) if found else b""
