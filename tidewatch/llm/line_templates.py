@@ -31,8 +31,6 @@ VARYING = 0.2
 # leaves up to this number are broadcast as a set of longs; more are joined
 BROADCAST_LEAVES = 500_000
 VARIABLE = r"[^\s0-9]*+[0-9]\S*+"
-# anything but single blanks between words
-UNEVEN = r"[\t\x0B\f\r]|  |^ | $"
 
 
 def parsed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,11 +41,16 @@ def parsed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     value = F.coalesce(F.col(text), F.lit(""))
     masked = F.when(value.rlike("[0-9]"), F.regexp_replace(value, VARIABLE, WILD)).otherwise(value)
+    odd = F.lit(False)
+    for blank in "\t\x0b\f\r":
+        odd = odd | F.contains(value, F.lit(blank))
+    masked = F.when(odd, F.regexp_replace(masked, r"[\t\x0B\f\r]", " ")).otherwise(masked)
     # inside the generator, where a filter on the lines cannot have it computed again
     even = F.transform(
         F.split(masked, "\n", -1),
         lambda line: F.when(
-            line.rlike(UNEVEN), F.trim(F.regexp_replace(line, r"\s+", " "))
+            F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")),
+            F.trim(F.regexp_replace(line, " +", " ")),
         ).otherwise(line),
     )
     lines = docs.select(
