@@ -44,12 +44,13 @@ def token_pieces(
     with_ids: bool = True,
     doc_id: str = "doc_id",
     text: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece of a document's ids, the end id included.
 
     Only documents longer than ``length`` are cut, at multiples of it. ``ids``
     holds little-endian unsigned 32-bit ids, or null if not asked for. An empty
-    text is one piece with the end id alone.
+    text is one piece with the end id alone. ``added_tokens`` as in ``WordEncoder``.
     """
     closing = end.to_bytes(4, "little")
     schema = pa.schema(
@@ -60,7 +61,7 @@ def token_pieces(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer, lowered)
+        encoder = shared_encoder(tokenizer, lowered, added_tokens)
         for batch in batches:
             for ids, texts in in_chunks(batch):
                 rows = []
@@ -153,6 +154,7 @@ def pack_documents(
     length: int = LENGTH,
     open_bins: int = OPEN_BINS,
     documents_per_task: int = DOCUMENTS_PER_TASK,
+    added_tokens: bool = False,
     **columns: str,
 ) -> DataFrame:
     """Tokenizes and packs whole documents.
@@ -161,7 +163,9 @@ def pack_documents(
     numbers per piece.
     """
     tasks = max(1, math.ceil(docs.count() / documents_per_task))
-    pieces = token_pieces(docs, length=length, with_ids=False, **columns)
+    pieces = token_pieces(
+        docs, length=length, with_ids=False, added_tokens=added_tokens, **columns
+    )
     return pack(pieces, tasks, length, open_bins)
 
 

@@ -115,7 +115,7 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_binary_output")
 def token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "token-store")
-    token_store.write_store(documents(spark, sf_dir), path)
+    token_store.write_store(documents(spark, sf_dir), path, added_tokens=True)
     return token_store.read_store(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
@@ -144,4 +144,4 @@ def exact_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir))
+    return packing.pack_documents(documents(spark, sf_dir), added_tokens=True)

@@ -75,6 +75,7 @@ def train_dictionary(
     size: int = DICTIONARY_BYTES,
     sample_documents: int = SAMPLE_DOCUMENTS,
     width: int = 2,
+    added_tokens: bool = False,
 ) -> bytes:
     """A dictionary over serialized ids of at most ``sample_documents`` documents.
 
@@ -85,7 +86,7 @@ def train_dictionary(
     closing = end.to_bytes(4, "little")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer, lowered=False)
+        encoder = shared_encoder(tokenizer, False, added_tokens)
         samples, held = [], 0
         for batch in batches:
             for _, part in in_chunks(batch):
@@ -116,15 +117,17 @@ def write_store(
     level: int = LEVEL,
     doc_id: str = "doc_id",
     text: str = "text",
+    added_tokens: bool = False,
 ) -> None:
     """Encode and write all documents in ascending id order; null ids come first.
 
     Rows that share an id follow each other in the order of their text's hash. A
-    null text is an empty one and holds the end id alone.
+    null text is an empty one and holds the end id alone. ``added_tokens`` as in
+    ``WordEncoder``.
     """
     rows = id_and_text(docs, doc_id, text)
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
-    dictionary = train_dictionary(rows, tokenizer, end, width=width)
+    dictionary = train_dictionary(rows, tokenizer, end, width=width, added_tokens=added_tokens)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark = docs.sparkSession
     spark.createDataFrame(
@@ -133,7 +136,7 @@ def write_store(
     closing = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer, lowered=False)
+        encoder = shared_encoder(tokenizer, False, added_tokens)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if shared:
             shared.precompute_compress(level=level)

@@ -3,8 +3,8 @@
 BPE never crosses the borders of a tokenizer's own word split. So the split is
 made here for texts in printable ASCII and Latin letters, where it is the same,
 each distinct word goes through the BPE model of the tokenizers library once and
-is looked up after that. Any text with another character goes through the library
-whole.
+is looked up after that. Any text with another character, or with an added token
+where those count, goes through the library whole.
 """
 
 from __future__ import annotations
@@ -52,13 +52,22 @@ def _byte_signs() -> dict[int, str]:
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens.
 
-    Strings that look like special tokens are ordinary text. ``lowered`` is for
-    a vocabulary that lower-cases and drops white space.
+    With ``added_tokens`` a token that the file adds to its vocabulary, such as
+    ``<|endoftext|>``, is found in a text as the library finds it and gives its own id;
+    else such strings are ordinary text. ``lowered`` is for a vocabulary that lower-cases
+    and drops white space.
     """
 
-    def __init__(self, path: str, lowered: bool, cached: int = CACHED_WORDS) -> None:
+    def __init__(
+        self, path: str, lowered: bool, cached: int = CACHED_WORDS, added_tokens: bool = False
+    ) -> None:
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added: list[str] = []
+        if added_tokens:
+            added = self._tokenizer.get_added_tokens_decoder().values()
+            self._added = [token.content for token in added]
+        else:
+            self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
         self._lowered = lowered
         self._pattern = LOWER_WORDS if lowered else BYTE_WORDS
@@ -85,10 +94,11 @@ class WordEncoder:
         """The ids of each text, in order. Keep the batches moderate; their words are held."""
         words: list[list[str] | None] = []
         for text in texts:
-            if OTHER_CHARACTER.search(text):
+            form = text.lower() if self._lowered else text
+            if OTHER_CHARACTER.search(text) or any(a in text or a in form for a in self._added):
                 words.append(None)
             else:
-                words.append(self._pattern.findall(text.lower() if self._lowered else text))
+                words.append(self._pattern.findall(form))
         self._learn(set().union(*(found for found in words if found)))
         known = self._recent.__getitem__
         for text, found in zip(texts, words):
@@ -99,9 +109,9 @@ class WordEncoder:
 
 
 @cache
-def shared_encoder(path: str, lowered: bool) -> WordEncoder:
+def shared_encoder(path: str, lowered: bool, added_tokens: bool = False) -> WordEncoder:
     """One encoder per Python worker, so its words serve all tasks that run there."""
-    return WordEncoder(path, lowered)
+    return WordEncoder(path, lowered, added_tokens=added_tokens)
 
 
 def in_chunks(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
