@@ -47,3 +47,17 @@ def test_given_documents(texts):
         some = list(texts.values())[:60]
         some += [t[: len(t) // 2] + "<|endoftext|>" + t[len(t) // 2 :] for t in some]
         assert [p + packed([0]) for p in mine.encode(some)] == [packed(library(t)) for t in some]
+
+
+def test_only_the_sample_moves_to_the_task_that_fits(spark, texts, monkeypatch):
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5)
+    fed, whole = [], type(docs).mapInArrow
+
+    def kept(self, *args, **options):
+        fed.append(self)
+        return whole(self, *args, **options)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", kept)
+    assert token_store.train_dictionary(docs)
+    assert fed[-1].rdd.getNumPartitions() == 1
+    assert "Coalesce 1" not in fed[-1]._jdf.queryExecution().executedPlan().toString()

@@ -105,7 +105,7 @@ def train_dictionary(
     ids = id_and_text(docs).select("doc_id", F.xxhash64("doc_id").alias("order"))
     chosen = smallest_hashes(ids, "order", sample_documents, docs.count()).select("doc_id").distinct()
     texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
-    found = texts.coalesce(1).mapInArrow(fit, "dictionary binary").collect()
+    found = texts.repartition(1).mapInArrow(fit, "dictionary binary").collect()
     return bytes(found[0]["dictionary"]) if found else b""
 
 
