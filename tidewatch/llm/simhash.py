@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.base import id_and_bytes, materialise
 
@@ -65,17 +66,21 @@ def fingerprints(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS
 ) -> DataFrame:
     """``doc_id, fp``: one row per row; ``fp`` holds the 64 bits as a signed long."""
+    return _fingerprinted(id_and_bytes(docs, doc_id, text), size)
+
+
+def _fingerprinted(rows: DataFrame, size: int) -> DataFrame:
+    """The columns before the last, which has the text in bytes, and ``fp``."""
+    names = [*rows.columns[:-1], "fp"]
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                fingerprint_of(text.as_py().lower().split(), size) for text in batch.column(1)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"]
-            )
+            *others, texts = batch.columns
+            found = [fingerprint_of(text.as_py().lower().split(), size) for text in texts]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(found, pa.int64())], names=names)
 
-    return id_and_bytes(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -204,6 +209,34 @@ def near_duplicates(
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, all columns as they are.
+
+    It is the row with the smallest id, null ids last, then the smallest hash of its
+    text; of rows equal in id and text any one. Rows get a number once and are written with it,
+    so the number names the same row whenever they are read.
+    """
+    value = F.coalesce(F.col(text), F.lit(""))
+    numbered = materialise(
+        docs.select("*", F.monotonically_increasing_id().alias("__row")), "simhash-rows"
+    )
+    keyed = numbered.select(
+        F.col("__row").alias("row"), F.col(doc_id).cast("long").alias("id"),
+        F.xxhash64(value).alias("text_key"), value.cast("binary").alias("text"),
+    )
+    rows = materialise(_fingerprinted(keyed, WORDS), "simhash")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "row")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(key).alias("key")), "simhash-nodes")
+    roots = components(links(nodes.select("fp")))
+    kept = (
+        nodes.join(roots, nodes.fp == roots.node, "left")
+        .groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min("key").alias("key"))
+        .select(F.col("key.row").alias("__kept"))
+    )
+    return numbered.join(kept, numbered["__row"] == kept["__kept"], "left_semi").drop("__row")
+
+
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose id is the smallest of their component, all columns as they are.
 
