@@ -11,6 +11,7 @@ from tidewatch.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    harmonic,
     language_id,
     line_templates,
     lm_score,
@@ -145,3 +146,9 @@ def exact_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), added_tokens=True)
+
+
+@query("op13_harmonic_packing")
+def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return harmonic.pack_harmonic(docs, added_tokens=True, with_ids=False).drop("ids")
