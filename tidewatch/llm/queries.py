@@ -15,6 +15,7 @@ from tidewatch.llm import (
     language_id,
     line_templates,
     lm_score,
+    merkle,
     packing,
     queries_sql,
     secret_scan,
@@ -152,3 +153,15 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return harmonic.pack_harmonic(docs, added_tokens=True, with_ids=False).drop("ids")
+
+
+@query("op11_merkle_manifest", queries_sql.MERKLE)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    found = merkle.checked(merkle.manifest(docs, changed=changed))
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        "verified",
+    )

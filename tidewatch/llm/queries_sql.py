@@ -148,3 +148,87 @@ LINES = rf"""
              GROUP BY 1)
     SELECT doc_id, n_lines, n_dropped, sha256(text) AS text_sha256 FROM rest
 """
+
+
+_CRC_STEPS = (
+    "list_reduce(list_concat([xor(crc, byte)], range(8)), lambda c, k: "
+    "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+)
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return (
+        f"xor(list_reduce(list_concat([4294967295], {codes}), lambda crc, byte: {_CRC_STEPS}), 4294967295)"
+    )
+
+
+def _field(name: str, value: str | None = None) -> str:
+    value = value or f"{name}::VARCHAR"
+    return f"coalesce(strlen({value})::VARCHAR || ':' || ({value}), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = [_field("doc_id"), _field("source"), _field("lang"),
+              _field("n_chars", f"({n_chars})::VARCHAR"), _field("text")]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _levels(name: str, start: str, keys: str) -> str:
+    """All nodes of the trees over ``start`` (keys, n, level, i, h)."""
+    return f"""
+    {name} AS (
+        SELECT * FROM {start}
+        UNION ALL
+        SELECT {keys}, (n + 1) // 2, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i))
+        FROM {name} WHERE n > 1 GROUP BY {keys}, n, level, i // 2)"""
+
+
+MERKLE = f"""
+    WITH RECURSIVE docs AS (
+        SELECT lang, doc_id, {_leaf("n_chars")} AS leaf,
+               {_leaf(f"n_chars + ({crc32_sql('doc_id::VARCHAR')} % 7 = 0)::INT")} AS changed
+        FROM documents),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+               count(*) OVER (PARTITION BY lang) AS n
+        FROM docs),
+    start AS (SELECT lang, n, 0::BIGINT AS level, i, leaf AS h FROM leaves),
+    {_levels("nodes", "start", "lang")},
+    subroots AS (
+        SELECT lang, h AS subroot, level AS depth,
+               row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS lang_i
+        FROM nodes WHERE n = 1),
+    tops AS (SELECT (SELECT count(*) FROM subroots) AS n, 0::BIGINT AS level, lang_i AS i,
+                    subroot AS h, 0 AS whole FROM subroots),
+    tops_start AS (SELECT whole, n, level, i, h FROM tops),
+    {_levels("uppers", "tops_start", "whole")},
+    ways AS (
+        SELECT doc_id, leaf, v.lang, coalesce(changed, leaf) AS folded,
+               '' AS proof, 0::BIGINT AS level, i, n, false AS upper, subroot, lang_i
+        FROM leaves v JOIN subroots s ON s.lang IS NOT DISTINCT FROM v.lang
+        UNION ALL
+        SELECT * FROM (
+            WITH steps AS (
+                SELECT w.*, s.h AS sibling FROM ways w LEFT JOIN (
+                    SELECT lang, false AS upper, level, i, h FROM nodes
+                    UNION ALL SELECT lang, true, u.level, u.i, u.h
+                    FROM uppers u, (SELECT DISTINCT lang FROM subroots)) s
+                ON s.lang IS NOT DISTINCT FROM w.lang AND s.upper = w.upper
+                   AND s.level = w.level AND s.i = xor(w.i, 1)
+                WHERE w.n > 1)
+            SELECT doc_id, leaf, lang, sha256(CASE WHEN i % 2 = 1 THEN sibling || folded
+                               ELSE folded || coalesce(sibling, '') END),
+                   proof || coalesce(sibling, ''), level + 1, i // 2, (n + 1) // 2, upper,
+                   subroot, lang_i
+            FROM steps
+            UNION ALL
+            SELECT doc_id, leaf, lang, folded, proof, 0, lang_i,
+                   (SELECT count(*) FROM subroots), true, subroot, lang_i
+            FROM ways WHERE n = 1 AND NOT upper))
+    SELECT doc_id, leaf, subroot, (SELECT h FROM uppers WHERE n = 1) AS root,
+           sha256(proof) AS proof_sha256, folded AS folded_root,
+           folded = (SELECT h FROM uppers WHERE n = 1) AS verified
+    FROM ways WHERE n = 1 AND upper
+"""
