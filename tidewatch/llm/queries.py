@@ -18,6 +18,7 @@ from tidewatch.llm import (
     merkle,
     packing,
     queries_sql,
+    repair,
     secret_scan,
     simhash,
     token_store,
@@ -149,6 +150,11 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), added_tokens=True)
 
 
+@query("op12_conversation_repair", queries_sql.REPAIR)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.Repair(repair.damage(documents(spark, sf_dir, "conversations"))).report()
+
+
 @query("op13_harmonic_packing")
 def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -232,3 +232,82 @@ MERKLE = f"""
            folded = (SELECT h FROM uppers WHERE n = 1) AS verified
     FROM ways WHERE n = 1 AND upper
 """
+
+
+_KEY = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+_INKED = r"[^\x20\x09-\x0D]"
+REPAIR = f"""
+    WITH RECURSIVE given AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {crc32_sql(_KEY)} % 20 AS kind, row_number() OVER () AS r
+        FROM conversations),
+    damaged AS (
+        SELECT conv_id, turn, r, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                         ELSE text END AS text,
+               unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+        FROM given),
+    lined AS (
+        SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '{_INKED}') AS is_blank,
+               row_number() OVER (PARTITION BY conv_id
+                   ORDER BY turn NULLS FIRST, role, sha256(text), r, copy) - 1 AS i,
+               count(*) OVER (PARTITION BY conv_id) AS n
+        FROM damaged),
+    marked AS (
+        SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair,
+               CASE WHEN is_blank THEN 'b'
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text, is_blank
+                                            ORDER BY i) > 1 THEN 'd'
+                    WHEN regexp_extract(text, '({_INKED})[\\x20\\x09-\\x0D]*$', 1)
+                         NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault
+        FROM lined),
+    counts AS (
+        SELECT conv_id, any_value(n) AS n,
+               coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (WHERE fault = 'b') AS blank,
+               count(*) FILTER (WHERE fault = 'd') AS duplicate,
+               count(*) FILTER (WHERE fault = 't') AS truncated,
+               count(*) FILTER (WHERE i > 0 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM marked GROUP BY conv_id),
+    inserts(q, via, letters, added) AS (VALUES
+        (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []),
+        (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']),
+        (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+        (2, 3, 'I', ['assistant:']), (3, 2, 'I', ['user:'])),
+    edits(via, letter, initial, price, state) AS (VALUES
+        (0, 'D', NULL, 2, 0), (1, 'D', NULL, 2, 1), (2, 'D', NULL, 2, 2), (3, 'D', NULL, 2, 3),
+        (0, 'K', 's', 0, 1), (0, 'K', 'u', 0, 2), (1, 'K', 'u', 0, 2), (2, 'K', 'a', 0, 3),
+        (3, 'K', 'u', 0, 2), (0, 'R', NULL, 1, 2), (1, 'R', NULL, 1, 2), (2, 'R', NULL, 1, 3),
+        (3, 'R', NULL, 1, 2)),
+    ways AS (
+        SELECT conv_id, 0::BIGINT AS i, 0 AS q,
+               {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS best
+        FROM counts
+        UNION ALL
+        SELECT w.conv_id, w.i + 1, e.state, min({{
+            'cost': w.best.cost + 5 * length(letters) + price
+                    + CASE WHEN letter <> 'D' AND fault = 't' THEN 5 ELSE 0 END,
+            'audit': w.best.audit || letters || letter,
+            'lines': list_concat(w.best.lines, added, CASE letter WHEN 'D' THEN []
+                WHEN 'K' THEN [role || ':' || text]
+                ELSE [CASE e.state WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END)}})
+        FROM ways w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i
+        JOIN inserts USING (q)
+        JOIN edits e ON e.via = inserts.via AND (e.letter = 'D' OR fault NOT IN ('b', 'd'))
+            AND (e.initial IS NULL OR e.initial = m.initial)
+        GROUP BY w.conv_id, w.i, e.state),
+    done AS (
+        SELECT w.conv_id, min({{'cost': best.cost + 5 * length(letters),
+                              'audit': best.audit || letters,
+                              'lines': list_concat(best.lines, added)}}) AS best
+        FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+        JOIN inserts USING (q) WHERE via IN (0, 3) GROUP BY w.conv_id)
+    SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+           coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+           coalesce(best.audit, '') AS audit,
+           sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a
+    LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+    LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
