@@ -3,7 +3,7 @@
 BPE never crosses the borders of a tokenizer's own word split. So the split is
 made here for texts in printable ASCII and Latin letters, where it is the same,
 each distinct word goes through the BPE model of the tokenizers library once and
-is looked up after that. Any text with another character, or with an added token
+is looked up after that, with the signs next to it. Any text with another character, or with an added token
 where those count, goes through the library whole.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -36,8 +36,12 @@ BYTE_WORDS = re.compile(
     rf" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+"
 )
 LOWER_WORDS = re.compile(rf"[{_L}]+|{_SHORT}|[{_N}]|[^ \n{_L}{_N}]+")
-# words kept for reuse, half of them the most recent ones
-CACHED_WORDS = 400_000
+# blanks that belong together although a single one is cut at
+JOINED_BLANKS = re.compile(r"[ \n]  |[ \n] \Z")
+# words and chunks kept for reuse, half of them the most recent ones
+CACHED_WORDS = 1_000_000
+# longer texts are encoded by themselves, piece by piece
+LONG_TEXT = 1 << 24
 
 
 @cache
@@ -49,13 +53,37 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class _Recent(dict):
+    """Values by key, worked out when a key is first looked up.
+
+    When more than half of the bound is held, what is held becomes the older half; what
+    is asked for again moves back.
+    """
+
+    def __init__(self, work_out: Callable[[str], bytes], bound: int) -> None:
+        super().__init__()
+        self._work_out, self._half = work_out, bound // 2
+        self._older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self._half:
+            self._older = dict(self)
+            self.clear()
+        found = self._older.get(key)
+        if found is None:
+            found = self._work_out(key)
+        self[key] = found
+        return found
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens.
 
     With ``added_tokens`` a token that the file adds to its vocabulary, such as
     ``<|endoftext|>``, is found in a text as the library finds it and gives its own id;
     else such strings are ordinary text. ``lowered`` is for a vocabulary that lower-cases
-    and drops white space.
+    and drops white space. A text is cut at its blanks, which words never cross, and each
+    distinct chunk is cut into words and encoded once.
     """
 
     def __init__(
@@ -71,41 +99,64 @@ class WordEncoder:
         self._model = self._tokenizer.model
         self._lowered = lowered
         self._pattern = LOWER_WORDS if lowered else BYTE_WORDS
-        self._half = cached // 2
-        self._recent: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._signs = _byte_signs()
+        size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        self._four_bytes = [i.to_bytes(4, "little") for i in range(size)].__getitem__
+        self._words = _Recent(self._encode_word, cached // 2)
+        self._chunks = _Recent(self._encode_chunk, cached // 2)
 
     def _packed(self, ids: Iterable[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def _learn(self, words: set[str]) -> None:
-        """Afterwards all these words are among the recent ones."""
-        if len(self._recent) + len(words) > self._half:
-            self._older, self._recent = self._recent, {}
-        signs = _byte_signs()
-        for word in words - self._recent.keys():
-            ids = self._older.get(word)
-            if ids is None:
-                spelled = word.encode().decode("latin-1").translate(signs)
-                ids = self._packed([t.id for t in self._model.tokenize(spelled)])
-            self._recent[word] = ids
+        return b"".join(map(self._four_bytes, ids))
+
+    def _encode_word(self, word: str) -> bytes:
+        if word.isascii():
+            spelled = word.replace(" ", self._signs[0x20]).replace("\n", self._signs[0x0A])
+        else:
+            spelled = word.encode().decode("latin-1").translate(self._signs)
+        return self._packed([t.id for t in self._model.tokenize(spelled)])
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self._words.__getitem__, self._pattern.findall(chunk)))
+
+    def _looked_up(self, forms: list[str], lead: str) -> list[bytes]:
+        """Each form cut at single blanks; each distinct chunk is looked up once, ``lead``
+        before it, and its ids are laid out by arrays."""
+        cut = pc.split_pattern(pa.array(forms, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        known = self._chunks.__getitem__
+        ids = [known(lead + chunk) for chunk in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        data, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        place = coded.indices.to_numpy()
+        sizes = size[place]
+        ends = np.cumsum(sizes)
+        laid = data[np.repeat(start[place] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        borders = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
+        return [laid[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])]
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        """The ids of each text, in order. Keep the batches moderate; their words are held."""
-        words: list[list[str] | None] = []
-        for text in texts:
+        """The ids of each text, in order. Keep the batches moderate; all is held."""
+        out: list[bytes] = [b""] * len(texts)
+        at, forms = [], []
+        for k, text in enumerate(texts):
             form = text.lower() if self._lowered else text
             if OTHER_CHARACTER.search(text) or any(a in text or a in form for a in self._added):
-                words.append(None)
-            else:
-                words.append(self._pattern.findall(form))
-        self._learn(set().union(*(found for found in words if found)))
-        known = self._recent.__getitem__
-        for text, found in zip(texts, words):
-            if found is None:
-                yield self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                yield b"".join(map(known, found))
+                out[k] = self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+            elif len(form) > LONG_TEXT or not self._lowered and JOINED_BLANKS.search(form):
+                out[k] = b"".join(map(self._words.__getitem__, self._pattern.findall(form)))
+            elif self._lowered:
+                at.append(k)
+                forms.append(form.replace("\n", " "))
+            else:  # the first word has no blank before it
+                first, blank, rest = form.partition(" ")
+                out[k] = self._chunks[first]
+                if blank:
+                    at.append(k)
+                    forms.append(rest)
+        if forms:
+            for k, ids in zip(at, self._looked_up(forms, "" if self._lowered else " ")):
+                out[k] += ids
+        return iter(out)
 
 
 @cache
@@ -114,7 +165,7 @@ def shared_encoder(path: str, lowered: bool, added_tokens: bool = False) -> Word
     return WordEncoder(path, lowered, added_tokens=added_tokens)
 
 
-def in_chunks(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def in_chunks(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of a batch in runs of about so many bytes, turned into Python one by one."""
     ids, texts = batch.columns[:2]
     total = np.cumsum(np.asarray(pc.binary_length(texts)))
