@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import monitor, sequences
 from tidewatch.plans import inputs
-from tidewatch.session import work_folder
+from tidewatch.session import Folder, work_folder
 from tidewatch.streaming import streams as st
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -58,11 +58,11 @@ def test_state_table_over_batches(spark, split_events):
     out = work_folder(spark, "state")
     slim = ["user_id", "event_id", "ts", "value"]
     frame = stream(spark, folder).select(*slim)
-    table = st.KeyedTable(f"{out}/t", frame.schema, ["user_id"], ["ts", "event_id"], buckets=4)
+    table = st.KeyedTable(f"{out}/t", frame.schema, ["user_id"], ["ts", "event_id"], fan=2)
     st.finish(st.batches_to(frame, out, table.write))
     got = table.read(spark)
-    # two versions of each bucket at most, however many batches there were
-    assert table._versions(spark).select("_bucket", "_version").distinct().count() <= 8
+    # fewer runs than batches are left to merge
+    assert len(table.runs(spark)) < 4
     want = monitor.latest_per_entity(rows.select(*slim), "user_id", ["ts", "event_id"])
     assert rows_of(got, *slim) == rows_of(want, *slim)
 
@@ -107,7 +107,7 @@ def test_late_rows_are_dropped_and_counted(spark):
 def test_keyed_table_repeats_batches_safely(spark):
     out = work_folder(spark, "keyed")
     schema = spark.createDataFrame([], "k long, at long, v string").schema
-    table = st.KeyedTable(out, schema, ["k"], ["at"], buckets=2)
+    table = st.KeyedTable(out, schema, ["k"], ["at"], fan=2)
     assert table.read(spark).count() == 0
 
     def batch(*rows):
@@ -124,6 +124,43 @@ def test_keyed_table_repeats_batches_safely(spark):
     assert got == {1: "b", 2: "a", 3: "c", None: "m"}
 
 
+def test_keyed_table_costs_what_a_batch_changes(spark):
+    out = work_folder(spark, "keyed-cost")
+    schema = spark.createDataFrame([], "k long, at long, v string").schema
+    table = st.KeyedTable(out, schema, ["k"], ["at"], fan=4)
+    folder = Folder(spark, out)
+    sizes, merged = [], []
+    for epoch in range(17):  # every batch brings as many new keys
+        rows = spark.range(epoch * 500, (epoch + 1) * 500, 1, 2)
+        table.write(rows.selectExpr("id AS k", "id AS at", "hex(id) AS v"), epoch)
+        sizes.append(folder.bytes(f"level=0/run={epoch}"))
+        merged.append(len(table.runs(spark)))
+    assert max(sizes) < 1.3 * min(sizes)
+    assert max(merged) <= 3 + 3 + 1
+    assert table.read(spark).count() == 17 * 500
+    assert folder.names("level=0") == [f"run={k}" for k in (12, 13, 14, 15, 16)]
+    some = table.read(spark, where=F.col("k") == 4321).collect()
+    assert [(r.k, r.v) for r in some] == [(4321, "10E1")]
+    again = spark.range(8000, 8500).selectExpr("id AS k", "id AS at", "hex(id) AS v")
+    table.write(again, 16)
+    assert table.read(spark).count() == 17 * 500
+
+
+def test_a_merge_can_be_repeated(spark):
+    out = work_folder(spark, "keyed-merge")
+    schema = spark.createDataFrame([], "k long, v string").schema
+    table = st.KeyedTable(out, schema, ["k"], fan=2)
+    for epoch in range(4):
+        table.write(spark.createDataFrame([(1, f"v{epoch}"), (epoch + 10, "x")], schema), epoch)
+    before = sorted(map(tuple, table.read(spark).collect()))
+    # a crash left the merge of the last batch without its mark
+    Folder(spark, out).remove("level=2/run=0/_SUCCESS")
+    assert sorted(map(tuple, table.read(spark).collect())) == before
+    table.write(spark.createDataFrame([(1, "v3"), (13, "x")], schema), 3)
+    assert sorted(map(tuple, table.read(spark).collect())) == before
+    assert table.runs(spark) == [(2, 0)]
+
+
 def test_subscriptions_are_read_for_each_batch(spark, split_events):
     folder, rows = split_events
     out = work_folder(spark, "subscriptions")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions import catalog as c
@@ -9,20 +11,35 @@ from tidewatch.functions.expressions import risk_tier
 from tidewatch.operators import monitor, quality
 from tidewatch.plans import inputs as i
 from tidewatch.plans.registry import query
-from tidewatch.session import work_folder
+from tidewatch.session import Folder, work_folder
 from tidewatch.streaming import streams as st
 
 
 BATCHES = 4
 
 
-def event_stream(spark, d):
-    """The events as a stream of several batches: one file per part of the month, in order."""
+def event_stream(spark, d, part=None):
+    """The events as a stream of one batch per part of the month, in order, each of several files.
+
+    One job writes all files: the part and a salt name the task that writes a row. The files
+    then get times in the order of their names, which is the order in which the source takes them.
+    """
     folder = work_folder(spark, "event-files")
     rows = i.events(spark, d)
-    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(BATCHES - 1))
-    for k in range(BATCHES):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    if part is None:
+        part = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(BATCHES - 1))
+    files = max(2, spark.sparkContext.defaultParallelism // BATCHES)
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(files))
+    dealt = rows.repartitionById(BATCHES * files, (part * files + salt).cast("int"))
+    dealt.write.parquet(folder)
+    written = Folder(spark, folder)
+    # part-<task>-...; a salt that no row fell to has no file
+    tasks = {n: int(n.split("-")[1]) for n in written.names() if n.startswith("part-")}
+    for name, task in tasks.items():
+        written.set_time(name, 1_000_000_000_000 + 1000 * task)
+    filled = Counter(task // files for task in tasks.values())
+    if set(filled.values()) == {files}:
+        return st.file_stream(spark, folder, rows.schema, files_per_trigger=files)
     return st.file_stream(spark, folder, rows.schema, files_per_trigger=1)
 
 

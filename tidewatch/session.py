@@ -53,3 +53,34 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """A folder on any file system that Spark can reach."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.path = path
+
+    def _at(self, name: str):
+        return self._path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        """What lies in it, in order; nothing if it is not there."""
+        if not self._fs.exists(self._at(name)):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(name)))
+
+    def has(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def bytes(self, name: str = "") -> int:
+        return self._fs.getContentSummary(self._at(name)).getLength()
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+    def set_time(self, name: str, millis: int) -> None:
+        self._fs.setTimes(self._at(name), millis, -1)

@@ -13,8 +13,10 @@ from pyspark.sql.types import StructType
 
 from tidewatch.functions.catalog import HISTORY_POINTS
 from tidewatch.operators.quality import split_good_bad
+from tidewatch.session import Folder
 
-BUCKETS = 8
+# runs of a level that are merged into one
+FAN = 8
 
 
 def file_stream(
@@ -69,90 +71,80 @@ def batches_to(
 class KeyedTable:
     """A table of the newest row per key that a stream keeps up to date.
 
-    Keys fall into buckets by hash. A batch reads and writes only the buckets it touches, so
-    its cost does not grow with the number of batches. Each bucket has two versions that take
-    turns; the one that was valid before a batch stays until the batch after it. So a repeated
-    batch starts from the same version and replaces its own. Readers take the newest row per key
-    over both versions.
+    A batch writes only its own changes, sorted by key, as run ``epoch`` of level 0. When ``fan``
+    runs of a level are complete they are merged into one run of the next level, the
+    newest row per key. So a batch costs what it changes, however many keys the table holds, a change is
+    written again once per level, and a reader merges fewer than ``fan`` runs per level. Runs that went into
+    another stay until that level's next merge: a batch that is repeated finds what it found before, replaces its own
+    runs, and readers that listed the old ones can finish. A run without its success mark is not read.
 
     With ``order`` the row with the largest values of these columns is the newest, else the row of
-    the later batch, as for streams in update mode.
+    the later batch, as for streams in update mode. Batches are numbered without gaps, as
+    ``foreachBatch`` does.
     """
 
     def __init__(
         self, path: str, schema: StructType, keys: Sequence[str],
-        order: Sequence[str] = (), buckets: int = BUCKETS,
+        order: Sequence[str] = (), fan: int = FAN,
     ) -> None:
         self.path, self.schema = path, schema
-        self.keys, self.order, self.buckets = list(keys), list(order), buckets
-        self._made = False
-        self._stored = StructType(list(schema.fields)).add("_epoch", "long").add("_bucket", "integer").add(
-            "_version", "integer"
-        )
-
-    def _versions(self, spark: SparkSession) -> DataFrame:
-        if not self._made:  # partition folders that are not there yet are an empty table
-            spark.createDataFrame([], self._stored).write.mode("append").partitionBy(
-                "_bucket", "_version"
-            ).parquet(self.path)
-            self._made = True
-        return spark.read.schema(self._stored).parquet(self.path)
+        self.keys, self.order, self.fan = list(keys), list(order), fan
+        self._stored = StructType(list(schema.fields)).add("_epoch", "long")
 
     def _newest(self, rows: DataFrame) -> DataFrame:
-        others = [c for c in self.schema.names if c not in self.keys]
+        others = [c for c in self._stored.names if c not in self.keys]
         newest = F.max_by(F.struct(*others), F.struct(*self.order, "_epoch")).alias("_r")
         return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "_r.*").select(
-            *self.schema.names
+            *self._stored.names
+        )
+
+    def runs(self, spark: SparkSession) -> list[tuple[int, int]]:
+        """The complete runs that no other one contains, as (level, number); the run covers epochs
+        ``number * fan ** level`` up to the next number."""
+        folder = Folder(spark, self.path)
+        found: list[tuple[int, int]] = []
+        for name in sorted(folder.names(), key=lambda n: -int(n.removeprefix("level="))):
+            level = int(name.removeprefix("level="))
+            for run in folder.names(name):
+                number = int(run.removeprefix("run="))
+                inside = any(number // self.fan ** (up - level) == n for up, n in found)
+                if not inside and folder.has(f"{name}/{run}/_SUCCESS"):
+                    found.append((level, number))
+        return found
+
+    def _read(self, spark: SparkSession, runs: Sequence[tuple[int, int]]) -> DataFrame:
+        if not runs:
+            return spark.createDataFrame([], self._stored)
+        paths = [f"{self.path}/level={level}/run={run}" for level, run in runs]
+        return spark.read.schema(self._stored).parquet(*paths)
+
+    def _write(self, rows: DataFrame, level: int, run: int) -> None:
+        rows.sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(
+            f"{self.path}/level={level}/run={run}"
         )
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """The newest row of each key; empty if no batch came yet."""
-        return self._newest(self._versions(spark))
+    def read(self, spark: SparkSession, where: Column | None = None) -> DataFrame:
+        """The newest row of each key; empty if no batch came yet. ``where`` on keys
+        reaches the scans, whose files are sorted by key."""
+        rows = self._read(spark, self.runs(spark))
+        if where is not None:
+            rows = rows.where(where)
+        return self._newest(rows).select(*self.schema.names)
 
     def write(self, batch: DataFrame, epoch: int) -> None:
         """Take in a batch; for ``foreachBatch``."""
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        fresh = batch.select(*self.schema.names).withColumn("_epoch", F.lit(epoch).cast("long"))
-        fresh = self._newest(fresh).withColumn("_bucket", bucket).persist()
-        try:
-            touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
-            if not touched:
-                return
-            held = self._versions(batch.sparkSession).filter(
-                F.col("_bucket").isin(touched) & (F.col("_epoch") < epoch)
-            )
-            # at most two versions of each bucket
-            valid: dict[int, tuple[int, int]] = {}
-            for r in held.groupBy("_bucket", "_version").agg(F.max("_epoch").alias("at")).collect():
-                valid[r["_bucket"]] = max(
-                    valid.get(r["_bucket"], (-1, 1)), (r["at"], r["_version"])
-                )
-            pairs = F.array(
-                *[F.struct(F.lit(b).alias("b"), F.lit(v).alias("v")) for b, (_, v) in valid.items()]
-            )
-            before = held.filter(
-                F.array_contains(
-                    pairs, F.struct(F.col("_bucket").alias("b"), F.col("_version").alias("v"))
-                )
-            ) if valid else held.limit(0)
-            rows = before.select(*self.schema.names, "_epoch").unionByName(
-                fresh.select(*self.schema.names, F.lit(epoch).cast("long").alias("_epoch"))
-            )
-            target = F.lit(0)
-            for b, (_, version) in valid.items():
-                target = F.when(F.col("_bucket") == b, 1 - version).otherwise(target)
-            (
-                self._newest(rows)
-                .select("*", F.lit(epoch).cast("long").alias("_epoch"), bucket.alias("_bucket"))
-                .withColumn("_version", target)
-                .repartition(len(touched), "_bucket")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("_bucket", "_version")
-                .parquet(self.path)
-            )
-        finally:
-            fresh.unpersist()
+        spark = batch.sparkSession
+        fresh = batch.select(*self.schema.names, F.lit(epoch).cast("long").alias("_epoch"))
+        self._write(self._newest(fresh), 0, epoch)
+        folder, level = Folder(spark, self.path), 1
+        while (epoch + 1) % self.fan**level == 0:
+            run = (epoch + 1) // self.fan**level - 1
+            parts = [(level - 1, run * self.fan + k) for k in range(self.fan)]
+            self._write(self._newest(self._read(spark, parts)), level, run)
+            for k in range(self.fan):  # what went into the run before
+                if run:
+                    folder.remove(f"level={level - 1}/run={(run - 1) * self.fan + k}")
+            level += 1
 
 
 def appended(folder: str, name: str) -> Callable[[DataFrame, int], None]:
