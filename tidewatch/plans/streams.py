@@ -12,6 +12,8 @@ from tidewatch.operators import monitor, quality
 from tidewatch.plans import inputs as i
 from tidewatch.plans.registry import query
 from tidewatch.session import Folder, work_folder
+from tidewatch.sources import record_log
+from tidewatch.streaming import stateful as sf
 from tidewatch.streaming import streams as st
 
 
@@ -235,3 +237,167 @@ def stream_tiers(spark, d):
         .withColumnRenamed("count", "n")
     )
     return kept(spark, counts, folder, "tiers", ["tier"], mode="update")
+
+
+DELAY = "epoch_ms(max(ts)) - 600000"
+TAG = "CAST(json_extract_string(props, '$.k') AS INT)"
+IDLE_HOURS = 6
+
+
+def _tag():
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def _ran(spark, rows, folder):
+    """Run a query with state in the RocksDB store to its end; its rows."""
+    st.finish(sf.stateful(lambda: st.append_to_table(rows, folder), spark))
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+@query(
+    "stream_ended_sequences",
+    f"WITH w AS (SELECT {DELAY} AS wm FROM events), r AS (SELECT user_id, event_id, epoch_us(ts) AS us, "
+    f"value, CASE WHEN {TAG} < 3 THEN 'start' WHEN {TAG} >= 97 THEN 'end' ELSE '' END AS flag "
+    "FROM events, w WHERE epoch_ms(ts) < wm), "
+    "p AS (SELECT *, lag(us) OVER o AS prev_at, lag(flag) OVER o AS prev_flag FROM r "
+    "WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id)), "
+    "s AS (SELECT *, sum(CASE WHEN prev_at IS NULL OR us - prev_at >= 3600000000 * "
+    f"{IDLE_HOURS} OR flag = 'start' OR prev_flag = 'end' THEN 1 ELSE 0 END) OVER "
+    "(PARTITION BY user_id ORDER BY us, event_id) AS seq FROM p), "
+    "g AS (SELECT user_id, seq, min(us) AS started_at, max(us) AS last_at, count(*) AS n, "
+    "list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY us, event_id)), "
+    "lambda a, x: a / 2 + x) AS carried, arg_max(flag, (us, event_id)) AS last_flag FROM s "
+    "GROUP BY 1, 2), n AS (SELECT *, lead(started_at) OVER (PARTITION BY user_id ORDER BY seq) "
+    "AS next_at FROM g), e AS (SELECT user_id AS entity, started_at, last_at, n, round(carried, 6) "
+    "AS carried, CASE WHEN last_flag = 'end' THEN 'end' WHEN next_at - last_at >= 3600000000 * "
+    f"{IDLE_HOURS} THEN 'idle' WHEN next_at IS NOT NULL THEN 'start' WHEN (last_at + 3600000000 * "
+    f"{IDLE_HOURS}) // 1000 < wm THEN 'idle' END AS ended_by FROM n, w) "
+    "SELECT * FROM e WHERE ended_by IS NOT NULL",
+)
+def stream_ended_sequences(spark, d):
+    """Sequences that a flag, a new start or six idle hours ended; those still open are left out."""
+    folder = work_folder(spark, "stream-sequences")
+    flag = F.when(_tag() < 3, sf.START).when(_tag() >= 97, sf.END)
+    rows = sf.ended_sequences(
+        event_stream(spark, d), "user_id", "ts", "event_id", "value", flag, IDLE_HOURS * 3600
+    )
+    return i.finished(_ran(spark, rows, folder), 6)
+
+
+SHARDS, BUFFER, BUFFER_HOURS = 4, 20, 6
+
+
+@query(
+    "stream_buffers",
+    f"WITH RECURSIVE w AS (SELECT {DELAY} AS wm FROM events), r AS (SELECT event_id % {SHARDS} AS shard, "
+    "event_id, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY event_id % "
+    f"{SHARDS} ORDER BY epoch_us(ts), event_id) AS k FROM events, w WHERE epoch_ms(ts) < wm), "
+    "e AS (SELECT *, max(k) OVER (PARTITION BY shard ORDER BY us RANGE BETWEEN CURRENT ROW AND "
+    f"{3_600_000_000 * BUFFER_HOURS - 1} FOLLOWING) AS fresh FROM r), "
+    f"f AS (SELECT shard, k, us, least(k + {BUFFER - 1}, fresh) AS last FROM e), "
+    "b AS (SELECT shard, k, us, last FROM f WHERE k = 1 UNION ALL SELECT f.shard, f.k, f.us, f.last "
+    "FROM b JOIN f ON f.shard = b.shard AND f.k = b.last + 1), "
+    "c AS (SELECT b.*, (SELECT max(k) FROM r WHERE r.shard = b.shard) AS top FROM b), "
+    f"d AS (SELECT shard, k, us AS first_at, last, CASE WHEN last = k + {BUFFER - 1} THEN 'size' "
+    f"WHEN last < top OR (us + {3_600_000_000 * BUFFER_HOURS}) // 1000 < wm THEN 'age' END AS cause "
+    "FROM c, w) SELECT d.shard, first_at, cause, count(*) AS n, min(event_id) AS low_id, "
+    "max(event_id) AS high_id, round(sum(value), 6) AS total FROM d JOIN r ON r.shard = d.shard "
+    "AND r.k BETWEEN d.k AND d.last WHERE cause IS NOT NULL GROUP BY 1, 2, 3",
+)
+def stream_buffers(spark, d):
+    """Buffers of 20 records, flushed when full or when the first is six hours old."""
+    folder = work_folder(spark, "stream-buffers")
+    rows = sf.flushed_buffers(
+        event_stream(spark, d), SHARDS, "ts", "event_id", "value", BUFFER, BUFFER_HOURS * 3600
+    )
+    flushes = _ran(spark, rows, folder).groupBy("shard", "first_at", "cause").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("low_id"), F.max("id").alias("high_id"),
+        F.sum("value").alias("total"),
+    )
+    return i.finished(flushes, 6)
+
+
+@query(
+    "stream_delivered",
+    f"WITH w AS (SELECT {DELAY} AS wm FROM events), e AS (SELECT *, epoch_us(ts) AS us, "
+    f"'c' || ({TAG} % 3) AS client FROM events, w WHERE epoch_ms(ts) < wm), "
+    "c AS (SELECT user_id, client, us, bool_or(event_type = 'signup') AS active FROM e "
+    "WHERE event_type IN ('signup', 'error') GROUP BY 1, 2, 3), "
+    "s AS (SELECT *, lead(us) OVER (PARTITION BY user_id, client ORDER BY us) AS until FROM c) "
+    "SELECT s.client, s.user_id AS entity, e.event_id AS id, e.value FROM s JOIN e "
+    "ON e.user_id = s.user_id AND e.us >= s.us AND (s.until IS NULL OR e.us < s.until) "
+    "WHERE s.active AND e.event_type NOT IN ('signup', 'error')",
+)
+def stream_delivered(spark, d):
+    """Records to the clients subscribed at their time; signups subscribe and errors unsubscribe."""
+    folder = work_folder(spark, "stream-delivered")
+    stream = event_stream(spark, d).withColumnsRenamed({"ts": "seen_at", "user_id": "entity"})
+    told = F.col("event_type").isin("signup", "error")
+    client = F.concat(F.lit("c"), (_tag() % 3).cast("string"))
+    controls = stream.where(told).select(
+        "seen_at", "entity", client.alias("client"), (F.col("event_type") == "signup").alias("subscribe")
+    )
+    records = stream.where(~told).withColumnRenamed("event_id", "id")
+    return _ran(spark, sf.delivered(controls, records, salts=2), folder)
+
+
+PART_SQL = (
+    "least(least((day(ts) - 1) // 8, 3) + CASE WHEN " + TAG + " = 7 THEN 1 ELSE 0 END, 3)"
+)
+
+
+@query(
+    "stream_late_rows",
+    f"WITH p AS (SELECT event_id, ts, {PART_SQL} AS part FROM events), m AS (SELECT part, max(ts) AS top "
+    "FROM p GROUP BY part), b AS (SELECT p.event_id, p.ts, (SELECT max(top) FROM m "
+    "WHERE m.part < p.part) AS before FROM p), s AS (SELECT event_id, coalesce(ts < before - "
+    "INTERVAL 10 MINUTE, false) AS late FROM b) SELECT event_id, late, (SELECT count(*) FROM s "
+    "WHERE late) AS n_late FROM s",
+)
+def stream_late_rows(spark, d):
+    """Events, some sent a part too late, in the sink for late rows or the one for the others."""
+    folder = work_folder(spark, "stream-late")
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(BATCHES - 1))
+    held_back = F.when(_tag() == 7, 1).otherwise(0)
+    stream = event_stream(spark, d, F.least(part + held_back, F.lit(BATCHES - 1)))
+    sinks = [st.appended(folder, name) for name in ("on_time", "late")]
+    st.finish(st.batches_to(stream, folder, st.late_and_on_time(folder, "ts", 600, *sinks)))
+    both = [
+        spark.read.parquet(f"{folder}/{name}").select("event_id", F.lit(name == "late").alias("late"))
+        for name in ("on_time", "late")
+    ]
+    n_late = st.counted(folder, spark)[1]
+    return both[0].unionAll(both[1]).withColumn("n_late", F.lit(n_late).cast("long"))
+
+
+@query(
+    "stream_record_log",
+    "WITH r AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k "
+    "FROM events) SELECT event_id AS sent_id, k <> 13 AND value BETWEEN 0.5 AND 150 AS valid, "
+    "CASE WHEN k <> 13 AND value BETWEEN 0.5 AND 150 THEN least(value / 100, 1.0) ELSE 0.1 END AS p "
+    "FROM r",
+)
+def stream_record_log(spark, d):
+    """The requests from a log with offsets; the stream stops and goes on where it was."""
+    folder = work_folder(spark, "stream-record-log")
+    rows = i.events(spark, d)
+    text = F.to_json(F.struct("event_id", "user_id", "value", _tag().alias("k")))
+    sent = rows.select(
+        F.col("event_id").alias("key"),
+        F.concat(F.col("event_id").cast("string"), F.lit(" "),
+                 F.when(_tag() == 13, F.lit("{broken")).otherwise(text)).alias("value"),
+    )
+    second = F.col("key") % 2 == 1
+    for half in (sent.where(~second), sent.where(second)):
+        record_log.append_records(half, f"{folder}/log", "key", "value", 3)
+        stream = record_log.log_stream(spark, f"{folder}/log")
+        cut = F.split("value", " ", 2)
+        parsed = st.parse_records(
+            stream.select(cut[0].cast("long").alias("sent_id"), cut[1].alias("record")), "record", RECORD
+        )
+        valid = ~F.col("_bad") & quality.in_range(F.col("value"), 0.5, 150, required=True)
+        scored = st.scored(
+            parsed, F.least(F.col("value") / 100, F.lit(1.0)), valid, c.FALLBACK_SCORE
+        ).select("sent_id", "valid", "p")
+        st.finish(st.append_to_table(scored, folder))
+    return spark.read.schema(scored.schema).parquet(f"{folder}/rows")

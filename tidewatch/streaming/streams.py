@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -263,6 +263,81 @@ def routed_sink(
     return write
 
 
+def late_and_on_time(
+    folder: str, time: str, delay_seconds: float,
+    on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None],
+) -> Callable[[DataFrame, int], None]:
+    """Rows older than the watermark of the batches before, and rows without a time, go to ``late``.
+
+    The watermark is the latest time of all earlier batches less the delay, as the engine
+    has it. It is kept in a table of one row, so a batch that is repeated is split in the same way.
+    ``counted(folder, spark)`` reads what was seen so far.
+    """
+    marks = KeyedTable(f"{folder}/marks", StructType.fromDDL(_MARKS), ["name"])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        held = marks.read(spark).first()  # one row
+        before, n, n_late = (None, 0, 0) if held is None else (
+            held["earlier"] if held["epoch"] == epoch else (held["latest"], held["n"], held["n_late"])
+        )
+        at = F.unix_micros(time)
+        limit = F.lit(None if before is None else before - int(delay_seconds * 1_000_000))
+        batch = batch.withColumn("_late", F.coalesce(at < limit.cast("long"), at.isNull()))
+        batch.persist()
+        try:
+            seen = batch.agg(
+                F.max(at).alias("latest"), F.count(F.lit(1)).alias("n"), F.count_if("_late").alias("n_late")
+            ).first()
+            on_time(batch.where(~F.col("_late")).drop("_late"), epoch)
+            late(batch.where("_late").drop("_late"), epoch)
+        finally:
+            batch.unpersist()
+        latest = max((t for t in (before, seen["latest"]) if t is not None), default=None)
+        row = ("all", epoch, (before, n, n_late), latest, n + seen["n"], n_late + seen["n_late"])
+        marks.write(spark.createDataFrame([row], _MARKS), epoch)
+
+    return write
+
+
+_MARKS = (
+    "name string, epoch long, earlier struct<latest: long, n: long, n_late: long>, "
+    "latest long, n long, n_late long"
+)
+
+
+def counted(folder: str, spark: SparkSession) -> tuple[int, int]:
+    """Rows and late rows that ``late_and_on_time`` has split."""
+    row = KeyedTable(f"{folder}/marks", StructType.fromDDL(_MARKS), ["name"]).read(spark).first()
+    return (row["n"], row["n_late"]) if row else (0, 0)
+
+
+class DropCounts(StreamingQueryListener):
+    """Rows per query that stateful operators dropped for being older than the watermark, and the metrics
+    that ``observe`` reports, from the progress of each batch."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.observed: dict[str, list[tuple[str, dict]]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        key = str(progress.id)
+        lost = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+        self.dropped[key] = self.dropped.get(key, 0) + lost
+        for name, row in (progress.observedMetrics or {}).items():
+            self.observed.setdefault(key, []).append((name, row.asDict()))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def sliding_totals(
     stream: DataFrame, time: str, value: str, window: str = "30 minutes",
     slide: str = "15 minutes", late: str = "10 minutes",
