@@ -32,6 +32,9 @@ def ranked(
     place in the range, plus the rows of the ranges before, less those before the group. Read
     ``rows`` from files: ties are told apart by their place there.
     """
+    columns = rows.columns
+    if not group:  # all rows are one group
+        rows, group = rows.withColumn("_all", F.lit(0)), ["_all"]
     keys = [F.col(c).asc_nulls_first() for c in (*group, *order)]
     spread = (
         rows.withColumn("_tie", F.monotonically_increasing_id())
@@ -58,11 +61,9 @@ def ranked(
     groups = parts.join(bases, "_task").groupBy(*group).agg(
         F.min(F.col("_base") + F.col("_first")).alias("_start"), F.sum("_n").alias(size)
     )
-    if not group:  # the aggregate of all rows
-        groups = groups.where(F.col(size).isNotNull())
     placed = held.join(bases, "_task").alias("l")
     joined = placed.join(groups.alias("r"), same_group("l", "r", group))
     return joined.select(
-        *[F.col(f"l.{c}") for c in rows.columns],
+        *[F.col(f"l.{c}") for c in columns],
         (F.col("_base") + F.col("_at") - F.col("_start")).alias(rank), F.col(size),
     )
