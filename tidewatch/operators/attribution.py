@@ -8,15 +8,17 @@ work on Arrow batches and take any model callable. All give long rows
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import double_array, let, sigmoid, unit_hash
 from tidewatch.operators.ordered import row_numbers
 from tidewatch.operators.scoring import linear_logit
+from tidewatch.sources.tables import read_table
 
 def mean_baseline(df: DataFrame, vector: str) -> list[float]:
     """Element-wise mean; one number per element comes to the driver."""
@@ -205,6 +207,94 @@ def shapley_sampled(
     )
 
 
+def kernel_coalitions(width: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions as rows of 0 and 1, and their weights.
+
+    All proper ones with the Shapley kernel's weights if there are at most ``n``. Else ``n`` drawn ones of
+    equal weight: sizes by the kernel, members at random, each followed by its complement.
+    """
+    sizes = np.arange(1, width)
+    if width <= 20 and 2**width - 2 <= n:
+        numbers = np.arange(1, 2**width - 1)
+        masks = (numbers[:, None] >> np.arange(width) & 1).astype(float)
+        held = masks.sum(axis=1).astype(int)
+        return masks, np.array([(width - 1) / (comb(width, k) * k * (width - k)) for k in held])
+    rng = np.random.default_rng(seed)
+    share = 1.0 / (sizes * (width - sizes))
+    drawn = rng.choice(sizes, n // 2, p=share / share.sum())
+    masks = (np.argsort(rng.random((len(drawn), width)), axis=1) < drawn[:, None]).astype(float)
+    return np.stack([masks, 1 - masks], axis=1).reshape(-1, width), np.ones(2 * len(drawn))
+
+
+def shapley_kernel(
+    df: DataFrame, instance: str, vector: str, make_predict: Callable[[], Callable],
+    background: Sequence[float], n_coalitions: int = 2048, seed: int = 42, block: int = 512,
+    rows_per_call: int = 64,
+) -> DataFrame:
+    """Shapley values as the weighted least squares fit over coalitions, for any model callable.
+
+    The coalitions are the same for all instances, so they share one normal matrix of the size of the features;
+    its inverse is a constant. An instance meets the coalitions in blocks, each a row of its own that may be
+    evaluated elsewhere; the right-hand sides of the blocks are summed in Spark and solved per instance. That
+    the values add up to the change of the model is kept by taking the last feature from the others.
+    """
+    base = np.array(background, dtype=float)
+    d = len(base)
+    masks, weights = kernel_coalitions(d, n_coalitions, seed)
+    reduced = masks[:, :-1] - masks[:, -1:]
+    inverse = np.linalg.pinv(reduced.T @ (weights[:, None] * reduced)) if d > 1 else np.zeros((0, 0))
+    n_blocks = max(1, -(-len(masks) // block))
+
+    def run(frames):
+        predict = make_predict()
+        empty = float(np.asarray(predict(base[None]))[0])
+        for frame in frames:
+            for number, rows in frame.groupby("_block"):
+                part = slice(number * block, (number + 1) * block)
+                z, left = masks[part], reduced[part] * weights[part, None]
+                for start in range(0, len(rows), rows_per_call):
+                    some = rows.iloc[start : start + rows_per_call]
+                    x = np.stack([np.asarray(v, dtype=float) for v in some["_v"]])
+                    total = np.asarray(predict(x)) - empty
+                    mixed = np.where(z[None] > 0, x[:, None, :], base).reshape(-1, d)
+                    y = np.asarray(predict(mixed)).reshape(len(x), len(z)) if len(z) else np.zeros((len(x), 0))
+                    right = (y - empty - total[:, None] * z[:, -1]) @ left
+                    yield pd.DataFrame(
+                        {"instance": some["_id"].to_numpy(), "right": list(right), "total": total}
+                    )
+
+    spread = df.select(
+        F.col(instance).cast("long").alias("_id"), F.col(vector).alias("_v"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"),
+    )
+    parts = spread.mapInPandas(run, "instance long, right array<double>, total double")
+    summed = parts.groupBy("instance").agg(
+        F.array(*[F.sum(F.get("right", F.lit(j))) for j in range(d - 1)]).alias("right"),
+        F.max("total").alias("total"),
+    )
+    solved = F.transform(
+        F.array(*[double_array(row) for row in inverse.tolist()]) if d > 1 else F.array().cast("array<array<double>>"),
+        lambda row: F.aggregate(F.zip_with(row, "right", lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v),
+    )
+    rows = summed.select("instance", "total", solved.alias("_s"))
+    last = F.col("total") - F.aggregate("_s", F.lit(0.0), lambda acc, v: acc + v)
+    return long_rows(rows, "instance", F.concat("_s", F.array(last)), "shapley_kernel")
+
+
+ATTRIBUTIONS = "instance long, method string, feature int, value double"
+
+
+def write_attributions(rows: DataFrame, path: str) -> None:
+    """The long table of ``instance, method, feature, value`` as CSV with header, one file per task."""
+    rows.selectExpr("instance", "method", "feature", "value").write.mode("overwrite").option(
+        "header", True
+    ).csv(path)
+
+
+def read_attributions(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, ATTRIBUTIONS, "csv")
+
+
 def gaussian(seed: int, *ids: Column) -> Column:
     """A standard normal number fixed by seed and ids."""
     u = 1 - unit_hash(seed, *ids, F.lit("u"))

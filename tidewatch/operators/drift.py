@@ -9,21 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.catalog import DRIFT_LIMIT
+from tidewatch.functions.distributions import chi2_tail, kolmogorov_tail
 from tidewatch.functions.expressions import ratio
 from tidewatch.operators.ordered import ROWS_PER_TASK, running_sums
 
-# Fixed value: upper 5% point of the standard normal distribution.
-NORMAL_95 = 1.6448536269514722
-
 
 def ks_statistic(
     df: DataFrame, value: str, current: str, alpha: float = DRIFT_LIMIT,
     limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Largest gap of the two empirical distributions, with its asymptotic critical value.
+    """Largest gap of the two empirical distributions, with its asymptotic critical value and p-value.
 
-    ``current`` is true for rows of the current sample. If one sample is empty the
-    statistic and its critical value are null and there is no drift.
+    ``current`` is true for rows of the current sample. There is drift if the p-value is below
+    ``alpha``. If one sample is empty the numbers are null and there is no drift.
     """
     rows = df.select(F.col(value).alias("_x"), F.col(current).alias("_c"))
     counts = rows.groupBy("_x").agg(
@@ -56,7 +54,8 @@ def ks_statistic(
             F.when(both, F.col("_ks")).alias("ks"),
             (factor * F.sqrt(F.try_divide(n + m, n * m))).alias("critical"),
         )
-        .withColumn("drift", F.coalesce(F.col("ks") > F.col("critical"), F.lit(False)))
+        .withColumn("p_value", kolmogorov_tail(F.col("ks") * F.sqrt(F.try_divide(n * m, n + m))))
+        .withColumn("drift", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
     )
 
 
@@ -90,11 +89,10 @@ def _with_shares(counts: DataFrame) -> DataFrame:
     return counts.withColumn("_t", totals)
 
 
-def chi2_statistic(counts: DataFrame) -> DataFrame:
-    """Two-sample chi-square over the bins that hold any row, flagged at 5%.
+def chi2_statistic(counts: DataFrame, alpha: float = DRIFT_LIMIT) -> DataFrame:
+    """Two-sample chi-square over the bins that hold any row, with its p-value.
 
-    The flag uses the cube-root normal approximation of the distribution. If one sample
-    is empty, or all rows lie in one bin, nothing can be compared: the statistic is null
+    There is drift if the p-value is below ``alpha``. If one sample is empty, or all rows lie in one bin, nothing can be compared: the statistic is null
     for an empty sample and there is no drift.
     """
     n, m = F.col("n_reference"), F.col("n_current")
@@ -109,10 +107,8 @@ def chi2_statistic(counts: DataFrame) -> DataFrame:
         .filter(both > 0)
         .agg(F.sum(part).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
     )
-    dof = F.when(F.col("dof") > 0, F.col("dof").cast("double"))
-    k = 2 / (9 * dof)
-    z = (F.pow(F.col("chi2") / dof, F.lit(1 / 3)) - (1 - k)) / F.sqrt(k)
-    return one.withColumn("drift", F.coalesce(z > NORMAL_95, F.lit(False)))
+    found = one.withColumn("p_value", chi2_tail(F.col("chi2"), F.col("dof")))
+    return found.withColumn("drift", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
 def psi_statistic(

@@ -390,6 +390,14 @@ HALVES_SQL = "halves AS (SELECT value, ts >= TIMESTAMP '2024-01-16' AS current F
 EDGES = (10, 20, 40, 60, 80, 100, 150)
 
 
+_KS_ROOT = "(max(abs(a / n - b / m)) * sqrt((n * m)::DOUBLE / (n + m)))"
+# the alternating series alone; it needs more terms where the library takes the other one
+_KS_P = (
+    "least(1.0, 2 * list_sum(list_transform(range(1, 2000), lambda j: "
+    f"(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * pow({_KS_ROOT}, 2)))))"
+)
+
+
 @query(
     "drift_ks",
     f"WITH {HALVES_SQL}, t AS (SELECT count(*) FILTER (WHERE NOT current) AS n, "
@@ -398,7 +406,7 @@ EDGES = (10, 20, 40, 60, 80, 100, 150)
     "sum(current::INT) OVER (ORDER BY value) AS b FROM halves) "
     "SELECT n AS n_reference, m AS n_current, round(max(abs(a / n - b / m)), 8) AS ks, "
     "round(sqrt(-ln(0.05 / 2) / 2) * sqrt((n + m) / (n * m)), 8) AS critical, "
-    "max(abs(a / n - b / m)) > sqrt(-ln(0.05 / 2) / 2) * sqrt((n + m) / (n * m)) AS drift "
+    f"round({_KS_P}, 8) + 0.0 AS p_value, {_KS_P} < 0.05 AS drift "
     "FROM c CROSS JOIN t GROUP BY n, m",
 )
 def drift_ks(spark, d):
@@ -418,9 +426,10 @@ BINNED_SQL = (
     "drift_chi2",
     f"{BINNED_SQL}, s AS (SELECT sum(pow(n - (n + m) * nt / (nt + mt), 2) / ((n + m) * nt "
     "/ (nt + mt)) + pow(m - (n + m) * mt / (nt + mt), 2) / ((n + m) * mt / (nt + mt))) AS chi2, "
-    "count(*) - 1 AS dof FROM b CROSS JOIN t) SELECT round(chi2, 8) AS chi2, dof, "
-    "(pow(chi2 / dof, 1.0 / 3) - (1 - 2 / (9.0 * dof))) / sqrt(2 / (9.0 * dof)) "
-    "> 1.6448536269514722 AS drift FROM s",
+    "count(*) - 1 AS dof FROM b CROSS JOIN t), q AS (SELECT chi2, dof, exp(-chi2 / 2 + dof / 2.0 "
+    "* ln(chi2 / 2) - lgamma(dof / 2.0)) * list_sum(list_transform(range(0, 400), lambda k: "
+    "exp(k * ln(chi2 / 2) - lgamma(dof / 2.0 + k + 1) + lgamma(dof / 2.0)))) AS low FROM s) "
+    "SELECT round(chi2, 8) AS chi2, dof, round(1 - low, 8) + 0.0 AS p_value, 1 - low < 0.05 AS drift FROM q",
 )
 def drift_chi2(spark, d):
     counts = drift.binned_counts(_halves(spark, d), "value", "current", EDGES)

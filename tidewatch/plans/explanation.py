@@ -195,6 +195,42 @@ def shapley_component(spark, d):
     return i.finished(found, 8)
 
 
+EXACT_SQL = (
+    f"WITH {CELLS_SQL}, m AS (SELECT feature, avg(x) AS m FROM x GROUP BY feature) "
+    "SELECT instance, '{}' AS method, feature, round(w * (x - m), 8) + 0.0 AS value FROM x "
+    "JOIN w USING (feature) JOIN m USING (feature)"
+)
+
+
+def make_logit(weights=tuple(i.WEIGHTS)):
+    """Loader of the fixed linear model before its sigmoid."""
+
+    def make():
+        import numpy as np
+
+        return lambda matrix: np.asarray(matrix, dtype=float) @ np.array(weights)
+
+    return make
+
+
+@query("shapley_kernel", EXACT_SQL.format("shapley_kernel"))
+def shapley_kernel(spark, d):
+    """The least squares fit over sampled coalitions, which is exact where the model is linear."""
+    rows = vectors(spark, d)
+    mean = a.mean_baseline(rows, "embedding")
+    return i.finished(a.shapley_kernel(rows, "vec_id", "embedding", make_logit(), mean, 512), 8)
+
+
+@query("attribution_table", EXACT_SQL.format("shapley_linear"))
+def attribution_table(spark, d):
+    """The long attribution table, written as CSV and read back."""
+    rows = vectors(spark, d)
+    values = a.shapley_linear(F.col("embedding"), i.WEIGHTS, a.mean_baseline(rows, "embedding"))
+    path = work_folder(spark, "attributions")
+    a.write_attributions(a.long_rows(rows, "vec_id", values, "shapley_linear"), path)
+    return i.finished(a.read_attributions(spark, path), 8)
+
+
 N_RUNS, SPREAD = 5, 0.01
 _U, _V = (_hash_sql("instance", "run", "feature", f"'{c}'") for c in "uv")
 _NOISE = f"sqrt(-2 * ln(1 - {_U})) * cos(2 * pi() * {_V})"
