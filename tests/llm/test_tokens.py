@@ -130,7 +130,7 @@ def test_packing(spark, odd, texts):
     # the split of the input does not matter
     again = packing.pack_documents(docs.repartition(2)).collect()
     assert sorted(got) == sorted(again)
-    check_packing(packing.pack_documents(docs, documents_per_task=40).collect(), list(texts.items()), 2048)
+    check_packing(packing.pack_documents(docs, text_per_task=40_000).collect(), list(texts.items()), 2048)
 
 
 def test_sequences_hold_the_ids(spark, odd):
@@ -168,3 +168,28 @@ def test_best_fit_against_a_plain_list(lengths, room):
                 last = [b for b in open_ if open_[b] == least][-1]
                 open_.pop(last)
             open_[bins[k]] = space - x
+
+
+def test_few_long_documents_are_several_tasks(spark):
+    rows = [(k, f"word{k} and {k} " * 4_000) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = packing.pack_documents(docs, length=64, text_per_task=100_000).collect()
+    check_packing(found, rows, 64)
+    tasks = {r.sequence_id >> 40 for r in found}
+    assert len(tasks) >= 5
+
+
+def test_packing_in_small_batches_is_the_same(spark, texts):
+    docs = documents_frame(spark, texts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(map(tuple, packing.pack_documents(docs).collect()), key=repr)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, packing.pack_documents(docs).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
+
+
+def documents_frame(spark, texts):
+    return spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +27,8 @@ from tidewatch.llm.tokens import in_chunks, shared_encoder
 
 LENGTH = 2048
 OPEN_BINS = 512
-DOCUMENTS_PER_TASK = 200_000
+# text of one packing task, some 200,000 documents
+TEXT_PER_TASK = 400 << 20
 END = 0
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -81,12 +84,13 @@ def token_pieces(
     return id_and_text(docs, doc_id, text).mapInArrow(run, PIECES)
 
 
-def best_fit(lengths: Iterable[int], length: int, open_bins: int) -> tuple[list[int], list[int]]:
-    """The bin and the offset of each piece, bins numbered as they open."""
+def placed(
+    lengths: Iterable[int], length: int, open_bins: int
+) -> Iterator[tuple[int, int]]:
+    """The bin and the offset of each piece as it comes, bins numbered as they open."""
     bits = 0
     by_space: list[list[int]] = [[] for _ in range(length + 1)]
     n_open = opened = 0
-    bins, offsets = [], []
     for n in lengths:
         if not 0 < n <= length:
             raise ValueError(f"a piece has {n} tokens, a sequence at most {length}")
@@ -100,8 +104,7 @@ def best_fit(lengths: Iterable[int], length: int, open_bins: int) -> tuple[list[
         else:
             at, space = opened, length
             opened += 1
-        bins.append(at)
-        offsets.append(length - space)
+        yield at, length - space
         if space > n:
             if n_open == open_bins:
                 fullest = (bits & -bits).bit_length() - 1
@@ -112,7 +115,12 @@ def best_fit(lengths: Iterable[int], length: int, open_bins: int) -> tuple[list[
             by_space[space - n].append(at)
             bits |= 1 << (space - n)
             n_open += 1
-    return bins, offsets
+
+
+def best_fit(lengths: Iterable[int], length: int, open_bins: int) -> tuple[list[int], list[int]]:
+    """The bins and the offsets of all pieces."""
+    found = list(placed(lengths, length, open_bins))
+    return [b for b, _ in found], [o for _, o in found]
 
 
 def pack(
@@ -128,24 +136,31 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=None)
-        bins, offsets = best_fit(table.column("length").to_pylist(), length, open_bins)
         first = TaskContext.get().partitionId() << 40
-        table = table.append_column("sequence_id", pa.array(np.array(bins, np.int64) + first))
-        table = table.append_column("offset", pa.array(np.array(offsets, np.int64)))
-        yield from table.to_batches()
-
-    def run_if_any(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            yield from run(iter(held))
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def lengths() -> Iterator[int]:
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    yield from batch.column(3).to_pylist()
+
+        places = placed(lengths(), length, open_bins)
+        for place in places:
+            batch = waiting.popleft()
+            found = [place, *islice(places, batch.num_rows - 1)]
+            bins, offsets = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(bins + first), pa.array(offsets)],
+                names=[*batch.schema.names, "sequence_id", "offset"],
+            )
 
     deal = F.xxhash64("doc_id", "piece", "ids_crc32")
     return (
         pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
         .repartition(tasks, deal)
         .sortWithinPartitions(deal, "doc_id", "piece", "ids_crc32")
-        .mapInArrow(run_if_any, PACKED)
+        .mapInArrow(run, PACKED)
     )
 
 
@@ -153,16 +168,17 @@ def pack_documents(
     docs: DataFrame,
     length: int = LENGTH,
     open_bins: int = OPEN_BINS,
-    documents_per_task: int = DOCUMENTS_PER_TASK,
+    text_per_task: int = TEXT_PER_TASK,
     added_tokens: bool = False,
     **columns: str,
 ) -> DataFrame:
     """Tokenizes and packs whole documents.
 
-    The number of packing tasks follows the number of documents; a task holds a few
-    numbers per piece.
+    The number of packing tasks follows the bytes of text, which the pieces follow whatever the
+    length of a document. A task passes batches on as it places them and holds the open bins.
     """
-    tasks = max(1, math.ceil(docs.count() / documents_per_task))
+    size = docs.agg(F.sum(F.octet_length(columns.get("text", "text")))).first()[0] or 0
+    tasks = max(1, math.ceil(size / text_per_task))
     pieces = token_pieces(
         docs, length=length, with_ids=False, added_tokens=added_tokens, **columns
     )
