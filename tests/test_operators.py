@@ -674,6 +674,16 @@ def test_reversed_stays_are_kept_empty(spark):
     assert {r["stay"]: r["v"] for r in got} == {1: None, 2: 1.0, 3: None}
 
 
+def test_a_null_stay_with_rows_comes_once(spark):
+    day = "timestamp'2024-01-01 0{}:00:00'"
+    stays = spark.sql(
+        f"SELECT 1 AS who, CAST(NULL AS INT) AS stay, {day.format(1)} AS b, {day.format(5)} AS e"
+    )
+    rows = spark.sql(f"SELECT 1 AS who, {day.format(2)} AS t, 3.0D AS v")
+    got = cohort.within_stay(stays, rows, "who", "stay", "b", "e", "t").collect()
+    assert [(r["stay"], r["v"]) for r in got] == [(None, 3.0)]
+
+
 def test_drift_with_nothing_to_compare(spark):
     rows = spark.range(50).select(F.col("id").cast("double").alias("v"), F.lit(False).alias("c"))
     got = one(drift.ks_statistic(rows, "v", "c"))

@@ -60,7 +60,9 @@ def within_stay(
         .drop("_day"),
         "within-stay",
     )
-    empty = stays.join(matched.select(stay).distinct(), stay, "left_anti")
+    held = matched.select(F.col(stay).alias("_held")).distinct()
+    # a null stay is a stay like others
+    empty = stays.join(held, F.col(stay).eqNullSafe(F.col("_held")), "left_anti")
     return matched.unionByName(empty, allowMissingColumns=True)
 
 
