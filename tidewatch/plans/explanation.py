@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.operators import attribution as a
-from tidewatch.operators import metrics, scoring, splits
+from tidewatch.operators import metrics, scoring, search, splits
 from tidewatch.plans import inputs as i
 from tidewatch.plans.registry import query
 from tidewatch.session import work_folder
@@ -396,6 +396,58 @@ def tune_model(spark, d):
     )
 
 
+N_DRAWN, RUNGS = 16, 3
+SPACE = {
+    "scale": search.LogUniform(0.05, 5.0), "shift": search.Uniform(-2.0, 1.0),
+    "floor": search.Choice((0.0, 0.01, 0.1)),
+}
+
+
+def _log_loss(s: dict):
+    """Cross entropy of the rescaled score, kept ``floor`` away from 0 and 1."""
+    p = 1 / (1 + F.exp(-(s["scale"] * F.log(F.col("q") / (1 - F.col("q"))) + s["shift"])))
+    held = F.greatest(F.least(p, F.lit(1 - s["floor"])), F.lit(s["floor"]))
+    return -F.when(F.col("y") == 1, F.log(held)).otherwise(F.log(1 - held))
+
+
+def _drawn_sql(name: str) -> str:
+    return _hash_sql("candidate", f"'{name}'")
+
+
+def _rung_sql(rung: int) -> str:
+    share = 1 / 2 ** (RUNGS - 1 - rung)
+    before = "drawn" if rung == 0 else f"left{rung - 1}"
+    kept = -(-N_DRAWN // 2 ** (rung + 1))
+    return (
+        f"rung{rung} AS (SELECT candidate, any_value(scale) AS scale, any_value(shift) AS shift, "
+        f"any_value(floor) AS floor, {rung}::INT AS rung, avg(-CASE WHEN y = 1 THEN ln(h) ELSE ln(1 - h) END) "
+        "AS loss FROM (SELECT d.*, y, greatest(least(1 / (1 + exp(-(scale * ln(q / (1 - q)) + shift))), "
+        f"1 - floor), floor) AS h FROM scores CROSS JOIN {before} d WHERE {_hash_sql('id', 'q')} < {share}) "
+        "GROUP BY candidate), "
+        f"left{rung} AS (SELECT candidate, scale, shift, floor FROM rung{rung} ORDER BY loss, candidate LIMIT {kept})"
+    )
+
+
+@query(
+    "tune_ranges",
+    "WITH " + i.SCORES_SQL + ", n AS (SELECT unnest(range(" + str(N_DRAWN) + ")) AS candidate), "
+    f"drawn AS (SELECT candidate, exp(ln(0.05) + {_drawn_sql('scale')} * (ln(5.0) - ln(0.05))) AS scale, "
+    f"-2.0 + {_drawn_sql('shift')} * 3.0 AS shift, "
+    f"([0.0, 0.01, 0.1]::DOUBLE[])[floor({_drawn_sql('floor')} * 3)::INT + 1] AS floor FROM n), "
+    + ", ".join(_rung_sql(k) for k in range(RUNGS))
+    + ", every AS ("
+    + " UNION ALL ".join(f"SELECT * FROM rung{k}" for k in range(RUNGS))
+    + ") SELECT candidate, round(scale, 8) AS scale, round(shift, 8) AS shift, floor, rung, "
+    "round(loss, 8) AS loss FROM every QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY rung DESC) = 1",
+)
+def tune_ranges(spark, d):
+    """Scale, shift and floor of a score drawn from ranges, halved on growing shares of the rows."""
+    found = search.successive_halving(
+        i.scores(spark, d), SPACE, _log_loss, ["id", "q"], N_DRAWN, rungs=RUNGS
+    )
+    return i.finished(found, 8)
+
+
 BLOCK_ROWS, N_REPEATS = 128, 10
 _MIXED = f"((id % {a.MODULUS} * 48271 + (feature * 1009 + repeat)::BIGINT * 69621 + 42) % {a.MODULUS})"
 
