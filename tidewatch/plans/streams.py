@@ -26,23 +26,22 @@ def event_stream(spark, d, part=None):
     One job writes all files: the part and a salt name the task that writes a row. The files
     then get times in the order of their names, which is the order in which the source takes them.
     """
-    folder = work_folder(spark, "event-files")
     rows = i.events(spark, d)
     if part is None:
         part = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(BATCHES - 1))
-    files = max(2, spark.sparkContext.defaultParallelism // BATCHES)
-    salt = F.pmod(F.xxhash64("event_id"), F.lit(files))
-    dealt = rows.repartitionById(BATCHES * files, (part * files + salt).cast("int"))
-    dealt.write.parquet(folder)
-    written = Folder(spark, folder)
-    # part-<task>-...; a salt that no row fell to has no file
-    tasks = {n: int(n.split("-")[1]) for n in written.names() if n.startswith("part-")}
+    for files in (max(2, spark.sparkContext.defaultParallelism // BATCHES), 1):
+        folder = work_folder(spark, "event-files")
+        salt = F.pmod(F.xxhash64("event_id"), F.lit(files))
+        dealt = rows.repartitionById(BATCHES * files, (part * files + salt).cast("int"))
+        dealt.write.parquet(folder)
+        written = Folder(spark, folder)
+        # part-<task>-...; few rows may leave a salt without a file, then parts get one file each
+        tasks = {n: int(n.split("-")[1]) for n in written.names() if n.startswith("part-")}
+        if set(Counter(task // files for task in tasks.values()).values()) <= {files}:
+            break
     for name, task in tasks.items():
         written.set_time(name, 1_000_000_000_000 + 1000 * task)
-    filled = Counter(task // files for task in tasks.values())
-    if set(filled.values()) == {files}:
-        return st.file_stream(spark, folder, rows.schema, files_per_trigger=files)
-    return st.file_stream(spark, folder, rows.schema, files_per_trigger=1)
+    return st.file_stream(spark, folder, rows.schema, files_per_trigger=files)
 
 
 def kept(spark, stream, folder, name, keys, order=(), mode="append"):
