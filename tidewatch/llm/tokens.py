@@ -120,19 +120,18 @@ class WordEncoder:
 
     def _looked_up(self, forms: list[str], lead: str) -> list[bytes]:
         """Each form cut at single blanks; each distinct chunk is looked up once, ``lead``
-        before it, and its ids are laid out by arrays."""
+        before it, and its ids are laid out by Arrow."""
         cut = pc.split_pattern(pa.array(forms, pa.large_string()), " ")
         coded = cut.flatten().dictionary_encode()
         known = self._chunks.__getitem__
         ids = [known(lead + chunk) for chunk in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        data, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        place = coded.indices.to_numpy()
-        sizes = size[place]
-        ends = np.cumsum(sizes)
-        laid = data[np.repeat(start[place] - (ends - sizes), sizes) + np.arange(sizes.sum())]
-        borders = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
-        return [laid[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])]
+        laid = pa.array(ids, pa.large_binary()).take(coded.indices)
+        _, ends, data = laid.buffers()
+        if data is None:
+            return [b""] * len(forms)
+        ends = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()]
+        view = memoryview(data)
+        return [bytes(view[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text, in order. Keep the batches moderate; all is held."""
