@@ -248,8 +248,10 @@ def _tag():
 
 
 def _ran(spark, rows, folder):
-    """Run a query with state in the RocksDB store to its end; its rows."""
-    st.finish(sf.stateful(lambda: st.append_to_table(rows, folder), spark))
+    """Run a query with state in the RocksDB store to its end, a state partition per core; its rows."""
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(shuffles, spark.sparkContext.defaultParallelism)
+    st.finish(sf.stateful(lambda: st.append_to_table(rows, folder), spark, tasks))
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 

@@ -3,7 +3,8 @@
 A log is a folder. ``records/segment=N`` holds the records of one append as Parquet with
 ``log_partition, offset, value``; ``ends/segment=N`` the offsets it covers, one row per partition, written
 after them. A segment without its ends is not there. A stream over a log keeps the next offset of each
-partition, so it goes on where it stopped, and reads any range again in the same order.
+partition, so it goes on where it stopped, and reads any range again in the same order. Tasks read the files
+through pyarrow, so a log must lie on a file system that pyarrow reaches from the executors.
 """
 
 from __future__ import annotations

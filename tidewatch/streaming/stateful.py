@@ -24,14 +24,23 @@ IDLE, OPEN = "idle", "open"
 SIZE, AGE = "size", "age"
 
 
-def stateful(start: Callable[[], object], spark):
-    """Calls ``start``, which starts a query, while the session names the RocksDB state store."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def stateful(start: Callable[[], object], spark, tasks: int | None = None):
+    """Calls ``start``, which starts a query, while the session names the RocksDB state store.
+
+    ``tasks`` is the number of state partitions, else that of shuffles; a query that goes on
+    keeps the number it began with. Every one of them starts a Python worker per batch.
+    """
+    wanted = {PROVIDER: ROCKSDB}
+    if tasks:
+        wanted["spark.sql.shuffle.partitions"] = str(tasks)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         return start()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class InOrder(StatefulProcessor):
