@@ -267,3 +267,20 @@ def test_attention_at_a_node_with_many_in_edges(spark):
         x = F.round("x", 9)
         assert collected(got, "node", "n_in", x) == collected(want, "node", "n_in", x)
         assert got.agg(F.max("n_in")).first()[0] > 400
+
+
+def test_range_count_follows_the_rows():
+    assert ordered.range_count(0, 8) is None
+    assert ordered.range_count(8 * ordered.ROWS_PER_TASK, 8) is None
+    assert ordered.range_count(8 * ordered.ROWS_PER_TASK + 1, 8) == 9
+
+
+def test_only_border_groups_are_carried(spark):
+    frame = with_null_keys(spark)
+    parts = ordered.in_ranges(frame, ["entity", "part"], ORDER).cache()
+    edges = ordered._border_groups(parts, ["entity", "part"])
+    per_range = edges.select("_range", "entity", "part").distinct().groupBy("_range").count()
+    assert {r["count"] for r in per_range.collect()} <= {1, 2}
+    spec = Window.partitionBy("_range").orderBy("entity", "part", *ORDER)
+    first = parts.withColumn("_k", F.row_number().over(spec)).filter("_k = 1")
+    assert first.join(edges, ["_range", "id"], "left_anti").count() == 0

@@ -1,11 +1,12 @@
 """Row numbers, running values, lags and row frames per entity.
 
 A plain window puts all rows of an entity into one task. Here rows are dealt to
-tasks by ranges of entity and order, so an entity of any size spans as many ranges as
-it fills. Each range is worked on by itself, and what earlier ranges carry over,
-one row per range at most, is added. There is one path for every size. The ranges
-are written once to the shared folder, because Spark may choose others when it
-computes them again.
+tasks by ranges of entity and order, of ``ROWS_PER_TASK`` rows or less on average, so an
+entity of any size spans as many ranges as it fills. Each range is worked on by itself.
+Only the first and the last group of a range can go on in another one, so what earlier
+ranges carry over comes from two rows per range and is broadcast, one row per range at
+most. There is one path for every size. The ranges are written once to the shared
+folder, because Spark may choose others when it computes them again.
 
 ``limit=None`` asks for plain windows instead, for input whose groups are small by
 construction, such as one row per entity and hour. Keys and values may be null; null
@@ -26,9 +27,24 @@ ROWS_PER_TASK = 5_000_000
 _CHUNK = "_range"
 
 
+def range_count(rows: int, usual: int) -> int | None:
+    """How many ranges ``rows`` need, or None where the session's ``usual`` number is enough."""
+    needed = -(-rows // ROWS_PER_TASK)
+    return needed if needed > usual else None
+
+
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The rows with the number of their range in ``_chunk``; numbers rise with keys and order."""
-    dealt = df.repartitionByRange(*keys, *order) if keys or order else df
+    """The rows with the number of their range in ``_range``; numbers rise with keys and order.
+
+    The rows are counted first, which reads no column of a table on disk, so that a range
+    holds ``ROWS_PER_TASK`` rows or less whatever ``spark.sql.shuffle.partitions`` says.
+    Rows that took work to make, such as aggregates, are best written before.
+    """
+    dealt = df
+    if keys or order:
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        number = range_count(df.count(), usual)
+        dealt = df.repartitionByRange(*([number] if number else []), *keys, *order)
     return written_once(dealt.withColumn(_CHUNK, F.spark_partition_id()), "ranges")
 
 
@@ -40,16 +56,32 @@ def _upto(keys: Sequence[str], order: Sequence[str]) -> Window:
     )
 
 
+def _border_groups(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the first and the last group of each range."""
+    if not keys:
+        return parts
+    group = F.struct(*keys)
+    borders = parts.groupBy(F.col(_CHUNK).alias("_range_at")).agg(
+        F.min(group).alias("_range_first"), F.max(group).alias("_range_last")
+    )
+    at_border = group.eqNullSafe(F.col("_range_first")) | group.eqNullSafe(F.col("_range_last"))
+    return parts.join(
+        F.broadcast(borders), (F.col(_CHUNK) == F.col("_range_at")) & at_border, "left_semi"
+    )
+
+
 def _carried(parts: DataFrame, keys: Sequence[str], totals: dict[str, Column], fold) -> DataFrame:
     """What the earlier ranges of a group amount to, for ranges that continue one.
 
-    Only the first group of a range can, so there is one row per range at most.
+    A group that goes on is the last of its range and the first of the next, so the totals
+    of two groups per range are enough, and one row per range at most comes out.
     """
     earlier = (
         Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        parts.groupBy(_CHUNK, *keys)
+        _border_groups(parts, keys)
+        .groupBy(_CHUNK, *keys)
         .agg(*[c.alias(f"_carried_{name}") for name, c in totals.items()])
         .select(
             F.col(_CHUNK).alias("_range_at"),
@@ -65,7 +97,7 @@ def _continued(local: DataFrame, carried: DataFrame, keys: Sequence[str]) -> Dat
     same = F.col(_CHUNK) == F.col("_range_at")
     for i, k in enumerate(keys):
         same = same & local[k].eqNullSafe(F.col(f"_range_key_{i}"))
-    return local.join(carried, same, "left")
+    return local.join(F.broadcast(carried), same, "left")
 
 
 def join_group_values(df: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
