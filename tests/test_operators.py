@@ -684,6 +684,45 @@ def test_a_null_stay_with_rows_comes_once(spark):
     assert [(r["stay"], r["v"]) for r in got] == [(None, 3.0)]
 
 
+def test_spans_hold_each_day_of_a_stay_once(spark):
+    starts = [-40, -1, 0, 5, 31, 32, 1000, 1023, 1024]
+    lengths = [1, 2, 31, 32, 33, 64, 95, 700, 1024, 2048, 2049, 3653]
+    frame = spark.createDataFrame(
+        [(a, a + n - 1) for a in starts for n in lengths] + [(5, 4), (None, 4)], "a int, b int"
+    )
+    for used in ((1,), (1, 32), (1, 32, 1024)):
+        rows = frame.withColumn("s", cohort._cover(F.col("a"), F.col("b"), used)).collect()
+        for r in rows:
+            if r["a"] is None or r["a"] > r["b"]:
+                assert r["s"] is None
+                continue
+            days = [d for n, at in r["s"] for d in range(n * at, n * at + n)]
+            assert sorted(days) == list(range(r["a"], r["b"] + 1))
+            assert used != (1, 32, 1024) or len(r["s"]) < 150
+
+
+def test_stays_of_hours_and_of_ten_years(spark):
+    stays = spark.sql(
+        "SELECT who, stay, CAST(b AS TIMESTAMP) AS b, CAST(e AS TIMESTAMP) AS e FROM VALUES "
+        "(1, 1, '2014-03-05 07:30:00', '2024-03-04 10:00:00'), "
+        "(1, 2, '2020-02-29 10:30:00', '2020-02-29 12:00:00'), "
+        "(1, 3, '1965-01-01 00:00:00', '1970-06-01 00:00:00'), "
+        "(2, 4, '2014-03-05 00:00:00', '2014-01-01 00:00:00') AS t(who, stay, b, e)"
+    )
+    rows = spark.sql(
+        "SELECT 1 AS who, explode(sequence(timestamp'1964-12-01 07:00:00', "
+        "timestamp'2024-04-01 00:00:00', interval 61 hours)) AS t"
+    ).withColumn("v", F.unix_timestamp("t"))
+    got = cohort.within_stay(stays, rows, "who", "stay", "b", "e", "t")
+    want = stays.alias("s").join(
+        rows.alias("r"),
+        F.expr("s.who = r.who AND r.t BETWEEN date_trunc('hour', s.b) AND s.e"), "left",
+    ).select("stay", "v")
+    key = ["stay", F.coalesce("v", F.lit(-1)).alias("v")]
+    found = sorted(tuple(r) for r in got.select(*key).collect())
+    assert found == sorted(tuple(r) for r in want.select(*key).collect()) and len(found) > 2000
+
+
 def test_drift_with_nothing_to_compare(spark):
     rows = spark.range(50).select(F.col("id").cast("double").alias("v"), F.lit(False).alias("c"))
     got = one(drift.ks_statistic(rows, "v", "c"))

@@ -284,3 +284,14 @@ def test_only_border_groups_are_carried(spark):
     spec = Window.partitionBy("_range").orderBy("entity", "part", *ORDER)
     first = parts.withColumn("_k", F.row_number().over(spec)).filter("_k = 1")
     assert first.join(edges, ["_range", "id"], "left_anti").count() == 0
+
+
+def test_long_ranges_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 100)
+    frame = with_null_keys(spark)
+    parts = ordered.in_ranges(frame, ["entity", "part"], ORDER)
+    assert parts.select("_range").distinct().count() > 20 and parts.count() == 3000
+    got = ordered.row_numbers(frame, ["entity"], ORDER)
+    spec = Window.partitionBy("entity").orderBy(*ORDER)
+    want = frame.withColumn("row_num", F.row_number().over(spec))
+    assert collected(got, "id", "row_num") == collected(want, "id", "row_num")

@@ -36,16 +36,23 @@ def range_count(rows: int, usual: int) -> int | None:
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows with the number of their range in ``_range``; numbers rise with keys and order.
 
-    The rows are counted first, which reads no column of a table on disk, so that a range
-    holds ``ROWS_PER_TASK`` rows or less whatever ``spark.sql.shuffle.partitions`` says.
-    Rows that took work to make, such as aggregates, are best written before.
+    The session's number of shuffle partitions is used, unless ranges would then hold more
+    than ``ROWS_PER_TASK`` rows on average, which the footers of the written table tell; they
+    are dealt again to as many as that takes.
     """
-    dealt = df
+
+    def dealt(rows: DataFrame, *number: int) -> DataFrame:
+        if keys or order:
+            rows = rows.repartitionByRange(*number, *keys, *order)
+        return written_once(rows.withColumn(_CHUNK, F.spark_partition_id()), "ranges")
+
+    parts = dealt(df)
     if keys or order:
         usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        number = range_count(df.count(), usual)
-        dealt = df.repartitionByRange(*([number] if number else []), *keys, *order)
-    return written_once(dealt.withColumn(_CHUNK, F.spark_partition_id()), "ranges")
+        number = range_count(parts.count(), usual)
+        if number:
+            parts = dealt(parts.drop(_CHUNK), number)
+    return parts
 
 
 def _upto(keys: Sequence[str], order: Sequence[str]) -> Window:
