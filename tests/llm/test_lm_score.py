@@ -213,3 +213,18 @@ def test_scores_do_not_depend_on_tasks(spark, sf_dir, monkeypatch):
 def test_no_language_column(spark, sf_dir):
     docs = documents(spark, sf_dir).drop("lang")
     assert lm.score(docs, lm.fit(docs, head=50, rounds=1)).count() == docs.count()
+
+
+def test_every_training_document_is_trained_on_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    average, seen = lm._average, []
+
+    def counted(copies, shards):
+        seen.append(copies.agg({"n": "sum"}).first()[0] or 0)
+        return average(copies, shards)
+
+    monkeypatch.setattr(lm, "_average", counted)
+    docs = lm.training_part(documents(spark, sf_dir))
+    model = lm.fit(docs)
+    assert len(seen) == lm.ROUNDS and all(seen)
+    assert sum(seen) == model.vocabulary.tokens

@@ -12,10 +12,11 @@ frequent in and by their last sign and are drawn by their counts there; tail wor
 share classes by how they end, smoothed as in the base, unknown words included.
 So the probabilities of all words, one unknown word per tail class and the end sum to 1.
 
-Training. A round takes a fixed share of the training documents, so training grows with
-the corpus, and deals them by hashes to shards of about ``SHARD_TOKENS`` words. Per shard a
+Training. Every training document is trained on once. Hashes deal the documents to
+``ROUNDS`` rounds, and those of a round to shards of about ``SHARD_TOKENS`` words. Per shard a
 copy of the weights is trained on whole documents by truncated backpropagation. The copies
-are averaged by the number of words they saw, ``FAN_IN`` at a time in as many levels as it takes.
+are averaged by the number of words they saw, ``FAN_IN`` at a time in as many levels as it takes,
+and the next round starts from their mean.
 
 Scoring. Documents run side by side in lanes; the state is carried from window to
 window to the end of each document, so every word counts with all words before it.
@@ -46,10 +47,10 @@ LANGUAGES = 15
 STATE = 32
 ENDINGS = 16
 SIGNS = 4  # none, full stop, comma, other
-ROUNDS, SHARE = 2, 32
-SHARD_TOKENS, FAN_IN = 250_000, 16
+ROUNDS = 2
+SHARD_TOKENS, FAN_IN = 1_000_000, 16
 COPY = "shard long, weights binary, n long"
-TRAIN_LANES, TRAIN_WINDOW, RATE = 32, 16, 0.08
+TRAIN_LANES, TRAIN_WINDOW, RATE = 128, 16, 0.08
 SCORE_LANES, SCORE_WINDOW = 256, 64
 BLOCK = 512
 HELD_TOKENS = 3_000_000
@@ -259,6 +260,22 @@ def _picked(states: np.ndarray, turn: np.ndarray, bias: np.ndarray, at: np.ndarr
     return mine - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
+def _slopes(
+    states: np.ndarray, turn: np.ndarray, bias: np.ndarray, at: np.ndarray, share: np.ndarray
+) -> tuple[np.ndarray, float]:
+    """The loss of a softmax at one place per row, by the rows' shares, and its slopes by logits."""
+    logits = states @ turn
+    logits += bias
+    logits -= logits.max(axis=1, keepdims=True)
+    own = np.arange(len(at))
+    mine = logits[own, at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits *= (share / total)[:, None]
+    logits[own, at] -= share
+    return logits, float(((np.log(total) - mine) * share).sum())
+
+
 class Lanes:
     """Whole documents one after another in lanes of about equal length, longest lanes first."""
 
@@ -389,56 +406,50 @@ class Gated:
         flat = states.reshape(-1, s)
         groups, places, weight = groups.T.ravel(), places.T.ravel(), real.T.ravel()
         places = np.where(weight, places, -1)
-        share = weight.astype(np.float32) / max(1, weight.sum())
-        at = np.arange(len(flat))
-        logits = flat @ self.w["group_out"] + self.w["group_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -(np.log(p[at, groups] + 1e-30) * share).sum()
-        p[at, groups] -= 1
-        p *= share[:, None]
-        grad = {
-            "group_out": flat.T @ p, "group_bias": p.sum(axis=0),
-            "word_out": np.zeros_like(self.w["word_out"]),
-            "word_bias": np.zeros_like(self.w["word_bias"]),
-        }
-        back = p @ self.w["group_out"].T
+        share = weight.astype(np.float32) / np.float32(max(1, weight.sum()))
+        grad = {k: np.zeros_like(x) for k, x in self.w.items()}
+        back = np.empty_like(flat)
+        loss = 0.0
+        for start in range(0, len(flat), BLOCK):
+            rows = slice(start, start + BLOCK)
+            seen, out = flat[rows], self.w["group_out"]
+            p, lost = _slopes(seen, out, self.w["group_bias"], groups[rows], share[rows])
+            loss += lost
+            grad["group_out"] += seen.T @ p
+            grad["group_bias"] += np.ones(len(p), p.dtype) @ p
+            np.matmul(p, out.T, out=back[rows])
         for k, rows in self._by_group(groups, places):
-            inner = flat[rows] @ self.w["word_out"][k] + self.w["word_bias"][k]
-            inner -= inner.max(axis=1, keepdims=True)
-            q = np.exp(inner)
-            q /= q.sum(axis=1, keepdims=True)
-            own = np.arange(len(rows))
-            loss -= (np.log(q[own, places[rows]] + 1e-30) * share[rows]).sum()
-            q[own, places[rows]] -= 1
-            q *= share[rows, None]
-            grad["word_out"][k] = flat[rows].T @ q
-            grad["word_bias"][k] = q.sum(axis=0)
-            back[rows] += q @ self.w["word_out"][k].T
+            seen, out = flat[rows], self.w["word_out"][k]
+            q, lost = _slopes(seen, out, self.w["word_bias"][k], places[rows], share[rows])
+            loss += lost
+            grad["word_out"][k] = seen.T @ q
+            grad["word_bias"][k] = np.ones(len(q), q.dtype) @ q
+            back[rows] += q @ out.T
         back = back.reshape(states.shape)
         turn = self.w["turn"]
-        d_turn = np.zeros_like(turn)
+        z, r, new, g_new = (np.stack(x) for x in zip(*trace))
+        # what the slope of a state is multiplied by for its candidate, update and reset
+        by_new = (1 - z) * (1 - new * new)
+        by_z = (states - new) * z * (1 - z)
+        by_r = g_new * r * (1 - r)
         d_enter = np.empty((len(trace), len(h), 3 * s), np.float32)
+        d_g = np.empty_like(d_enter)
         dh = np.zeros_like(after)
         for t in range(len(trace) - 1, -1, -1):
-            z, r, new, g_new = trace[t]
-            before = states[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_z = dh * (before - new) * z * (1 - z)
-            d_r = d_new * g_new * r * (1 - r)
-            d_enter[t] = np.concatenate((d_z, d_r, d_new), axis=1)
-            d_g = np.concatenate((d_z, d_r, d_new * r), axis=1)
-            d_turn += before.T @ d_g
-            dh = dh * z + d_g @ turn.T + back[t]
+            d_new = dh * by_new[t]
+            d_enter[t, :, :s] = dh * by_z[t]
+            d_enter[t, :, s : 2 * s] = d_new * by_r[t]
+            d_enter[t, :, 2 * s :] = d_new
+            d_g[t, :, : 2 * s] = d_enter[t, :, : 2 * s]
+            d_g[t, :, 2 * s :] = d_new * r[t]
+            dh = dh * z[t] + d_g[t] @ turn.T + back[t]
             dh[first[:, t]] = 0
-        grad["turn"] = d_turn
+        grad["turn"] = flat.T @ d_g.reshape(-1, 3 * s)
         ids = inputs.T.ravel()
         order = np.argsort(ids, kind="stable")
         found, starts = np.unique(ids[order], return_index=True)
-        grad["enter"] = np.zeros_like(self.w["enter"])
         grad["enter"][found] = np.add.reduceat(d_enter.reshape(-1, 3 * s)[order], starts, axis=0)
-        return grad, after, float(loss)
+        return grad, after, loss
 
     def train(self, docs: list[tuple[np.ndarray, ...]], lanes: int, window: int, rate: float,
               squares: dict[str, np.ndarray]) -> float:
@@ -452,12 +463,14 @@ class Gated:
                 h, held.inputs[at], held.first[at] & real, held.groups[at], held.places[at], real
             )
             losses.append(loss)
-            size = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            size = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
             shrink = min(1.0, 5.0 / (size + 1e-9))
             for k, g in grad.items():
                 g *= shrink
                 squares[k] += g * g
-                self.w[k] -= rate * g / np.sqrt(squares[k])
+                g *= rate
+                g /= np.sqrt(squares[k])
+                self.w[k] -= g
         return float(np.mean(losses)) if losses else 0.0
 
     def score(self, docs: list[tuple[np.ndarray, ...]], lanes: int, window: int) -> np.ndarray:
@@ -593,11 +606,12 @@ def fit(
     lang: str | None = "lang",
     head: int = HEAD,
     rounds: int = ROUNDS,
-    share: int = SHARE,
+    share: int | None = None,
     rate: float = RATE,
 ) -> Model:
     """Count all words of ``docs`` and train on one in ``share`` documents per round.
 
+    Without ``share`` the rounds have all documents among them, each in one round.
     A round has one shard per ``SHARD_TOKENS`` of its tokens, so that a copy takes as many
     steps in a large corpus as in a small one. Null texts are empty and count as an end
     alone. Without a column ``lang`` all words are of one unknown language.
@@ -625,6 +639,7 @@ def fit(
     network = Gated.fresh(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = id_and_bytes(docs, doc_id, text)
+    share = share or rounds
     shards = max(1, -(-int(sums["tokens"]) // (share * SHARD_TOKENS)))
     for part in range(rounds):
         network = _round(rows, shared, network, rate / (1 + part), share, part % share, shards)
