@@ -4,9 +4,12 @@ Three patterns give the base findings. A candidate is any run of key characters
 long as the least value of the patterns, or the part of it that base findings leave open. The
 network reads the whole candidate with the characters around it and is fitted here on
 labelled runs: those in which a base finding ends are secrets, those that none touches are not.
-A candidate counts with the highest of its blocks, in the fit as in the scan. Its scores are calibrated on a
-part of the labelled rows that it was not fitted on, and the threshold is the highest
-that still finds the wanted share of them.
+A candidate counts with the highest of its blocks, in the fit as in the scan.
+
+The fit starts from a few labelled runs and then takes all of them: hashes deal the documents to shards, each
+trains a copy on all its runs, and the copies are averaged. Runs whose value has a certain
+hash are left out. All of these calibrate the scores, and the threshold is the highest that
+still finds the wanted share of them, to ``1 / STEPS`` of a logit.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +52,11 @@ WINDOW = BLOCK + 2 * CONTEXT
 # blocks scored at once
 SCORED_AT_ONCE = 1024
 
-# the network is fitted on at most this many labelled candidates of each kind
+# the fit on all labelled candidates starts from this many of each kind
 SAMPLE = 3_000
+SHARD_CANDIDATES, STEP_CANDIDATES, STEP_SECRETS = 500_000, 4096, 256
+COPY_RATE, MARGIN = 0.001, 4.0
+STEPS, MOST_LOGIT = 1000, 200
 CALIBRATION_SHARE = 4  # one in so many is kept for calibration
 RECALL = 0.98
 EPOCHS, BATCH, RATE = 6, 64, 0.004
@@ -278,17 +286,25 @@ class Network:
     ) -> None:
         """Logistic scaling of the logits, then the highest threshold with that recall."""
         z = np.maximum.reduceat(self.logits(x), starts)
+        self.calibrate_counts(z, y, np.ones(len(z)), recall)
+
+    def calibrate_counts(
+        self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = RECALL
+    ) -> None:
+        """``calibrate`` from logits and labels that ``n`` candidates share."""
         a, b = 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            w = p * (1 - p) + 1e-6
-            g = np.array([((p - y) * z).sum() + 0.01 * (a - 1), (p - y).sum()])
+            w = n * (p * (1 - p) + 1e-6)
+            off = n * (p - y)
+            g = np.array([(off * z).sum() + 0.01 * (a - 1), off.sum()])
             h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum()]])
             move = np.linalg.solve(h + 1e-6 * np.eye(2), g)
             a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
         self.scale, self.offset = float(a), float(b)
-        good = np.sort(self._scaled(z)[y == 1])
-        self.threshold = float(good[int(np.floor((1 - recall) * len(good)))])
+        good, order = n[y == 1], np.argsort(z[y == 1])
+        at = np.searchsorted(np.cumsum(good[order]), np.floor((1 - recall) * good.sum()), "right")
+        self.threshold = float(self._scaled(z[y == 1][order[at]]))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self._scaled(self.logits(x))
@@ -301,49 +317,125 @@ class Network:
         """The highest score of the candidate's blocks."""
         return float(self.scores(np.stack(blocks(left, value, right))).max())
 
-    def score_all(self, texts: list[str], places: list[list[tuple[int, int]]]) -> np.ndarray:
-        """``score`` of all candidates of the texts, one after another.
+    NAMES = ("embed", "kernel", "shift", "out", "bias")
 
-        The convolution of an embedded character is looked up in one table per place of the kernel.
-        """
-        tables = [
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """What characters add at the first two, the next two and the last place of the kernel."""
+        assert KERNEL == 5
+        parts = [
             np.where(np.arange(2 * CHARACTERS)[:, None] == 0, 0, self.embed @ part).astype(np.float32)
             for part in np.split(self.kernel, KERNEL)
         ]
+        pairs = [(parts[k][:, None] + parts[k + 1][None]).reshape(-1, FILTERS) for k in (0, 2)]
+        return *pairs, parts[4]
+
+    def score_all(self, texts: list[str], places: list[list[tuple[int, int]]]) -> np.ndarray:
+        """``score`` of all candidates of the texts, one after another."""
+        return self._scaled(self.logits_all(Layout(texts, places)))
+
+    def logits_all(self, laid: Layout) -> np.ndarray:
+        """The highest logit of each candidate's blocks."""
+        tables, z = self.tables(), np.empty(len(laid.owner))
+        for rows, codes in laid.groups():
+            pooled = np.maximum(_convolved(tables, codes).max(axis=0) + self.shift, 0)
+            z[rows] = pooled @ self.out + self.bias[0]
+        best = np.full(laid.candidates, -np.inf)
+        np.maximum.at(best, laid.owner, z)
+        return best
+
+    def margin_gradients(self, laid: Layout, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean loss of either label; it falls to 0 in a parabola up to ``MARGIN``."""
+        tables, z = self.tables(), np.empty(len(laid.owner))
+        tops = np.empty((len(z), FILTERS))
+        for rows, codes in laid.groups():
+            tops[rows] = _convolved(tables, codes).max(axis=0) + self.shift
+        z[:] = np.maximum(tops, 0) @ self.out + self.bias[0]
+        # of blocks of one candidate the highest, the first of equal ones
+        order = np.lexsort((np.arange(len(z)), -z, laid.owner))
+        best = np.zeros(len(z), bool)
+        best[order[np.flatnonzero(np.diff(laid.owner[order], prepend=-1))]] = True
+        sign = 2 * y[laid.owner] - 1
+        share = np.where(sign > 0, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
+        err = np.where(best, -sign * share * np.maximum(0, 1 - sign * z / MARGIN), 0)
+        out = [np.zeros_like(getattr(self, k)) for k in self.NAMES]
+        out[3] += np.maximum(tops, 0).T @ err
+        out[4] += err.sum()
+        slopes = np.zeros((KERNEL, 2 * CHARACTERS * FILTERS))
+        for rows, codes in laid.groups():
+            open_ = np.flatnonzero(err[rows])
+            if not len(open_):
+                continue
+            rows, codes = rows[open_], codes[:, open_]
+            at = _convolved(tables, codes).argmax(axis=0)  # row, filter
+            d_top = err[rows, None] * self.out * (tops[rows] > 0)
+            out[2] += d_top.sum(axis=0)
+            for k in range(KERNEL):
+                seen = codes[at + k, np.arange(len(rows))[:, None]] * FILTERS + np.arange(FILTERS)
+                slopes[k] += np.bincount(seen.ravel(), d_top.ravel(), slopes.shape[1])
+        for k, part in enumerate(slopes.reshape(KERNEL, 2 * CHARACTERS, FILTERS)):
+            part[0] = 0  # nothing stands there
+            own = slice(k * WIDTH, (k + 1) * WIDTH)
+            out[0] += part @ self.kernel[own].T
+            out[1][own] = self.embed.T @ part
+        return out
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
+
+    def unpacked(self, flat: np.ndarray) -> Network:
+        out, at = [], 0
+        for k in self.NAMES:
+            like = getattr(self, k)
+            out.append(flat[at : at + like.size].reshape(like.shape).copy())
+            at += like.size
+        return Network(*out)
+
+
+class Layout:
+    """The blocks of all candidates of some texts; ``bare`` ones without their surroundings."""
+
+    def __init__(
+        self, texts: list[str], places: list[list[tuple[int, int]]], bare: np.ndarray | None = None
+    ) -> None:
         lengths = np.array([len(t) for t in texts], np.int64)
-        whole = _codes("".join(texts))
+        self.whole = _codes("".join(texts)).astype(np.int32)
         before = np.cumsum(lengths) - lengths
         text = np.repeat(np.arange(len(texts)), [len(p) for p in places])
         spans = np.array([s for p in places for s in p], np.int64).reshape(-1, 2)
-        a, b = spans.T + before[text]
-        first = np.maximum(a - CONTEXT, before[text])
-        last = np.minimum(b + CONTEXT, before[text] + lengths[text])
-        parts = -(-(b - a) // BLOCK)
-        owner = np.repeat(np.arange(len(a)), parts)
-        at = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * BLOCK
-        start = np.maximum(first[owner], a[owner] + at - CONTEXT)
-        size = np.minimum(WINDOW, last[owner] - start)
-        z = np.empty(len(owner))
-        order = np.argsort(size, kind="stable")
-        for k in range(0, len(order), SCORED_AT_ONCE):
-            rows = order[k : k + SCORED_AT_ONCE]
+        self.a, self.b = spans.T + before[text]
+        self.candidates = len(spans)
+        around = CONTEXT if bare is None else np.where(bare, 0, CONTEXT)
+        first = np.maximum(self.a - around, before[text])
+        last = np.minimum(self.b + around, before[text] + lengths[text])
+        parts = -(-(self.b - self.a) // BLOCK)
+        self.owner = np.repeat(np.arange(self.candidates), parts)
+        at = np.arange(len(self.owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.start = np.maximum(first[self.owner], self.a[self.owner] + at * BLOCK - CONTEXT)
+        self.size = np.minimum(WINDOW, last[self.owner] - self.start)
+        self.order = np.argsort(self.size, kind="stable")
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of about equal length, and their characters, one row per place."""
+        for k in range(0, len(self.order), SCORED_AT_ONCE):
+            rows = self.order[k : k + SCORED_AT_ONCE]
             # one place of padding alone is enough
-            width = min(WINDOW, int(size[rows[-1]]) + KERNEL)
-            steps = np.arange(width)
-            here = start[rows, None] + steps
-            mine = owner[rows, None]
-            codes = whole[np.minimum(here, len(whole) - 1)]
-            codes += CHARACTERS * ((here >= a[mine]) & (here < b[mine]))
-            codes[steps >= size[rows, None]] = 0
-            n = width - KERNEL + 1
-            act = tables[0][codes[:, :n]]
-            for j in range(1, KERNEL):
-                act += tables[j][codes[:, j : j + n]]
-            pooled = np.maximum(act.max(axis=1) + self.shift, 0)
-            z[rows] = (pooled * self.out).sum(axis=1) + self.bias[0]
-        best = np.full(len(a), -np.inf)
-        np.maximum.at(best, owner, z)
-        return self._scaled(best)
+            steps = np.arange(min(WINDOW, int(self.size[rows[-1]]) + KERNEL))[:, None]
+            here = self.start[rows] + steps
+            mine = self.owner[rows]
+            codes = np.take(self.whole, here, mode="clip")
+            codes += CHARACTERS * ((here >= self.a[mine]) & (here < self.b[mine]))
+            codes[steps >= self.size[rows]] = 0
+            yield rows, codes
+
+
+def _convolved(tables: tuple[np.ndarray, ...], codes: np.ndarray) -> np.ndarray:
+    """By place, row and filter, without the shift."""
+    n = len(codes) - KERNEL + 1
+    pairs = codes[:-1] * (2 * CHARACTERS) + codes[1:]
+    out = np.take(tables[0], pairs[:n], axis=0, mode="clip")
+    out += np.take(tables[1], pairs[2 : n + 2], axis=0, mode="clip")
+    out += np.take(tables[2], codes[4:], axis=0, mode="clip")
+    return out
 
 
 def labelled(found: DataFrame, sample: int = SAMPLE) -> list:
@@ -380,7 +472,7 @@ def train(found: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Net
     y = np.array([r["label"] for r in rows], np.float64)
     if not LEAST_ROWS <= y.sum() <= len(y) - LEAST_ROWS:
         return None
-    kept = np.array([zlib.crc32(r["value"].encode()) % CALIBRATION_SHARE == 0 for r in rows])
+    kept = np.array([_of_calibration(r["value"]) for r in rows])
     if not (0 < y[kept].sum() < kept.sum()) or not (0 < y[~kept].sum() < (~kept).sum()):
         return None
     network = Network.fresh()
@@ -389,6 +481,149 @@ def train(found: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Net
     return network
 
 
+def _of_calibration(value: str) -> bool:
+    return zlib.crc32(value.encode()) % CALIBRATION_SHARE == 0
+
+
+def _learn(network: Network, start: list, shard: int, rows: Iterator[str]) -> tuple[Network, int]:
+    """A copy trained on all labelled candidates of the texts, and their number.
+
+    A step takes those of the next texts, and secrets of the start and of texts before, so that it
+    always has both labels.
+    """
+    rnd = np.random.default_rng(shard)
+    copy = network.unpacked(network.packed())
+    held = [getattr(copy, k) for k in copy.NAMES]
+    first, second = [np.zeros_like(p) for p in held], [np.zeros_like(p) for p in held]
+    known, fresh = list(start), 0
+    steps = total = waiting = 0
+    texts: list[str] = []
+    places: list[list[tuple[int, int]]] = []
+    labels: list[int] = []
+
+    def step() -> None:
+        nonlocal steps, total, waiting
+        drawn = [known[k] for k in rnd.integers(0, len(known), STEP_SECRETS)]
+        y = np.array(labels + [1] * len(drawn), np.float64)
+        laid = Layout(
+            texts + ["".join(parts) for parts in drawn],
+            places + [[(len(left), len(left) + len(value))] for left, value, _ in drawn],
+            # half of the time without its surroundings, so the value itself must tell
+            rnd.random(len(y)) < 0.5,
+        )
+        steps += 1
+        total += len(labels)
+        for p, g, m, v in zip(held, copy.margin_gradients(laid, y), first, second):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= COPY_RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
+        for x in (texts, places, labels):
+            x.clear()
+        waiting = 0
+
+    for whole in rows:
+        mine = [
+            (a, b, int(state == SECRET))
+            for a, b, state in runs(whole, base_spans(whole))
+            if state != REST and not _of_calibration(whole[a:b])
+        ]
+        for a, b, label in mine:
+            if label:
+                # the first places of the list stay those of the start
+                secret = (whole[max(0, a - CONTEXT) : a], whole[a:b], whole[b : b + CONTEXT])
+                if len(known) < len(start) + SAMPLE:
+                    known.append(secret)
+                else:
+                    known[len(start) + fresh % SAMPLE] = secret
+                fresh += 1
+        for k in range(0, len(mine), STEP_CANDIDATES):
+            part = mine[k : k + STEP_CANDIDATES]
+            low, high = max(0, part[0][0] - CONTEXT), max(b for _, b, _ in part) + CONTEXT
+            texts.append(whole[low:high])
+            places.append([(a - low, b - low) for a, b, _ in part])
+            labels.extend(label for *_, label in part)
+            waiting += len(part)
+            if waiting >= STEP_CANDIDATES:
+                step()
+    if waiting:
+        step()
+    return copy, total
+
+
+def train_on_all(docs: DataFrame, network: Network, start: list, candidates: int) -> Network:
+    """The mean of copies trained on all labelled candidates outside the calibration part.
+
+    Documents go to shards, and follow each other there, by hashes of id and text, so the mean
+    does not depend on how the table is cut into tasks. ``start`` has some secrets.
+    """
+    shards = max(1, -(-candidates // SHARD_CANDIDATES))
+    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = (
+        docs.select(
+            F.pmod(F.xxhash64("text", "doc_id"), F.lit(shards)).alias("shard"),
+            F.xxhash64("doc_id", "text").alias("at"), "doc_id", "text",
+        )
+        .repartitionById(tasks, (F.col("shard") % tasks).cast("int"))
+        .sortWithinPartitions("shard", "at", "doc_id", "text")
+        .select("shard", "text")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (shard.as_py(), text.as_py())
+            for batch in batches
+            for shard, text in zip(batch.column(0), batch.column(1))
+        )
+        for shard, mine in groupby(rows, itemgetter(0)):
+            copy, n = _learn(network, start, shard, (text for _, text in mine))
+            weights = copy.packed()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(len(weights)), pa.int32()), pa.array(weights * n, pa.float64()),
+                    pa.array([n] * len(weights), pa.int64()),
+                ],
+                names=["place", "total", "n"],
+            )
+
+    copies = dealt.mapInArrow(run, "place int, total double, n long").groupBy("place")
+    mean = copies.agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    found = mean.orderBy("place").collect()  # one row per weight
+    if not found or not found[0]["n"]:
+        return network
+    # sums of copies in another order differ in the last digits
+    return network.unpacked(np.round([r["mean"] for r in found], 9))
+
+
+def calibrate_on_all(docs: DataFrame, network: Network, recall: float = RECALL) -> None:
+    """Scales and threshold from all labelled candidates of the calibration part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in in_chunks(batch):
+                places, labels = [], []
+                for whole in texts:
+                    mine = [
+                        (a, b, int(state == SECRET))
+                        for a, b, state in runs(whole, base_spans(whole))
+                        if state != REST and _of_calibration(whole[a:b])
+                    ]
+                    places.append([(a, b) for a, b, _ in mine])
+                    labels.extend(label for *_, label in mine)
+                z = np.clip(network.logits_all(Layout(texts, places)), -MOST_LOGIT, MOST_LOGIT)
+                step = np.floor(z * STEPS).astype(np.int64) * 2 + np.array(labels, np.int64)
+                step, n = np.unique(step, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(step % 2), pa.array(step // 2), pa.array(n.astype(np.int64))],
+                    names=["label", "step", "n"],
+                )
+
+    counts = docs.mapInArrow(run, "label long, step long, n long")
+    # at most two labels by the steps between the largest logits
+    rows = counts.groupBy("label", "step").agg(F.sum("n").alias("n")).orderBy("label", "step").collect()
+    y, step, n = (np.array([r[k] for r in rows], np.float64) for k in ("label", "step", "n"))
+    network.calibrate_counts(step / STEPS, y, n, recall)
+
+
 SCANNED = (
     "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"
 )
@@ -409,6 +644,16 @@ def scan(
     """
     found = materialise(findings(docs, doc_id, text, sample), "secret-sample")
     network = train(found, sample, recall)
+    if network is not None:
+        whole = id_and_text(docs, doc_id, text)
+        start = [
+            (r["left"], r["value"], r["right"])
+            for r in labelled(found, sample)
+            if r["label"] and not _of_calibration(r["value"])
+        ]
+        candidates = found.agg(F.sum("n")).first()[0]
+        network = train_on_all(whole, network, start, candidates)
+        calibrate_on_all(whole, network, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(
