@@ -161,3 +161,22 @@ def test_spans_of_clean_documents_are_left_alone(spark, sf):
     docs, items = documents(spark, sf), documents(spark, sf, "benchmark")
     changed = decontaminate.clean(docs, items).exceptAll(docs).collect()
     assert [r.doc_id for r in changed] == [45]
+
+
+def test_texts_in_no_learned_language_go(spark, sf_dir):
+    """Given documents stay, short runs of their words too; other languages and random letters go."""
+    given = documents(spark, sf_dir)
+    rnd = random.Random(3)
+    foreign = [
+        "kun hän tuli kotiin oli jo pimeää ja kaikki ikkunat olivat kiinni mutta ovi aukesi helposti",
+        "kiedy przyszedł do domu było już ciemno i wszystkie okna były zamknięte ale drzwi otworzyły się",
+        "когда он пришёл домой было уже темно и все окна были закрыты но дверь открылась легко",
+        " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)),
+    ]
+    short = [" ".join(r.text.split()[:6]) for r in given.where("n_chars > 200").limit(20).collect()]
+    added = [(10**7 + k, t, None) for k, t in enumerate(foreign + short)]
+    table = given.unionByName(
+        spark.createDataFrame(added, "doc_id long, text string, lang string"), allowMissingColumns=True
+    )
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, table, sf_dir).collect()}
+    assert kept == {r.doc_id for r in table.collect()} - set(range(10**7, 10**7 + len(foreign)))
