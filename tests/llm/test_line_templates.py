@@ -1,4 +1,7 @@
+import time
+
 import oracle
+from pyspark.sql import functions as F
 
 from tidewatch.llm import line_templates as lt
 from tidewatch.llm import queries_sql
@@ -80,3 +83,18 @@ def test_stage(spark, odd, empty):
     assert sorted(r.doc_id for r in lt.without_recurring_lines(copies).collect()) == [1, 3]
     assert lt.without_recurring_lines(odd).count() == odd.count()
     assert lt.without_recurring_lines(empty).count() == 0
+
+
+def test_lines_of_a_long_text_are_split_once(spark):
+    """A text of many lines takes about as long as as many lines in short texts."""
+    def seconds(texts, lines):
+        first = (F.col("id") % 10).cast("string")
+        text = F.concat(first, F.repeat(F.lit("\nline of words"), lines - 1))
+        rows = spark.range(texts, numPartitions=1).select(text.alias("text"))
+        left = lt.without_lines(F.col("text"), F.array(F.lit(1), F.lit(2)))
+        start = time.perf_counter()
+        assert rows.select(F.max(F.length(left))).first()[0] == 1 + 14 * (lines - 3)
+        return time.perf_counter() - start
+
+    seconds(200, 100)
+    assert seconds(4, 5_000) < 5 * seconds(200, 100) + 1

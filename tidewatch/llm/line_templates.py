@@ -30,7 +30,8 @@ CONSTANT = 0.5
 VARYING = 0.2
 # leaves up to this number are broadcast as a set of longs; more are joined
 BROADCAST_LEAVES = 500_000
-VARIABLE = r"[^\s0-9]*+[0-9]\S*+"
+# only tried where a word begins
+VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
 def parsed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,7 +151,12 @@ def without_lines(text: Column, dropped: Column) -> Column:
     """The text without the lines of these numbers, counted from 0."""
     lines = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    # as a field of a lambda variable the lines are split once, not for every line kept
+    both = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))
+    left = F.transform(
+        both, lambda b: F.array_join(F.transform(b["kept"], lambda i: F.get(b["lines"], i)), "\n")
+    )
+    return F.element_at(left, 1)
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Column]:
