@@ -193,3 +193,12 @@ def test_packing_in_small_batches_is_the_same(spark, texts):
 
 def documents_frame(spark, texts):
     return spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+
+
+def test_words_with_signs_are_kept_once():
+    """Word by word what the library gives, and no chunk for single words."""
+    text = "It says word word. word, word; 'word' word7 ª. naïve! ½. x² end\n. a.\nb don't. end' . ."
+    for path, low in KINDS:
+        mine = WordEncoder(path, low)
+        assert unpack(next(mine.encode([text]))) == plain(path)(text)
+        assert not {" word", " word.", " word,", "word", "word.", "word,"} & set(mine._chunks)

@@ -102,8 +102,8 @@ class WordEncoder:
         self._signs = _byte_signs()
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self._four_bytes = [i.to_bytes(4, "little") for i in range(size)].__getitem__
-        self._words = _Recent(self._encode_word, cached // 2)
-        self._chunks = _Recent(self._encode_chunk, cached // 2)
+        self._words = _Recent(self._encode_word, cached - cached // 4)
+        self._chunks = _Recent(self._encode_chunk, cached // 4)
 
     def _packed(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self._four_bytes, ids))
@@ -120,11 +120,20 @@ class WordEncoder:
 
     def _looked_up(self, forms: list[str], lead: str) -> list[bytes]:
         """Each form cut at single blanks; each distinct chunk is looked up once, ``lead``
-        before it, and its ids are laid out by Arrow."""
+        before it, and its ids are laid out by Arrow. Single words need no cutting and are
+        kept once, with and without a sign behind them."""
         cut = pc.split_pattern(pa.array(forms, pa.large_string()), " ")
         coded = cut.flatten().dictionary_encode()
-        known = self._chunks.__getitem__
-        ids = [known(lead + chunk) for chunk in coded.dictionary.to_pylist()]
+        words, chunks = self._words, self._chunks
+        ids = []
+        for chunk in coded.dictionary.to_pylist():
+            # most chunks are a word, or one with a sign behind it
+            if chunk.isalpha():
+                ids.append(words[lead + chunk])
+            elif chunk[:-1].isalpha() and chunk[-1] != "\n" and not chunk[-1].isalnum():
+                ids.append(words[lead + chunk[:-1]] + words[chunk[-1]])
+            else:
+                ids.append(chunks[lead + chunk])
         laid = pa.array(ids, pa.large_binary()).take(coded.indices)
         _, ends, data = laid.buffers()
         if data is None:
