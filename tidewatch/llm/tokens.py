@@ -39,7 +39,7 @@ LOWER_WORDS = re.compile(rf"[{_L}]+|{_SHORT}|[{_N}]|[^ \n{_L}{_N}]+")
 # blanks that belong together although a single one is cut at
 JOINED_BLANKS = re.compile(r"[ \n]  |[ \n] \Z")
 # words and chunks kept for reuse, half of them the most recent ones
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 # longer texts are encoded by themselves, piece by piece
 LONG_TEXT = 1 << 24
 
