@@ -228,3 +228,81 @@ def test_every_training_document_is_trained_on_once(spark, sf_dir, monkeypatch):
     model = lm.fit(docs)
     assert len(seen) == lm.ROUNDS and all(seen)
     assert sum(seen) == model.vocabulary.tokens
+
+
+def test_long_document_does_not_end_in_small_windows():
+    v = small_vocabulary()
+    docs = documents_of(v, [b"of the " * 2000] + [b"der und. a " * 30] * 64)
+    held = lm.Lanes(docs, 32)
+    seen, windows = np.zeros(len(held.doc), int), 0
+    for at, real in held.windows(16):
+        seen[at[real]] += 1
+        windows += 1
+    assert (seen == 1).all()
+    assert windows < 60  # 251 of sixteen words
+
+
+def test_steps_are_those_of_all_weights():
+    """Weights without a slope in a window are left out of its step, which changes nothing."""
+    v = small_vocabulary()
+    net, plain = lm.Gated.fresh(v), lm.Gated.fresh(v)
+    docs = documents_of(v, TEXTS[:1])
+    net.train(docs, 1, 1000, 0.08, {})
+    held = lm.Lanes(docs, 1)
+    at, real = next(held.windows(1000))
+    grad, *_ = plain.gradients(
+        np.zeros((1, net.state), np.float32), held.inputs[at], held.first[at] & real,
+        held.groups[at], held.places[at], real,
+    )
+    size = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+    for k, g in grad.items():
+        g = g * min(1, 5 / (size + 1e-9))
+        want = plain.w[k] - 0.08 * g / np.sqrt(1e-3 + g * g)
+        assert np.allclose(net.w[k], want, atol=1e-5), k
+
+
+def test_large_weights_do_not_overflow():
+    v = small_vocabulary()
+    net = lm.Gated.fresh(v)
+    rnd = np.random.default_rng(5)
+    for k in ("group_out", "word_out"):
+        net.w[k] += rnd.normal(0, 200, net.w[k].shape).astype(np.float32)
+    assert not any(lm._near(x, 1.0) for x in net.joint())
+    docs = documents_of(v, TEXTS)
+    got = net.score(docs, 2, 4) / math.log(10)
+    for text, mine in zip(TEXTS, got):
+        fixed = sum(v.fixed[k] for k in v.numbers(lm.words_of(text)) if k >= 0)
+        assert math.isclose(mine + fixed, plain_log10(v, net, text), rel_tol=1e-4)
+
+
+def test_batches_are_cut_and_encoded_as_single_texts(spark, sf_dir, odd, monkeypatch):
+    monkeypatch.setattr(lm, "HELD_BYTES", 3000)
+    v = lm.fit(lm.training_part(documents(spark, sf_dir)), head=300, rounds=1, share=4).vocabulary
+    texts = {(i, len((t or "").encode().split()) + 1): (t or "").encode() for i, t in ODD}
+    coded = lm._coded(lm._rows(odd, "doc_id", "text"), spark.sparkContext.broadcast(v))
+    codes, rows = lm.Codes(v), coded.collect()
+    assert len(rows) == len(ODD) and len({(r.task, r.row) for r in rows}) == len(ODD)
+    for r in rows:
+        words = lm.words_of(texts[r.doc_id, r.n_tokens])
+        found, *want = v.encode(words)
+        assert all((a == b).all() for a, b in zip(codes.read(lm.pa.scalar(bytes(r.codes))), want))
+        tail = Counter(words[k] for k in np.flatnonzero(found < 0))
+        assert {bytes(t.word): (t["shape"], t.n) for t in r.tail} == {
+            w: (lm.shape_of(w), n) for w, n in tail.items()
+        }
+
+
+def test_a_table_is_encoded_once_for_its_own_model(spark, sf_dir, monkeypatch):
+    docs = documents(spark, sf_dir)
+    apart = lm.score(docs, lm.fit(lm.training_part(docs), head=300)).collect()
+    coded, calls = lm._coded, []
+    monkeypatch.setattr(lm, "_coded", lambda *args: calls.append(1) or coded(*args))
+    held = lm.in_fold(lm.F.col("doc_id"), lm.FOLDS, lm.HELD_OUT_FOLD)
+    model = lm.fit(docs, head=300, held=held)
+    once = {r.doc_id: r for r in lm.score_coded(model.coded, model).collect()}
+    assert len(calls) == 1 and len(once) == len(apart)
+    for r in apart:
+        other = once[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (other.n_tokens, other.n_known)
+        assert math.isclose(r.base_score, other.base_score, rel_tol=1e-6)
+        assert math.isclose(r.score, other.score, rel_tol=1e-6)

@@ -18,6 +18,9 @@ copy of the weights is trained on whole documents by truncated backpropagation.
 are averaged by the number of words they saw, ``FAN_IN`` at a time in as many levels as it takes,
 and the next round starts from their mean.
 
+Encoding. Each document is cut into words and turned into the network's inputs once; training
+and scoring read these.
+
 Scoring. Documents run side by side in lanes; the state is carried from window to
 window to the end of each document, so every word counts with all words before it.
 """
@@ -27,17 +30,17 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import id_and_bytes, in_fold, materialise
+from tidewatch.llm.base import in_fold, materialise
 
 FOLDS, HELD_OUT_FOLD = 10, 0
 ADD = 0.1
@@ -51,10 +54,11 @@ ROUNDS = 2
 SHARD_TOKENS, FAN_IN = 1_000_000, 16
 COPY = "shard long, weights binary, n long"
 TRAIN_LANES, TRAIN_WINDOW, RATE = 128, 16, 0.08
-SCORE_LANES, SCORE_WINDOW = 256, 64
-BLOCK = 512
+SCORE_LANES, SCORE_WINDOW = 256, 32
+WIDEN = 8
+BLOCK, STACK = 512, 128
 HELD_TOKENS = 3_000_000
-HELD_WORDS = 300_000
+HELD_BYTES = 10_000_000
 # counts are told apart exactly up to here and by 64 steps per doubling above
 EXACT = 4096
 TAIL_CLASSES = SIGNS * ENDINGS
@@ -80,6 +84,50 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _slices(
+    batches: Iterator[pa.RecordBatch], column: str, most: int
+) -> Iterator[pa.RecordBatch]:
+    """The same rows, about ``most`` bytes of a column at a time; a longer value is alone."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        for at in range(len(lengths)):
+            length = int(lengths[at])
+            if size and size + length > most:
+                if at > start:
+                    held.append(batch.slice(start, at - start))
+                yield joined()
+                held, size, start = [], 0, at
+            size += length
+        if start < len(lengths):
+            held.append(batch.slice(start))
+    if held:
+        yield joined()
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts, each word's number among them, and its text's number.
+
+    As ``words_of`` cuts each text, but by Arrow's functions for all texts at once.
+    """
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    coded = found.flatten().dictionary_encode()
+    ends = found.offsets.to_numpy()
+    texts_of = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(ends))
+    distinct, numbers = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    # blanks at either end of a text leave an empty word there
+    empty = pc.index(distinct, "").as_py()
+    if empty >= 0:
+        real = numbers != empty
+        numbers, texts_of = numbers[real], texts_of[real]
+    return distinct.view(pa.binary()), numbers, texts_of
+
+
 # ---- counting
 
 
@@ -98,34 +146,27 @@ def count_words(docs: DataFrame, lang: str | None = "lang", text: str = "text")
     number = {name: k for k, name in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
-        ends: Counter = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, counter in held.items():
-                words = list(counter)
-                shapes = [shape_of(w) for w in words]
-                n = list(counter.values())
-                if ends[k]:
-                    words, shapes, n = [*words, None], [*shapes, -1], [*n, ends[k]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(words, pa.binary()), pa.array(shapes, pa.int32()),
-                        pa.array([k] * len(words), pa.int32()), pa.array(n, pa.int64()),
-                    ],
-                    names=["word", "shape", "lang", "n"],
-                )
-            held.clear()
-            ends.clear()
-
-        for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k = number.get(name, len(names))
-                held.setdefault(k, Counter()).update(words_of(value))
-                ends[k] += 1
-            if sum(map(len, held.values())) > HELD_WORDS:
-                yield from flush()
-        yield from flush()
+        kinds = len(names) + 1
+        for batch in _slices(batches, "text", HELD_BYTES):
+            langs = np.array([number.get(x, len(names)) for x in batch.column("lang").to_pylist()])
+            words, numbers, texts_of = _split(batch.column("text"))
+            n = np.bincount(numbers * np.int64(kinds) + langs[texts_of], minlength=len(words) * kinds)
+            # of each language a word is found in, and the ends
+            at = np.flatnonzero(n)
+            ends = np.bincount(langs, minlength=kinds)
+            each = np.flatnonzero(ends)
+            shapes = np.array([shape_of(w) if w else -1 for w in words.to_pylist()], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays(
+                        [words.take(pa.array(at // kinds)), pa.nulls(len(each), pa.binary())]
+                    ),
+                    pa.array(np.append(shapes[at // kinds], np.full(len(each), -1, np.int32))),
+                    pa.array(np.append(at % kinds, each).astype(np.int32)),
+                    pa.array(np.append(n[at], ends[each])),
+                ],
+                names=["word", "shape", "lang", "n"],
+            )
 
     counted = rows.mapInArrow(count, "word binary, shape int, lang int, n long")
     parts = counted.groupBy("word", "shape").agg(
@@ -217,6 +258,13 @@ class Vocabulary:
         self.group_bias = np.log(mass + ADD)
         self.word_bias = np.full((self.neural_groups, size), -1e9)
         self.word_bias[self.group[own], self.place[own]] = np.log(counts[own] + ADD)
+        # an input tells class and place as well
+        self.input_group = np.zeros(self.inputs, np.int32)
+        self.input_place = np.full(self.inputs, -1, np.int32)
+        self.input_group[self.input], self.input_place[self.input] = self.group, self.place
+        tails = np.arange(TAIL_CLASSES)
+        self.input_group[self.first_tail_input + tails] = self.first_tail_group + tails
+        self.code = "<u2" if self.inputs <= 1 << 16 else "<i4"
         self.input_lang = np.full(self.inputs, LANGUAGES, np.int64)
         self.input_lang[self.input] = langs
         self._number: dict[bytes, int] | None = None
@@ -230,50 +278,86 @@ class Vocabulary:
             self._number = {w: k for k, w in enumerate(self.words)}
         return np.fromiter(map(self._number.get, words, repeat(-1)), np.int64, len(words))
 
+    def inputs_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Head numbers, -1 for tail words, and inputs of the words."""
+        found = self.numbers(words)
+        inputs = self.input[found]
+        tail = np.flatnonzero(found < 0)
+        inputs[tail] = [self.first_tail_input + shape_of(words[at]) for at in tail.tolist()]
+        return found, inputs
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """Head numbers, inputs, classes and places of the words and the end."""
-        found = np.concatenate((self.numbers(words), [self.end]))
-        inputs, groups, places = self.input[found], self.group[found], self.place[found]
-        for at in np.flatnonzero(found < 0):
-            shape = shape_of(words[at])
-            inputs[at] = self.first_tail_input + shape
-            groups[at] = self.first_tail_group + shape
-            places[at] = -1
-        return found, inputs, groups, places
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.negative(x)
-    np.exp(out, out=out)
-    out += 1
-    return np.reciprocal(out, out=out)
-
-
-def _picked(states: np.ndarray, turn: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The natural log of the softmax at one place per row."""
-    logits = states @ turn
-    logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
-    mine = logits[np.arange(len(at)), at]
+        found, inputs = self.inputs_of(words)
+        found, inputs = np.append(found, self.end), np.append(inputs, self.input[self.end])
+        return found, inputs, self.input_group[inputs], self.input_place[inputs]
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    """In place; half of one and the tangent of half, which is faster than an exponential."""
+    half = x.dtype.type(0.5)
+    x *= half
+    np.tanh(x, out=x)
+    x *= half
+    x += half
+
+
+def _sorted(ids: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts numbers under ``below``, the different ones, and their counts."""
+    # a stable sort of 16 bits is by digits
+    order = np.argsort(ids.astype(np.uint16) if below <= 1 << 16 else ids, kind="stable")
+    counts = np.bincount(ids, minlength=below)
+    found = np.flatnonzero(counts)
+    return order, found, counts[found]
+
+
+def _sums(rows: np.ndarray, counts: np.ndarray, few: int = 6) -> np.ndarray:
+    """The sums of runs of so many rows, one after another.
+
+    Short runs are added side by side and long ones by a product with ones, as a
+    reduction run by run takes three times as long.
+    """
+    starts = np.cumsum(counts) - counts
+    out = rows[starts]
+    for k in range(1, few):
+        at = np.flatnonzero((counts > k) & (counts <= few))
+        out[at] += rows[starts[at] + k]
+    ones = np.ones(counts.max(), rows.dtype)
+    for k in np.flatnonzero(counts > few).tolist():
+        np.matmul(ones[: counts[k]], rows[starts[k] : starts[k] + counts[k]], out=out[k])
+    return out
+
+
+def _near(weights: np.ndarray, longest: float) -> bool:
+    """Whether the exponentials of all logits stay in range as they are.
+
+    ``weights`` end with the biases. A logit is within the product of the lengths of state and weights of
+    its bias. Where that shows that none overflows and that the best is not close to zero, no
+    maximum has to be taken off.
+    """
+    out, bias = weights[..., :-1, :], weights[..., -1, :]
+    reach = longest * np.sqrt(np.einsum("...ij,...ij->...j", out, out))
+    return bool((bias + reach).max() < 70 and (bias - reach).max(axis=-1).min() > -60)
+
+
+def _exponentials(logits: np.ndarray, at: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Logits become exponentials in place; their sums, and the natural log of the softmax at one place per row."""
+    if not near:
+        logits -= logits.max(axis=1, keepdims=True)
+    mine = logits.ravel().take(at)
     np.exp(logits, out=logits)
     # a product with ones sums rows faster than a reduction over the short axis
-    return mine - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
-
-
-def _slopes(
-    states: np.ndarray, turn: np.ndarray, bias: np.ndarray, at: np.ndarray, share: np.ndarray
-) -> tuple[np.ndarray, float]:
-    """The loss of a softmax at one place per row, by the rows' shares, and its slopes by logits."""
-    logits = states @ turn
-    logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
-    own = np.arange(len(at))
-    mine = logits[own, at]
-    np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
+    mine -= np.log(total)
+    return total, mine
+
+
+def _slopes(logits: np.ndarray, at: np.ndarray, share: np.ndarray, near: bool) -> float:
+    """Logits become slopes of the softmax's loss by the rows' shares; returns that loss."""
+    total, mine = _exponentials(logits, at, near)
     logits *= (share / total)[:, None]
-    logits[own, at] -= share
-    return logits, float(((np.log(total) - mine) * share).sum())
+    logits.ravel()[at] -= share
+    return -float(mine @ share)
 
 
 class Lanes:
@@ -300,11 +384,16 @@ class Lanes:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
 
     def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of the active lanes' next words, and which of them are real."""
+        """Places of the active lanes' next words, and which of them are real.
+
+        With fewer lanes left windows are longer, ``WIDEN`` times at most, so that a long document does not
+        end in many small ones.
+        """
         at = 0
         while len(self.lengths) and at < self.lengths[0]:
             active = int(np.searchsorted(-self.lengths, -at))
-            width = min(size, int(self.lengths[0]) - at)
+            wide = size * min(WIDEN, len(self.lengths) // active)
+            width = min(wide, int(self.lengths[0]) - at)
             steps = at + np.arange(width)
             real = steps[None] < self.lengths[:active, None]
             last = (self.starts + self.lengths - 1)[:active, None]
@@ -312,6 +401,16 @@ class Lanes:
             at += width
 
 
+def _stacked(rows: np.ndarray) -> np.ndarray:
+    """The rows as a stack of small matrices where they fill them; products of long narrow ones are slow."""
+    high = STACK if len(rows) % STACK == 0 else len(rows)
+    return rows.reshape(-1, high, rows.shape[1])
+
+
+def _longest(states: np.ndarray) -> float:
+    return math.sqrt(float(np.einsum("ij,ij->i", states, states).max(initial=0)))
+
+
 class Gated:
     """The recurrent network; weights in single precision."""
 
@@ -349,128 +448,215 @@ class Gated:
         return Gated(out)
 
     def _run(self, h: np.ndarray, inputs: np.ndarray, first: np.ndarray, keep: bool) -> tuple:
-        """States before each word, the last state, and what backpropagation needs."""
-        n, width, s = len(h), inputs.shape[1], self.state
-        enter, turn = self.w["enter"], self.w["turn"]
-        states = np.empty((width, n, s), np.float32)
-        trace = []
+        """States before each word with a one behind them, the last state, and what backpropagation needs."""
+        (n, width), s = inputs.shape, self.state
+        enter, turn = self.w["enter"], self._turns()
+        states = np.ones((width, n, s + 1), turn.dtype)
+        kept = width if keep else 1
+        gates = np.empty((kept, 3, n, s), turn.dtype)
+        news = np.empty((kept, n, s), turn.dtype)
+        x = np.empty((n, 3 * s), turn.dtype)
+        by_gate = x.reshape(n, 3, s).transpose(1, 0, 2)
+        ids, starts = np.ascontiguousarray(inputs.T), first.any(axis=0)
+        h = np.array(h, turn.dtype)
         for t in range(width):
-            if first[:, t].any():
-                h = np.where(first[:, t, None], np.float32(0), h)
-            states[t] = h
-            x = enter[inputs[:, t]]
-            g = h @ turn
-            zr = _sigmoid(x[:, : 2 * s] + g[:, : 2 * s])
-            z, r = zr[:, :s], zr[:, s:]
-            new = np.tanh(x[:, 2 * s :] + r * g[:, 2 * s :])
-            if keep:
-                trace.append((z, r, new, g[:, 2 * s :]))
-            h = new + z * (h - new)
-        return states, h, trace
-
-    def _by_group(self, groups: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
+            if starts[t]:
+                h[first[:, t]] = 0
+            states[t, :, :s] = h
+            enter.take(ids[t], axis=0, out=x, mode="clip")
+            g, new = gates[t % kept], news[t % kept]
+            np.matmul(h, turn, out=g)
+            zr = g[:2]
+            zr += by_gate[:2]
+            _sigmoid(zr)
+            np.multiply(g[1], g[2], out=new)
+            new += by_gate[2]
+            np.tanh(new, out=new)
+            h -= new
+            h *= g[0]
+            h += new
+        return states, h, gates, news
+
+    def joint(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of classes and of words over their biases, which a one behind each state meets."""
+        w = self.w
+        return (
+            np.concatenate((w["group_out"], w["group_bias"][None])),
+            np.concatenate((w["word_out"], w["word_bias"][:, None]), axis=1),
+        )
+
+    def _turns(self) -> np.ndarray:
+        """The state's weights, gate by gate."""
+        s = self.state
+        return np.ascontiguousarray(self.w["turn"].reshape(s, 3, s).transpose(1, 0, 2))
+
+    def _by_group(self, groups: np.ndarray, places: np.ndarray) -> tuple:
+        """Words with a place sorted by class, the classes, and where each one's rows begin and end."""
         own = np.flatnonzero(places >= 0)
-        own = own[np.argsort(groups[own], kind="stable")]
-        found, starts = np.unique(groups[own], return_index=True)
-        for k, rows in zip(found, np.split(own, starts[1:])):
-            yield int(k), rows
+        order, found, counts = _sorted(groups[own], len(self.w["group_bias"]))
+        ends = np.cumsum(counts)
+        return own[order], found, list(zip((ends - counts).tolist(), ends.tolist()))
 
     def log_probabilities(
         self, h: np.ndarray, inputs: np.ndarray, first: np.ndarray, groups: np.ndarray,
         places: np.ndarray,
     ) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs for each word of a window (rows are lanes), and the last state."""
-        states, h, _ = self._run(h, inputs, first, False)
-        flat = states.reshape(-1, self.state)
+        s = self.state
+        states, h, *_ = self._run(h, inputs, first, False)
+        flat = states.reshape(-1, s + 1)
         groups, places = groups.T.ravel(), places.T.ravel()
-        out = np.empty(len(flat), np.float32)
+        out = np.empty(len(flat), flat.dtype)
+        weights, word_weights = self.joint()
+        longest = _longest(flat[:, :s])
+        near = _near(weights, longest)
         # blocks of rows whose logits stay in a core's cache
-        for at in range(0, len(flat), BLOCK):
-            rows = slice(at, at + BLOCK)
-            out[rows] = _picked(
-                flat[rows], self.w["group_out"], self.w["group_bias"], groups[rows]
-            )
-        for k, rows in self._by_group(groups, places):
-            out[rows] += _picked(
-                flat[rows], self.w["word_out"][k], self.w["word_bias"][k], places[rows]
-            )
+        for start in range(0, len(flat), BLOCK):
+            rows = slice(start, start + BLOCK)
+            logits = (_stacked(flat[rows]) @ weights).reshape(-1, weights.shape[1])
+            at = np.arange(len(logits)) * logits.shape[1] + groups[rows]
+            out[rows] = _exponentials(logits, at, near)[1]
+        order, found, ends = self._by_group(groups, places)
+        if len(order):
+            seen = flat.take(order, axis=0)
+            logits = np.empty((len(order), word_weights.shape[-1]), flat.dtype)
+            for k, (start, end) in zip(found, ends):
+                np.matmul(seen[start:end], word_weights[k], out=logits[start:end])
+            at = np.arange(len(logits)) * logits.shape[1] + places[order]
+            out[order] += _exponentials(logits, at, _near(word_weights, longest))[1]
         return out.reshape(inputs.shape[1], -1).T, h
 
-    def gradients(
-        self, h: np.ndarray, inputs: np.ndarray, first: np.ndarray, groups: np.ndarray,
-        places: np.ndarray, real: np.ndarray,
-    ) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Gradient of the mean loss over a window; none flows to the window before."""
+    def _slopes(
+        self, joint: tuple[np.ndarray, np.ndarray], h: np.ndarray, inputs: np.ndarray,
+        first: np.ndarray, groups: np.ndarray, places: np.ndarray, real: np.ndarray,
+    ) -> tuple[dict[str, tuple], np.ndarray, float]:
+        """Rows of each weight that have slopes, and these; the last state; the mean loss over a window.
+
+        Those of classes and words are ``joint``. Nothing flows to the window before.
+        """
         s = self.state
-        states, after, trace = self._run(h, inputs, first, True)
-        flat = states.reshape(-1, s)
+        states, after, gates, new = self._run(h, inputs, first, True)
+        z, r, g_new = (gates[:, k] for k in range(3))
+        flat = states.reshape(-1, s + 1)
         groups, places, weight = groups.T.ravel(), places.T.ravel(), real.T.ravel()
         places = np.where(weight, places, -1)
-        share = weight.astype(np.float32) / np.float32(max(1, weight.sum()))
-        grad = {k: np.zeros_like(x) for k, x in self.w.items()}
-        back = np.empty_like(flat)
-        loss = 0.0
+        share = weight.astype(flat.dtype) / flat.dtype.type(max(1, weight.sum()))
+        back = np.empty((len(flat), s), flat.dtype)
+        longest, loss = _longest(flat[:, :s]), 0.0
+        weights, word_weights = joint
+        near = _near(weights, longest)
+        by_group, inward = np.zeros_like(weights), np.ascontiguousarray(weights[:s].T)
         for start in range(0, len(flat), BLOCK):
             rows = slice(start, start + BLOCK)
-            seen, out = flat[rows], self.w["group_out"]
-            p, lost = _slopes(seen, out, self.w["group_bias"], groups[rows], share[rows])
-            loss += lost
-            grad["group_out"] += seen.T @ p
-            grad["group_bias"] += np.ones(len(p), p.dtype) @ p
-            np.matmul(p, out.T, out=back[rows])
-        for k, rows in self._by_group(groups, places):
-            seen, out = flat[rows], self.w["word_out"][k]
-            q, lost = _slopes(seen, out, self.w["word_bias"][k], places[rows], share[rows])
-            loss += lost
-            grad["word_out"][k] = seen.T @ q
-            grad["word_bias"][k] = np.ones(len(q), q.dtype) @ q
-            back[rows] += q @ out.T
-        back = back.reshape(states.shape)
-        turn = self.w["turn"]
-        z, r, new, g_new = (np.stack(x) for x in zip(*trace))
-        # what the slope of a state is multiplied by for its candidate, update and reset
-        by_new = (1 - z) * (1 - new * new)
-        by_z = (states - new) * z * (1 - z)
-        by_r = g_new * r * (1 - r)
-        d_enter = np.empty((len(trace), len(h), 3 * s), np.float32)
-        d_g = np.empty_like(d_enter)
-        dh = np.zeros_like(after)
-        for t in range(len(trace) - 1, -1, -1):
-            d_new = dh * by_new[t]
-            d_enter[t, :, :s] = dh * by_z[t]
-            d_enter[t, :, s : 2 * s] = d_new * by_r[t]
-            d_enter[t, :, 2 * s :] = d_new
-            d_g[t, :, : 2 * s] = d_enter[t, :, : 2 * s]
-            d_g[t, :, 2 * s :] = d_new * r[t]
-            dh = dh * z[t] + d_g[t] @ turn.T + back[t]
-            dh[first[:, t]] = 0
-        grad["turn"] = flat.T @ d_g.reshape(-1, 3 * s)
-        ids = inputs.T.ravel()
-        order = np.argsort(ids, kind="stable")
-        found, starts = np.unique(ids[order], return_index=True)
-        grad["enter"][found] = np.add.reduceat(d_enter.reshape(-1, 3 * s)[order], starts, axis=0)
+            seen = _stacked(flat[rows])
+            p = (seen @ weights).reshape(-1, weights.shape[1])
+            at = np.arange(len(p)) * p.shape[1] + groups[rows]
+            loss += _slopes(p, at, share[rows], near)
+            by_group += np.matmul(seen.transpose(0, 2, 1), _stacked(p)).sum(axis=0)
+            np.matmul(_stacked(p), inward, out=_stacked(back[rows]))
+        every = slice(None)
+        grad = {"group": (every, by_group)}
+        order, found, ends = self._by_group(groups, places)
+        if len(order):
+            seen = flat.take(order, axis=0)
+            q = np.empty((len(order), word_weights.shape[-1]), flat.dtype)
+            for k, (start, end) in zip(found, ends):
+                np.matmul(seen[start:end], word_weights[k], out=q[start:end])
+            at = np.arange(len(q)) * q.shape[1] + places[order]
+            loss += _slopes(q, at, share[order], _near(word_weights, longest))
+            by_word = np.empty((len(found), *word_weights.shape[1:]), flat.dtype)
+            inner = np.empty((len(order), s), flat.dtype)
+            for mine, k, (start, end) in zip(by_word, found, ends):
+                np.matmul(seen[start:end].T, q[start:end], out=mine)
+                np.matmul(q[start:end], word_weights[k, :s].T, out=inner[start:end])
+            back[order] += inner
+            grad["word"] = (every if len(found) == len(word_weights) else found, by_word)
+        back = back.reshape(new.shape)
+        inward = np.ascontiguousarray(self._turns().transpose(0, 2, 1))
+        # what the slope of a state is multiplied by for its update, reset, reset candidate and candidate
+        n = len(after)
+        by = np.empty((len(new), 4, n, s), flat.dtype)
+        keep, (by_z, by_r, by_both, by_new) = 1 - z, (by[:, k] for k in range(4))
+        np.multiply(new, new, out=by_new)
+        np.subtract(1, by_new, out=by_new)
+        by_new *= keep
+        np.multiply(by_new, r, out=by_both)
+        np.subtract(1, r, out=by_r)
+        by_r *= g_new
+        by_r *= by_both
+        np.subtract(states[:, :, :s], new, out=by_z)
+        keep *= z
+        by_z *= keep
+        each = np.empty((3, n, s), flat.dtype)
+        dh, starts = np.zeros_like(after), first.any(axis=0)
+        for t in range(len(new) - 1, -1, -1):
+            d = by[t]
+            d *= dh
+            dh *= z[t]
+            for part in np.matmul(d[:3], inward, out=each):
+                dh += part
+            dh += back[t]
+            if starts[t]:
+                dh[first[:, t]] = 0
+        # step by step, as long products of few columns are slow
+        d_turn = np.matmul(by[:, :3].transpose(0, 1, 3, 2), states[:, None, :, :s]).sum(axis=0)
+        grad["turn"] = (every, d_turn.transpose(2, 0, 1).reshape(s, 3 * s))
+        order, found, counts = _sorted(inputs.T.ravel(), len(self.w["enter"]))
+        rows = (order // n * 4 * n + order % n)[:, None] + np.array([0, n, 3 * n])
+        d_enter = by.reshape(-1, s).take(rows, axis=0).reshape(-1, 3 * s)
+        grad["enter"] = (found, _sums(d_enter, counts))
         return grad, after, loss
 
+    def gradients(
+        self, h: np.ndarray, inputs: np.ndarray, first: np.ndarray, groups: np.ndarray,
+        places: np.ndarray, real: np.ndarray,
+    ) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Gradient of the mean loss over a window by all weights, the last state, and that loss."""
+        joint = self.joint()
+        slopes, after, loss = self._slopes(joint, h, inputs, first, groups, places, real)
+        grad = {k: np.zeros_like(x) for k, x in self.parts(joint).items()}
+        for k, (rows, g) in slopes.items():
+            grad[k][rows] = g
+        group, word = grad.pop("group"), grad.pop("word")
+        grad |= {"group_out": group[:-1], "group_bias": group[-1]}
+        return {**grad, "word_out": word[:, :-1], "word_bias": word[:, -1]}, after, loss
+
+    def parts(self, joint: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+        """The weights as they are trained."""
+        return {"enter": self.w["enter"], "turn": self.w["turn"], "group": joint[0], "word": joint[1]}
+
     def train(self, docs: list[tuple[np.ndarray, ...]], lanes: int, window: int, rate: float,
               squares: dict[str, np.ndarray]) -> float:
         """One pass over whole documents; ``squares`` carries the step sizes from pass to pass."""
         held = Lanes(docs, lanes)
         h = np.zeros((len(held.lengths), self.state), np.float32)
-        losses = []
+        losses, joint = [], self.joint()
+        weights = self.parts(joint)
+        for k, x in weights.items():
+            squares.setdefault(k, np.full_like(x, 1e-3))
         for at, real in held.windows(window):
             h = h[: len(at)]
-            grad, h, loss = self.gradients(
-                h, held.inputs[at], held.first[at] & real, held.groups[at], held.places[at], real
+            grad, h, loss = self._slopes(
+                joint, h, held.inputs[at], held.first[at] & real, held.groups[at],
+                held.places[at], real,
             )
             losses.append(loss)
-            size = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
+            size = math.sqrt(sum(float(np.vdot(g, g)) for _, g in grad.values()))
             shrink = min(1.0, 5.0 / (size + 1e-9))
-            for k, g in grad.items():
-                g *= shrink
-                squares[k] += g * g
+            # weights without a slope keep their values and squares
+            for k, (rows, g) in grad.items():
+                if shrink < 1:
+                    g *= shrink
+                square = squares[k][rows]
+                square += g * g
+                if not isinstance(rows, slice):
+                    squares[k][rows] = square
                 g *= rate
-                g /= np.sqrt(squares[k])
-                self.w[k] -= g
+                g /= np.sqrt(square)
+                weights[k][rows] -= g
+        group, word = joint
+        self.w |= {"group_out": group[:-1], "group_bias": group[-1]}
+        self.w |= {"word_out": word[:, :-1], "word_bias": word[:, -1]}
         return float(np.mean(losses)) if losses else 0.0
 
     def score(self, docs: list[tuple[np.ndarray, ...]], lanes: int, window: int) -> np.ndarray:
@@ -524,9 +710,94 @@ def _average(copies: DataFrame, shards: int) -> np.ndarray | None:
     return np.frombuffer(bytes(rows[0]["weights"]), "<f4") if rows else None
 
 
+CODED = (
+    "doc_id long, at long, held boolean, task long, row long, n_tokens long, n_known long, "
+    "base double, fixed double, tail array<struct<word:binary,shape:int,n:int>>, codes binary"
+)
+
+
+def _offsets(lengths: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+
+
+def _coded(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """Every document's inputs of the network, its sums over head words, and its tail words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = vocabulary.value
+        task, row = TaskContext.get().partitionId(), 0
+        for batch in _slices(batches, "text", HELD_BYTES):
+            n = batch.num_rows
+            words, numbers, texts_of = _split(batch.column("text"))
+            found, inputs = v.inputs_of(words.to_pylist())
+            head = found >= 0
+
+            def total(values: np.ndarray) -> np.ndarray:
+                """The sum over each text's head words and its end."""
+                each = np.where(head, values[found], 0)
+                return np.bincount(texts_of, each[numbers], n) + values[v.end]
+
+            sizes = np.bincount(texts_of, minlength=n) + 1
+            ends = np.cumsum(sizes)
+            codes = np.full(int(ends[-1]), v.input[v.end], v.code)
+            codes[np.arange(len(numbers)) + texts_of] = inputs.astype(v.code)[numbers]
+            # tail words of a text, each with its count there
+            rare = np.flatnonzero(~head[numbers])
+            keys, times = np.unique(
+                texts_of[rare] * np.int64(len(words)) + numbers[rare], return_counts=True
+            )
+            texts, mine = (x.astype(np.int32) for x in divmod(keys, max(1, len(words))))
+            tails = pa.StructArray.from_arrays(
+                [
+                    words.take(pa.array(mine)),
+                    pa.array((inputs[mine] - v.first_tail_input).astype(np.int32)),
+                    pa.array(times.astype(np.int32)),
+                ],
+                ["word", "shape", "n"],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("at"), batch.column("held"),
+                    pa.array(np.full(n, task)), pa.array(np.arange(row, row + n)),
+                    pa.array(sizes), pa.array(total(v.known).astype(np.int64)),
+                    pa.array(total(v.base)), pa.array(total(v.fixed)),
+                    pa.ListArray.from_arrays(_offsets(np.bincount(texts, minlength=n)), tails),
+                    pa.Array.from_buffers(
+                        pa.binary(), n,
+                        [None, _offsets(sizes * codes.itemsize).buffers()[1], pa.py_buffer(codes)],
+                    ),
+                ],
+                names=["doc_id", "at", "held", "task", "row", "n_tokens", "n_known", "base",
+                       "fixed", "tail", "codes"],
+            )
+            row += n
+
+    return materialise(docs.mapInArrow(run, CODED), "lm-codes")
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, held: Column | None = None) -> DataFrame:
+    """What is encoded of each document, with a hash of id and text."""
+    found = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+        (F.lit(False) if held is None else held).alias("held"),
+    )
+    return found.withColumn("at", F.xxhash64("doc_id", "text"))
+
+
+class Codes:
+    """From the codes of a document to inputs, classes and places."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.kind, self.group, self.place = v.code, v.input_group, v.input_place
+
+    def read(self, codes: pa.Scalar) -> tuple[np.ndarray, ...]:
+        inputs = np.frombuffer(codes.as_buffer(), self.kind).astype(np.int32)
+        return inputs, self.group[inputs], self.place[inputs]
+
+
 def _round(
-    docs: DataFrame, vocabulary: Broadcast, start: Gated, rate: float, share: int, part: int,
-    shards: int,
+    coded: DataFrame, codes: Codes, start: Gated, rate: float, share: int, part: int, shards: int
 ) -> Gated:
     """Weights after a copy per shard trained on its documents of this round's share.
 
@@ -536,7 +807,6 @@ def _round(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocabulary.value
         model, squares, shard, held, size, total = None, {}, None, [], 0, 0
 
         def learn() -> None:
@@ -563,40 +833,39 @@ def _round(
                     if model is not None:
                         yield copy()
                     model, shard, total = start.unpacked(start.packed()), at, 0
-                    squares = {k: np.full_like(x, 1e-3) for k, x in model.w.items()}
-                held.append(v.encode(words_of(text.as_py()))[1:])
+                    squares = {}
+                held.append(codes.read(text))
                 size += len(held[-1][0])
-                if size >= HELD_TOKENS // 4:
+                # a whole shard as a rule: lanes of its documents then end at about the same time
+                if size >= 2 * SHARD_TOKENS:
                     learn()
         if model is not None:
             yield copy()
 
-    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(shards, int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chosen = (
-        docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == part)
-        .dropDuplicates(["doc_id", "text"])
-        .select(
-            F.pmod(F.xxhash64(F.lit(part), "text", "doc_id"), F.lit(shards)).alias("shard"),
-            "text",
-            F.xxhash64("doc_id", "text").alias("at"),
-            "doc_id",
-        )
+        coded.where(~F.col("held") & (F.pmod("at", F.lit(share)) == part))
+        .select("doc_id", "at", "codes")
+        .dropDuplicates()
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(part), "at", "doc_id"), F.lit(shards)))
         .repartitionById(tasks, (F.col("shard") % tasks).cast("int"))
-        .sortWithinPartitions("shard", "at", "doc_id", "text")
+        .sortWithinPartitions("shard", "at", "doc_id", "codes")
     )
-    copies = materialise(chosen.select("shard", "text").mapInArrow(run, COPY), "lm-copies")
+    copies = materialise(chosen.select("shard", "codes").mapInArrow(run, COPY), "lm-copies")
     mean = _average(copies, shards)
     return start if mean is None else start.unpacked(mean)
 
 
 class Model:
-    """Vocabulary table, numbers of the head, and the fitted network."""
+    """Vocabulary table, numbers of the head, the fitted network, and the documents in its inputs."""
 
     def __init__(
-        self, counts: DataFrame, least: int, vocabulary: Vocabulary, network: Gated
+        self, counts: DataFrame, least: int, vocabulary: Vocabulary, network: Gated,
+        coded: DataFrame,
     ) -> None:
         self.counts, self.least = counts, least
         self.vocabulary, self.network = vocabulary, network
+        self.coded = coded
 
 
 def fit(
@@ -608,17 +877,21 @@ def fit(
     rounds: int = ROUNDS,
     share: int | None = None,
     rate: float = RATE,
+    held: Column | None = None,
 ) -> Model:
     """Count all words of ``docs`` and train on one in ``share`` documents per round.
 
     Without ``share`` the rounds have all documents among them, each in one round.
+    Rows where ``held`` is true are not learned from, but are encoded with the others for
+    ``score_coded``, so that a table that is scored by its own model is encoded once.
     A round has one shard per ``SHARD_TOKENS`` of its tokens, so that a copy takes as many
     steps in a large corpus as in a small one. Null texts are empty and count as an end
     alone. Without a column ``lang`` all words are of one unknown language.
     """
     if lang is not None and lang not in docs.columns:
         lang = None
-    counts = materialise(count_words(docs, lang, text), "lm-words")
+    learned = docs if held is None else docs.where(~held)
+    counts = materialise(count_words(learned, lang, text), "lm-words")
     least = head_threshold(counts, head)
     rows = counts.where((F.col("n") >= least) & F.col("word").isNotNull()).select("word", "n", "lang")
     # at most ``head`` words
@@ -638,73 +911,51 @@ def fit(
     vocabulary = Vocabulary(frequent, sums["ends"], sums["tokens"], sums["distinct"], tail)
     network = Gated.fresh(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = id_and_bytes(docs, doc_id, text)
+    coded = _coded(_rows(docs, doc_id, text, held), shared)
     share = share or rounds
     shards = max(1, -(-int(sums["tokens"]) // (share * SHARD_TOKENS)))
+    codes = Codes(vocabulary)
     for part in range(rounds):
-        network = _round(rows, shared, network, rate / (1 + part), share, part % share, shards)
-    return Model(counts, least, vocabulary, network)
+        network = _round(coded, codes, network, rate / (1 + part), share, part % share, shards)
+    return Model(counts, least, vocabulary, network, coded)
 
 
 SCORED = (
-    "doc_id long, task long, row long, n_tokens long, n_known long, base double, "
-    "score double, tail array<struct<word:binary,shape:int,n:int>>"
+    "doc_id long, task long, row long, n_tokens long, n_known long, base double, score double"
 )
 
 
-def _score_head(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network))
+def _score_head(coded: DataFrame, model: Model) -> DataFrame:
+    shared = coded.sparkSession.sparkContext.broadcast((Codes(model.vocabulary), model.network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, network = shared.value
-        tails = pa.list_(
-            pa.struct([("word", pa.binary()), ("shape", pa.int32()), ("n", pa.int32())])
-        )
-        task, row = TaskContext.get().partitionId(), 0
-        ids, sums, rare, held, size = [], [], [], [], 0
+        codes, network = shared.value
+        rows, held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal row, size
+            nonlocal rows, held, size
+            table = pa.Table.from_batches(rows).combine_chunks()
             logs = network.score(held, SCORE_LANES, SCORE_WINDOW) / math.log(10)
-            n = len(ids)
-            columns = [
-                pa.array(ids, pa.int64()), pa.array([task] * n, pa.int64()),
-                pa.array(range(row, row + n), pa.int64()),
-                pa.array([s[0] for s in sums], pa.int64()),
-                pa.array([s[1] for s in sums], pa.int64()),
-                pa.array([s[2] for s in sums], pa.float64()),
-                pa.array(logs + np.array([s[3] for s in sums]), pa.float64()),
-                pa.array(rare, tails),
-            ]
-            row += n
-            for x in (ids, sums, rare, held):
-                x.clear()
-            size = 0
-            names = ["doc_id", "task", "row", "n_tokens", "n_known", "base", "score", "tail"]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            score = pa.array(logs + table["fixed"].to_numpy(), pa.float64())
+            rows, held, size = [], [], 0
+            return table.drop_columns("fixed").append_column("score", score).to_batches()[0]
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(text.as_py())
-                found, *codes = v.encode(words)
-                mine = found[found >= 0]
-                ids.append(key)
-                sums.append(
-                    (len(found), int(v.known[mine].sum()), float(v.base[mine].sum()),
-                     float(v.fixed[mine].sum()))
-                )
-                others = Counter(words[k] for k in np.flatnonzero(found < 0))
-                rare.append(
-                    [{"word": w, "shape": shape_of(w), "n": n} for w, n in others.items()]
-                )
-                held.append(tuple(codes))
-                size += len(found)
+            start = 0
+            for at, text in enumerate(batch.column("codes")):
+                held.append(codes.read(text))
+                size += len(held[-1][0])
                 if size >= HELD_TOKENS:
+                    rows.append(batch.drop_columns("codes").slice(start, at + 1 - start))
+                    start = at + 1
                     yield flush()
-        if ids:
+            if start < batch.num_rows:
+                rows.append(batch.drop_columns("codes").slice(start))
+        if held:
             yield flush()
 
-    return docs.mapInArrow(run, SCORED)
+    needed = coded.select("doc_id", "task", "row", "n_tokens", "n_known", "base", "fixed", "codes")
+    return needed.mapInArrow(run, SCORED)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -713,13 +964,19 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     ``base_score`` is the sum of the words' smoothed log10 frequencies, ``score`` the
     model's log10 probability of the whole text. A null or empty text is the end alone.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
+    return score_coded(_coded(_rows(docs, doc_id, text), shared), model)
+
+
+def score_coded(coded: DataFrame, model: Model) -> DataFrame:
+    """What ``score`` gives, for documents that are encoded, as ``Model.coded`` has them."""
     v = model.vocabulary
-    heads = materialise(_score_head(id_and_bytes(docs, doc_id, text), model), "lm-scores")
-    tails = heads.select("task", "row", F.explode("tail").alias("t")).select("task", "row", "t.*")
+    heads = _score_head(coded, model)
+    tails = coded.select("task", "row", F.explode("tail").alias("t")).select("task", "row", "t.*")
     counts = model.counts.where(
         (F.col("n") < model.least) & F.col("word").isNotNull()
     ).select("word", F.col("n").alias("c"))
-    room = docs.sparkSession.createDataFrame(
+    room = coded.sparkSession.createDataFrame(
         [
             (k, math.log10(v.tail.get(k, (0, 0))[0] + ADD * (v.tail.get(k, (0, 0))[1] + 1)))
             for k in range(TAIL_CLASSES)
@@ -738,7 +995,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         )
     )
     none = F.lit(0.0)
-    return heads.drop("tail").join(sums, ["task", "row"], "left").select(
+    return heads.join(sums, ["task", "row"], "left").select(
         "doc_id", "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
         (F.col("base") + F.coalesce("tail_base", none)).alias("base_score"),

@@ -44,9 +44,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op1_lm_scoring")
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = lm_score.fit(lm_score.training_part(docs))
-    found = lm_score.score(docs, model)
     held = in_fold(F.col("doc_id"), lm_score.FOLDS, lm_score.HELD_OUT_FOLD)
+    model = lm_score.fit(docs, held=held)
+    found = lm_score.score_coded(model.coded, model)
     return found.select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known",
         F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"),
