@@ -1,7 +1,11 @@
 """Edge cases on small hand-made frames."""
 
 import math
+import os
+import pathlib
+import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,6 +452,90 @@ def test_attention_weights_sum_to_one(tiny_graph):
             assert sum(r["one"] for r in rows) == pytest.approx(1.0)
 
 
+@pytest.fixture(scope="module")
+def wide_graph(spark):
+    """A cycle of 400 nodes with chords, a node with 200 in-edges, and nodes without any."""
+    nodes = [("n", str(k), math.sin(k), 1.0 + k % 3) for k in range(420)]
+    ends = [(k, (k + 1) % 400) for k in range(400)] + [(k, 7 * k % 400) for k in range(0, 400, 3)]
+    ends += [(k, 5) for k in range(200)]
+    edges = [("e", "n", str(a), "n", str(b)) for a, b in ends]
+    return (
+        spark.createDataFrame(nodes, "node_type string, node string, x double, y double"),
+        spark.createDataFrame(edges, ", ".join(f"{c} string" for c in graph.EDGE)),
+        {int(k): (x, y) for _, k, x, y in nodes}, ends,
+    )
+
+
+def left_on_disk(spark, work):
+    """What ``work`` returns, the shuffles that still have files, and rows by kind of written table."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+
+    def shuffles():
+        files = disk.getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+    shuffles_before, tables_before = shuffles(), set(os.listdir(root))
+    out = work()
+    for _ in range(40):
+        if not shuffles() - shuffles_before:
+            break
+        time.sleep(0.25)
+    rows = {}
+    for table in set(os.listdir(root)) - tables_before:
+        kind = table.rsplit("-", 1)[0]
+        files = [f for f in pathlib.Path(root, table).rglob("*.parquet")]
+        rows[kind] = rows.get(kind, 0) + sum(pq.read_metadata(f).num_rows for f in files)
+    return out, shuffles() - shuffles_before, {kind: n for kind, n in rows.items() if n}
+
+
+def attention(nodes, ends, whole):
+    """In-degree and weighted mean of x and y per destination, edge by edge."""
+    into = {}
+    for a, b in ends:
+        score = nodes[a][0] + nodes[b][0]
+        into.setdefault(b, []).append((math.exp(score if score > 0 else 0.2 * score), *nodes[a]))
+    total = sum(w for rows in into.values() for w, _, _ in rows)
+    return {
+        str(b): (len(rows), *[
+            sum(r[0] * r[i] for r in rows) / (total if whole else sum(r[0] for r in rows))
+            for i in (1, 2)
+        ])
+        for b, rows in into.items()
+    }
+
+
+def test_attention_over_all_edges_in_slices_leaves_only_its_result(spark, wide_graph, monkeypatch):
+    nodes, edges, values, ends = wide_graph
+    monkeypatch.setattr(graph, "ROWS_PER_SLICE", 100, raising=False)
+    got, shuffles, tables = left_on_disk(
+        spark, lambda: graph.neighbor_attention(nodes, edges, ["x", "y"], "x", "x", scope="all")
+    )
+    want = attention(values, ends, whole=True)
+    rows = {r["node"]: (r["n_in"], r["x"], r["y"]) for r in got.collect()}
+    assert rows.keys() == want.keys() and max(n for n, _, _ in rows.values()) > 200
+    assert all(rows[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    assert not shuffles and tables == {"graph-attention": 400}
+
+
+def test_attention_over_all_edges_with_endless_scores(spark, monkeypatch):
+    low = float("-inf")
+    nodes = spark.createDataFrame(
+        [("n", "1", 0.0), ("n", "2", low), ("n", "3", 1.0), ("n", "4", None)],
+        "node_type string, node string, x double",
+    ).withColumn("one", F.lit(1.0))
+    edges = spark.createDataFrame(
+        [("e", "n", a, "n", b) for a, b in (("1", "2"), ("1", "3"), ("3", "1"), ("1", "4"), ("4", "1"))],
+        ", ".join(f"{c} string" for c in graph.EDGE),
+    )
+    for rows_per_slice in (100, 1):
+        monkeypatch.setattr(graph, "ROWS_PER_SLICE", rows_per_slice, raising=False)
+        rows = graph.neighbor_attention(nodes, edges, ["one"], "x", "x", scope="all").collect()
+        got = {r["node"]: (r["n_in"], r["one"]) for r in rows}
+        assert got == {"1": (2, 0.5), "2": (1, 0.0), "3": (1, 0.5), "4": (1, None)}
+
+
 # attribution
 
 

@@ -6,16 +6,20 @@ dst_type, dst)`` rows; node features are plain columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import leaky_relu
 from tidewatch.operators.ordered import join_group_values
-from tidewatch.session import written_once
+from tidewatch.session import Slices, written_once
 
 EDGE = ["edge_type", "src_type", "src", "dst_type", "dst"]
+KEY = ["dst", "dst_type"]  # the id first: it tells rows apart when they are sorted
+
+ROWS_PER_SLICE = 5_000_000
+MOST_SLICES = 8
 
 
 def hierarchy_edges(
@@ -71,6 +75,52 @@ def gather(nodes: DataFrame, edges: DataFrame, features: Sequence[str]) -> DataF
     return edges.hint("merge").join(sources, ["src", "src_type"])
 
 
+def slice_count(rows: int) -> int:
+    """How many slices a step over so many edges takes; what it keeps on disk falls with their number."""
+    return min(MOST_SLICES, max(1, -(-rows // ROWS_PER_SLICE)))
+
+
+def _dealt(df: DataFrame, node: str, kind: str, slices: int, purpose: str) -> Slices:
+    """The rows in slices by hash of type and id of one of their nodes."""
+    dealt = Slices(df.sparkSession, purpose)
+    _deal(dealt, df, node, kind, slices)
+    return dealt
+
+
+def _deal(dealt: Slices, df: DataFrame, node: str, kind: str, slices: int) -> None:
+    if slices == 1:
+        dealt.write(0, df)
+    else:
+        number = F.xxhash64(F.col(node).cast("string"), F.col(kind).cast("string"))
+        dealt.deal(df, F.pmod(number, F.lit(slices)).cast("int"))
+
+
+def _passed_on(
+    nodes: Slices,
+    edges: Slices,
+    features: Sequence[str],
+    slices: int,
+    received: Callable[[DataFrame, DataFrame], DataFrame],
+    purpose: str,
+) -> Slices:
+    """Sends the features along the edges; slices of what ``received`` makes of it.
+
+    Messages are made for the sources of one slice after another and written to the slice of
+    their destination, so shuffles only ever hold one slice. ``received`` gets the messages and
+    the nodes of a slice, which are removed then, as the edges are once they are used.
+    """
+    messages, done = Slices(edges.spark, "graph-messages"), Slices(edges.spark, purpose)
+    for k in range(slices):
+        sent = gather(nodes.read(k), edges.read(k), features).select(*KEY, *features)
+        _deal(messages, sent, *KEY, slices)
+        edges.remove(k)
+    for k in range(slices):
+        done.write(k, received(messages.read(k), nodes.read(k)))
+        messages.remove(k)
+        nodes.remove(k)
+    return done
+
+
 def neighbor_sum(
     nodes: DataFrame, edges: DataFrame, features: Sequence[str], steps: int = 1
 ) -> DataFrame:
@@ -109,37 +159,56 @@ def neighbor_attention(
     """Weighted message sum per destination node.
 
     The weight is the softmax of the leaky-ReLU of both score columns, over the
-    in-edges of each destination, or over all edges with ``scope="all"``. The source
-    features are brought to the edges once and written, as two steps read them.
+    in-edges of each destination, or over all edges with ``scope="all"``: then weights are
+    taken from each destination's best first, and their sums are brought to the best of all.
+    Nodes and edges are read once, dealt to slices and worked on slice by slice.
     """
     if scope not in ("destination", "all"):
         raise ValueError(f"unknown scope: {scope}")
-    key = ["dst", "dst_type"]  # the id first: it tells rows apart when they are sorted
     kept = [*features] if src_score in features else [*features, src_score]
-    messages = written_once(
-        gather(nodes, edges, kept).select(*key, *kept), "graph-messages"
-    )
-    # the rule rises with the source score, so the best source gives the largest score
-    best = messages.groupBy(*key).agg(F.max(src_score).alias("_best"))
-    targets = nodes.select(
-        F.col("node_type").alias("dst_type"), F.col("node").alias("dst"),
-        F.col(dst_score).alias("_to"),
-    ).join(best, key).withColumn("_top", leaky_relu(F.col("_best") + F.col("_to"), slope))
-    top = F.col("_top") if scope == "destination" else targets.agg(F.max("_top")).scalar()
-    score = leaky_relu(F.col(src_score) + F.col("_to"), slope)
-    weighed = join_group_values(messages.hint("merge"), targets, key).withColumn(
-        "_w", F.exp(score - top)
-    )
-    summed = weighed.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_in"),
-        F.sum("_w").alias("_mass"),
-        *[F.sum(F.col("_w") * F.col(f)).alias(f) for f in features],
-    )
-    mass = F.col("_mass") if scope == "destination" else summed.agg(F.sum("_mass")).scalar()
-    return summed.select(
-        F.col("dst_type").alias("node_type"), F.col("dst").alias("node"), "n_in",
-        *[(F.col(f) / mass).alias(f) for f in features],
+    of = nodes.select("node_type", "node", *dict.fromkeys([*kept, dst_score]))
+
+    def received(messages: DataFrame, own: DataFrame) -> DataFrame:
+        # the rule rises with the source score, so the best source gives the largest score
+        best = messages.groupBy(*KEY).agg(F.max(src_score).alias("_best"))
+        targets = own.select(
+            F.col("node_type").alias("dst_type"), F.col("node").alias("dst"),
+            F.col(dst_score).alias("_to"),
+        ).join(best, KEY).withColumn("_top", leaky_relu(F.col("_best") + F.col("_to"), slope))
+        if scope == "all":
+            # rows of one node may differ in score, and its sums are brought to one value
+            targets = targets.withColumn("_top", F.max("_top").over(Window.partitionBy(*KEY)))
+        lowest = F.col("_top") == float("-inf")
+        base = F.when(lowest, 0.0).otherwise(F.col("_top")) if scope == "all" else F.col("_top")
+        score = leaky_relu(F.col(src_score) + F.col("_to"), slope)
+        weighed = join_group_values(messages.hint("merge"), targets, KEY).withColumn(
+            "_w", F.exp(score - base)
+        )
+        summed = weighed.groupBy(*KEY).agg(
+            F.count(F.lit(1)).alias("n_in"),
+            F.max("_top").alias("_top"),
+            F.sum("_w").alias("_mass"),
+            *[F.sum(F.col("_w") * F.col(f)).alias(f) for f in features],
+        ).withColumnsRenamed({"dst_type": "node_type", "dst": "node"})
+        return summed if scope == "all" else shares(summed, F.col("_mass"))
+
+    def shares(summed: DataFrame, mass: Column) -> DataFrame:
+        return summed.select(
+            "node_type", "node", "n_in", *[(F.col(f) / mass).alias(f) for f in features]
+        )
+
+    slices = slice_count(edges.count())
+    done = _passed_on(
+        _dealt(of, "node", "node_type", slices, "graph-nodes"),
+        _dealt(edges.select(*EDGE[1:]), "src", "src_type", slices, "graph-edges"),
+        kept, slices, received, "graph-attention",
     )
+    summed = done.read(*range(slices))
+    if scope == "destination":
+        return summed
+    part = F.exp(F.col("_top") - summed.agg(F.max("_top")).scalar())
+    mass = summed.agg(F.sum(F.col("_mass") * part)).scalar()
+    return shares(summed.withColumns({f: F.col(f) * part for f in features}), mass)
 
 
 def graph_mean_pool(

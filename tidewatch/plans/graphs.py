@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 from tidewatch.operators import graph
 from tidewatch.plans import inputs as i
 from tidewatch.plans.registry import query
-from tidewatch.session import written_once
+from tidewatch.session import Slices
 
 
 def _days(spark, d):
     """One row per order and shipping day."""
     lines = i.table(spark, d, "lineitem")
-    days = lines.groupBy("l_orderkey", "l_shipdate").agg(
+    return lines.groupBy("l_orderkey", "l_shipdate").agg(
         F.sum("l_quantity").alias("quantity"),
         F.count(F.lit(1)).alias("n_lines"),
         F.bool_or(F.col("l_returnflag") == "R").alias("lab"),
         F.bool_or(F.col("l_linestatus") == "O").alias("vital"),
     )
+
+
+def _named(days):
     name = F.concat_ws(
         "@", F.col("l_orderkey").cast("string"), F.to_date("l_shipdate").cast("string")
     )
@@ -30,7 +33,7 @@ def edges(spark, d, days=None):
         "o_custkey", F.col("o_orderkey").alias("l_orderkey")
     )
     return graph.hierarchy_edges(
-        stays, _days(spark, d) if days is None else days, "o_custkey", "l_orderkey", "day",
+        stays, _named(_days(spark, d) if days is None else days), "o_custkey", "l_orderkey", "day",
         {"has_lab": "lab", "has_vital": "vital"},
     )
 
@@ -47,7 +50,7 @@ def nodes(spark, d, grouped):
     stays = i.table(spark, d, "orders").select(
         *of("stay", F.col("o_orderkey"), F.col("o_totalprice") / 500000, F.lit(1))
     )
-    days = grouped.select(
+    days = _named(grouped).select(
         *of("day", F.col("day"), F.col("quantity") / 50, F.col("n_lines"))
     )
     return patients.unionByName(stays).unionByName(days)
@@ -88,12 +91,11 @@ def graph_reverse_edges(spark, d):
 
 
 def _graph(spark, d):
-    """Nodes and edges with the reverse ones, as tables; the line items are read once."""
-    days = written_once(_days(spark, d), "graph-days")
-    return (
-        written_once(nodes(spark, d, days), "graph-nodes"),
-        written_once(graph.with_reverse(edges(spark, d, days)), "graph-edges"),
-    )
+    """Nodes and edges with the reverse ones; the line items are read once and their days written."""
+    kept = Slices(spark, "graph-days")
+    kept.write(0, _days(spark, d))
+    days = kept.read(0)
+    return nodes(spark, d, days), graph.with_reverse(edges(spark, d, days))
 
 
 @query(

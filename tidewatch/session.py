@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -55,6 +58,65 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+#: Shuffle files go with the write they were made for, instead of when the driver collects its garbage; rows are
+#: dealt to a few open files, which hold little in memory, without sorting them.
+WRITE_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
+}
+
+
+class Slices:
+    """A table in the shared folder that is cut into slices, each removed once it is not read again."""
+
+    def __init__(self, spark: SparkSession, purpose: str) -> None:
+        self.spark = spark
+        self._folder = Folder(spark, work_folder(spark, purpose))
+        self._schema: StructType | None = None
+        self._writes = 0
+
+    def _path(self, write: int, k: int) -> str:
+        return f"{write}/_slice={k}"
+
+    def write(self, k: int, df: DataFrame) -> None:
+        """Adds the rows to slice ``k``."""
+        self._write(df, df.schema, self._path(self._writes, k))
+
+    def deal(self, df: DataFrame, number: Column) -> None:
+        """Adds each row to the slice that has its number."""
+        self._write(df.withColumn("_slice", number), df.schema, f"{self._writes}", "_slice")
+
+    def _write(self, df: DataFrame, schema: StructType, at: str, *by: str) -> None:
+        with _settings(self.spark, **WRITE_SETTINGS):
+            writer = df.write.options(**{"compression": "zstd", "parquet.block.size": 16 << 20})
+            writer.partitionBy(*by).parquet(f"{self._folder.path}/{at}")
+        self._schema = schema
+        self._writes += 1
+
+    def read(self, *ks: int) -> DataFrame:
+        """The rows of these slices."""
+        paths = [p for k in ks for w in range(self._writes) if self._folder.has(p := self._path(w, k))]
+        if not paths:
+            return self.spark.createDataFrame([], self._schema)
+        return self.spark.read.schema(self._schema).parquet(*[f"{self._folder.path}/{p}" for p in paths])
+
+    def remove(self, k: int) -> None:
+        for write in range(self._writes):
+            self._folder.remove(self._path(write, k))
+
+
 class Folder:
     """A folder on any file system that Spark can reach."""
 
