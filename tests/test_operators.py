@@ -536,6 +536,26 @@ def test_attention_over_all_edges_with_endless_scores(spark, monkeypatch):
         assert got == {"1": (2, 0.5), "2": (1, 0.0), "3": (1, 0.5), "4": (1, None)}
 
 
+def test_two_steps_in_slices_leave_only_their_result(spark, wide_graph, monkeypatch):
+    nodes, edges, values, ends = wide_graph
+    monkeypatch.setattr(graph, "ROWS_PER_SLICE", 100, raising=False)
+    got, shuffles, tables = left_on_disk(
+        spark, lambda: graph.neighbor_sum(nodes, edges, ["x", "y"], steps=2)
+    )
+    want = values
+    for step in range(2):
+        into = {}
+        for a, b in ends:
+            into.setdefault(b, []).append(want[a])
+        want = {k: tuple(map(math.fsum, zip(*into[k]))) if k in into else want[k] for k in want}
+        if step == 0:
+            want = {k: tuple(max(v, 0.0) + v for v in row) for k, row in want.items()}
+    rows = {int(r["node"]): (r["x"], r["y"]) for r in got.collect()}
+    assert rows.keys() == want.keys()
+    assert all(rows[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
+    assert not shuffles and tables == {"graph-sums": 420}
+
+
 # attribution
 
 

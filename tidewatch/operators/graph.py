@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import leaky_relu
 from tidewatch.operators.ordered import join_group_values
-from tidewatch.session import Slices, written_once
+from tidewatch.session import Slices
 
 EDGE = ["edge_type", "src_type", "src", "dst_type", "dst"]
 KEY = ["dst", "dst_type"]  # the id first: it tells rows apart when they are sorted
@@ -102,18 +102,20 @@ def _passed_on(
     slices: int,
     received: Callable[[DataFrame, DataFrame], DataFrame],
     purpose: str,
+    last: bool = True,
 ) -> Slices:
     """Sends the features along the edges; slices of what ``received`` makes of it.
 
     Messages are made for the sources of one slice after another and written to the slice of
     their destination, so shuffles only ever hold one slice. ``received`` gets the messages and
-    the nodes of a slice, which are removed then, as the edges are once they are used.
+    the nodes of a slice, which are removed then; the edges are removed in the last step.
     """
     messages, done = Slices(edges.spark, "graph-messages"), Slices(edges.spark, purpose)
     for k in range(slices):
         sent = gather(nodes.read(k), edges.read(k), features).select(*KEY, *features)
         _deal(messages, sent, *KEY, slices)
-        edges.remove(k)
+        if last:
+            edges.remove(k)
     for k in range(slices):
         done.write(k, received(messages.read(k), nodes.read(k)))
         messages.remove(k)
@@ -126,25 +128,32 @@ def neighbor_sum(
 ) -> DataFrame:
     """Sum of the neighbours' features over all in-edges; a node without any keeps its own.
 
-    Between steps the features pass ``max(h, 0) + h`` and are written once, so that a step
-    does not repeat those before it. Sums are combined before the shuffle, so a node with
-    very many in-edges stays cheap.
+    Between steps the features pass ``max(h, 0) + h``. Nodes and edges are read once, dealt to
+    slices, and every step works slice by slice. Sums are combined before the shuffle, so a
+    node with very many in-edges stays cheap.
     """
-    for step in range(steps):
-        summed = (
-            gather(nodes, edges, features)
-            .groupBy(F.col("dst_type").alias("node_type"), F.col("dst").alias("node"))
-            .agg(*[F.sum(f).alias(f"_{f}") for f in features])
-        )
-        nodes = nodes.join(summed, ["node", "node_type"], "left").select(
-            "node_type",
-            "node",
-            *[F.coalesce(F.col(f"_{f}"), F.col(f)).alias(f) for f in features],
+    if steps < 1:
+        return nodes
+    key = ["node_type", "node"]
+
+    def received(messages: DataFrame, own: DataFrame) -> DataFrame:
+        summed = messages.groupBy(
+            F.col("dst_type").alias("node_type"), F.col("dst").alias("node")
+        ).agg(*[F.sum(f).alias(f"_{f}") for f in features])
+        return own.join(summed, ["node", "node_type"], "left").select(
+            *key, *[F.coalesce(F.col(f"_{f}"), F.col(f)).alias(f) for f in features]
         )
-        if step < steps - 1:
-            passed = {f: F.greatest(F.col(f), F.lit(0.0)) + F.col(f) for f in features}
-            nodes = written_once(nodes.withColumns(passed), "graph-step")
-    return nodes
+
+    def between(messages: DataFrame, own: DataFrame) -> DataFrame:
+        passed = {f: F.greatest(F.col(f), F.lit(0.0)) + F.col(f) for f in features}
+        return received(messages, own).withColumns(passed)
+
+    slices = slice_count(edges.count())
+    of = _dealt(nodes.select(*key, *features), "node", "node_type", slices, "graph-nodes")
+    along = _dealt(edges.select(*EDGE[1:]), "src", "src_type", slices, "graph-edges")
+    for step in range(1, steps):
+        of = _passed_on(of, along, features, slices, between, "graph-step", last=False)
+    return _passed_on(of, along, features, slices, received, "graph-sums").read(*range(slices))
 
 
 def neighbor_attention(
