@@ -536,6 +536,19 @@ def test_attention_over_all_edges_with_endless_scores(spark, monkeypatch):
         assert got == {"1": (2, 0.5), "2": (1, 0.0), "3": (1, 0.5), "4": (1, None)}
 
 
+def test_attention_per_destination_in_slices_leaves_only_its_result(spark, wide_graph, monkeypatch):
+    nodes, edges, values, ends = wide_graph
+    monkeypatch.setattr(graph, "ROWS_PER_SLICE", 100, raising=False)
+    got, shuffles, tables = left_on_disk(
+        spark, lambda: graph.neighbor_attention(nodes, edges, ["x", "y"], "x", "x")
+    )
+    want = attention(values, ends, whole=False)
+    rows = {r["node"]: (r["n_in"], r["x"], r["y"]) for r in got.collect()}
+    assert rows.keys() == want.keys()
+    assert all(rows[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12) for k in want)
+    assert not shuffles and tables == {"graph-attention": 400}
+
+
 def test_two_steps_in_slices_leave_only_their_result(spark, wide_graph, monkeypatch):
     nodes, edges, values, ends = wide_graph
     monkeypatch.setattr(graph, "ROWS_PER_SLICE", 100, raising=False)
